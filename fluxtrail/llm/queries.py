@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import warc
+from . import secrets, warc
 from .common import table
 
 
@@ -14,5 +14,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
-QUERIES = {"op8_warc": op8_warc}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every whole text: counts of the base kinds, their digest, and all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found")
+    base = F.filter("found", lambda s: s["number"] < len(secrets.BASE))
+    count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k, _, _ in secrets.BASE),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("found")).alias("spans"),
+    )
+
+
+QUERIES = {"op8_warc": op8_warc, "op9_secrets": op9_secrets}
 ORACLE: dict[str, str] = {}

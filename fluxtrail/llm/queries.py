@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, warc
+from . import mixing, secrets, warc
 from .common import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all sources takes of every document."""
+    rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "source")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record per page, read back from the archives."""
     return warc.archive(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
@@ -27,5 +33,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op8_warc": op8_warc, "op9_secrets": op9_secrets}
+QUERIES = {"op2_mixing": op2_mixing, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
 ORACLE: dict[str, str] = {}

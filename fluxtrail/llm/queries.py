@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, warc
+from . import imatch, mixing, secrets, warc
 from .common import table
 
 
@@ -33,5 +33,19 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every text and of its edited text."""
+    found = imatch.fingerprint(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.array_join("signatures", ".").alias("fingerprint"),
+        F.array_join("edited_signatures", ".").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+QUERIES = {"op10_imatch": op10_imatch, "op2_mixing": op2_mixing, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
 ORACLE: dict[str, str] = {}

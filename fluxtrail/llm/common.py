@@ -70,6 +70,17 @@ def parts_for(spark: SparkSession, rows: int, each: int = 200_000) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
+def interval_of(value: Column, cuts: list) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``value``; 0 for null. Looked up in two steps of sqrt(n) each."""
+    if not cuts:
+        return F.lit(0)
+    inner = max(1, int(len(cuts) ** 0.5))
+    runs = [cuts[i : i + inner] for i in range(0, len(cuts), inner)]
+    run = F.size(F.filter(F.array(*(F.lit(r[0]) for r in runs)), lambda b: b <= value)) - 1
+    within = F.size(F.filter(F.get(F.array(*(F.array(*map(F.lit, r)) for r in runs)), run), lambda b: b <= value))
+    return F.when(value.isNull() | (value < cuts[0]), 0).otherwise(run * inner + within)
+
+
 def running_total(df: DataFrame, order: list[str], weight: str, out: str, n: int) -> DataFrame:
     """df with ``out``: the sum of ``weight`` over the rows before, in the order of all rows by ``order``.
 

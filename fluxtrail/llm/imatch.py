@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, text_of
+from .common import durable, interval_of, text_of
 
-#: Document-frequency band as shares of all documents: idf from ln(1/0.25) to ln(1/0.005).
-BAND = (0.005, 0.25)
+#: Document-frequency band as shares of all documents: idf from ln(1/0.25) to ln(1/0.003).
+BAND = (0.003, 0.25)
 #: (one in how many terms, how many subsets): 48 subsets.
-RATES = ((8, 8), (64, 16), (256, 24))
+RATES = ((32, 4), (128, 12), (512, 32))
 
 
 def terms(text: Column) -> Column:
@@ -75,19 +75,8 @@ def in_order(docs: DataFrame, each: int = 500, most: int = 4096) -> tuple[DataFr
     bounds = docs.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)] or [0.5], max(10_000, 20 * k)), F.min("doc_id"), F.max(F.col("doc_id").isNull())).first() if n else (None, None, None)
     low = None if bounds[2] else bounds[1]
     cuts = sorted({b for b in bounds[0] or [] if low is None or b > low}) if k > 1 else []
-    inner = max(1, int(len(cuts) ** 0.5))
-    fine = [cuts[i : i + inner] for i in range(0, len(cuts), inner)]
-    if cuts:
-        coarse = F.array(*(F.lit(c[0]) for c in fine))
-        nested = F.array(*(F.array(*(F.lit(x) for x in c)) for c in fine))
-        i = F.size(F.filter(coarse, lambda b: b <= F.col("doc_id")))
-        j = F.size(F.filter(F.get(nested, F.col("_i") - 1), lambda b: b <= F.col("doc_id")))
-        rows = docs.withColumn("_i", F.when(F.col("doc_id").isNull(), 0).otherwise(i))
-        rows = rows.withColumn("_b", F.when(F.col("_i") == 0, 0).otherwise((F.col("_i") - 1) * inner + j))
-        cut = F.exists(F.get(nested, F.col("_i") - 1), lambda b: b == F.col("doc_id"))
-        rows = rows.withColumn("_cut", F.when(F.col("_i") == 0, False).otherwise(F.coalesce(cut, F.lit(False))))
-    else:
-        rows = docs.withColumns({"_b": F.lit(0), "_cut": F.lit(False)})
+    rows = docs.withColumn("_b", interval_of(F.col("doc_id"), cuts))
+    rows = rows.withColumn("_cut", (F.col("_b") > 0) & (F.col("_b") > interval_of(F.col("doc_id") - 1, cuts)))
     place = lambda b, kind: F.array(F.struct(b.alias("bucket"), F.lit(kind).alias("kind")))
     none = F.array().cast("array<struct<bucket:int,kind:int>>")
     spots = F.concat(

@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are ordered by page id and cut into shards by their running payload bytes, so a shard's content depends on the
-rows alone and not on partition bounds. A task writes whole shards: one gzip member per record, a new file when the
+Records are ordered by page id and cut into shards where their running payload bytes pass multiples of ``shard_bytes``,
+so a shard's content depends on the rows alone and not on partition bounds. Payloads are shuffled once: the records and
+the marks of those that revisit meet in their shard, each mark sorted before its records. A task writes whole shards: one gzip member per record, a new file when the
 compressed size passes ``roll_bytes``. Files are written under a temporary name, renamed when complete, and count only
 once the manifest lists them, so a task that is run again replaces its own files and leaves nothing half-written.
 """
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, parts_for, running_total, shared_dir, small_batches
+from .common import durable, interval_of, running_total, shared_dir, small_batches
 
 MANIFEST = "shard long, seq long, path string, records long, compressed_bytes long, first_id long, last_id long, sha256 string"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, digest_ok boolean"
@@ -80,20 +81,22 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = 24
     spark = pages.sparkSession
     small_batches(spark)
     base, slim = mark(pages, min_bytes)
-    slim = slim.withColumn("weight", F.col("size") * F.col("copies") + 512 * F.col("copies"))
+    slim = durable(slim)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = running_total(slim, ["page_id", "sha"], "weight", "before", n)
-    slim = durable(slim.select(F.col("page_id").alias("id"), F.col("sha").alias("own"), "refers", (F.col("before") / shard_bytes).cast("long").alias("shard")))
-    shards = (slim.agg(F.max("shard")).first()[0] or 0) + 1
-    rows = base.join(slim, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("own")))
-    rows = rows.select("shard", "page_id", "sha", "url", "payload", "refers").repartition(min(shards * 3, 100_000), "shard")
-    rows = rows.sortWithinPartitions("shard", "page_id", "sha", "url")
+    weights = slim.groupBy("page_id").agg(F.sum((F.col("size") + 512) * F.col("copies")).alias("weight"))
+    placed = running_total(weights, ["page_id"], "weight", "before", n)
+    cuts = placed.groupBy((F.col("before") / shard_bytes).cast("long").alias("shard")).agg(F.min("page_id").alias("cut")).collect()
+    cuts = sorted(row["cut"] for row in cuts if row["cut"] is not None)[1:]  # a row per shard
+    shard = interval_of(F.col("page_id"), cuts).alias("shard")
+    marks = slim.filter("refers is not null").select(shard, "page_id", "sha", "refers", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    rows = marks.union(base.select(shard, "page_id", "sha", F.lit(None).cast("long"), "url", "payload"))
+    rows = rows.repartition(min(3 * len(cuts) + 3, 100_000), "shard").sortWithinPartitions("shard", "page_id", "sha", F.col("refers").isNull(), "url")
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(out)
         store.create_dir(root, recursive=True)
         shard = seq = -1
-        file, last, done = None, (None, None), []
+        file, last, mark, done = None, None, None, []
 
         def close() -> None:
             nonlocal file
@@ -108,8 +111,13 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = 24
                 page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
                 if s != shard:
                     close()
-                    shard, seq, last = int(s), -1, (None, None)
-                if refers is None and page is not None and last == (page, sha) and len(payload) >= min_bytes:
+                    shard, seq, last = int(s), -1, None
+                if payload is None:  # what the next records of this page and payload refer to
+                    mark = (page, sha, refers)
+                    continue
+                if mark and mark[:2] == (page, sha):
+                    refers = mark[2]
+                elif page is not None and last == (page, sha) and len(payload) >= min_bytes:
                     refers = page
                 last = (page, sha)
                 if file is None:
@@ -130,7 +138,7 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = 24
         yield pd.DataFrame(done, columns=["shard", "seq", "path", "records", "compressed_bytes", "first_id", "last_id", "sha256"]).astype({"first_id": "Int64", "last_id": "Int64"})
 
     manifest = f"{out}/_manifest"
-    rows.mapInPandas(put, MANIFEST).coalesce(parts_for(spark, shards, 1000)).write.json(manifest)
+    rows.mapInPandas(put, MANIFEST).coalesce(max(1, len(cuts) // 1000)).write.json(manifest)
     return spark.read.schema(MANIFEST).json(manifest)
 
 

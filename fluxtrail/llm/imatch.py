@@ -29,13 +29,14 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, rates=RATES, seed
     """term, df, mask: terms within the band over all documents; bit k of mask says that subset k holds the term."""
     n = docs.count()
     counts = docs.select(F.explode(terms(text_of())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kept = counts.filter((F.col("df") >= max(2.0, band[0] * n)) & (F.col("df") <= max(2.0, band[1] * n)))
+    # Written before the masks are made: their filter would else be moved before the counting, over every occurrence.
+    kept = durable(counts.filter((F.col("df") >= max(2.0, band[0] * n)) & (F.col("df") <= max(2.0, band[1] * n))))
     bits = [rate for rate, many in rates for _ in range(many)]
     held = [F.when(F.pmod(F.xxhash64(F.lit(seed + k), F.col("term")), F.lit(rate)) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rate in enumerate(bits)]
     mask = held[0]
     for bit in held[1:]:
         mask = mask.bitwiseOR(bit)
-    return durable(kept.withColumn("mask", mask).filter("mask <> 0"))
+    return kept.withColumn("mask", mask).filter("mask <> 0")
 
 
 def short(value: Column) -> Column:

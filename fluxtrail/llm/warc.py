@@ -138,7 +138,7 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = 24
         yield pd.DataFrame(done, columns=["shard", "seq", "path", "records", "compressed_bytes", "first_id", "last_id", "sha256"]).astype({"first_id": "Int64", "last_id": "Int64"})
 
     manifest = f"{out}/_manifest"
-    rows.mapInPandas(put, MANIFEST).coalesce(max(1, len(cuts) // 1000)).write.json(manifest)
+    rows.mapInPandas(put, MANIFEST).write.json(manifest)
     return spark.read.schema(MANIFEST).json(manifest)
 
 

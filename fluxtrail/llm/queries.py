@@ -5,16 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import imatch, mixing, secrets, warc
+from . import gif, imatch, langid, mixing, packing, secrets, warc
 from .common import table
 
 
+def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as a GIF, read back, with digests and the histogram of its frames."""
+    media = gif.store(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), "text"))
+    return gif.features(media).withColumnRenamed("media_id", "doc_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all sources takes of every document."""
     rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "source")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held(F.col("doc_id"))))
+    found = langid.predict(docs.select("doc_id", "text", langid.held(F.col("doc_id")).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens along the curve."""
+    return packing.pack(table(spark, sf_dir, "documents"), length=2048)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record per page, read back from the archives."""
     return warc.archive(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
@@ -47,5 +66,13 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_imatch": op10_imatch, "op2_mixing": op2_mixing, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
+QUERIES = {
+    "op1_gif": op1_gif,
+    "op2_mixing": op2_mixing,
+    "op5_langid": op5_langid,
+    "op6_packing": op6_packing,
+    "op8_warc": op8_warc,
+    "op9_secrets": op9_secrets,
+    "op10_imatch": op10_imatch,
+}
 ORACLE: dict[str, str] = {}

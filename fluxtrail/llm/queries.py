@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, imatch, langid, mixing, packing, secrets, warc
+from . import gif, imatch, jaccard, langid, mixing, packing, secrets, warc
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), length=2048)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents linked by a shingle Jaccard similarity of 0.8."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record per page, read back from the archives."""
     return warc.archive(table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
@@ -71,6 +76,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_langid": op5_langid,
     "op6_packing": op6_packing,
+    "op7_jaccard": op7_jaccard,
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_imatch": op10_imatch,

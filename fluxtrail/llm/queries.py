@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, imatch, jaccard, langid, mixing, packing, secrets, warc
+from . import gif, imatch, jaccard, langid, mixing, mixlm, packing, secrets, warc
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "source")
 
 
+def op3_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text by the unigram base and by context mixing."""
+    return mixlm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -74,6 +79,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_gif": op1_gif,
     "op2_mixing": op2_mixing,
+    "op3_mixlm": op3_mixlm,
     "op5_langid": op5_langid,
     "op6_packing": op6_packing,
     "op7_jaccard": op7_jaccard,

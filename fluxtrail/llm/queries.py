@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, imatch, jaccard, langid, mixing, mixlm, packing, secrets, warc
+from . import gif, imatch, jaccard, langid, mixing, mixlm, packing, pages, secrets, warc
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op3_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixlm.score(table(spark, sf_dir, "documents"))
 
 
+def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_gif": op1_gif,
     "op2_mixing": op2_mixing,
     "op3_mixlm": op3_mixlm,
+    "op4_pages": op4_pages,
     "op5_langid": op5_langid,
     "op6_packing": op6_packing,
     "op7_jaccard": op7_jaccard,

@@ -81,7 +81,7 @@ def schedule(quotas: DataFrame, slots: int, step: int) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), repeats: int = 3, block_words: int = 256, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows of docs(doc_id, text, source) with what the mix takes of each; and the pieces in the order of the schedule.
 
-    First: row (a key of the input row), doc_id, size, source, source_size, target, taken. Second: slot, row, doc_id, epoch, start,
+    First: row (a key of the input row), doc_id, place (a hash of doc_id and text), size, source, source_size, target, taken. Second: slot, row, doc_id, epoch, start,
     length: words [start, start + length) of the document. A source's taken words are its target, rounded; no document
     is taken more than ``repeats`` times. Null and empty texts have size 0 and are never taken; a null source is a
     source; repeated rows are taken each on its own; an empty table gives no rows. Other columns are not read. The
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), repeats:
     rows = rows.withColumns({"at": F.coalesce(F.sum("size").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "nth": F.row_number().over(own)})
     rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("name")) & (F.col("bucket") == F.col("of")))
     rows = rows.withColumn("at", F.col("at") + F.col("offset")).withColumn("row", F.struct("rank", "bucket", "nth"))
-    rows = durable(rows.select("row", "doc_id", "size", "source", "source_size", "target", "rank", "quota_words", "at"))
+    rows = durable(rows.select("row", "doc_id", "place", "size", "source", "source_size", "target", "rank", "quota_words", "at"))
 
     runs = rows.filter("size > 0 and quota_words > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     runs = runs.withColumn("at", F.col("at") + F.col("epoch") * F.col("source_size")).filter("at < quota_words")
@@ -121,5 +121,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), repeats:
     pieces = pieces.join(order, ["rank", "block"]).select("slot", "row", "doc_id", "epoch", "start", "length")
     taken = pieces.groupBy(F.col("row").alias("key")).agg(F.sum("length").alias("taken"))
     rows = rows.join(taken, F.col("row") == F.col("key"), "left")
-    rows = rows.select("row", "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    rows = rows.select("row", "doc_id", "place", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return rows, pieces
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, with the columns of docs: a row per whole time that a document is taken, and one more
+    with its first words where the last time is cut off; n_chars is counted again there. Documents not taken go.
+
+    Rows are matched to the mix by doc_id and a hash of their text and source; of repeated rows, which are equal in
+    these, each stands for the mean of what is taken of them, in whole rows first.
+    """
+    rows, _ = mix(docs, **options)
+    taken = rows.groupBy("doc_id", "place").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_copies"))
+    taken = taken.select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), "_taken", "_size", "_copies").filter("_taken > 0")
+    key = F.xxhash64(F.lit(options.get("seed", 42)), F.col("doc_id"), text_of())
+    one = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_key").orderBy("source")))
+    one = one.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_place")))
+    share = F.expr("_taken div _copies") + (F.col("_nth") <= F.col("_taken") % F.col("_copies")).cast("long")
+    one = one.withColumn("_words", share)
+    times = F.expr("cast(_words div _size as int)")
+    lengths = F.concat(F.array_repeat(F.lit(None).cast("long"), times), F.when(F.col("_words") % F.col("_size") > 0, F.array(F.col("_words") % F.col("_size"))).otherwise(F.array().cast("array<long>")))
+    one = one.withColumn("_cut", F.explode(lengths))
+    begin = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"(?s)([\x20\x09-\x0D]*{WORD})"), F.lit(1)), F.lit(1), F.col("_cut").cast("int")), "")
+    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(begin)
+    one = one.withColumn("_text", text)
+    swap = {"text": F.col("_text").alias("text")}
+    if "n_chars" in docs.columns:
+        swap["n_chars"] = F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long")).alias("n_chars")
+    return one.select(*(swap.get(c, F.col(f"`{c}`")) for c in docs.columns))

@@ -24,6 +24,8 @@ from .common import ASCII_LOWER, durable, small_batches, written
 SKETCH_BITS, BLOCK_BITS = 20, 14
 LONGEST = 12
 VERIFY_COST = 20.0
+#: Up to so many node numbers (16 MB) are broadcast to pick out their texts; more go by a shuffle of the texts.
+FEW = 2_000_000
 PREFIXES = "doc_id long, high long, low long, n int, ell int, common double, prefix array<long>"
 
 
@@ -174,7 +176,9 @@ def classes(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
     index = nodes.select("node", "n", "ell", "common", F.posexplode("prefix").alias("pos", "token"))
     token = W.partitionBy("token")
     shared = durable(index.withColumns({"lo": F.min("node").over(token), "hi": F.max("node").over(token)}).filter("lo <> hi").drop("lo", "hi"))
-    active = shared.select("node").distinct()
+    active = durable(shared.select("node").distinct())
+    if active.count() <= FEW:
+        active = F.broadcast(active)
     texts = written(docs.join(active, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]), "texts")
 
     centre = shared.groupBy("token").agg(F.max(F.struct("common", "node", "n")).alias("c"))

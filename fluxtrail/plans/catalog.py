@@ -1,5 +1,29 @@
 """All queries of the engine and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fluxtrail.functions import geometry
+from fluxtrail.operators import objects, pixels, recursions
+from fluxtrail.sources import relations
+
 FLAGSHIP = "win_planar_stats"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def add(name: str, body: str, duck: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: relations.run(spark, sf_dir, body)
+    SQL[name] = relations.text(duck or body, "events", duck=True)
+
+
+for bodies in (geometry.bodies(), pixels.BODIES, objects.BODIES):
+    for query, statement in bodies.items():
+        add(query, statement)
+add("px_gray_code", *pixels.GRAY)
+for query, fold, statement in (("win_cooling", recursions.cooling, recursions.COOLING_SQL), ("trk_reliability_attr", recursions.reliability, recursions.RELIABILITY_SQL)):
+    QUERIES[query] = lambda spark, sf_dir, fold=fold: fold(relations.run(spark, sf_dir, "SELECT * FROM boxes"))
+    SQL[query] = relations.text(statement, "events", duck=True)

@@ -71,8 +71,11 @@ class Model:
         return present.astype(np.float32) @ self.weights / sizes[:, None]
 
 
-def fit(present: np.ndarray, languages: list[str], landmarks: int = 256, ridge: float = 1e-3) -> Model:
-    """The first rows, alternating between languages, are landmarks."""
+def fit(packed: np.ndarray, languages: list[str], landmarks: int = 256, ridge: float = 1e-3, rows: int = 256) -> Model:
+    """``packed``: presence as bits, a row per text; the first rows, alternating between languages, are landmarks.
+
+    Kernel values are made for so many ``rows`` at a time, so the driver never holds the sample as numbers.
+    """
     names = sorted(set(languages))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32))
@@ -81,17 +84,21 @@ def fit(present: np.ndarray, languages: list[str], landmarks: int = 256, ridge:
     for k in range(len(names)):
         turn[of == k] = np.arange((of == k).sum())
     chosen = np.lexsort((of, turn))[:landmarks]
-    unit = present.astype(np.float32) / np.sqrt(np.maximum(1, present.sum(axis=1)))[:, None]
-    marks = unit[chosen]
+
+    def unit(bits: np.ndarray) -> np.ndarray:
+        present = np.unpackbits(bits, axis=1).astype(np.float32)
+        return present / np.sqrt(np.maximum(1, present.sum(axis=1)))[:, None]
+
+    marks = unit(packed[chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
-    mapped = (unit @ marks.T).astype(np.float64) @ whiten
+    mapped = np.concatenate([unit(packed[i : i + rows]) @ marks.T for i in range(0, len(packed), rows)]) @ whiten
     wanted = np.where(of[:, None] == np.arange(len(names)), 1.0, 0.0)
     share = 1 / np.maximum(1, np.bincount(of, minlength=len(names)))[of]  # languages count alike
     left = mapped.T @ (mapped * share[:, None]) + ridge * np.eye(mapped.shape[1])
     ridge_weights = np.linalg.solve(left, mapped.T @ (wanted * share[:, None]))
-    return Model(names, (marks.T.astype(np.float64) @ (whiten @ ridge_weights)).astype(np.float32))
+    return Model(names, marks.T @ (whiten @ ridge_weights).astype(np.float32))
 
 
 def held(doc_id: Column) -> Column:
@@ -105,7 +112,7 @@ def train(labelled: DataFrame, per_language: int = 1000, seed: int = 5) -> Model
     rows = labelled.filter("lang is not null").select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not counts:
-        return fit(np.zeros((0, BUCKETS), bool), [])
+        return fit(np.zeros((0, BUCKETS // 8), np.uint8), [])
     place = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40))
     limit = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(math.ceil(min(1, per_language / n) * (1 << 40))))))
     rows = rows.withColumn("place", place).filter(F.col("place") < F.element_at(limit, F.col("lang")))
@@ -117,8 +124,8 @@ def train(labelled: DataFrame, per_language: int = 1000, seed: int = 5) -> Model
 
     sample = rows.select("text", "lang", "place").mapInPandas(present, "lang string, place long, bits binary").toPandas()
     sample = sample.sort_values(["place", "lang"], kind="stable")
-    found = np.array([np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for b in sample["bits"]]).reshape(-1, BUCKETS)
-    return fit(found, list(sample["lang"]))
+    packed = np.array([np.frombuffer(b, np.uint8) for b in sample["bits"]], np.uint8).reshape(-1, BUCKETS // 8)
+    return fit(packed, list(sample["lang"]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

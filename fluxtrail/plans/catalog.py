@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fluxtrail.functions import geometry, scene
 from fluxtrail.operators import objects, pixels, recursions
+from fluxtrail.plans import stateful
 from fluxtrail.sources import relations
 
 FLAGSHIP = "win_planar_stats"
@@ -27,3 +28,7 @@ add("px_gray_code", *pixels.GRAY)
 for query, fold, statement in (("win_cooling", recursions.cooling, recursions.COOLING_SQL), ("trk_reliability_attr", recursions.reliability, recursions.RELIABILITY_SQL)):
     QUERIES[query] = lambda spark, sf_dir, fold=fold: fold(relations.run(spark, sf_dir, "SELECT * FROM boxes"))
     SQL[query] = relations.text(statement, "events", duck=True)
+for query, operator in stateful.QUERIES.items():
+    QUERIES[query] = operator
+for query, statement in stateful.SQL.items():
+    SQL[query] = relations.text(statement, "events", duck=True)

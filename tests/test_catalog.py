@@ -23,7 +23,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, duck, name):
     found = catalog.QUERIES[name](spark, SF)
     got = rows(found.columns, [tuple(r) for r in found.collect()])

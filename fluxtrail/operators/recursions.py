@@ -2,42 +2,45 @@
 
 from __future__ import annotations
 
+import math
+from typing import Any
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from fluxtrail.operators.folds import ordered_fold
 
 #: Per hour.
 LAMBDA = 0.1
-
-
-def ordered(boxes: DataFrame) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct("t_us", "det_id", F.col("cx").cast("double").alias("cx"), "rd")))
-    return boxes.groupBy("object_id").agg(rows.alias("rows"))
+HOUR_US = 3_600_000_000.0
 
 
 def cooling(boxes: DataFrame) -> DataFrame:
     """det_id, cooling: the sum over the object's rows so far of exp(-LAMBDA * age in hours)."""
-    start = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(0.0).alias("s"), F.array().cast("array<struct<det_id:bigint,cooling:double>>").alias("out"))
 
-    def step(a, r):
-        c = F.exp(-LAMBDA * (r["t_us"] - a["t"]) / 3600000000.0)
-        s = F.when(a["t"].isNull(), F.lit(1.0)).otherwise(1 + c * a["s"])
-        return F.struct(r["t_us"].alias("t"), s.alias("s"), F.concat(a["out"], F.array(F.struct(r["det_id"].alias("det_id"), F.round(s, 6).alias("cooling")))).alias("out"))
+    def step(state: dict, row: Any) -> list[tuple]:
+        old = state.get("s", 0.0) * math.exp(-LAMBDA * (row.t_us - state.get("t", row.t_us)) / HOUR_US)
+        state.update(t=row.t_us, s=1 + old)
+        return [(row.det_id, round(state["s"], 6))]
 
-    return ordered(boxes).select(F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("o")).select("o.*")
+    return ordered_fold(boxes.select("object_id", "t_us", "det_id"), ["object_id"], ["t_us", "det_id"], "det_id long, cooling double", dict, step)
 
 
 def reliability(boxes: DataFrame) -> DataFrame:
     """object_id, value, acc_r, rd_out: the reliability-weighted value after all rows, its accumulated and mean reliability."""
-    start = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(0.0).alias("acc"), F.lit(0.0).alias("cool"), F.lit(0.0).alias("value"))
 
-    def step(a, r):
-        c = F.when(a["t"].isNull(), F.lit(0.0)).otherwise(F.exp(-LAMBDA * (r["t_us"] - a["t"]) / 3600000000.0))
-        acc = r["rd"] + c * a["acc"]
-        return F.struct(r["t_us"].alias("t"), acc.alias("acc"), (1 + c * a["cool"]).alias("cool"), ((r["cx"] * r["rd"] + c * a["acc"] * a["value"]) / acc).alias("value"))
+    def step(state: dict, row: Any) -> list[tuple]:
+        c = math.exp(-LAMBDA * (row.t_us - state.get("t", row.t_us)) / HOUR_US)
+        old = c * state.get("acc", 0.0)
+        acc = float(row.rd) + old
+        value = (float(row.cx) * float(row.rd) + old * state.get("value", 0.0)) / acc
+        state.update(key=row.object_id, t=row.t_us, acc=acc, cool=1 + c * state.get("cool", 0.0), value=value)
+        return []
+
+    def finish(state: dict) -> list[tuple]:
+        return [(state["key"], round(state["value"], 5), round(state["acc"], 6), round(min(1.0, state["acc"] / state["cool"]), 6))]
 
-    last = F.aggregate("rows", start, step)
-    out = ordered(boxes).select("object_id", last.alias("s"))
-    return out.select("object_id", F.round("s.value", 5).alias("value"), F.round("s.acc", 6).alias("acc_r"), F.round(F.least(F.lit(1.0), F.col("s.acc") / F.col("s.cool")), 6).alias("rd_out"))
+    rows = boxes.select("object_id", "t_us", "det_id", "cx", "rd")
+    return ordered_fold(rows, ["object_id"], ["t_us", "det_id"], "object_id long, value double, acc_r double, rd_out double", dict, step, finish)
 
 
 #: Closed forms of the same: every earlier row of the object weighs exp(-LAMBDA * age).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxtrail.operators import components, folds, learner, tracker
+from fluxtrail.operators import classify, components, folds, learner, tracker
 from fluxtrail.plans import session
 from fluxtrail.sources import relations
 
@@ -45,6 +45,17 @@ def hierarchy(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return learner.learn(of(spark, sf_dir, body), {"x": 60.0, "y": 60.0}, ["shape"]).filter(F.col("kind") == kind)
 
 
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corner = lambda x, y: f"struct(cast({x} AS double) AS x, cast({y} AS double) AS y)"
+    square = lambda a, b, c, d: f"array({corner(a, b)}, {corner(c, b)}, {corner(c, d)}, {corner(a, d)})"
+    return of(spark, sf_dir, f"SELECT det_id AS id, {square('ax', 'ay', 'ar', 'ab')} AS p, {square('bx', 'by_', 'br', 'bb')} AS q FROM pairs")
+
+
+def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = ", ".join(f"cast(sum(CASE WHEN width DIV 8 = {k} THEN 1 ELSE 0 END) AS double)" for k in range(1, 6))
+    return of(spark, sf_dir, f"SELECT object_id AS id, array({bins}) AS features, avg(height) AS y, avg(rd) AS weight FROM boxes GROUP BY object_id")
+
+
 QUERIES = {
     "px_bg_update": lambda s, d: folds.background(of(s, d, "SELECT x, y, frame, r AS v FROM px")),
     "px_block_classify": lambda s, d: block_states(s, d).select("bx", "by_", "frame", "code"),
@@ -60,6 +71,11 @@ QUERIES = {
     "trk_multi_hypothesis": lambda s, d: tracker.track(blobs(s, d)),
     "trk_2d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["planar"]),
     "trk_3d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["spatial"]),
+    "geo_polygon_clip": lambda s, d: classify.clipped(polygons(s, d)).select("id", F.round("area", 4).alias("area")),
+    "trk_hull": lambda s, d: classify.hulls(of(s, d, "SELECT frame AS id, array_sort(collect_list(struct(cast(x AS double) AS x, cast(y AS double) AS y))) AS points FROM px WHERE r > 170 GROUP BY frame")),
+    "sup_pca": lambda s, d: classify.principal(histograms(s, d)).select("id", F.round(F.abs(F.get("pcs", F.lit(0))), 4).alias("pc1")),
+    "sup_kmeans": lambda s, d: classify.clusters(classify.principal(histograms(s, d))).select("id", "cluster"),
+    "sup_ann": lambda s, d: classify.regressed(histograms(s, d)).select("id", F.round("guess", 3).alias("guess")),
     "lrn_step": lambda s, d: hierarchy(s, d, "state"),
     "lrn_events": lambda s, d: hierarchy(s, d, "event"),
 }
@@ -71,6 +87,7 @@ SQL = {
     "cc_two_step": LABELLED,
     "merge_groups": NAMED + "SELECT node, grp FROM g",
     "merge_connectivity": NAMED + "SELECT frame_id*8 + length(obj_type) AS frame, min(coalesce(grp, det_id)) = max(coalesce(grp, det_id)) AS connected FROM boxes LEFT JOIN g ON g.node = det_id GROUP BY frame_id*8 + length(obj_type)",
+    "geo_polygon_clip": "SELECT det_id AS id, round(greatest(0, least(ar, br) - greatest(ax, bx))*greatest(0, least(ab, bb) - greatest(ay, by_))*1.0D, 4) AS area FROM pairs",
     "px_bg_update": "o AS (SELECT x, y, frame, r, row_number() OVER (PARTITION BY x, y ORDER BY frame) AS i FROM px), /*RECUR*/f(x, y, frame, i, bg) AS (SELECT x, y, frame, i, r FROM o WHERE i = 1 UNION ALL SELECT o.x, o.y, o.frame, o.i, cast(floor(0.9D*f.bg + 0.1D*o.r + 1e-9) AS bigint) FROM f JOIN o ON o.x = f.x AND o.y = f.y AND o.i = f.i + 1)\n--\nSELECT x, y, frame, bg FROM f",
     "attr_ema_probability": "SELECT a.object_id, a.det_id, round(sum(b.rd*exp(-0.1D*(a.t_us - b.t_us)/3600000000.0D))/sum(exp(-0.1D*(a.t_us - b.t_us)/3600000000.0D)), 6) AS p FROM boxes a JOIN boxes b ON a.object_id = b.object_id AND (b.t_us < a.t_us OR b.t_us = a.t_us AND b.det_id <= a.det_id) GROUP BY a.object_id, a.det_id",
 }

@@ -5,7 +5,8 @@ hash. Sets with overlap of at least a share at least l tokens among the first n
 estimated cost: more tokens are indexed, but candidates must share l of them. Equal texts are one node. Prefix tokens
 are shuffled once; only tokens with two nodes go on. Links to a centre per token come first and join most of a group of
 near copies; then only pairs of different components that share a token are made, so every link between components is
-found without making all pairs within a group. Every link is checked on the whole sets.
+found without making all pairs within a group. Pairs whose token parities differ in more places than the threshold lets
+two sets differ are left out as the pairs are made; that drops no link. Every link is checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ LONGEST = 12
 VERIFY_COST = 20.0
 #: Up to so many node numbers (16 MB) are broadcast to pick out their texts; more go by a shuffle of the texts.
 FEW = 2_000_000
-PREFIXES = "doc_id long, high long, low long, n int, ell int, common double, prefix array<long>"
+#: Parities of the tokens in 64 * WORDS buckets. Two sets differ in at least as many tokens as their parities do.
+WORDS = 4
+PARITY = [f"s{k}" for k in range(WORDS)]
+PREFIXES = "doc_id long, high long, low long, n int, ell int, common double, " + "".join(f"{s} long, " for s in PARITY) + "prefix array<long>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,6 +52,12 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(out * np.uint64(0xD6E8FEB86659FD93))
 
 
+def parity(own: np.ndarray) -> list[int]:
+    """One bit per bucket of tokens, set where it holds an odd number of them, as 64-bit words."""
+    odd = np.bincount((own & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def sketch_of(docs: DataFrame, width: int) -> np.ndarray:
     """How many sets hold a token of each hash bucket, over all rows: a fixed 2 ** SKETCH_BITS counts."""
 
@@ -109,7 +119,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, least: int) -> Dat
                     ends = np.array([min(n, prefix_length(n, least, k)) for k in range(1, LONGEST + 1)])
                     ell = 1 + int(np.argmin(heavy[ends - 1] * (1 + VERIFY_COST / np.arange(1, LONGEST + 1))))
                 ell = max(1, min(ell, n))
-                rows.append((doc, high, low, n, ell, float(seen.mean()) if n else 0.0, own[order[: min(n, prefix_length(n, least, ell))]].view(np.int64)))
+                rows.append((doc, high, low, n, ell, float(seen.mean()) if n else 0.0, *parity(own), own[order[: min(n, prefix_length(n, least, ell))]].view(np.int64)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in PREFIXES.split(", ")]).astype({"doc_id": "Int64"})
 
     return written(docs.mapInPandas(run, PREFIXES), "prefixes")
@@ -191,12 +201,20 @@ def classes(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
     marked = shared.drop("common").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     marked = marked.withColumns({"lo": F.min("component").over(token), "hi": F.max("component").over(token)}).filter("lo <> hi").drop("lo", "hi")
     marked = durable(marked)
-    x, y = (marked.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "ell", "pos", "component"))) for s in "xy")
+    left = marked.select("node").distinct()
+    if left.count() <= FEW:
+        left = F.broadcast(left)
+    bits = rows.join(left, F.col("doc_id") == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node"))
+    bits = bits.agg(*(F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in PARITY))  # null, which rules out nothing, where texts share an id
+    marked = marked.join(bits, "node", "left")
+    x, y = (marked.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "ell", "pos", "component", *PARITY))) for s in "xy")
     overlap = F.expr(f"cast(({least}L * (n_x + n_y) + {99 + least}L) div {100 + least}L as int)")
     ell = F.least("ell_x", "ell_y")
     within = (F.col("pos_x") < F.col("n_x") - overlap + ell) & (F.col("pos_y") < F.col("n_y") - overlap + ell)
     possible = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= overlap
-    pairs = x.join(y, "token").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & within & possible)
+    differ = sum((F.coalesce(F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))), F.lit(0)) for c in PARITY), F.lit(0))
+    alike = differ <= F.col("n_x") + F.col("n_y") - 2 * overlap
+    pairs = x.join(y, "token").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & within & possible & alike)
     bound = F.col("matches") + F.least(F.col("n_x") - 1 - F.col("last_x"), F.col("n_y") - 1 - F.col("last_y"))
     pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y", "ell_x", "ell_y").agg(F.count(F.lit(1)).alias("matches"), F.max("pos_x").alias("last_x"), F.max("pos_y").alias("last_y"))
     pairs = pairs.filter((F.col("matches") >= ell) & (bound >= overlap)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxtrail.functions import geometry, scene
+from fluxtrail.functions import camera, geometry, scene
 from fluxtrail.operators import classify, objects, pixels, recursions
 from fluxtrail.plans import stateful
 from fluxtrail.sources import relations
@@ -21,7 +21,7 @@ def add(name: str, body: str, duck: str | None = None) -> None:
     SQL[name] = relations.text(duck or body, "events", duck=True)
 
 
-for bodies in (geometry.bodies(), scene.bodies(), pixels.BODIES, objects.BODIES, classify.BODIES):
+for bodies in (geometry.bodies(), scene.bodies(), camera.bodies(), pixels.BODIES, objects.BODIES, classify.BODIES):
     for query, statement in bodies.items():
         add(query, statement)
 add("px_gray_code", *pixels.GRAY)

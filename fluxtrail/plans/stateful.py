@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxtrail.operators import classify, components, folds, learner, tracker
+from fluxtrail.operators import classify, components, folds, learner, lives, tracker
 from fluxtrail.plans import session
 from fluxtrail.sources import relations
 
@@ -56,6 +56,15 @@ def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(spark, sf_dir, f"SELECT object_id AS id, array({bins}) AS features, avg(height) AS y, avg(rd) AS weight FROM boxes GROUP BY object_id")
 
 
+EVIDENCE = "SELECT object_id, t_us, det_id, cast(rd - 0.4D AS double) AS cover, width > 10 AND xleft <= 600 AS fits FROM boxes"
+SAMPLED = "SELECT cast(object_id AS varchar(20)) AS key, t_us, det_id, cast(cx AS double) AS x, cast(rd AS double) AS w FROM boxes"
+SIGHTS = """f AS (SELECT *, row_number() OVER (PARTITION BY obj_type, frame_id ORDER BY det_id) AS rn FROM boxes)
+--
+SELECT obj_type AS stream, frame_id AS frame, CASE WHEN rd >= 0.3 THEN cast(cx AS double) END AS x, CASE WHEN rd >= 0.3 THEN cast(cy AS double) END AS y,
+ 1.0D*xleft AS x1, cast(cy AS double) AS y1, 1.0D*xright AS x2, cast(cy AS double) AS y2, cast(height*rd AS double) AS half1, cast(height*(1 - rd) AS double) AS half2, CASE WHEN det_id % 7 > 0 THEN 1.0D*width END AS length
+FROM f WHERE rn = 1"""
+
+
 QUERIES = {
     "px_bg_update": lambda s, d: folds.background(of(s, d, "SELECT x, y, frame, r AS v FROM px")),
     "px_block_classify": lambda s, d: block_states(s, d).select("bx", "by_", "frame", "code"),
@@ -76,6 +85,9 @@ QUERIES = {
     "sup_pca": lambda s, d: classify.principal(histograms(s, d)).select("id", F.round(F.abs(F.get("pcs", F.lit(0))), 4).alias("pc1")),
     "sup_kmeans": lambda s, d: classify.clusters(classify.principal(histograms(s, d))).select("id", "cluster"),
     "sup_ann": lambda s, d: classify.regressed(histograms(s, d)).select("id", F.round("guess", 3).alias("guess")),
+    "trk_blob_autoc": lambda s, d: lives.blob_lives(of(s, d, EVIDENCE)),
+    "trk_focus_object": lambda s, d: lives.focus(of(s, d, SIGHTS)),
+    "agg_weighted_gauss": lambda s, d: lives.weighted_gaussians(of(s, d, SAMPLED), 5.0),
     "lrn_step": lambda s, d: hierarchy(s, d, "state"),
     "lrn_events": lambda s, d: hierarchy(s, d, "event"),
 }
@@ -90,4 +102,6 @@ SQL = {
     "geo_polygon_clip": "SELECT det_id AS id, round(greatest(0, least(ar, br) - greatest(ax, bx))*greatest(0, least(ab, bb) - greatest(ay, by_))*1.0D, 4) AS area FROM pairs",
     "px_bg_update": "o AS (SELECT x, y, frame, r, row_number() OVER (PARTITION BY x, y ORDER BY frame) AS i FROM px), /*RECUR*/f(x, y, frame, i, bg) AS (SELECT x, y, frame, i, r FROM o WHERE i = 1 UNION ALL SELECT o.x, o.y, o.frame, o.i, cast(floor(0.9D*f.bg + 0.1D*o.r + 1e-9) AS bigint) FROM f JOIN o ON o.x = f.x AND o.y = f.y AND o.i = f.i + 1)\n--\nSELECT x, y, frame, bg FROM f",
     "attr_ema_probability": "SELECT a.object_id, a.det_id, round(sum(b.rd*exp(-0.1D*(a.t_us - b.t_us)/3600000000.0D))/sum(exp(-0.1D*(a.t_us - b.t_us)/3600000000.0D)), 6) AS p FROM boxes a JOIN boxes b ON a.object_id = b.object_id AND (b.t_us < a.t_us OR b.t_us = a.t_us AND b.det_id <= a.det_id) GROUP BY a.object_id, a.det_id",
+    "trk_blob_autoc": f"e AS ({EVIDENCE}), o AS (SELECT object_id, det_id, CASE WHEN NOT fits THEN 3 WHEN cover > 0.1D THEN 0 ELSE 1 END AS worse, row_number() OVER (PARTITION BY object_id ORDER BY t_us, det_id) AS i FROM e), /*RECUR*/f(object_id, det_id, i, life, bad) AS (SELECT object_id, det_id, i, 1, 0 FROM o WHERE i = 1 UNION ALL SELECT o.object_id, o.det_id, o.i, CASE WHEN f.bad > 3 THEN f.life + 1 ELSE f.life END, CASE WHEN f.bad > 3 OR o.worse = 0 THEN 0 ELSE f.bad + o.worse END FROM f JOIN o ON o.object_id = f.object_id AND o.i = f.i + 1)\n--\nSELECT object_id, det_id, life, bad, bad > 3 AS deleted FROM f",
+    "agg_weighted_gauss": f"e AS ({SAMPLED}), o AS (SELECT key, x, w, row_number() OVER (PARTITION BY key ORDER BY t_us, det_id) AS i FROM e), /*RECUR*/f(key, i, m, s, t) AS (SELECT key, i, x, 5.0D, w FROM o WHERE i = 1 UNION ALL SELECT o.key, o.i, (f.m*f.t + o.x*o.w)/(f.t + o.w), greatest(5.0D, sqrt(f.t*f.s*f.s/(f.t + o.w) + f.t*o.w*(o.x - f.m)*(o.x - f.m)/((f.t + o.w)*(f.t + o.w)))), f.t + o.w FROM f JOIN o ON o.key = f.key AND o.i = f.i + 1)\n--\nSELECT key, i AS n, round(m, 5) AS mean, round(s, 5) AS sigma FROM f QUALIFY i = max(i) OVER (PARTITION BY key)",
 }

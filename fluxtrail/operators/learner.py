@@ -12,6 +12,8 @@ from fluxtrail.operators.folds import ordered_fold
 CONCEPTS = "context string, kind string, id long, parent long, level int, n long, p double, means string, sigmas string"
 #: Fixed value: twice the root of pi.
 NORM = 3.544907701811032
+#: Fixed value: scores that differ by no more are tied.
+TIE = 1e-7
 
 
 class Concept:
@@ -59,9 +61,9 @@ class Concept:
         return out
 
     def quality(self) -> float:
-        width = len(self.mean) + len(self.seen)
-        sharp = sum(a / s for a, s in zip(self.acuity, self.sigma, strict=True)) / NORM
-        return (sharp + sum(sum((n / self.n) ** 2 for n in seen.values()) for seen in self.seen)) / width
+        """How sharp the numbers are on average, and how pure the symbols."""
+        sharp = sum(a / s for a, s in zip(self.acuity, self.sigma, strict=True)) / NORM / max(1, len(self.mean))
+        return sharp + sum(sum((n / self.n) ** 2 for n in seen.values()) for seen in self.seen) / max(1, len(self.seen))
 
     def near(self, numbers: list[float], symbols: list[str]) -> bool:
         close = all(abs(x - m) <= a for x, m, a in zip(numbers, self.mean, self.acuity, strict=True))
@@ -120,27 +122,39 @@ class Hierarchy:
                 node = one
 
     def choice(self, node: Concept, numbers: list[float], symbols: list[str]) -> tuple[str, Concept, Concept | None]:
-        base, k, total = node.quality(), len(node.children), node.n
-        worth = [c.n / total * c.quality() for c in node.children]
+        """What to do with the instance at a node that has counted it, and the two children that it suits best.
+
+        Each option is worth the children's mean quality by share beyond that of the root, with the instance in them. Of
+        options in the order new, merge, best, split a better one is taken, and one that ties with best if the instance is
+        likelier in it than in the one taken; new counts as least likely, so that it never goes before best.
+        """
+        base, k, total = self.root.quality(), len(node.children), node.n
+        share = lambda c: c.n / total * c.quality()
+        worth = [share(c) for c in node.children]
         grown = [c.with_one(numbers, symbols) for c in node.children]
-        gain = [g.n / total * g.quality() - w for g, w in zip(grown, worth, strict=True)]
-        like = [c.likelihood(numbers, symbols) for c in node.children]
+        gain = [share(g) - w for g, w in zip(grown, worth, strict=True)]
+        like = [g.likelihood(numbers, symbols) for g in grown]
         order = sorted(range(k), key=lambda i: (-gain[i], -like[i], node.children[i].id))
-        best, every = order[0], sum(worth)
-        one = node.children[best]
+        first, every = order[0], sum(worth)
+        one, two = node.children[first], node.children[order[1]] if k > 1 else None
+        stay = (every + gain[first] - base) / k
         single = Concept(0, self.acuity, numbers, symbols)
-        options = [("best", (every + gain[best] - base) / k, like[best]), ("new", (every + single.quality() / total - base) / (k + 1), 1.0)]
-        two = node.children[order[1]] if k > 1 else None
+        options = [("new", (every + share(single) - base) / (k + 1), -1.0)]
         if k > 2:
-            both = one.pooled(two, 0)
-            both.add(numbers, symbols)
-            rest = every - worth[best] - worth[order[1]]
-            options.append(("merge", (rest + both.n / total * both.quality() - base) / (k - 1), both.likelihood(numbers, symbols)))
+            both = one.pooled(two, 0).with_one(numbers, symbols)
+            rest = every - worth[first] - worth[order[1]]
+            options.append(("merge", (rest + share(both) - base) / (k - 1), both.likelihood(numbers, symbols)))
+        options.append(("best", stay, like[first]))
         if one.children:
-            inner = sum(c.n / total * c.quality() for c in one.children)
-            options.append(("split", (every - worth[best] + inner - base) / (k - 1 + len(one.children)), max(c.likelihood(numbers, symbols) for c in one.children)))
-        top = max(o[1] for o in options)
-        return max((o for o in options if top - o[1] <= 1e-7), key=lambda o: o[2])[0], one, two
+            inner = [(share(g) - share(c), g.likelihood(numbers, symbols)) for c in one.children for g in [c.with_one(numbers, symbols)]]
+            more, likely = max(inner)
+            below = every - worth[first] + sum(map(share, one.children)) + more
+            options.append(("split", (below - base) / (k - 1 + len(one.children)), likely))
+        taken = options[0]
+        for option in options[1:]:
+            if option[1] - taken[1] > TIE or abs(option[1] - stay) <= TIE and option[2] > taken[2]:
+                taken = option
+        return taken[0], one, two
 
     def move(self, key: Any, state: int, t: float) -> None:
         """Dwell times: half a gap on arrival and on leaving, whole gaps within."""

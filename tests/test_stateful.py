@@ -118,3 +118,25 @@ def test_hierarchy_invariants(spark):
     means = [float(r.means) for r in states.values()]
     assert all(any(abs(m - c) < 3 for m in means) for c in (0.5, 100.5, 400.5))
     assert any(r.kind == "event" for r in out)
+
+
+def test_learner_takes_in_what_is_near():
+    """One leaf for each far cluster, however often its points come, and every count adds up."""
+    tree, rng = learner.Hierarchy([5.0, 5.0]), random.Random(4)
+    spots = [(0.0, 0.0), (200.0, 0.0), (0.0, 200.0), (200.0, 200.0)]
+    for _ in range(400):
+        x, y = rng.choice(spots)
+        tree.learn([x + rng.uniform(-2, 2), y + rng.uniform(-2, 2)], ["a"])
+    nodes = [tree.root]
+    for node in nodes:
+        nodes += node.children
+        assert not node.children or node.n == sum(c.n for c in node.children)
+    leaves = sorted((round(c.mean[0] / 200), round(c.mean[1] / 200)) for c in nodes if not c.children)
+    assert tree.root.n == 400 and leaves == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_quality_weighs_numbers_and_symbols_apart():
+    one = learner.Concept(1, [2.0, 4.0], [0.0, 0.0], ["a"])
+    assert math.isclose(one.quality(), 1 / learner.NORM + 1)
+    one.add([0.0, 0.0], ["b"])
+    assert math.isclose(one.quality(), 1 / learner.NORM + 0.5)

@@ -4,6 +4,8 @@ SAME = "boxes a JOIN boxes b ON a.frame_id = b.frame_id AND a.det_id < b.det_id"
 HIT = "greatest(a.xleft, b.xleft) < least(a.xright, b.xright) AND greatest(a.ytop, b.ytop) < least(a.ybottom, b.ybottom)"
 W = "PARTITION BY object_id ORDER BY t_us, det_id"
 STEP = f"st AS (SELECT *, lag(cx) OVER ({W}) AS px_, lag(cy) OVER ({W}) AS py_, lag(t_us) OVER ({W}) AS pt FROM boxes), sp AS (SELECT *, sqrt(cast((cx-px_)*(cx-px_)+(cy-py_)*(cy-py_) AS double)) AS d, (t_us - pt)/3600000000.0D AS h FROM st)"
+#: Up to this speed (an hour) an object is still; rests of so many hours count as stops, shorter ones as movement.
+STILL_SPEED, STILL_TIME = "30.0D", "12.0D"
 BODIES = {
     "blob_filter": "SELECT det_id, row_number() OVER (PARTITION BY frame_id ORDER BY det_id) - 1 AS blob FROM boxes WHERE width >= 12 AND height >= 12 AND width*height >= 300 AND NOT (xright < 10 OR xleft > 629 OR ybottom < 10 OR ytop > 469)",
     "blob_merge_n": "SELECT frame_id, min(xleft) AS l, min(ytop) AS t, max(xright) AS r, max(ybottom) AS b, count(*) AS n FROM boxes GROUP BY frame_id",
@@ -35,6 +37,12 @@ BODIES = {
     "win_accel": f"v AS (SELECT det_id, object_id, t_us, cx - lag(cx) OVER ({W}) AS v FROM boxes)\n--\nSELECT det_id, v - lag(v) OVER ({W}) AS a FROM v",
     "win_planar_distance": f"{STEP}\n--\nSELECT det_id, round(sum(coalesce(d, 0)) OVER ({W}), 4) AS dist FROM sp",
     "win_planar_stats": f"{STEP}, fl AS (SELECT *, CASE WHEN h > 0 AND d/h > 30 THEN 1 ELSE 0 END AS mov FROM sp), ch AS (SELECT *, CASE WHEN mov <> coalesce(lag(mov) OVER ({W}), -1) THEN 1 ELSE 0 END AS turn FROM fl)\n--\nSELECT object_id, round(sum(coalesce(d, 0)), 4) AS dist, round(sum(CASE WHEN mov = 1 THEN coalesce(h, 0) ELSE 0 END), 6) AS t_mov, round(sum(CASE WHEN mov = 0 THEN coalesce(h, 0) ELSE 0 END), 6) AS t_still, cast(sum(CASE WHEN mov = 0 THEN turn ELSE 0 END) AS bigint) AS stops FROM ch GROUP BY object_id",
+    "win_planar_stops": f"{STEP}, mo AS (SELECT *, CASE WHEN d > {STILL_SPEED}*h THEN 1 ELSE 0 END AS mov FROM sp WHERE px_ IS NOT NULL), nb AS (SELECT *, coalesce(lag(mov) OVER ({W}), 1) AS before, lead(mov) OVER ({W}) AS after, lead(h) OVER ({W}) AS next_h, sum(mov) OVER ({W}) AS run FROM mo), "
+    f"rest AS (SELECT object_id, run, max(CASE WHEN before = 1 THEN h END) AS first_h, sum(h) - max(CASE WHEN before = 1 THEN h END)/2 AS held, max(CASE WHEN after = 1 THEN next_h END) AS exit_h FROM nb WHERE mov = 0 GROUP BY object_id, run), "
+    f"kept AS (SELECT *, CASE WHEN held >= {STILL_TIME} THEN held WHEN held + exit_h/2 >= {STILL_TIME} THEN held + exit_h/2 END AS stop_h FROM rest), "
+    "still AS (SELECT object_id, count(stop_h) AS stops, sum(coalesce(stop_h, 0)) AS t_still, sum(first_h/2 + CASE WHEN stop_h IS NULL AND exit_h IS NOT NULL THEN held + exit_h/2 ELSE 0 END) AS t_back FROM kept GROUP BY object_id), "
+    "total AS (SELECT object_id, sum(d) AS dist, sum(CASE WHEN mov = 0 THEN 0 WHEN before = 1 THEN h ELSE h/2 END) AS t_mov FROM nb GROUP BY object_id)\n--\n"
+    "SELECT t.object_id, cast(coalesce(stops, 0) AS bigint) AS stops, round(coalesce(t_still, 0), 6) AS t_still, round(t_mov + coalesce(t_back, 0), 6) AS t_mov, CASE WHEN stops > 0 THEN round(dist/stops, 4) END AS dist_interval FROM total t LEFT JOIN still s ON s.object_id = t.object_id",
     "win_planar_perimeter": f"SELECT det_id, CASE WHEN avg(CASE WHEN cx BETWEEN 100 AND 540 AND cy BETWEEN 80 AND 400 THEN 0.0D ELSE 1.0D END) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 0.5 THEN 1 ELSE 0 END AS outside FROM boxes",
     "win_time_accum": f"{STEP}\n--\nSELECT det_id, round(sum(coalesce(h, 0)) OVER ({W}), 6) AS hours FROM sp",
     "win_frames_seen": f"SELECT det_id, count(*) OVER ({W}) AS seen, row_number() OVER ({W}) - coalesce(max(CASE WHEN rd >= 0.5 THEN rn END) OVER ({W}), 0) AS unseen FROM (SELECT *, row_number() OVER ({W}) AS rn FROM boxes) n",

@@ -78,3 +78,34 @@ def test_weighted_gaussians(spark):
     found = lives.weighted_gaussians(spark.createDataFrame([("a", 1, 1, 10.0, 1.0), ("a", 2, 2, 40.0, 2.0), ("a", 3, 3, None, 1.0), ("b", 1, 4, 7.0, 0.5), ("c", 1, 5, 7.0, 0.0)], shape), 3.0).orderBy("key").collect()
     assert [(r.key, r.n, r.mean) for r in found] == [("a", 2, 30.0), ("b", 1, 7.0)]
     assert found[1].sigma == 3.0 and found[0].sigma == pytest.approx((1 / 3 * (9 + 2 * 900 / 3)) ** 0.5, abs=1e-4)
+
+
+def test_planar_stops(spark, boxes):
+    """Against a walk over each object's samples; the half interval at each turn belongs to the state that it leaves or enters."""
+    tracks = {}
+    for b in sorted(boxes.values(), key=lambda b: (b.t_us, b.det_id)):
+        tracks.setdefault(b.object_id, []).append((b.t_us / 3.6e9, float(b.cx), float(b.cy)))
+    want = {}
+    for key, points in tracks.items():
+        stops, still, moving, rest, way = 0, 0.0, 0.0, None, 0.0
+        for (t0, x0, y0), (t1, x1, y1) in zip(points, points[1:], strict=False):
+            gap, step = t1 - t0, ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
+            way += step
+            if step <= 30.0 * gap:
+                moving += gap / 2 if rest is None else 0.0
+                rest = gap / 2 if rest is None else rest + gap
+            elif rest is None:
+                moving += gap
+            else:
+                rest, moving = rest if rest >= 12.0 else rest + gap / 2, moving + gap / 2
+                stops, still, moving = (stops + 1, still + rest, moving) if rest >= 12.0 else (stops, still, moving + rest)
+                rest = None
+        if rest is not None and rest >= 12.0:
+            stops, still = stops + 1, still + rest
+        if len(points) > 1:
+            want[key] = (stops, still, moving, way / stops if stops else None)
+    found = {r.object_id: (r.stops, r.t_still, r.t_mov, r.dist_interval) for r in catalog.QUERIES["win_planar_stops"](spark, SF).collect()}
+    assert set(found) == set(want) and sum(v[0] for v in want.values()) > 0
+    for key, value in want.items():
+        assert found[key][0] == value[0] and found[key][1:3] == pytest.approx(value[1:3], abs=1e-4)
+        assert found[key][3] == value[3] or found[key][3] == pytest.approx(value[3], abs=1e-3)

@@ -2,7 +2,7 @@
 
 Tokens (hashed shingles) have one global order, rare first by a fixed-size count sketch of the whole corpus, ties by
 hash. Sets with overlap of at least a share at least l tokens among the first n - a + l of each; l is chosen per set by
-estimated cost: more tokens are indexed, but candidates must share l of them. Equal texts are one node. Prefix tokens
+estimated cost, up to the least overlap a link needs: more tokens are indexed, but candidates must share l of them. Equal texts are one node. Prefix tokens
 are shuffled once; only tokens with two nodes go on. Links to a centre per token come first and join most of a group of
 near copies; then only pairs of different components that share a token are made, so every link between components is
 found without making all pairs within a group. Pairs whose token parities differ in more places than the threshold lets
@@ -118,7 +118,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, least: int) -> Dat
                 if n and heavy[-1] > 0:
                     ends = np.array([min(n, prefix_length(n, least, k)) for k in range(1, LONGEST + 1)])
                     ell = 1 + int(np.argmin(heavy[ends - 1] * (1 + VERIFY_COST / np.arange(1, LONGEST + 1))))
-                ell = max(1, min(ell, n))
+                ell = max(1, min(ell, -(-n * least // 100)))  # no link needs an overlap of fewer tokens
                 rows.append((doc, high, low, n, ell, float(seen.mean()) if n else 0.0, *parity(own), own[order[: min(n, prefix_length(n, least, ell))]].view(np.int64)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in PREFIXES.split(", ")]).astype({"doc_id": "Int64"})
 
@@ -209,7 +209,7 @@ def classes(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
     marked = marked.join(bits, "node", "left")
     x, y = (marked.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "ell", "pos", "component", *PARITY))) for s in "xy")
     overlap = F.expr(f"cast(({least}L * (n_x + n_y) + {99 + least}L) div {100 + least}L as int)")
-    ell = F.least("ell_x", "ell_y")
+    ell = F.least("ell_x", "ell_y", overlap)
     within = (F.col("pos_x") < F.col("n_x") - overlap + ell) & (F.col("pos_y") < F.col("n_y") - overlap + ell)
     possible = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= overlap
     differ = sum((F.coalesce(F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))), F.lit(0)) for c in PARITY), F.lit(0))

@@ -224,6 +224,30 @@ def test_jaccard(spark, odd, none):
     assert sorted(r.doc_id for r in jaccard.deduplicated(docs).collect()) == sorted(set(label))
 
 
+def test_jaccard_short_copies(spark):
+    """Heavily copied texts of 13 to 16 words that differ in the last word, beside a longer text that is every common token's centre."""
+    texts, label = [], {}
+    for n in range(13, 17):
+        p = [f"p{n}x{i}" for i in range(n - 1)]
+        q = [f"q{n}x{i}" for i in range(8)]
+        texts += [([*p, f"u{n}"], 20), ([*p, f"v{n}"], 20), ([*p, *q], 50), ([*p[-4:], *q], 3000)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t, _ in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 80 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    assert all(group[k] == group[k + 1] for k in range(0, len(texts), 4))
+    rows, least = [], {}
+    for k, (t, copies) in enumerate(texts):
+        for _ in range(copies):
+            least.setdefault(group[k], len(rows))
+            label[len(rows)] = group[k]
+            rows.append((len(rows), " ".join(t)))
+    found = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {d: least[g] for d, g in label.items()}
+
+
 def test_warc(spark):
     rows = [(5, "u", "same"), (3, "v\r\nx", "same"), (3, "v", "same"), (9, None, None), (8, "w", ""), (None, "n", "same"), (1, "é", "<p>ü</p>" * 50_000)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"shard": F.lit(1), "sha": F.lit("x")})

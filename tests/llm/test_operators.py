@@ -126,6 +126,14 @@ def test_scores(spark, odd, none):
         assert abs(base - r.base_score) < 1e-6 and r.train_tokens == n and r.n_known == sum(w in counts for w in texts[r.doc_id])
 
 
+def test_scores_learn_the_word_before_the_last(spark):
+    """Each word follows from the one before the last alone; the one between is nearly always another, so no pair of words comes again."""
+    pick = np.random.default_rng(4)
+    rows = [(k, " ".join(f"x{a} n{b} y{a}" for a, b in zip(pick.integers(0, 20, 12), pick.integers(0, 10**9, 12), strict=True))) for k in range(1500)]
+    found = mixlm.score(spark.createDataFrame(rows, "doc_id long, text string")).filter("held_out").selectExpr("sum(score - base_score) / sum(n_tokens) as gain").first()
+    assert found.gain > 0.6
+
+
 def test_decision_probabilities_sum_to_one():
     code = mixlm.huffman([(bytes([65 + k]), 3 ** (k % 5)) for k in range(20)], 40)
     mixer = mixlm.Mixer.of(np.random.default_rng(2).integers(0, 9, (len(code.depth), 2)).astype(np.float32), np.random.default_rng(3).integers(0, 3, (2, 1 << 14, 2)).astype(np.float32))

@@ -134,6 +134,19 @@ def test_scores_learn_the_word_before_the_last(spark):
     assert found.gain > 0.6
 
 
+def test_all_rows_teach_the_mixer(spark):
+    texts = [f"a b c {k % 50} d{k % 7} e" for k in range(4000)]
+    counts = collections.Counter(w for t in texts for w in mixlm.tokens_of(t))
+    code = mixlm.huffman(list(counts.items()), 0)
+    decisions = sum(c * code.size[code.classes[w]] for w, c in counts.items())
+    docs = spark.createDataFrame(list(enumerate(texts)), "fold int, text string")
+    mixer, seen = mixlm.taught(docs.withColumn("fold", F.col("fold") % 2), code, 14)
+    plain, tables = mixlm.gather(docs, code, 14)
+    whole = mixlm.Mixer.of(plain, tables)
+    assert seen == decisions == plain.sum() == tables[0].sum()
+    assert (mixer.plain == whole.plain).all() and (mixer.logits == whole.logits).all() and (mixer.weights != whole.weights).any()
+
+
 def test_decision_probabilities_sum_to_one():
     code = mixlm.huffman([(bytes([65 + k]), 3 ** (k % 5)) for k in range(20)], 40)
     mixer = mixlm.Mixer.of(np.random.default_rng(2).integers(0, 9, (len(code.depth), 2)).astype(np.float32), np.random.default_rng(3).integers(0, 3, (2, 1 << 14, 2)).astype(np.float32))

@@ -2,7 +2,8 @@
 
 The lexicon holds the terms within a band of inverse document frequency. The band's lower end bounds it: terms in at
 least a share lo of all documents number at most (mean distinct terms a document) / lo, at any input size, so it is
-broadcast. Each subset takes a term by a hash, at one of several rates; a signature is the hash of the sorted distinct
+broadcast. Each subset takes a term by a hash, at one of several rates; dense ones leave out a share of the band each, so
+that every term of the band is in all of them but one. A signature is the hash of the sorted distinct
 terms of a text that the subset holds. Sparse subsets survive large edits, dense ones tell close texts apart.
 """
 
@@ -16,8 +17,8 @@ from .common import durable, interval_of, text_of
 
 #: Document-frequency band as shares of all documents: idf from ln(1/0.25) to ln(1/0.003).
 BAND = (0.003, 0.25)
-#: (one in how many terms, how many subsets): 48 subsets.
-RATES = ((32, 4), (128, 12), (512, 32))
+#: (one in how many terms, how many subsets): 48 subsets; after them so many dense ones.
+RATES, DENSE = ((32, 4), (128, 12), (512, 32)), 8
 
 
 def terms(text: Column) -> Column:
@@ -33,10 +34,12 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND, rates=RATES, seed
     kept = durable(counts.filter((F.col("df") >= max(2.0, band[0] * n)) & (F.col("df") <= max(2.0, band[1] * n))))
     bits = [rate for rate, many in rates for _ in range(many)]
     held = [F.when(F.pmod(F.xxhash64(F.lit(seed + k), F.col("term")), F.lit(rate)) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rate in enumerate(bits)]
+    out = F.pmod(F.xxhash64(F.lit(seed + len(bits)), F.col("term")), F.lit(DENSE))
+    held += [F.when(out == k, F.lit(0)).otherwise(F.lit(1 << (len(bits) + k))).cast("long") for k in range(DENSE)]
     mask = held[0]
     for bit in held[1:]:
         mask = mask.bitwiseOR(bit)
-    return kept.withColumn("mask", mask).filter("mask <> 0")
+    return kept.withColumn("mask", mask)
 
 
 def short(value: Column) -> Column:
@@ -53,7 +56,7 @@ def signatures(found: Column, other: Column, rates=RATES) -> Column:
         own = F.transform(F.filter(found, lambda t: t["mask"].bitwiseAND(F.lit(1 << k)) != 0), lambda t: t["term"])
         return F.when(F.size(own) == 0, F.lit("-")).otherwise(short(F.xxhash64(own, F.lit(k))))
 
-    each = [one(k) for k in range(sum(many for _, many in rates))]
+    each = [one(k) for k in range(sum(many for _, many in rates) + DENSE)]
     return F.when(F.size(found) == 0, F.transform(F.sequence(F.lit(1), F.lit(len(each))), lambda _: other)).otherwise(F.array(*each))
 
 

@@ -332,6 +332,16 @@ def test_imatch(spark, odd, none):
     assert all(len(x) == 1 for x in by.values()) and np.mean([r.near_edited > r.near_next for r in rows]) > 0.7
 
 
+def test_imatch_short_near_copies(spark):
+    """Pairs of short texts with the same five terms of the band, that differ in a word outside it, have likeness 1."""
+    pick = np.random.default_rng(8)
+    rows = [(2 * k + i, " ".join([*own, f"only{k}x{i}"])) for k in range(200) for own in [pick.choice([f"t{j}" for j in range(60)], 5, replace=False)] for i in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert imatch.lexicon(docs).filter("bit_count(mask) < 7").count() == 0
+    found = imatch.fingerprint(docs).filter("doc_id % 2 = 0").collect()
+    assert len(found) == 200 and all(r.near_next == 1 for r in found)
+
+
 def test_all_queries_run(spark):
     sizes = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages")}
     for name, query in queries.QUERIES.items():

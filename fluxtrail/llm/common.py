@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run of an operator in the shared folder, removed once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths[label] = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.paths[label])
+        return self.spark.read.schema(df.schema).parquet(self.paths[label])
+
+    def drop(self, *labels: str) -> None:
+        """Remove these tables. A collection of the driver's dead plans lets Spark's cleaner drop their shuffle files too."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for label in labels:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(label))
+            path.getFileSystem(conf).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
+
+
+def picked(df: DataFrame, few: int = 500_000) -> DataFrame:
+    """df, of slim rows and already written, marked for broadcast where it has at most ``few`` rows."""
+    return F.broadcast(df) if df.count() <= few else df
+
+
+def row_of(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that columns an operator adds can't clash with them; ``row.*`` gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, so that a batch of very long texts stays small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -16,21 +16,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, durable, small_batches, written
+from .common import ASCII_LOWER, Scratch, durable, picked, row_of, small_batches
 
 SKETCH_BITS, BLOCK_BITS = 20, 14
 LONGEST = 12
 VERIFY_COST = 20.0
-#: Up to so many node numbers (16 MB) are broadcast to pick out their texts; more go by a shuffle of the texts.
-FEW = 2_000_000
+#: A text with more partners than this goes to several tasks, each with a share of them.
+PARTNERS = 256
 #: Parities of the tokens in 64 * WORDS buckets. Two sets differ in at least as many tokens as their parities do.
 WORDS = 4
 PARITY = [f"s{k}" for k in range(WORDS)]
-PREFIXES = "doc_id long, high long, low long, n int, ell int, common double, " + "".join(f"{s} long, " for s in PARITY) + "prefix array<long>"
+PREFIXES = "rid long, doc_id long, h long, high long, low long, n int, ell int, common double, " + "".join(f"{s} long, " for s in PARITY) + "prefix array<long>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -95,16 +96,19 @@ def prefix_length(n, least: int, ell):
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, least: int) -> DataFrame:
-    """Per row: a 128-bit digest of its words, the size of its set, l, its mean sketch count, and its prefix in the global order."""
+    """Per row of docs(doc_id, text, h): a number of its own, a 128-bit digest of its words, the size of its set, l, its mean
+    sketch count, its parities, and its prefix in the global order."""
     mean = max(1.0, sketch.sum() / len(sketch))
     noise = mean + 4 * mean**0.5
     slim = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))  # of fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = slim.value
+        rid = (TaskContext.get().partitionId() << 33) - 1
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, h, text in zip(batch["doc_id"], batch["h"], batch["text"], strict=True):
+                rid += 1
                 words = words_of(text)
                 own = shingles(words, width)
                 digest = xxhash.xxh3_128_digest(b" ".join(words))
@@ -119,10 +123,10 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, least: int) -> Dat
                     ends = np.array([min(n, prefix_length(n, least, k)) for k in range(1, LONGEST + 1)])
                     ell = 1 + int(np.argmin(heavy[ends - 1] * (1 + VERIFY_COST / np.arange(1, LONGEST + 1))))
                 ell = max(1, min(ell, -(-n * least // 100)))  # no link needs an overlap of fewer tokens
-                rows.append((doc, high, low, n, ell, float(seen.mean()) if n else 0.0, *parity(own), own[order[: min(n, prefix_length(n, least, ell))]].view(np.int64)))
+                rows.append((rid, doc, h, high, low, n, ell, float(seen.mean()) if n else 0.0, *parity(own), own[order[: min(n, prefix_length(n, least, ell))]].view(np.int64)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in PREFIXES.split(", ")]).astype({"doc_id": "Int64"})
 
-    return written(docs.mapInPandas(run, PREFIXES), "prefixes")
+    return docs.mapInPandas(run, PREFIXES)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -143,13 +147,24 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, least: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. Each a's text goes once to each of the 16 tasks its partners are dealt to."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(16)).alias("salt"))
-    first = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    other = salted.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with h, a hash of both, by which a row's text is found again."""
+    doc = F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(doc, "text", F.xxhash64(doc, F.col("text")).alias("h"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, least: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; docs as of ``keyed``, nodes(node, doc_id, h) says whose text a node has.
+
+    Each text goes to the tasks of its pairs: b's with the pair, a's once to each task that its partners are dealt to.
+    """
+    many = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / PARTNERS + 1).cast("long").alias("tasks"))
+    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).alias("salt"))
+    route = salted.select("a", "salt").distinct().select(F.col("a").alias("node"), "a", "salt", F.lit(None).cast("long").alias("b"))
+    route = durable(route.union(salted.select(F.col("b").alias("node"), "a", "salt", "b")).join(nodes, "node").select("a", "salt", "b", F.col("doc_id").alias("doc"), F.col("h").alias("key")))
+    rows = docs.join(picked(route), (F.col("h") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("a", "salt", "b", "text")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = first.union(other).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
+    rows = rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = None
@@ -165,69 +180,102 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: int) -> Data
                     found.append((a, int(b)))
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return durable(rows.mapInPandas(check, "a long, b long"))
-
-
-def classes(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs(doc_id, text).
+    return durable(rows.mapInPandas(check, "a long, b long").distinct())
 
-    Rows link when their shingle sets have a Jaccard similarity of ``least`` percent or more; a component is named by its
-    smallest doc_id. A null or empty text and one without words has no shingles and its own doc_id as component. Rows of
-    the same doc_id are one node; a row without doc_id gets the component of its equal texts, null if there is none
-    with an id. An empty table gives no rows. Other columns are not read.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = prefixes(docs, sketch_of(docs, width), width, least)
-    node = F.min("doc_id").alias("node")
-    equal = durable(rows.filter("n > 0").groupBy("high", "low").agg(node))
-    nodes = rows.join(equal.filter("node is not null"), ["high", "low"]).filter("doc_id = node")
-    index = nodes.select("node", "n", "ell", "common", F.posexplode("prefix").alias("pos", "token"))
-    token = W.partitionBy("token")
-    shared = durable(index.withColumns({"lo": F.min("node").over(token), "hi": F.max("node").over(token)}).filter("lo <> hi").drop("lo", "hi"))
-    active = durable(shared.select("node").distinct())
-    if active.count() <= FEW:
-        active = F.broadcast(active)
-    texts = written(docs.join(active, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]), "texts")
 
+def starred(shared: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b), each once: a node and the centre of a token that it holds, that centre being the node with the most common tokens."""
     centre = shared.groupBy("token").agg(F.max(F.struct("common", "node", "n")).alias("c"))
     near = (F.col("n") * 100 >= F.col("c.n") * least) & (F.col("c.n") * 100 >= F.col("n") * least)
     stars = shared.join(centre, "token").filter(near & (F.col("node") != F.col("c.node"))).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-    stars = durable(stars.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.first("a").alias("a")).select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")))
-    links = verified(stars, texts, width, least)
-    joined = components(links)
+    stars = stars.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+    return durable(stars.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")))
+
 
-    marked = shared.drop("common").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def between(shared: DataFrame, joined: DataFrame, facts: DataFrame, stars: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of different components of ``joined`` that share as many prefix tokens as both ask for, without those of ``stars``."""
+    token = W.partitionBy("token")
+    marked = shared.select("token", "node", "pos").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     marked = marked.withColumns({"lo": F.min("component").over(token), "hi": F.max("component").over(token)}).filter("lo <> hi").drop("lo", "hi")
-    marked = durable(marked)
-    left = marked.select("node").distinct()
-    if left.count() <= FEW:
-        left = F.broadcast(left)
-    bits = rows.join(left, F.col("doc_id") == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node"))
-    bits = bits.agg(*(F.when(F.min(c) == F.max(c), F.min(c)).alias(c) for c in PARITY))  # null, which rules out nothing, where texts share an id
-    marked = marked.join(bits, "node", "left")
+    marked = durable(marked.join(facts, "node"))
     x, y = (marked.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "ell", "pos", "component", *PARITY))) for s in "xy")
     overlap = F.expr(f"cast(({least}L * (n_x + n_y) + {99 + least}L) div {100 + least}L as int)")
     ell = F.least("ell_x", "ell_y", overlap)
     within = (F.col("pos_x") < F.col("n_x") - overlap + ell) & (F.col("pos_y") < F.col("n_y") - overlap + ell)
     possible = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= overlap
-    differ = sum((F.coalesce(F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))), F.lit(0)) for c in PARITY), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in PARITY), F.lit(0))
     alike = differ <= F.col("n_x") + F.col("n_y") - 2 * overlap
     pairs = x.join(y, "token").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & within & possible & alike)
     bound = F.col("matches") + F.least(F.col("n_x") - 1 - F.col("last_x"), F.col("n_y") - 1 - F.col("last_y"))
     pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y", "ell_x", "ell_y").agg(F.count(F.lit(1)).alias("matches"), F.max("pos_x").alias("last_x"), F.max("pos_y").alias("last_y"))
     pairs = pairs.filter((F.col("matches") >= ell) & (bound >= overlap)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(durable(pairs.join(tried, ["a", "b"], "left_anti")), texts, width, least)
-    final = components(links.union(more))
+    return durable(pairs.join(tried, ["a", "b"], "left_anti"))
+
+
+def grouped(docs: DataFrame, width: int, least: int, by_id: bool) -> DataFrame:
+    """rid, doc_id, h, n, component of each row of docs as of ``keyed``; component, of rows with words: the least rid of the
+    class. ``by_id`` links rows of one doc_id, too."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark)
+    rows = scratch.write(prefixes(docs, sketch_of(docs, width), width, least), "prefixes")
+    equal = rows.filter("n > 0").groupBy("high", "low").agg(F.min("rid").alias("node"))
+    slim = scratch.write(rows.select("rid", "doc_id", "h", "high", "low", "n").join(equal, ["high", "low"], "left").drop("high", "low"), "rows")
+    nodes = slim.filter("rid = node").select("node", "doc_id", "h")
+    copies = durable(slim.filter("n = 0 or rid <> node").select("rid"))
+    whole = rows.join(picked(copies), "rid", "left_anti").withColumnRenamed("rid", "node")
+    token = W.partitionBy("token")
+    index = whole.select("node", F.posexplode("prefix").alias("pos", "token"))
+    index = index.withColumns({"lo": F.min("node").over(token), "hi": F.max("node").over(token)}).filter("lo <> hi").drop("lo", "hi")
+    facts = scratch.write(whole.select("node", "n", "ell", "common", *PARITY), "facts")
+    shared = scratch.write(index.join(facts.select("node", "n", "common"), "node"), "shared")
+    del rows, index, whole
+    scratch.drop("prefixes")
+
+    stars = starred(shared, least)
+    links = verified(stars, docs, nodes, width, least)
+    more = verified(between(shared, components(links), facts.drop("common"), stars, least), docs, nodes, width, least)
+    named = slim.filter(F.lit(by_id)).filter("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z")
+    same = slim.join(named.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b"))
+    final = components(links.union(more).union(same))
+    out = durable(slim.join(final, "node", "left").select("rid", "doc_id", "h", "n", F.coalesce("component", "node").alias("component")))
+    del shared, facts, slim, nodes, links, more, named, same, final, stars, copies
+    scratch.drop("facts", "shared", "rows")
+    return out
+
 
-    named = equal.join(final, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("doc_id", "high", "low", F.col("n").cast("long").alias("n_shingles")).join(named, ["high", "low"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+def classes(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs(doc_id, text).
 
+    Rows link when their shingle sets have a Jaccard similarity of ``least`` percent or more; a component is named by its
+    smallest doc_id. A null or empty text and one without words has no shingles and its own doc_id as component. Rows
+    that share a doc_id are one document and so in one component, whatever their texts; a row without doc_id links like
+    any other, and a component without any id is null. An empty table gives no rows. Other columns are not read.
+    """
+    rows = grouped(keyed(docs), width, least, by_id=True)
+    least_id = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least_id, "component", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows whose class has a row of smaller doc_id; one row of each class stays, and every row without words or id."""
-    found = classes(docs, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+def deduplicated(docs: DataFrame, width: int = 5, least: int = 80) -> DataFrame:
+    """One row of each class of docs, with all its columns, and every row without words.
+
+    The row with the smallest doc_id stays, one with an id before one without; of rows equal in doc_id and text one
+    stays. Different texts under one doc_id are in one class only if they are similar. Null and empty texts are in no class. Columns of any name stay as they are; an empty table gives no rows.
+    """
+    rows = grouped(keyed(docs), width, least, by_id=False)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    stays = rows.filter("component is not null").groupBy("component").agg(first.alias("first")).select("component", F.col("first.rid").alias("first"))
+    key = rows.join(stays, "component").groupBy("doc_id", "h").agg(F.max(F.col("rid") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("times"))
+    key = durable(key.filter("not stays or times > 1").select(F.col("doc_id").alias("doc"), F.col("h").alias("key"), "stays"))
+    id_of = F.col("`doc_id`").cast("long")
+    own = docs.select(row_of(docs), id_of.alias("doc_id"), F.xxhash64(id_of, F.col("`text`")).alias("h"))
+    match = (F.col("h") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("doc"))
+    kept = own.join(picked(key), match, "left_anti").select("row.*")
+    again = key.filter("stays")
+    if not again.isEmpty():
+        again = own.join(picked(again), match, "left_semi").groupBy("doc_id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.union(again.select("row.*"))
+    return kept

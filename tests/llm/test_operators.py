@@ -245,6 +245,42 @@ def test_jaccard(spark, odd, none):
     assert sorted(r.doc_id for r in jaccard.deduplicated(docs).collect()) == sorted(set(label))
 
 
+def test_jaccard_all_pairs(spark):
+    """Every pair of whole texts of a table, by an index of all shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    holders, group = collections.defaultdict(list), {d: d for d in sets}
+    for d, own in sets.items():
+        for x in own:
+            holders[x].append(d)
+    for d in sorted(sets):
+        shared = collections.Counter(o for x in sets[d] for o in holders[x] if o > d)
+        for o, both in shared.items():
+            if 100 * both >= 80 * (len(sets[d]) + len(sets[o]) - both) and group[d] != group[o]:
+                low, high = sorted((group[d], group[o]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()}
+    assert found == {d: (len(sets[d]), group[d]) for d in sets}
+
+
+def test_jaccard_shared_and_missing_ids(spark):
+    a, b, c = ("a b c d e f g h i j k l m n o p", "q r s t u v w x y z aa bb cc dd ee ff", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, c), (9, c + " end"), (None, "lone words of a row without an id"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect())
+    assert found == [("1", 12, 1), ("1", 12, 1), ("2", 13, 1), ("3", 13, 1), ("5", 0, 5), ("9", 12, 9), ("None", 4, None), ("None", 11, 9)]
+    kept = sorted((str(r.doc_id), r.text) for r in jaccard.deduplicated(docs).collect())
+    assert kept == sorted([("1", a), ("1", b), ("9", c + " end"), ("None", "lone words of a row without an id"), ("5", "")])
+    rows = [(1, "t t"), (1, "t t"), (2, "t t"), (None, "t t"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_gone", "h", "row", "key", "stays", "doc", "a.b")})
+    kept = jaccard.deduplicated(docs)
+    assert kept.columns == docs.columns and [tuple(r)[:2] for r in kept.orderBy("doc_id").collect()] == [(1, "t t"), (4, None), (4, None)]
+    assert all(tuple(r)[2:] == ("_gone", "h", "row", "key", "stays", "doc", "a.b") for r in kept.collect())
+
+
 def test_jaccard_short_copies(spark):
     """Heavily copied texts of 13 to 16 words that differ in the last word, beside a longer text that is every common token's centre."""
     texts, label = [], {}

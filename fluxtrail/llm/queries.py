@@ -64,6 +64,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k).alias(f"n_{k}") for k, _, _ in secrets.BASE),
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.col("found")).alias("spans"),
+        count("entropy").alias("n_entropy"),
+        F.round(F.array_max(F.transform("found", lambda s: s["bits"])), 6).alias("most_bits"),
     )
 
 

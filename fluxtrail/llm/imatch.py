@@ -46,18 +46,28 @@ def short(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(F.pmod(value, F.lit(1 << 32))), 8, "0"))
 
 
-def signatures(found: Column, other: Column, rates=RATES) -> Column:
-    """A signature per subset over the sorted structs (term, mask); '-' where the subset holds none of the terms.
+def signatures(rows: DataFrame, found: str, other: str, out: str, rates=RATES) -> DataFrame:
+    """rows with ``out``: a signature per subset over ``found``, the sorted structs (term, mask); '-' where the subset holds none of the terms.
 
-    A text without any lexicon term has ``other`` (the hash of all its distinct terms) as each signature.
+    A text without any lexicon term has ``other`` (the hash of all its distinct terms) as each signature. The dense
+    subsets leave out one of DENSE parts of the lexicon each, so their signatures are made from one hash per part.
     """
-
-    def one(k: int) -> Column:
-        own = F.transform(F.filter(found, lambda t: t["mask"].bitwiseAND(F.lit(1 << k)) != 0), lambda t: t["term"])
-        return F.when(F.size(own) == 0, F.lit("-")).otherwise(short(F.xxhash64(own, F.lit(k))))
-
-    each = [one(k) for k in range(sum(many for _, many in rates) + DENSE)]
-    return F.when(F.size(found) == 0, F.transform(F.sequence(F.lit(1), F.lit(len(each))), lambda _: other)).otherwise(F.array(*each))
+    many = sum(n for _, n in rates)
+    held = lambda bit, yes=True: lambda t: (t["mask"].bitwiseAND(F.lit(bit)) != 0) == yes
+    names = lambda own: F.xxhash64(F.transform(own, lambda t: t["term"]))
+    empty = F.xxhash64(F.array().cast("array<string>"))
+    rows = rows.withColumn(f"{out}_few", F.filter(found, held((1 << many) - 1)))
+    sparse = F.array(*(names(F.filter(f"{out}_few", held(1 << k))) for k in range(many)))
+    parts = F.array(*(names(F.filter(found, held(1 << (many + k), False))) for k in range(DENSE)))
+    rows = rows.withColumns({f"{out}_sparse": sparse, f"{out}_parts": parts})
+    rows = rows.withColumn(f"{out}_parts", F.transform(f"{out}_parts", lambda h, i: F.when(h != empty, F.xxhash64(h, i))))
+    each = F.transform(f"{out}_sparse", lambda h, i: F.when(h == empty, "-").otherwise(short(F.xxhash64(h, i))))
+    others = lambda k: lambda h, i: (i != k) & h.isNotNull()
+    rest = [F.filter(f"{out}_parts", others(k)) for k in range(DENSE)]
+    dense = F.array(*(F.when(F.size(r) == 0, "-").otherwise(short(F.xxhash64(r))) for r in rest))
+    none = F.array_repeat(F.col(other), many + DENSE)
+    rows = rows.withColumn(out, F.when(F.size(found) == 0, none).otherwise(F.concat(each, dense)))
+    return rows.drop(f"{out}_few", f"{out}_sparse", f"{out}_parts")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -68,11 +78,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(F.size(used) == 0, F.lit(0.0)).otherwise(F.size(same) / F.size(used)).cast("double")
 
 
-def in_order(docs: DataFrame, each: int = 500, most: int = 4096) -> tuple[DataFrame, W]:
+def in_order(docs: DataFrame, each: int = 500, most: int = 65_536) -> tuple[DataFrame, W]:
     """docs(doc_id, text) dealt into ranges of doc_id, with the row after each range's last; and the window of a range.
 
     Columns bucket, kind (0: a row of the range; 1: the first row of the next range, 2: the first of all, after the last
-    range). Bounds are ids that occur, so the first rows of the next range are those that have its bound as id.
+    range). Bounds are ids that occur, so the first rows of the next range are those that have its bound as id. Ranges hold
+    about ``each`` rows, and more where that made over ``most``; a range is sorted by one task, which spills.
     """
     n = docs.count()
     k = max(1, min(most, n // each))
@@ -80,7 +91,7 @@ def in_order(docs: DataFrame, each: int = 500, most: int = 4096) -> tuple[DataFr
     low = None if bounds[2] else bounds[1]
     cuts = sorted({b for b in bounds[0] or [] if low is None or b > low}) if k > 1 else []
     rows = docs.withColumn("_b", interval_of(F.col("doc_id"), cuts))
-    rows = rows.withColumn("_cut", (F.col("_b") > 0) & (F.col("_b") > interval_of(F.col("doc_id") - 1, cuts)))
+    rows = rows.withColumn("_cut", F.coalesce(F.get(F.array(*map(F.lit, cuts)), F.col("_b") - 1) == F.col("doc_id"), F.lit(False)) if cuts else F.lit(False))
     place = lambda b, kind: F.array(F.struct(b.alias("bucket"), F.lit(kind).alias("kind")))
     none = F.array().cast("array<struct<bucket:int,kind:int>>")
     spots = F.concat(
@@ -117,7 +128,7 @@ def fingerprint(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     rows = rows.groupBy(*keys).agg(F.array_sort(found).alias("found"))
     side = lambda s: F.filter("found", lambda t: t["side"] == s)
     rows = rows.withColumns({"_a": side(0), "_b": side(1)})
-    rows = rows.withColumns({"signatures": signatures(F.col("_a"), F.col("own_all")), "edited_signatures": signatures(F.col("_b"), F.col("changed_all"))})
+    rows = signatures(signatures(rows, "_a", "own_all", "signatures"), "_b", "changed_all", "edited_signatures")
     rows = rows.select("bucket", "nth", "kind", "doc_id", "n_chars", "edited_sha256", "signatures", "edited_signatures")
     rows = rows.withColumn("after", F.lead("signatures").over(W.partitionBy("bucket").orderBy("nth"))).filter("kind = 0")
     return rows.select(

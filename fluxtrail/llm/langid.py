@@ -9,7 +9,6 @@ model is one matrix, so a batch of texts is scored by one product of its presenc
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,24 +17,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import row_of, small_batches
 
 BUCKETS, LONGEST = 1 << 15, 4
 UNKNOWN = "und"
 
 
-def letters() -> np.ndarray:
-    """Of every code point, whether it is a letter; made once per process."""
-    held = sys.modules["numpy"].__dict__
-    if "_letters_by_code_point" not in held:
-        held["_letters_by_code_point"] = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
-    return held["_letters_by_code_point"]
+#: Of the code points up to U+024F, whether they are letters.
+LATIN = np.array([chr(c).isalpha() for c in range(0x250)])
+
+
+def letters(codes: np.ndarray) -> np.ndarray:
+    """Of each code point, whether it is a letter; those beyond the table are asked for once each."""
+    good = LATIN[np.minimum(codes, len(LATIN) - 1)]
+    far = codes >= len(LATIN)
+    if far.any():
+        kinds, which = np.unique(codes[far], return_inverse=True)
+        good[far] = np.array([chr(c).isalpha() for c in kinds])[which]
+    return good
 
 
 def presence(text: str | None) -> np.ndarray | None:
     """The hashed n-grams that a text has, over its letters in lower case with one blank between words; None without a letter."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)
-    good = letters()[codes]
+    good = letters(codes)
     if not good.any():
         return None
     codes = np.where(good, codes, 32).astype(np.uint32)
@@ -102,7 +107,8 @@ def fit(packed: np.ndarray, languages: list[str], landmarks: int = 256, ridge: f
 
 
 def held(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether a row is held out; a null id counts as the empty string."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def train(labelled: DataFrame, per_language: int = 1000, seed: int = 5) -> Model:
@@ -128,11 +134,11 @@ def train(labelled: DataFrame, per_language: int = 1000, seed: int = 5) -> Model
     return fit(packed, list(sample["lang"]))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score: the language of the highest regression value, and that value as 0 to 1.
+def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "lang_pred", out_score: str = "score") -> DataFrame:
+    """docs with ``out`` and ``out_score``: the language of the highest regression value, and that value as 0 to 1.
 
     ``und`` with score 0 for a null text, one without a letter, and for every text if the model has no language. Columns
-    of these names are replaced; other columns and repeated rows stay.
+    of these two names are replaced; other columns, of any name, and repeated rows stay.
     """
     small_batches(docs.sparkSession)
 
@@ -147,5 +153,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     found = F.pandas_udf(run, "lang_pred string, score double")
-    rows = docs.drop("lang_pred", "score").withColumn("_found", found(F.col(text)))
-    return rows.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    kept = [c for c in docs.columns if c not in (out, out_score)]
+    rows = docs.select(row_of(docs)).withColumn("found", found(F.col("row").getField(text)))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("found.lang_pred").alias(out), F.col("found.score").alias(out_score))

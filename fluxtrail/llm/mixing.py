@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, text_of
+from .common import WORD, durable, row_of, text_of
 
 #: More slots than this make blocks longer: i * g must fit 63 bits.
 MOST_SLOTS = 1 << 31
@@ -81,8 +81,9 @@ def schedule(quotas: DataFrame, slots: int, step: int) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), repeats: int = 3, block_words: int = 256, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows of docs(doc_id, text, source) with what the mix takes of each; and the pieces in the order of the schedule.
 
-    First: row (a key of the input row), doc_id, place (a hash of doc_id and text), size, source, source_size, target, taken. Second: slot, row, doc_id, epoch, start,
-    length: words [start, start + length) of the document. A source's taken words are its target, rounded; no document
+    First: row (a key of the input row), doc_id, place (a hash of doc_id and text), size, source, source_size, target, taken,
+    and of the schedule slots (the first slot of each time that the row is taken, in order) and n_slots. Second: slot,
+    row, doc_id, epoch, start, length: words [start, start + length) of the document. A source's taken words are its target, rounded; no document
     is taken more than ``repeats`` times. Null and empty texts have size 0 and are never taken; a null source is a
     source; repeated rows are taken each on its own; an empty table gives no rows. Other columns are not read. The
     sources, one row each, are ordered in one task; documents, slots and blocks never are.
@@ -119,34 +120,47 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), repeats:
     pieces = pieces.select("rank", "block", "row", "doc_id", "epoch", (begin - F.col("at")).alias("start"), length.alias("length"))
     order = schedule(goal.select("rank", "first", "quota"), slots, step_of(slots)) if slots else docs.sparkSession.createDataFrame([], "slot long, rank long, block long")
     pieces = pieces.join(order, ["rank", "block"]).select("slot", "row", "doc_id", "epoch", "start", "length")
-    taken = pieces.groupBy(F.col("row").alias("key")).agg(F.sum("length").alias("taken"))
+    each = pieces.groupBy("row", "epoch").agg(F.sum("length").alias("taken"), F.min("slot").alias("slot"), F.count(F.lit(1)).alias("n_slots"))
+    taken = each.groupBy(F.col("row").alias("key")).agg(  # a row per time, so lists of at most ``repeats``
+        F.sum("taken").alias("taken"), F.transform(F.array_sort(F.collect_list(F.struct("epoch", "slot"))), lambda x: x["slot"]).alias("slots"), F.sum("n_slots").alias("n_slots")
+    )
     rows = rows.join(taken, F.col("row") == F.col("key"), "left")
-    rows = rows.select("row", "doc_id", "place", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = F.array().cast("array<long>")
+    rows = rows.select(
+        "row", "doc_id", "place", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("slots", none).alias("slots"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
+    )
     return rows, pieces
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, with the columns of docs: a row per whole time that a document is taken, and one more
-    with its first words where the last time is cut off; n_chars is counted again there. Documents not taken go.
+    """The documents of the mix in the order of the schedule, with the columns of docs: a row per whole time that a document
+    is taken, at the first slot of that time, and one more with its first words where the last time is cut off; n_chars
+    is counted again there. Documents not taken go, and with them null and empty texts.
 
-    Rows are matched to the mix by doc_id and a hash of their text and source; of repeated rows, which are equal in
-    these, each stands for the mean of what is taken of them, in whole rows first.
+    Rows are matched to the mix by doc_id and a hash of it and the text; of repeated rows, which are equal in these, each
+    stands for the mean of what is taken of them, in whole rows first. Columns of any name stay as they are.
     """
     rows, _ = mix(docs, **options)
-    taken = rows.groupBy("doc_id", "place").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.count(F.lit(1)).alias("_copies"))
-    taken = taken.select(F.col("doc_id").alias("_doc"), F.col("place").alias("_place"), "_taken", "_size", "_copies").filter("_taken > 0")
-    key = F.xxhash64(F.lit(options.get("seed", 42)), F.col("doc_id"), text_of())
-    one = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "_key").orderBy("source")))
-    one = one.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_place")))
-    share = F.expr("_taken div _copies") + (F.col("_nth") <= F.col("_taken") % F.col("_copies")).cast("long")
-    one = one.withColumn("_words", share)
-    times = F.expr("cast(_words div _size as int)")
-    lengths = F.concat(F.array_repeat(F.lit(None).cast("long"), times), F.when(F.col("_words") % F.col("_size") > 0, F.array(F.col("_words") % F.col("_size"))).otherwise(F.array().cast("array<long>")))
-    one = one.withColumn("_cut", F.explode(lengths))
-    begin = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"(?s)([\x20\x09-\x0D]*{WORD})"), F.lit(1)), F.lit(1), F.col("_cut").cast("int")), "")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(begin)
-    one = one.withColumn("_text", text)
-    swap = {"text": F.col("_text").alias("text")}
+    taken = rows.groupBy("doc_id", "place").agg(
+        F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col("taken") > 0, F.col("slots"))).alias("slots")
+    )
+    taken = taken.filter("taken > 0").withColumnsRenamed({"doc_id": "doc", "place": "at"})
+    id_of, text = F.col("`doc_id`"), F.coalesce(F.col("`text`"), F.lit(""))
+    key = F.xxhash64(F.lit(options.get("seed", 42)), id_of, text)
+    one = docs.select(row_of(docs), id_of.alias("doc_id"), key.alias("place"))
+    one = one.withColumn("nth", F.row_number().over(W.partitionBy("place").orderBy("doc_id", F.col("row").getField("source"))))
+    one = one.join(taken, (F.col("place") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("doc")))
+    share = F.expr("taken div copies") + (F.col("nth") <= F.col("taken") % F.col("copies")).cast("long")
+    one = one.withColumn("words", share)
+    whole = F.array_repeat(F.lit(None).cast("long"), F.expr("cast(words div size as int)"))
+    lengths = F.concat(whole, F.when(F.col("words") % F.col("size") > 0, F.array(F.col("words") % F.col("size"))).otherwise(F.array().cast("array<long>")))
+    one = one.select("row", "doc_id", "place", "slots", F.posexplode(lengths).alias("time", "cut"))
+    one = one.withColumn("slot", F.coalesce(F.get("slots", F.col("time")), F.array_max("slots"))).orderBy("slot", "place", "time")
+    text = F.col("row").getField("text")
+    begin = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"(?s)([\x20\x09-\x0D]*{WORD})"), F.lit(1)), F.lit(1), F.col("cut").cast("int")), "")
+    one = one.select("row", "cut", F.when(F.col("cut").isNull(), text).otherwise(begin).alias("taken"))
+    swap = {"text": F.col("taken").alias("text")}
     if "n_chars" in docs.columns:
-        swap["n_chars"] = F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long")).alias("n_chars")
-    return one.select(*(swap.get(c, F.col(f"`{c}`")) for c in docs.columns))
+        swap["n_chars"] = F.when(F.col("cut").isNull(), F.col("row").getField("n_chars")).otherwise(F.length("taken").cast("long")).alias("n_chars")
+    return one.select(*(swap.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns))

@@ -18,7 +18,7 @@ def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all sources takes of every document."""
     rows, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "source")
+    return rows.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "source", "slots", "n_slots")
 
 
 def op3_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,17 +29,19 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers: int | None, date: str) -> bytes:
-    """One WARC/1.1 record; a revisit carries the HTTP header and no payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers: int | None, date: str, copy: int = 0) -> bytes:
+    """One WARC/1.1 record; a revisit carries the HTTP header and no payload. CR and LF of a url are written as %0D and %0A
+    and read back so. ``copy`` tells records of one page apart in their ids."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers is not None else http + payload
     name = "none" if page_id is None else page_id
+    own = f"{name}/{copy}" if copy else name
     kind = "response" if refers is None else "revisit"
     uri = (url or f"urn:x-page:{name}").encode("utf-8", "replace").replace(b"\r", b"%0D").replace(b"\n", b"%0A").decode()
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:x-page:{name}>",
+        f"WARC-Record-ID: <urn:x-page:{own}>",
         f"WARC-Target-URI: {uri}",
         f"X-Url-Null: {int(url is None)}",
         f"WARC-Date: {date}",
@@ -96,7 +98,7 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = 24
         store, root = fs.FileSystem.from_uri(out)
         store.create_dir(root, recursive=True)
         shard = seq = -1
-        file, last, mark, done = None, None, None, []
+        file, last, mark, done, of, copy = None, None, None, [], object(), 0
 
         def close() -> None:
             nonlocal file
@@ -120,13 +122,14 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = 24
                 elif page is not None and last == (page, sha) and len(payload) >= min_bytes:
                     refers = page
                 last = (page, sha)
+                of, copy = page, copy + 1 if page == of else 0  # a page's records are neighbours in one shard
                 if file is None:
                     seq += 1
                     name = f"part-{shard:08d}-{seq:05d}.warc.gz"
                     temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
                     file = {"name": name, "temporary": temporary, "stream": store.open_output_stream(temporary, compression=None), "shard": shard, "seq": seq, "records": 0, "bytes": 0, "first": page, "sha": hashlib.sha256()}
                 packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                data = packer.compress(record(page, url if isinstance(url, str) else None, bytes(payload), refers, date)) + packer.flush()
+                data = packer.compress(record(page, url if isinstance(url, str) else None, bytes(payload), refers, date, copy)) + packer.flush()
                 file["stream"].write(data)
                 file["sha"].update(data)
                 file["records"] += 1
@@ -163,7 +166,7 @@ def parse(raw: bytes) -> list:
     block = rest[: int(fields["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2]
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    page, refers = (fields.get(k, "<urn:x-page:none>")[12:-1] for k in ("WARC-Record-ID", "WARC-Refers-To"))
+    page, refers = (fields.get(k, "<urn:x-page:none>")[12:-1].partition("/")[0] for k in ("WARC-Record-ID", "WARC-Refers-To"))
     kind, own = fields["WARC-Type"], fields["WARC-Block-Digest"].removeprefix("sha1:")
     good = base32_sha1(block) == own and (kind == "revisit" or base32_sha1(payload) == digest and len(payload) == int(fields["X-Payload-Length"]))
     uri = None if fields["X-Url-Null"] == "1" else fields["WARC-Target-URI"]

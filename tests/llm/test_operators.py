@@ -411,3 +411,56 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == shapes[4][0]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns with the names that operators use inside stay as they are, repeated rows and the least id too."""
+    names = ["_found", "_new", "found", "masked", "row", "_key", "_nth", "_cut", "_words", "place", "at", "doc", "slot", "slots", "cut", "taken", "score", "lang_pred", "named_0", "h", "component", "_b", "_gone", "a.b"]
+    rows = [(-(2**63), "token = abcdefgh and more words here", "en", "a"), (3, "one two three four five", None, "b"), (3, "one two three four five", None, "b"), (None, None, "en", None)]
+    docs = spark.createDataFrame(rows, SHAPE).withColumns({c: F.lit(f"own {c}") for c in names})
+    for stage in (secrets.redact, lambda d: mixing.mixed(d, block_words=4), jaccard.deduplicated, lambda d: corpus_pipeline.identify(spark, d, SF)):
+        found = stage(docs)
+        kept = found.collect()
+        assert found.columns == docs.columns and kept
+        assert all(tuple(r)[4:] == tuple(f"own {c}" for c in names) for r in kept)
+    assert len(imatch.fingerprint(docs).collect()) == 4
+    assert langid.predict(docs, langid.train(docs)).columns == [*(c for c in docs.columns if c not in ("lang_pred", "score")), "lang_pred", "score"]
+
+
+def test_mix_follows_the_schedule(spark):
+    """Slots by brute force: the lattice's points, their sources and ranks, and the pieces of each block."""
+    pick = np.random.default_rng(9)
+    docs = spark.createDataFrame([(k, " ".join(["w"] * int(pick.integers(1, 40))), "abc"[int(pick.integers(3))]) for k in range(200)], "doc_id long, text string, source string")
+    rows, pieces = (x.toPandas() for x in mixing.mix(docs, block_words=16))
+    quota = {s: -(-int(g.taken.sum()) // 16) for s, g in rows.groupby("source")}
+    slots = sum(quota.values())
+    step = mixing.step_of(slots)
+    begin, rank, want = 0, {}, {}
+    for s, n in quota.items():
+        rank[s] = range(begin, begin + n)
+        begin += n
+    ranks = collections.Counter()
+    for i in range(slots):
+        s = next(s for s, r in rank.items() if i * step % slots in r)
+        want[i] = (s, ranks[s])
+        ranks[s] += 1
+    source = dict(zip(rows.doc_id, rows.source, strict=True))
+    assert sorted(set(pieces.slot)) == list(range(slots)) and all(source[d] == want[i][0] for i, d in zip(pieces.slot, pieces.doc_id, strict=True))
+    size = pieces.groupby("slot").length.sum()
+    assert all(size[i] == 16 or want[i][1] == quota[want[i][0]] - 1 for i in range(slots))
+    first = pieces.groupby(["doc_id", "epoch"]).slot.min()
+    assert all(list(first[r.doc_id]) == list(r.slots) for r in rows.itertuples() if r.taken)
+
+
+def test_kernel_and_ridge_by_hand():
+    """Kernel values from sets of n-grams, and the solution of the ridge equations, computed directly."""
+    texts = ["the cat sat", "a dog and a cat", "le chat est la", "la vie en rose", "the end of it", "un deux trois la"]
+    langs = ["en", "en", "fr", "fr", "en", "fr"]
+    present = np.stack([langid.presence(t) for t in texts])
+    sets = [set(np.flatnonzero(p)) for p in present]
+    kernel = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    model = langid.fit(np.packbits(present, axis=1), langs, landmarks=6, ridge=0.1)
+    # With every text a landmark the map is exact: f(x) = k(x) (K + ridge / weight)^-1 y, each language's rows weighing 1 / 3.
+    wanted = np.array([[x == "en", x == "fr"] for x in langs], float)
+    direct = kernel @ np.linalg.solve(kernel + 0.3 * np.eye(6), wanted)
+    assert np.allclose(model.score(present), direct, atol=1e-4)

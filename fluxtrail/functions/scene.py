@@ -7,6 +7,9 @@ P = ((0.9, 0.1, 0.2, 20.0), (-0.05, 0.8, -0.9, 60.0), (0.0002, 0.0004, 0.0001, 1
 #: The corners of one convex zone, clockwise on the screen.
 CONVEX = ((100, 50), (500, 80), (560, 400), (80, 380))
 
+#: One zone that is not convex, clockwise on the screen.
+POLYGON = ((320, 60), (420, 200), (560, 240), (380, 300), (320, 420), (240, 260), (90, 200))
+
 
 def image(x: str, y: str, z: str) -> tuple[str, str]:
     """Image coordinates of a world point."""
@@ -39,7 +42,7 @@ def bodies() -> dict[str, str]:
     rays = ", ".join(f"{world(f'{s}cx', f'{s}cy', z)[i]} AS {s}{n}{k}" for s in "ab" for k, z in enumerate(("0.0D", "100.0D")) for i, n in enumerate("xy"))
     cross = "((ax1-ax0)*(by1-by0) - (ay1-ay0)*(bx1-bx0))"
     t = f"(((bx0-ax0)*(by1-by0) - (by0-ay0)*(bx1-bx0))/{cross})"
-    out["geo_focal_point"] = f"q AS (SELECT det_id, {rays} FROM pairs WHERE abs(acx-bcx) > 40 AND abs(acy-bcy) > 40)\n--\nSELECT det_id, round(ax0 + {t}*(ax1-ax0), 1) AS x, round(ay0 + {t}*(ay1-ay0), 1) AS y, round(100*{t}, 1) AS z FROM q WHERE abs({cross}) > 1.0D"
+    out["geo_focal_point"] = f"q AS (SELECT det_id, {rays} FROM pairs), r AS (SELECT *, CASE WHEN abs({cross}) > 1000.0D THEN {t} END AS t FROM q)\n--\nSELECT det_id, round(ax0 + t*(ax1-ax0), 0) AS x, round(ay0 + t*(ay1-ay0), 0) AS y, round(100*t, 0) AS z FROM r"
     a, b, c, d = ("ax", "ay"), ("ar", "ab"), ("bx", "by_"), ("br", "bb")
     out["geo_segment_intersect"] = f"SELECT det_id, sign({ccw(a, b, c)})*sign({ccw(a, b, d)}) <= 0 AND sign({ccw(c, d, a)})*sign({ccw(c, d, b)}) <= 0 AND ax <= br AND bx <= ar AND ay <= bb AND by_ <= ab AS hit FROM pairs"
     along = "greatest(0.0D, least(1.0D, ((bcx-ax)*(ar-ax) + (bcy-ay)*(ab-ay))/cast((ar-ax)*(ar-ax) + (ab-ay)*(ab-ay) AS double)))"
@@ -49,16 +52,26 @@ def bodies() -> dict[str, str]:
     sides = " AND ".join(f"{ccw((str(p[0]), str(p[1])), (str(q[0]), str(q[1])), ('cx', 'cy'))} >= 0" for p, q in zip(CONVEX, CONVEX[1:] + CONVEX[:1], strict=True))
     out["geo_point_in_convex"] = f"SELECT det_id, {sides} AS inside FROM boxes"
     points = "pts AS (SELECT object_id, cx, cy, row_number() OVER (PARTITION BY object_id ORDER BY t_us, det_id) AS i, count(*) OVER (PARTITION BY object_id) AS n FROM boxes)\n--\n"
-    out["geo_polygon_bbox"] = points + "SELECT object_id, min(cx) AS l, max(cx) AS r, min(cy) AS t, max(cy) AS b FROM pts WHERE i <= 5 GROUP BY object_id"
-    out["geo_polygon_inverse"] = points + "SELECT object_id, least(n, 5) + 1 - i AS i, cx, cy FROM pts WHERE i <= 5"
+    out["geo_polygon_bbox"] = points + "SELECT object_id, min(cx) AS l, max(cx) AS r, min(cy) AS t, max(cy) AS b FROM pts GROUP BY object_id"
+    out["geo_polygon_inverse"] = points + "SELECT object_id, n + 1 - i AS i, cx, cy FROM pts"
+    ring = points.replace("\n--\n", ", ring AS (SELECT object_id, i, cx, cy, coalesce(lead(cx) OVER (PARTITION BY object_id ORDER BY i), first_value(cx) OVER (PARTITION BY object_id ORDER BY i)) AS nx, coalesce(lead(cy) OVER (PARTITION BY object_id ORDER BY i), first_value(cy) OVER (PARTITION BY object_id ORDER BY i)) AS ny FROM pts)\n--\n")
+    out["geo_polygon_area"] = ring + "SELECT object_id, round(abs(sum(cast(cx*ny - nx*cy AS double)))/2, 3) AS area FROM ring GROUP BY object_id"
+    edges = list(zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))
+    crossed = " + ".join(f"CASE WHEN cy >= {min(b, d)} AND cy < {max(b, d)} AND cx < {a} + (cy - {b})*{c - a}.0D/{d - b} THEN 1 ELSE 0 END" for (a, b), (c, d) in edges if b != d)
+    on = " OR ".join(f"(cx - {a})*{d - b} = (cy - {b})*{c - a} AND cx BETWEEN {min(a, c)} AND {max(a, c)} AND cy BETWEEN {min(b, d)} AND {max(b, d)}" for (a, b), (c, d) in edges)
+    out["geo_point_in_polygon"] = f"SELECT det_id, ({on}) OR ({crossed}) % 2 = 1 AS inside, NOT ({on}) AND ({crossed}) % 2 = 1 AS strict FROM boxes"
+    cut = lambda p, q: [f"CASE WHEN c{p} BETWEEN {min(e[0][q], e[1][q])} AND {max(e[0][q], e[1][q])} THEN {e[0][1 - q]} + (c{p} - {e[0][q]})*{e[1][1 - q] - e[0][1 - q]}.0D/{e[1][q] - e[0][q]} END" for e in zip(CONVEX, CONVEX[1:] + CONVEX[:1], strict=True) if e[0][q] != e[1][q]]
+    out["geo_convex_range"] = f"SELECT det_id, round(least({', '.join(cut('y', 1))}), 4) AS x_lo, round(greatest({', '.join(cut('y', 1))}), 4) AS x_hi, round(least({', '.join(cut('x', 0))}), 4) AS y_lo, round(greatest({', '.join(cut('x', 0))}), 4) AS y_hi FROM boxes"
+    # A line a*x + b*y = c through the centres of a box and the one before; where it cuts each edge of the polygon.
+    out["geo_contour_line"] = "l AS (SELECT det_id, acy - bcy AS a, bcx - acx AS b, (acy - bcy)*acx + (bcx - acx)*acy AS c FROM pairs WHERE acx <> bcx OR acy <> bcy), e AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {b}, {c}, {d})" for k, ((a, b), (c, d)) in enumerate(edges)) + ") AS v(edge, x0, y0, x1, y1)), s AS (SELECT l.*, e.*, cast(a*x0 + b*y0 - c AS double) AS f, cast(a*x1 + b*y1 - c AS double) AS g FROM l CROSS JOIN e)\n--\nSELECT det_id, edge, round(x0 + f/(f - g)*(x1 - x0), 4) AS x, round(y0 + f/(f - g)*(y1 - y0), 4) AS y FROM s WHERE f*g < 0 OR f = 0 AND g <> 0"
     out["geo_polygon_equal"] = "SELECT det_id, abs(ax-bx) <= 5 AND abs(ay-by_) <= 5 AND abs(ar-br) <= 5 AND abs(ab-bb) <= 5 AS equal FROM pairs"
     corners = [image(p, q, "0.0D") for p, q in (("xleft", "ytop"), ("xright", "ytop"), ("xright", "ybottom"), ("xleft", "ybottom"))]
     shoelace = " + ".join(f"(x{i}*y{(i + 1) % 4} - x{(i + 1) % 4}*y{i})" for i in range(4))
     out["geo_polygon_project"] = f"c AS (SELECT det_id, {', '.join(f'{p} AS x{i}, {q} AS y{i}' for i, (p, q) in enumerate(corners))} FROM boxes)\n--\nSELECT det_id, {', '.join(f'round(x{i}, 4) AS x{i}, round(y{i}, 4) AS y{i}' for i in range(4))}, round(abs({shoelace})/2, 3) AS area FROM c"
     out["geo_zone_center_dist"] = "SELECT det_id, zone, CASE WHEN zone = 'ellipse' THEN round(sqrt(power(cx-320, 2) + power(cy-240, 2)), 5) ELSE 0.0D END AS dist FROM boxes CROSS JOIN (VALUES ('ellipse'), ('polygon')) AS z(zone)"
-    out["geo_hull_offset"] = points + "SELECT object_id, i, cx + 7 AS x, cy - 3 AS y FROM pts WHERE i <= 8"
+    out["geo_hull_offset"] = points + "SELECT object_id, i, cx + 7 AS x, cy - 3 AS y FROM pts"
     hx, hy, _ = world("cx", "cy", "0.0D")
-    out["geo_hull_dists"] = points.replace("\n--\n", f", hull AS (SELECT object_id, i, {hx} AS x, {hy} AS y FROM pts WHERE i <= 8)\n--\n") + "SELECT p.object_id, p.i, round(sqrt(power(q.x-p.x, 2) + power(q.y-p.y, 2)), 4) AS dist FROM hull p JOIN hull q ON q.object_id = p.object_id AND q.i = p.i + 1"
+    out["geo_hull_dists"] = points.replace("\n--\n", f", hull AS (SELECT object_id, i, {hx} AS x, {hy} AS y FROM pts)\n--\n") + "SELECT p.object_id, p.i, round(sqrt(power(q.x-p.x, 2) + power(q.y-p.y, 2)), 4) AS dist FROM hull p JOIN hull q ON q.object_id = p.object_id AND q.i = p.i + 1"
 
     two = lambda e: f"lpad(cast({e} AS varchar(9)), 2, '0')"
     clock = f"concat({two('(t_us DIV 3600000000) % 24')}, '.', {two('(t_us DIV 60000000) % 60')}, '.', {two('(t_us DIV 1000000) % 60')}, '.', lpad(cast((t_us DIV 1000) % 1000 AS varchar(9)), 3, '0'))"
@@ -71,13 +84,13 @@ def bodies() -> dict[str, str]:
     out["src_supervised_txt"] = f"n AS (SELECT CASE WHEN det_id % 10 = 0 THEN '# remark' ELSE concat('  ', cast(det_id AS varchar(20)), '   ', cast(width AS varchar(9)), '.5  ', cast(height AS varchar(9)), ' 0.', cast(det_id % 9 + 1 AS varchar(9))) END AS line FROM detections)\n--\nSELECT {part(1, 'line', cell)} AS image, " + ", ".join(f"cast(regexp_extract(line, '{cell}', {i}) AS double) AS {c}" for i, c in ((2, "mean"), (3, "sd"), (4, "reliability"))) + " FROM n WHERE substring(line, 1, 1) <> '#'"
 
     order = "PARTITION BY object_id ORDER BY t_us, det_id"
+    out["src_gt_tracking"] = f"SELECT det_id, xleft - 4 AS x, ytop - 2 AS y, cx - lag(cx) OVER ({order}) AS vx, cy - lag(cy) OVER ({order}) AS vy, round({x}, 4) AS world_x, round({y}, 4) AS world_y FROM boxes"
     out["math_inc_stats"] = f"SELECT det_id, round(avg(cx) OVER w, 4) AS mean, round(stddev_pop(cx) OVER w, 3) AS sigma FROM boxes WINDOW w AS ({order} ROWS UNBOUNDED PRECEDING)"
     out["math_angle_norm"] = "g AS (SELECT det_id, atan2(acy-bcy, acx-bcx) - 7 AS v FROM pairs WHERE acx <> bcx OR acy <> bcy)\n--\nSELECT det_id, round(v - floor(v/pi())*pi(), 6) AS mod_pi, round(v - floor(v/(2*pi()))*2*pi(), 6) AS mod_2pi FROM g"
     out["time_add_ms"] = "SELECT det_id, ((t_us DIV 1000) % 60000 + 70123) % 1000 AS ms, (((t_us DIV 1000) % 60000 + 70123) DIV 1000) % 60 AS sec, ((t_us DIV 1000) % 60000 + 70123) DIV 60000 AS carry FROM detections"
     out["time_frame_gap"] = f"l AS (SELECT det_id, object_id, t_us, frame_id, lag(frame_id) OVER w AS pf, lag(t_us) OVER w AS pt FROM detections WINDOW w AS ({order})), k AS (SELECT *, CASE WHEN frame_id - pf <= 24 THEN t_us - pt END AS known FROM l), c AS (SELECT *, count(known) OVER ({order} ROWS UNBOUNDED PRECEDING) AS island FROM k)\n--\nSELECT det_id, coalesce(max(known) OVER (PARTITION BY object_id, island), 80000) AS gap_us FROM c"
 
     out["hyp_inclusion_prob"] = "h AS (SELECT det_id, frame_id, rd AS p, sum(rd) OVER (PARTITION BY frame_id) AS total, coalesce(sum(rd) OVER (PARTITION BY frame_id ORDER BY rd DESC, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM detections), f AS (SELECT *, min(CASE WHEN 5*p > total - above + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY frame_id ORDER BY p DESC, det_id ROWS UNBOUNDED PRECEDING) AS fixed FROM h), r AS (SELECT *, sum(CASE WHEN fixed = 0 THEN p END) OVER (PARTITION BY frame_id) AS rest FROM f)\n--\nSELECT det_id, round(CASE WHEN fixed = 1 THEN 1.0D ELSE 5*p/rest END, 6) AS pi FROM r"
-    out["hyp_dedup_sets"] = "s AS (SELECT frame_id, object_id, min(width) AS lo, max(width) AS hi, count(*) AS n, max(rd) AS p FROM detections GROUP BY frame_id, object_id), k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, lo, hi, n ORDER BY p DESC, object_id) AS rn FROM s)\n--\nSELECT frame_id, object_id, p FROM k WHERE rn = 1"
     out["trk_init"] = f"f AS (SELECT *, row_number() OVER ({order}) AS i FROM boxes)\n--\nSELECT object_id, cx AS value, 0.0D AS sd, 1.0D AS rc, rd, 0.0D AS v, 0.0D AS a FROM f WHERE i = 1"
     out["trk_reliability_nodata"] = "l AS (SELECT object_id, max(t_us) AS t, max(rd) AS acc FROM detections GROUP BY object_id), e AS (SELECT max(t_us) AS z FROM detections)\n--\nSELECT object_id, round(acc*exp(-0.1D*(z - t)/3600000000.0D), 6) AS acc_r, round(sqrt(9.0D/greatest(acc, 0.1D)), 6) AS sd FROM l CROSS JOIN e"
     out["trk_id_upsert"] = f"g AS (SELECT object_id, frame_id, det_id, frame_id - lag(frame_id) OVER ({order}) AS gap FROM detections)\n--\nSELECT det_id, object_id, CASE WHEN gap IS NULL THEN 'insert' WHEN gap > 24 THEN 'expire+insert' ELSE 'update' END AS act FROM g"

@@ -24,10 +24,9 @@ BODIES = {
     "cls_3d_box": f"{_GRID}\n--\nSELECT det_id, class, k, h, round(w, 4) AS w, round(l, 4) AS l FROM cube WHERE w > 0 AND l > 0",
     "cls_search_alpha_h": f"{_BEST}\n--\nSELECT det_id, class, k, h, round(w, 4) AS w, round(l, 4) AS l, round(p, 6) AS p FROM top WHERE rn = 1",
     "cls_tracking_coherent": f"{_BEST}, t AS (SELECT top.*, b.object_id, avg(w) OVER (PARTITION BY b.object_id, class) AS mw, avg(l) OVER (PARTITION BY b.object_id, class) AS ml FROM top JOIN boxes b ON b.det_id = top.det_id WHERE rn = 1), r AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY round(abs(w - mw) + abs(l - ml), 6), class) AS n FROM t)\n--\nSELECT det_id, class, round(abs(w - mw) + abs(l - ml), 4) AS off FROM r WHERE n = 1",
-    "cls_static_occlusion": "SELECT det_id, zone, CASE WHEN ytop > y0 THEN 1 ELSE 0 END + CASE WHEN ybottom < y1 THEN 2 ELSE 0 END + CASE WHEN xleft > x0 THEN 4 ELSE 0 END + CASE WHEN xright < x1 THEN 8 ELSE 0 END AS flags FROM boxes JOIN zones ON xleft < x1 AND xright > x0 AND ytop < y1 AND ybottom > y0 WHERE ybottom <= y1",
-    "geo_parallelepiped": f"SELECT det_id, class, mean*cos(0.3D) + mean*sin(0.3D) AS base_width, {RISE}D*mean + {DEPTH}D*mean*(cos(0.3D) + sin(0.3D)) AS box_height FROM boxes CROSS JOIN models",
-    "geo_wall_limits": "SELECT det_id, round(320 + (cy - 40)*(-180.0D)/400, 4) AS wall_x, cx < 320 + (cy - 40)*(-180.0D)/400 AS before_wall, cy BETWEEN 40 AND 440 AS beside FROM boxes",
-    "geo_convex_range": "SELECT det_id, round(greatest(100 + (cy-50)*(-20.0D)/330, 0.0D), 4) AS lo, round(CASE WHEN cy < 80 THEN 100 + (cy-50)*400.0D/30 ELSE 500 + (cy-80)*60.0D/320 END, 4) AS hi FROM boxes WHERE cy BETWEEN 50 AND 380",
+    "cls_static_occlusion": "SELECT det_id, zone, CASE WHEN ytop > y0 THEN 1 ELSE 0 END + CASE WHEN ybottom < y1 THEN 2 ELSE 0 END + CASE WHEN xleft > x0 THEN 4 ELSE 0 END + CASE WHEN xright < x1 THEN 8 ELSE 0 END AS flags FROM boxes JOIN zones ON xleft < x1 AND xright > x0 AND ytop < y1 AND ybottom > y0",
+    "geo_parallelepiped": f"p AS (SELECT det_id, class, mean, lo, hi, xleft + width/2.0D AS x, ybottom AS y, (det_id % {ANGLES})*pi()/(2.0D*{ANGLES}) AS a FROM boxes CROSS JOIN models)\n--\nSELECT det_id, class, round(mean*cos(a) + mean*sin(a), 5) AS base_width, round(lo*cos(a) + lo*sin(a), 5) AS least_width, round(hi*cos(a) + hi*sin(a), 5) AS most_width, round({RISE}D*mean + {DEPTH}D*mean*(cos(a) + sin(a)), 5) AS box_height, round(x - mean*(cos(a) + sin(a))/2, 5) AS l, round(x + mean*(cos(a) + sin(a))/2, 5) AS r, round(y - {RISE}D*mean - {DEPTH}D*mean*(cos(a) + sin(a)), 5) AS t, y AS b FROM p",
+    "geo_wall_limits": "w AS (SELECT *, 320 + (acy - 40)*(-180.0D)/400 AS wall_x, (acx - 320)*400 + (acy - 40)*180 AS f, (bcx - 320)*400 + (bcy - 40)*180 AS g, (320 - bcx)*(acy - bcy) - (40 - bcy)*(acx - bcx) AS p, (140 - bcx)*(acy - bcy) - (440 - bcy)*(acx - bcx) AS q FROM pairs)\n--\nSELECT det_id, round(wall_x, 4) AS wall_x, f < 0 AS before_wall, acy BETWEEN 40 AND 440 AS beside, sign(f)*sign(g) <= 0 AND sign(p)*sign(q) <= 0 AND NOT (f = 0 AND g = 0) AS crossed FROM w",
 }
 
 

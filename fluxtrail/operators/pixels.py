@@ -1,29 +1,19 @@
-"""Pixel operators over px(frame, x, y, r, g, b): stencils are equi-joins on exploded neighbour places."""
+"""Pixel operators over px(frame, x, y, r, g, b): stencils are equi-joins of the nine places around each pixel."""
 
 LAG = "px p JOIN px q ON q.frame = p.frame - 1 AND q.x = p.x AND q.y = p.y"
-NEAR = "px p JOIN px q ON q.frame = p.frame AND q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1"
+#: The nine places of a neighbourhood: a pixel is sent to each, and meets its neighbours by equal frame, x and y.
+OFFSETS = "(VALUES (-1, -1), (0, -1), (1, -1), (-1, 0), (0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)) AS o(dx, dy)"
+NEAR = f"px p CROSS JOIN {OFFSETS} JOIN px q ON q.frame = p.frame AND q.x = p.x + o.dx AND q.y = p.y + o.dy"
 DIFF = "((p.r-q.r)*(p.r-q.r) + (p.g-q.g)*(p.g-q.g) + (p.b-q.b)*(p.b-q.b))"
 FG = f"fg AS (SELECT p.frame, p.x, p.y, CASE WHEN {DIFF} > 22500 THEN 1 ELSE 0 END AS on_ FROM {LAG})"
-NEAR_FG = "JOIN {b} q ON q.frame = p.frame AND q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 GROUP BY p.frame, p.x, p.y"
-HUE = "CASE WHEN mx = mn THEN 0 WHEN mx = r THEN (60*(g-b)) DIV (mx-mn) WHEN mx = g THEN 120 + (60*(b-r)) DIV (mx-mn) ELSE 240 + (60*(r-g)) DIV (mx-mn) END"
+NEAR_FG = f"CROSS JOIN {OFFSETS} JOIN {{b}} q ON q.frame = p.frame AND q.x = p.x + o.dx AND q.y = p.y + o.dy GROUP BY p.frame, p.x, p.y"
+#: Integer hue; quotients of negative differences are cut off towards zero, and reds with more blue than green are below 360.
+HUE = "CASE WHEN mx = mn THEN 0 WHEN mx = r AND g >= b THEN (60*(g-b)) DIV (mx-mn) WHEN mx = r THEN 360 - (60*(b-g)) DIV (mx-mn) WHEN mx = g AND b >= r THEN 120 + (60*(b-r)) DIV (mx-mn) WHEN mx = g THEN 120 - (60*(r-b)) DIV (mx-mn) WHEN r >= g THEN 240 + (60*(r-g)) DIV (mx-mn) ELSE 240 - (60*(g-r)) DIV (mx-mn) END"
+HUE_BINS, LAGS = ", ".join(f"({k})" for k in range(36)), ", ".join(f"({k})" for k in range(1, 21))
 RANGE = "SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM px"
 BODIES = {
     "px_bg_diff": f"SELECT p.frame, p.x, p.y, CASE WHEN {DIFF} > 2500 THEN 1 ELSE 0 END AS fg FROM {LAG}",
-    "px_global_bg": f"SELECT p.frame, round(avg(cast(p.r - q.r AS double)), 6) AS dr, round(avg(cast(p.g - q.g AS double)), 6) AS dg, CASE WHEN abs(avg(cast(p.r - q.r AS double))) + abs(avg(cast(p.g - q.g AS double))) + abs(avg(cast(p.b - q.b AS double))) > 25 THEN 1 ELSE 0 END AS shift FROM {LAG} GROUP BY p.frame",
-    "px_zone_mask": "SELECT frame, x, y, rn FROM (SELECT frame, x, y, row_number() OVER (PARTITION BY frame ORDER BY y, x) AS rn FROM px WHERE x BETWEEN 2 AND 13 AND NOT (x BETWEEN 6 AND 9 AND y BETWEEN 6 AND 9)) v WHERE rn % 4 = 0",
-    "px_chromatic": f"SELECT frame, x, y, CASE WHEN mx - mn > 30 AND (mx + mn) DIV 2 < 180 AND (hue >= 300 OR hue <= 60) THEN 1 ELSE 0 END AS keep FROM (SELECT *, {HUE} AS hue FROM ({RANGE}) a) h WHERE mx = mn OR mx = g AND b >= r OR mx = r AND g >= b OR mx = b AND r >= g",
-    "px_aperture": f"{FG}, er AS (SELECT p.frame, p.x, p.y, min(q.on_) AS on_ FROM fg p {NEAR_FG.format(b='fg')})\n--\nSELECT p.frame, p.x, p.y, max(q.on_) AS fg FROM er p {NEAR_FG.format(b='er')}",
-    "px_close": f"{FG}, di AS (SELECT p.frame, p.x, p.y, max(q.on_) AS on_ FROM fg p {NEAR_FG.format(b='fg')})\n--\nSELECT p.frame, p.x, p.y, min(q.on_) AS fg FROM di p {NEAR_FG.format(b='di')}",
-    "px_vibe": "SELECT p.frame, p.x, p.y, CASE WHEN sum(CASE WHEN abs(p.r - q.r) <= 20 THEN 1 ELSE 0 END) >= 2 THEN 0 ELSE 1 END AS fg FROM px p JOIN px q ON q.x = p.x AND q.y = p.y AND q.frame BETWEEN p.frame - 8 AND p.frame - 1 GROUP BY p.frame, p.x, p.y",
-    "px_histogram": "SELECT channel, v, count(*) AS n FROM (SELECT 'R' AS channel, r AS v FROM px UNION ALL SELECT 'G', g FROM px UNION ALL SELECT 'B', b FROM px UNION ALL SELECT 'Y', (r+g+b) DIV 3 FROM px) c GROUP BY channel, v",
-    "px_peaks_moments": "h AS (SELECT frame, r DIV 16 AS bin, count(*) AS n FROM px GROUP BY frame, r DIV 16), pk AS (SELECT frame, max(n) AS top FROM h GROUP BY frame)\n--\nSELECT h.frame, max(pk.top) AS top, round(sum(cast(bin*n AS double))/sum(n), 6) AS m1, round(sqrt(greatest(0.0D, sum(cast(bin*bin*n AS double))/sum(n) - (sum(cast(bin*n AS double))/sum(n))*(sum(cast(bin*n AS double))/sum(n)))), 6) AS spread FROM h JOIN pk ON h.frame = pk.frame WHERE h.n >= 0.1*pk.top GROUP BY h.frame",
-    "px_grass": "SELECT frame, x, y, CASE WHEN g > r AND g > b AND g BETWEEN 60 AND 220 THEN 1 ELSE 0 END AS grass FROM px",
-    "px_line_filter": f"SELECT p.frame, p.x, p.y, cast(sum(((q.r+q.g+q.b) DIV 3) * CASE WHEN q.x = p.x AND q.y = p.y THEN 4 WHEN q.x = p.x OR q.y = p.y THEN 1 ELSE -2 END) AS bigint) AS v FROM {NEAR} WHERE p.x BETWEEN 1 AND 14 AND p.y BETWEEN 1 AND 14 GROUP BY p.frame, p.x, p.y",
-    "px_block_match": "blk AS (SELECT frame, x DIV 4 AS bx, y DIV 4 AS by_, x % 4 AS ox, y % 4 AS oy, r FROM px), sq AS (SELECT p.frame, p.bx, p.by_, q.bx AS sx, q.by_ AS sy, cast(sum((p.r-q.r)*(p.r-q.r)) AS bigint) AS d FROM blk p JOIN blk q ON q.frame = p.frame - 1 AND q.ox = p.ox AND q.oy = p.oy AND abs(q.bx - p.bx) <= 1 AND abs(q.by_ - p.by_) <= 1 GROUP BY p.frame, p.bx, p.by_, q.bx, q.by_)\n--\nSELECT frame, bx, by_, min(d) AS best, CASE WHEN min(d) < 0.9*min(CASE WHEN sx = bx AND sy = by_ THEN d END) THEN 'MOVING' ELSE 'STILL' END AS kind FROM sq GROUP BY frame, bx, by_",
-    "px_corr": "SELECT p.frame, p.x DIV 4 AS bx, p.y DIV 4 AS by_, round(corr(cast(p.r AS double), cast(q.r AS double)), 6) AS c FROM px p JOIN px q ON q.frame = p.frame - 1 AND q.x = p.x AND q.y = p.y GROUP BY p.frame, p.x DIV 4, p.y DIV 4",
-    "px_hue_hist": f"SELECT frame, hue DIV 10 AS bin, count(*) AS n FROM (SELECT *, {HUE} AS hue FROM ({RANGE}) a WHERE NOT (mx = r AND g < b)) h GROUP BY frame, hue DIV 10",
-    "px_color_hist2d": "a AS (SELECT frame, r DIV 64 AS i, g DIV 64 AS j, count(*)/256.0D AS p FROM px GROUP BY frame, r DIV 64, g DIV 64)\n--\nSELECT coalesce(u.frame, v.frame + 1) AS frame, round(sum(abs(coalesce(u.p, 0) - coalesce(v.p, 0))), 6) AS l1 FROM a u FULL OUTER JOIN a v ON v.frame = u.frame - 1 AND u.i = v.i AND u.j = v.j GROUP BY coalesce(u.frame, v.frame + 1)",
-    "px_movement_window": f"{FG}\n--\nSELECT p.frame, p.x, p.y, sum(q.on_) AS n FROM fg p {NEAR_FG.format(b='fg')}",
-    "agg_centroid": f"{FG}\n--\nSELECT frame, round(avg(cast(x AS double)), 6) AS cx, round(avg(cast(y AS double)), 6) AS cy, round(var_pop(cast(x AS double)), 6) AS vx, round(covar_pop(cast(x AS double), cast(y AS double)), 6) AS cxy FROM fg WHERE on_ = 1 GROUP BY frame",
+    "px_global_bg": f"d AS (SELECT p.frame, p.x, p.y, p.r - q.r AS dr, p.g - q.g AS dg, p.b - q.b AS db, q.r, q.g, q.b FROM {LAG}), k AS (SELECT p.frame, p.x, p.y, avg(cast(q.dr AS double)) AS dr, avg(cast(q.dg AS double)) AS dg, avg(cast(q.db AS double)) AS db FROM d p CROSS JOIN {OFFSETS} JOIN d q ON q.frame = p.frame AND q.x = p.x + o.dx AND q.y = p.y + o.dy WHERE p.x % 4 = 1 AND p.y % 4 = 1 GROUP BY p.frame, p.x, p.y), m AS (SELECT frame, avg(dr) AS dr, avg(dg) AS dg, avg(db) AS db, abs(avg(dr)) + abs(avg(dg)) + abs(avg(db)) > 25 AS shift FROM k GROUP BY frame)\n--\nSELECT d.frame, max(m.shift) AS shift, round(max(m.dr), 5) AS dr, round(avg(CASE WHEN shift THEN least(255.0D, greatest(0.0D, d.r + m.dr)) ELSE d.r END), 5) AS bg_r, round(avg(CASE WHEN shift THEN least(255.0D, greatest(0.0D, d.g + m.dg)) ELSE d.g END), 5) AS bg_g, round(avg(CASE WHEN shift THEN least(255.0D, greatest(0.0D, d.b + m.db)) ELSE d.b END), 5) AS bg_b FROM d JOIN m ON m.frame = d.frame GROUP BY d.frame",
+    "px_zone_mask": "v AS (SELECT frame, x, y, row_number() OVER (PARTITION BY frame ORDER BY y, x) AS nth, x - row_number() OVER (PARTITION BY frame, y ORDER BY x) AS run FROM px WHERE x BETWEEN 2 AND 13 AND NOT (x BETWEEN 6 AND 9 AND y BETWEEN 6 AND 9))\n--\nSELECT frame, y, 'run' AS kind, min(x) AS x0, max(x) AS x1 FROM v GROUP BY frame, y, run UNION ALL SELECT frame, y, 'sample', x, x FROM v WHERE nth % 4 = 0",
 }
 GRAY = ("SELECT frame, x, y, r ^ (r >> 1) AS code FROM px", "SELECT frame, x, y, xor(r, r >> 1) AS code FROM px")

@@ -25,6 +25,8 @@ for bodies in (geometry.bodies(), scene.bodies(), camera.bodies(), pixels.BODIES
     for query, statement in bodies.items():
         add(query, statement)
 add("px_gray_code", *pixels.GRAY)
+for query, statements in objects.PAIRED.items():
+    add(query, *statements)
 for query, fold, statement in (("win_cooling", recursions.cooling, recursions.COOLING_SQL), ("trk_reliability_attr", recursions.reliability, recursions.RELIABILITY_SQL)):
     QUERIES[query] = lambda spark, sf_dir, fold=fold: fold(relations.run(spark, sf_dir, "SELECT * FROM boxes"))
     SQL[query] = relations.text(statement, "events", duck=True)

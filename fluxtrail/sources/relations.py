@@ -13,9 +13,9 @@ DETECTIONS = """SELECT event_id AS det_id, user_id AS object_id, event_type AS o
 BOXES = """SELECT *, xleft + width - 1 AS xright, ytop + height - 1 AS ybottom, xleft + width/2.0 AS cx, ytop + height/2.0 AS cy FROM detections"""
 #: Every 256 events fill one frame of 16 x 16 pixels.
 PIXELS = """SELECT det_id DIV 256 AS frame, det_id % 16 AS x, (det_id DIV 16) % 16 AS y, xleft % 256 AS r, ytop % 256 AS g, (width*height) % 256 AS b FROM detections"""
-PAIRS = """SELECT p.* FROM (SELECT det_id, object_id, t_us, xleft AS ax, ytop AS ay, width AS aw, height AS ah, xright AS ar, ybottom AS ab, cx AS acx, cy AS acy,
+PAIRS = """SELECT p.* FROM (SELECT det_id, object_id, t_us, xleft AS ax, ytop AS ay, width AS aw, height AS ah, xright AS ar, ybottom AS ab, cx AS acx, cy AS acy, rd AS ard,
  lag(xleft) OVER w AS bx, lag(ytop) OVER w AS by_, lag(width) OVER w AS bw, lag(height) OVER w AS bh, lag(xright) OVER w AS br, lag(ybottom) OVER w AS bb,
- lag(cx) OVER w AS bcx, lag(cy) OVER w AS bcy FROM boxes WINDOW w AS (PARTITION BY object_id ORDER BY t_us, det_id)) p WHERE bx IS NOT NULL"""
+ lag(cx) OVER w AS bcx, lag(cy) OVER w AS bcy, lag(rd) OVER w AS brd, lag(t_us) OVER w AS bt_us FROM boxes WINDOW w AS (PARTITION BY object_id ORDER BY t_us, det_id)) p WHERE bx IS NOT NULL"""
 ZONES = """SELECT * FROM (VALUES ('NW',0,0,200,160),('NE',440,0,640,160),('SW',0,320,200,480),('SE',440,320,640,480)) AS z(zone, x0, y0, x1, y1)"""
 MODELS = """SELECT * FROM (VALUES ('PERSON',20.0D,12.0D,8.0D,40.0D),('VEHICLE',36.0D,10.0D,20.0D,60.0D)) AS m(class, mean, sigma, lo, hi)"""
 CTES = [("detections", DETECTIONS), ("boxes", BOXES), ("px", PIXELS), ("pairs", PAIRS), ("zones", ZONES), ("models", MODELS)]

@@ -140,3 +140,34 @@ def test_quality_weighs_numbers_and_symbols_apart():
     assert math.isclose(one.quality(), 1 / learner.NORM + 1)
     one.add([0.0, 0.0], ["b"])
     assert math.isclose(one.quality(), 1 / learner.NORM + 0.5)
+
+
+def test_joint_versions_against_all_of_them():
+    """The best joint versions of small frames, by listing every one of them."""
+    import itertools
+
+    rng, s = random.Random(7), tracker.Settings(per_object=1000)
+    for _ in range(60):
+        choices = []
+        for k in range(rng.randrange(1, 6)):
+            own = [tracker.Mobile(k, "k", tracker.Box(0, 9, 0, 9), p=rng.random(), frames=2 + k, used=tuple(sorted(rng.sample(range(5), rng.randrange(3))))) for _ in range(rng.randrange(1, 4))]
+            choices.append(sorted(own, key=lambda m: -m.p))
+        found = tracker.best_first(choices, s)
+        good = [pick for pick in itertools.product(*choices) if len(u := [i for m in pick for i in m.used]) == len(set(u))]
+        total = sum(c[0].frames for c in choices)
+        want = sorted((sum(m.frames * m.p for m in pick) / total for pick in good), reverse=True)[: s.retained]
+        if good:
+            assert [h.probability() for h in found] == pytest.approx(want)
+        else:
+            assert len(found) >= 1
+
+
+def test_configurations_differ(spark):
+    """The three give different rows, and a box of another size is not taken by the planar one."""
+    rng = random.Random(2)
+    rows = [(f, f * 10 + i, rng.randrange(90), rng.randrange(90)) for f in range(14) for i in range(7)]
+    found = {n: sorted((r.frame, r.object_id, r.status) for r in tracker.track(boxes(spark, rows), c).collect()) for n, c in tracker.CONFIGURATIONS.items()}
+    assert found["spatial"] != found["planar"] != found["multi_model"]
+    wide = spark.createDataFrame([("s", f, f, "k", 100, 120 + 200 * (f == 5), 100, 120 + 200 * (f == 5)) for f in range(6)], "stream string, frame long, id long, kind string, l long, r long, t long, b long")
+    last = {n: [r.status for r in tracker.track(wide, c).collect() if r.frame == 5] for n, c in tracker.CONFIGURATIONS.items()}
+    assert "LOST" in last["planar"] and "LOST" not in last["multi_model"]

@@ -45,6 +45,8 @@ EXPRESSIONS = {
     "trk_special_cases": {"kind": f"CASE WHEN ({AREA}) >= 0.95D*aw*ah AND ({AREA}) >= 0.95D*bw*bh THEN 'NORMAL' WHEN ({AREA}) >= 0.95D*aw*ah AND bw*bh > aw*ah THEN 'PARTIALLY_DETECTED' WHEN ({AREA}) < 0.05D*bw*bh AND ({AREA}) < 0.95D*aw*ah THEN 'LOST' WHEN ({AREA}) >= 0.95D*bw*bh AND aw*ah > bw*bh THEN 'PART_OF_BIGGER' ELSE 'NORMAL' END"},
     "cls_border_flag": {"flags": "(CASE WHEN ax <= 0 THEN 1 ELSE 0 END) | (CASE WHEN ar >= 639 THEN 2 ELSE 0 END) | (CASE WHEN ay <= 0 THEN 4 ELSE 0 END) | (CASE WHEN ab >= 479 THEN 8 ELSE 0 END)"},
     "trk_out_of_scene": {"out": "CASE WHEN ar < -3 OR ab < -3 OR ax > 642 OR ay > 482 THEN 1 ELSE 0 END"},
+    "math_cooling": {"c": "round(exp(-0.1D*(t_us - bt_us)/3600000000.0D), 6)"},
+    "trk_bbox_support": {n: f"round(b{p} + greatest(-12.0D*(1 - brd), least(12.0D*(1 - brd), a{q} - b{p})), 5)" for n, p, q in (("l", "x", "x"), ("t", "y_", "y"), ("r", "r", "r"), ("b", "b", "b"))},
     "time_diff_ms": {"ms": "(t_us - bt_us) DIV 1000"},
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -83,13 +83,16 @@ def run_components(fg: DataFrame, step: int = 2, tolerance: int = 1) -> DataFram
             runs += [(int(y), a, b) for a, b in runs_of(row.tolist(), step, tolerance)]
         if not runs:
             return pd.DataFrame(columns=[c.split()[0] for c in LABELS.split(", ")])
-        sets = Forest(len(runs))
+        sets, above, first = Forest(len(runs)), range(0), 0
         for j, (y, a, b) in enumerate(runs):
-            above = max((r[0] for r in runs[:j] if r[0] < y), default=None)
-            if above is not None and y - above <= tolerance + 1:
-                for i, (v, c, d) in enumerate(runs[:j]):
-                    if v == above and a - d <= tolerance and c - b <= tolerance + 1:
-                        sets.join(i, j)
+            if y != runs[first][0]:  # a new row: the one that ends here is the row above
+                above, first = range(first, j) if y - runs[first][0] <= tolerance + 1 else range(0), j
+            for i in above:
+                _, c, d = runs[i]
+                if c - b > tolerance + 1:
+                    break
+                if a - d <= tolerance:
+                    sets.join(i, j)
         y, a, b = np.array(runs).T
         return described(part["frame"].iloc[0], np.array([sets.top(i) for i in range(len(runs))]), a, b, y)
 
@@ -134,11 +137,39 @@ def partitions(n: int) -> Iterator[tuple[int, ...]]:
     yield from rows
 
 
-def merge_partitions(blobs: DataFrame, near: float = 10.0, most: int = 7) -> DataFrame:
+def connected_partitions(links: list[int], nested: Callable[[int, int], bool]) -> Iterator[list[int]]:
+    """The partitions of 0..n-1 into connected parts of which none lies in another, as bit sets in order of their least item.
+
+    ``links[i]`` has the bits of i's neighbours. The part of the least item left is grown by neighbours, each set once,
+    and a part that is nested with an earlier one ends its branch.
+    """
+
+    def grown(part: int, open_: int, left: int) -> Iterator[int]:
+        yield part
+        while open_:
+            one = open_ & -open_
+            open_ ^= one
+            left ^= one
+            yield from grown(part | one, (open_ | links[one.bit_length() - 1]) & left & ~part, left)
+
+    def rest(left: int, parts: list[int]) -> Iterator[list[int]]:
+        if not left:
+            yield parts
+            return
+        one = left & -left
+        for part in grown(one, links[one.bit_length() - 1] & left & ~one, left & ~one):
+            if not any(nested(part, p) or nested(p, part) for p in parts):
+                yield from rest(left & ~part, [*parts, part])
+
+    yield from rest((1 << len(links)) - 1, [])
+
+
+def merge_partitions(blobs: DataFrame, near: float = 10.0, most: int = 20_000) -> DataFrame:
     """grp, partition, parts: the partitions of each group of blobs(grp, id, l, r, t, b) into connected, un-nested parts.
 
-    A partition is written as the parts' numbers in order of id. Groups of more than ``most`` blobs (877 partitions) give
-    one row with all blobs together, as their partitions are too many to be hypotheses.
+    A partition is written as the parts' numbers in order of id. Only connected parts are made, so sparse groups of any
+    size are listed whole; a group with more than ``most`` partitions gives one row with all its blobs together, as
+    their number grows beyond any use with the group.
     """
 
     def apart(a, b) -> float:
@@ -147,26 +178,29 @@ def merge_partitions(blobs: DataFrame, near: float = 10.0, most: int = 7) -> Dat
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         rows = list(part.sort_values("id").itertuples(index=False))
-        n, out = len(rows), []
-        for split in partitions(n) if n <= most else [(0,) * n]:
-            boxes, good = [], True
-            for k in range(max(split) + 1):
-                own = [i for i in range(n) if split[i] == k]
-                sets = Forest(n)
-                for i in own:
-                    for j in own:
-                        if i < j and apart(rows[i], rows[j]) < near:
-                            sets.join(i, j)
-                good &= n > most or len({sets.top(i) for i in own}) == 1
-                boxes.append((min(rows[i].l for i in own), max(rows[i].r for i in own), min(rows[i].t for i in own), max(rows[i].b for i in own)))
-            good &= not any(p != q and a[0] <= b[0] and a[1] >= b[1] and a[2] <= b[2] and a[3] >= b[3] for p, a in enumerate(boxes) for q, b in enumerate(boxes))
-            if good:
-                out.append((part["grp"].iloc[0], ",".join(map(str, split)), max(split) + 1))
-        return pd.DataFrame(out, columns=["grp", "partition", "parts"])
-
-    few = blobs.join(blobs.groupBy("grp").count().filter(F.col("count") <= most).select("grp"), "grp", "left_semi")
-    many = blobs.groupBy("grp").count().filter(F.col("count") > most).select("grp", F.lit("0").alias("partition"), F.lit(1).alias("parts"))
-    return few.groupBy("grp").applyInPandas(run, "grp long, partition string, parts int").union(many)
+        n, out, boxes = len(rows), [], {}
+        links = [sum(1 << j for j in range(n) if j != i and apart(rows[i], rows[j]) < near) for i in range(n)]
+
+        def box(bits: int) -> tuple:
+            if bits not in boxes:
+                own = [rows[i] for i in range(n) if bits >> i & 1]
+                boxes[bits] = (min(r.l for r in own), max(r.r for r in own), min(r.t for r in own), max(r.b for r in own))
+            return boxes[bits]
+
+        def nested(p: int, q: int) -> bool:
+            a, b = box(p), box(q)
+            return a[0] <= b[0] and a[1] >= b[1] and a[2] <= b[2] and a[3] >= b[3]
+
+        for parts in connected_partitions(links, nested):
+            if len(out) == most:
+                out = [("0", 1)] if n else []
+                break
+            of = {i: k for k, p in enumerate(parts) for i in range(n) if p >> i & 1}
+            out.append((",".join(str(of[i]) for i in range(n)), len(parts)))
+        found = pd.DataFrame(out, columns=["partition", "parts"])
+        return found.assign(grp=part["grp"].iloc[0])[["grp", "partition", "parts"]]
+
+    return blobs.select("grp", "id", "l", "r", "t", "b").groupBy("grp").applyInPandas(run, "grp long, partition string, parts int")
 
 
 def reduced(blobs: DataFrame, overlap: float = 0.8) -> DataFrame:

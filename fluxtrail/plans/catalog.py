@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fluxtrail.functions import camera, geometry, scene
 from fluxtrail.operators import classify, objects, pixels, recursions
-from fluxtrail.plans import stateful
+from fluxtrail.plans import stateful, surface
 from fluxtrail.sources import relations
 
 FLAGSHIP = "win_planar_stats"
@@ -34,3 +34,6 @@ for query, operator in stateful.QUERIES.items():
     QUERIES[query] = operator
 for query, statement in stateful.SQL.items():
     SQL[query] = relations.text(statement, "events", duck=True)
+for query, operator in surface.QUERIES.items():
+    QUERIES[query] = operator
+    SQL[query] = relations.text(surface.SQL[query], "events", duck=True)

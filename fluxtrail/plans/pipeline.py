@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from graphlib import TopologicalSorter
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Stage(Protocol):
@@ -88,6 +90,31 @@ class Sequence:
         return df
 
 
+@dataclass
+class Timings:
+    """Mean, deviation, least, greatest and total milliseconds of each stage of a plan, each run to its end on its own."""
+
+    rows: list[tuple[str, float]] = field(default_factory=list)
+
+    def run(self, plan: Sequence, df: DataFrame, times: int = 1) -> DataFrame:
+        """The plan's result after ``times`` timed runs. A stage's time is what it takes beyond the stage before."""
+        for _ in range(times):
+            before, result = 0.0, plan.run(df)
+            for name, tap in plan.taps.items():
+                began = time.perf_counter()
+                tap.write.format("noop").mode("overwrite").save()
+                took = (time.perf_counter() - began) * 1000
+                self.rows.append((name, max(0.0, took - before)))
+                before = took
+        return result
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """module, runs, mean, sigma, lo, hi, total."""
+        ms = F.col("ms")
+        rows = spark.createDataFrame(self.rows, "module string, ms double").groupBy("module")
+        return rows.agg(F.count(ms).alias("runs"), F.avg(ms).alias("mean"), F.stddev_pop(ms).alias("sigma"), F.min(ms).alias("lo"), F.max(ms).alias("hi"), F.sum(ms).alias("total"))
+
+
 @dataclass(frozen=True)
 class Model:
     """A single model of an object: columns made from those of its dependences, and columns fed back afterwards."""

@@ -52,7 +52,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = ", ".join(f"cast(sum(CASE WHEN width DIV 8 = {k} THEN 1 ELSE 0 END) AS double)" for k in range(1, 6))
+    bins = ", ".join(f"cast(sum(CASE WHEN width DIV 8 = {k} THEN 1 ELSE 0 END) AS double)" for k in range(1, 7))
     return of(spark, sf_dir, f"SELECT object_id AS id, array({bins}) AS features, avg(height) AS y, avg(rd) AS weight FROM boxes GROUP BY object_id")
 
 

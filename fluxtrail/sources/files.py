@@ -66,35 +66,87 @@ def elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
 
 
+def corners(points: str, space: str) -> Column:
+    """Points of an outline as structs x, y, z; missing numbers are 0."""
+    x, y = ("_x", "_y") if space == "world" else ("_X", "_Y")
+    z = (lambda p: F.coalesce(p["_z"], F.lit(0.0))) if space == "world" else lambda p: F.lit(0.0)
+    return F.transform(points, lambda p: F.struct(F.coalesce(p[x], F.lit(0.0)).alias("x"), F.coalesce(p[y], F.lit(0.0)).alias("y"), z(p).alias("z")))
+
+
 def scene(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """matrices, zones and context_objects of a scene; a missing number of a zone is null, a missing name 'None', id -1."""
-    matrices = elements(spark, path, "matrix", "_name STRING, m ARRAY<DOUBLE>")
+    """matrices, zones, context_objects and walls of a scene file.
+
+    matrices(name, m): twelve numbers of the perspective, nine of the homography. zones(id, name, space, shape, outline,
+    cx, cy, rx, ry): polygons of the world, and polygons and ellipses of the image and the homography plane. A missing id
+    is -1, a missing name None, a missing height 10.
+    """
     named = [F.coalesce("_id", F.lit(-1)).alias("id"), F.coalesce("_name", F.lit("None")).alias("name")]
-    outline = F.transform("point", lambda p: F.struct(p["_x"].alias("x"), p["_y"].alias("y"), p["_z"].alias("z"))).alias("outline")
-    zones = elements(spark, path, "zone", f"_id INT, _name STRING, _space STRING, _shape STRING, _cx DOUBLE, _cy DOUBLE, _rx DOUBLE, _ry DOUBLE, point ARRAY<STRUCT<{POINT}>>")
-    objects = elements(spark, path, "context_object", f"_id INT, _name STRING, _height DOUBLE, point ARRAY<STRUCT<{POINT}>>")
+    matrices = None
+    for name, letter, rows in (("perspective", "m", 3), ("homography", "h", 3)):
+        cells = [f"_{letter}{i}{j}" for i in range(rows) for j in range(4 if letter == "m" else 3)]
+        found = elements(spark, path, f"{name}_matrix", ", ".join(f"{c} DOUBLE" for c in cells))
+        found = found.select(F.lit(name).alias("name"), F.array(*cells).alias("m"))
+        matrices = found if matrices is None else matrices.union(found)
+    flat = "_id INT, _name STRING, _type STRING, OutlineList STRUCT<Point ARRAY<STRUCT<_X DOUBLE, _Y DOUBLE>>>, Center STRUCT<_X DOUBLE, _Y DOUBLE>, Radius STRUCT<_RX DOUBLE, _RY DOUBLE>"
+    solid = f"_id INT, _name STRING, _height DOUBLE, OutlineList STRUCT<Point ARRAY<STRUCT<{POINT}>>>"
+    none = [F.lit(None).cast("double").alias(c) for c in ("cx", "cy", "rx", "ry")]
+    zones = elements(spark, path, "Zone", solid).select(*named, F.lit("world").alias("space"), F.lit("Polygon").alias("shape"), corners("OutlineList.Point", "world").alias("outline"), *none)
+    for tag, space in (("Zone2D", "image"), ("ZoneHomography", "homography")):
+        round_ = F.col("Center._X").alias("cx"), F.col("Center._Y").alias("cy"), F.col("Radius._RX").alias("rx"), F.col("Radius._RY").alias("ry")
+        shape = F.when(F.col("_type") == "Ellipse", "Ellipse").otherwise("Polygon").alias("shape")
+        zones = zones.union(elements(spark, path, tag, flat).select(*named, F.lit(space).alias("space"), shape, corners("OutlineList.Point", space).alias("outline"), *round_))
+    objects = elements(spark, path, "ContextObject", solid)
+    end = f"STRUCT<{POINT}>"
+    walls = elements(spark, path, "Wall", f"_id INT, _ident INT, _name STRING, _height DOUBLE, StartPoint {end}, EndPoint {end}")
+    point = lambda c: F.struct(*(F.col(f"{c}._{k}").alias(k) for k in "xyz"))
     return {
-        "matrices": matrices.select(F.col("_name").alias("name"), "m"),
-        "zones": zones.select(*named, F.col("_space").alias("space"), F.col("_shape").alias("shape"), *(F.col(f"_{c}").alias(c) for c in ("cx", "cy", "rx", "ry")), outline),
-        "context_objects": objects.select(*named, F.col("_height").alias("height"), outline),
+        "matrices": matrices,
+        "zones": zones,
+        "context_objects": objects.select(*named, F.coalesce("_height", F.lit(10.0)).alias("height"), corners("OutlineList.Point", "world").alias("outline")),
+        "walls": walls.select(F.coalesce("_id", "_ident", F.lit(-1)).alias("id"), F.coalesce("_name", F.lit("None")).alias("name"), F.col("_height").alias("height"), point("StartPoint").alias("start"), point("EndPoint").alias("end")),
     }
 
 
 def class_models(spark: SparkSession, path: str) -> DataFrame:
-    """class, posture, criterion, mean, sigma, lo, hi; a velocity without moments has half and twice its maximum."""
-    rows = elements(spark, path, "model", "_class STRING, _posture STRING, criterion ARRAY<STRUCT<_name STRING, _mean DOUBLE, _sigma DOUBLE, _min DOUBLE, _max DOUBLE>>")
-    c = rows.select(F.col("_class").alias("class"), F.col("_posture").alias("posture"), F.explode("criterion").alias("c")).select("class", "posture", "c.*")
-    speed = F.col("_name") == "velocity"
-    mean = F.coalesce("_mean", F.when(speed, F.col("_max") / 2)).alias("mean")
-    sigma = F.coalesce("_sigma", F.when(speed, 2 * F.col("_max"))).alias("sigma")
-    return c.select("class", "posture", F.col("_name").alias("criterion"), mean, sigma, F.col("_min").alias("lo"), F.col("_max").alias("hi"))
+    """class, kind, posture, criterion, mean, sigma, lo, hi of the classes and their postures; a velocity without moments
+    has half and twice its maximum."""
+    value = "STRUCT<_value DOUBLE>"
+    moments = f"STRUCT<mean {value}, sigma {value}, min {value}, max {value}>"
+    names = ("width", "height", "depth", "velocity")
+    own = ", ".join(f"{n} {moments}" for n in names)
+    inner = ", ".join(f"{n}: {moments}" for n in names)
+    rows = elements(spark, path, "ObjectModel", f"_name STRING, _type STRING, {own}, PostureList STRUCT<Posture ARRAY<STRUCT<_name: STRING, {inner}>>>")
+    whole = F.struct(F.lit(None).cast("string").alias("_name"), *names)
+    rows = rows.select(F.col("_name").alias("class"), F.col("_type").alias("kind"), F.explode(F.concat(F.array(whole), F.coalesce("PostureList.Posture", F.array().cast(f"array<struct<_name: string, {inner}>>")))).alias("p"))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("criterion"), F.col(f"p.{n}").alias("c")) for n in names))).alias("c")
+    rows = rows.select("class", "kind", F.col("p._name").alias("posture"), each).filter("c.c is not null")
+    of = lambda k: F.col(f"c.c.{k}._value")
+    speed = F.col("c.criterion") == "velocity"
+    mean, sigma = F.coalesce(of("mean"), F.when(speed, of("max") / 2)).alias("mean"), F.coalesce(of("sigma"), F.when(speed, 2 * of("max"))).alias("sigma")
+    return rows.select("class", "kind", "posture", "c.criterion", mean, sigma, of("min").alias("lo"), of("max").alias("hi"))
 
 
 def contexts(spark: SparkSession, path: str) -> DataFrame:
-    """context, involved, numeric(name, acuity), symbolic; an acuity at or below 0 or missing is 1."""
-    rows = elements(spark, path, "context", "_name STRING, involved ARRAY<STRING>, numeric ARRAY<STRUCT<_name STRING, _acuity DOUBLE>>, symbolic ARRAY<STRING>")
-    acuity = F.transform("numeric", lambda n: F.struct(n["_name"].alias("name"), F.when(n["_acuity"] > 0, n["_acuity"]).otherwise(1.0).alias("acuity")))
-    return rows.select(F.col("_name").alias("context"), "involved", acuity.alias("numeric"), "symbolic")
+    """context, init_file, involved, numeric(name, acuity), symbolic; an acuity at or below 0 or missing is 1."""
+    name = "STRUCT<_name: STRING>"
+    rows = elements(
+        spark, path, "Learning_Context",
+        f"_name STRING, _init_file STRING, Involved_Object_List STRUCT<Involved_Object: ARRAY<{name}>>, "
+        f"Numerical_Attribute_List STRUCT<Numerical_Attribute: ARRAY<STRUCT<_name: STRING, _acuity: DOUBLE>>>, Symbolic_Attribute_List STRUCT<Symbolic_Attribute: ARRAY<{name}>>",
+    )
+    names = lambda c: F.coalesce(F.transform(c, lambda n: n["_name"]), F.array().cast("array<string>"))
+    acuity = F.transform("Numerical_Attribute_List.Numerical_Attribute", lambda n: F.struct(n["_name"].alias("name"), F.when(n["_acuity"] > 0, n["_acuity"]).otherwise(1.0).alias("acuity")))
+    return rows.select(
+        F.col("_name").alias("context"), F.col("_init_file").alias("init_file"), names("Involved_Object_List.Involved_Object").alias("involved"),
+        F.coalesce(acuity, F.array().cast("array<struct<name:string,acuity:double>>")).alias("numeric"), names("Symbolic_Attribute_List.Symbolic_Attribute").alias("symbolic"),
+    )
+
+
+def multimodel(spark: SparkSession, path: str) -> DataFrame:
+    """name, model, buffer, dependences of the models of a file, each with the models it needs."""
+    rows = elements(spark, path, "Model", "_name STRING, _model STRING, _buffer INT, Dependences STRUCT<Dependence: ARRAY<STRUCT<_name: STRING>>>")
+    needs = F.coalesce(F.transform("Dependences.Dependence", lambda d: d["_name"]), F.array().cast("array<string>"))
+    return rows.select(F.col("_name").alias("name"), F.col("_model").alias("model"), F.col("_buffer").alias("buffer"), needs.alias("dependences"))
 
 
 def supervised(spark: SparkSession, path: str) -> DataFrame:

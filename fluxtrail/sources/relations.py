@@ -31,7 +31,8 @@ def text(body: str, events: str, duck: bool) -> str:
             seen.append(sql)
     ctes = [f"{n} AS ({s.format(**fill) if n == 'detections' else s})" for n, s in CTES if n in needed]
     extra, _, last = body.rpartition("\n--\n")
-    sql = "WITH " + ("RECURSIVE " if "RECUR" in body else "") + ",\n".join([*ctes, *([extra] if extra else [])]).replace("/*RECUR*/", "") + "\n" + last
+    parts = [*ctes, *([extra] if extra else [])]
+    sql = ("WITH " + ("RECURSIVE " if "RECUR" in body else "") + ",\n".join(parts).replace("/*RECUR*/", "") + "\n" if parts else "") + last
     if duck:
         sql = re.sub(r"\b([0-9.]+)D\b", r"\1::double", sql.replace(" DIV ", " // "))
     return sql

@@ -56,6 +56,12 @@ def ellipses(concepts: DataFrame) -> DataFrame:
     return states.select("context", "id", number("means", 0).alias("cx"), number("means", 1).alias("cy"), number("sigmas", 0).alias("rx"), number("sigmas", 1).alias("ry"))
 
 
+def gnuplot(concepts: DataFrame) -> DataFrame:
+    """value: the lines of a plot script, an ellipse of one deviation a state."""
+    line = "format_string('set object %d ellipse center %.3f,%.3f size %.3f,%.3f', id, cx, cy, 2*rx, 2*ry)"
+    return ellipses(concepts).selectExpr(f"{line} AS value")
+
+
 def view_name(frame: str = "frame") -> Column:
     """The file name of a rendered view."""
     return F.concat(F.lpad(F.col(frame).cast("string"), 6, "0"), F.lit(".jpg"))

@@ -29,24 +29,6 @@ def test_ground_truth(spark, tmp_path):
     assert files.ground_truth(spark, str(path), files.TRACKING_SHIFT).first().ytop == 18
 
 
-def test_scene_models_contexts(spark, tmp_path):
-    path = tmp_path / "scene.xml"
-    path.write_text(
-        '<s><matrix name="homography"><m>1</m><m>0.5</m></matrix><zone id="1" space="image" shape="Polygon"><point x="1" y="2" z="0"/><point x="3" y="2" z="0"/></zone>'
-        '<context_object id="2" name="desk" height="80"><point x="1" y="2" z="0"/></context_object>'
-        '<model class="PERSON"><criterion name="velocity" max="10"/><criterion name="width" mean="40" sigma="80" min="30" max="140"/></model>'
-        '<context name="c"><involved>PERSON</involved><numeric name="X" acuity="20"/><numeric name="Y" acuity="-1"/></context></s>'
-    )
-    found = files.scene(spark, str(path))
-    assert found["matrices"].first().m == [1.0, 0.5]
-    zone = found["zones"].first()
-    assert (zone.id, zone.name, zone.shape, len(zone.outline)) == (1, "None", "Polygon", 2)
-    assert found["context_objects"].first().height == 80
-    models = {r.criterion: (r["mean"], r.sigma) for r in files.class_models(spark, str(path)).collect()}
-    assert models == {"velocity": (5.0, 20.0), "width": (40.0, 80.0)}
-    assert [(n.name, n.acuity) for n in files.contexts(spark, str(path)).first().numeric] == [("X", 20.0), ("Y", 1.0)]
-
-
 def test_supervised(spark, tmp_path):
     (tmp_path / "t.txt").write_text("# image mean\n 1  2.5\t3 4 0.5\n\n2 1 2\n3 x 1 1 1\n")
     assert [tuple(r) for r in files.supervised(spark, str(tmp_path / "t.txt")).orderBy("image").collect()] == [(1, 2.5, 3.0, 4.0, 0.5), (3, None, 1.0, 1.0, 1.0)]

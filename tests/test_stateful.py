@@ -171,3 +171,51 @@ def test_configurations_differ(spark):
     wide = spark.createDataFrame([("s", f, f, "k", 100, 120 + 200 * (f == 5), 100, 120 + 200 * (f == 5)) for f in range(6)], "stream string, frame long, id long, kind string, l long, r long, t long, b long")
     last = {n: [r.status for r in tracker.track(wide, c).collect() if r.frame == 5] for n, c in tracker.CONFIGURATIONS.items()}
     assert "LOST" in last["planar"] and "LOST" not in last["multi_model"]
+
+
+def test_partitions_against_all_set_partitions():
+    rng = random.Random(11)
+    for _ in range(40):
+        n = rng.randrange(1, 7)
+        rects = [(x, x + rng.randrange(5, 30), y, y + rng.randrange(5, 30)) for x, y in [(rng.randrange(50), rng.randrange(50)) for _ in range(n)]]
+        links = [sum(1 << j for j in range(n) if j != i and max(rects[i][0] - rects[j][1], rects[j][0] - rects[i][1], rects[i][2] - rects[j][3], rects[j][2] - rects[i][3]) < 8) for i in range(n)]
+        hull = lambda own: (min(rects[i][0] for i in own), max(rects[i][1] for i in own), min(rects[i][2] for i in own), max(rects[i][3] for i in own))
+        inside = lambda a, b: a[0] <= b[0] and a[1] >= b[1] and a[2] <= b[2] and a[3] >= b[3]
+        items = lambda bits: [i for i in range(n) if bits >> i & 1]
+        want = set()
+        for split in components.partitions(n):
+            parts = [[i for i in range(n) if split[i] == k] for k in range(max(split) + 1)]
+            whole = True
+            for own in parts:
+                sets = components.Forest(n)
+                for i in own:
+                    for j in own:
+                        if links[i] >> j & 1:
+                            sets.join(i, j)
+                whole &= len({sets.top(i) for i in own}) == 1
+            if whole and not any(p is not q and inside(hull(p), hull(q)) for p in parts for q in parts):
+                want.add(split)
+        found = [tuple(next(k for k, p in enumerate(parts) if p >> i & 1) for i in range(n)) for parts in components.connected_partitions(links, lambda p, q: inside(hull(items(p)), hull(items(q))))]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_runs_join_with_the_row_above_alone(spark):
+    """Components of runs against joining every pair of runs of neighbouring rows."""
+    rng = random.Random(4)
+    points = sorted({(rng.randrange(12), rng.randrange(20)) for _ in range(110)})
+    rows = {}
+    for y, x in points:
+        rows.setdefault(y, []).append(x)
+    runs = [(y, a, b) for y in sorted(rows) for a, b in components.runs_of(rows[y], 2, 1)]
+    sets = components.Forest(len(runs))
+    for j, (y, a, b) in enumerate(runs):
+        above = max((r[0] for r in runs if r[0] < y), default=-9)
+        for i, (v, c, d) in enumerate(runs[:j]):
+            if v == above and y - v <= 2 and a - d <= 1 and c - b <= 2:
+                sets.join(i, j)
+    want = {}
+    for i, (y, a, b) in enumerate(runs):
+        want.setdefault(sets.top(i), []).append((y, a, b))
+    want = sorted((min(y * 65536 + a for y, a, _ in own), sum(b - a + 1 for _, a, b in own)) for own in want.values())
+    df = spark.createDataFrame([(0, x, y) for y, x in points], "frame long, x long, y long")
+    assert sorted((r.label, r.n) for r in components.run_components(df).collect()) == want

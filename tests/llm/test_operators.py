@@ -139,20 +139,31 @@ def test_all_rows_teach_the_mixer(spark):
     counts = collections.Counter(w for t in texts for w in mixlm.tokens_of(t))
     code = mixlm.huffman(list(counts.items()), 0)
     decisions = sum(c * code.size[code.classes[w]] for w, c in counts.items())
-    docs = spark.createDataFrame(list(enumerate(texts)), "fold int, text string")
-    mixer, seen = mixlm.taught(docs.withColumn("fold", F.col("fold") % 2), code, 14)
+    docs = spark.createDataFrame([(k, k % 2, t, False) for k, t in enumerate(texts)], "doc_id long, fold int, text string, held_out boolean")
+    docs = mixlm.tokenized(docs)
+    assert {bytes(r.word): r.c for r in mixlm.counted(docs).collect()} == dict(counts)
+    docs = docs.filter("kind = 0")
+    mixer, seen = mixlm.taught(docs, code, 14)
     plain, tables = mixlm.gather(docs, code, 14)
     whole = mixlm.Mixer.of(plain, tables)
     assert seen == decisions == plain.sum() == tables[0].sum()
     assert (mixer.plain == whole.plain).all() and (mixer.logits == whole.logits).all() and (mixer.weights != whole.weights).any()
 
 
+def test_lookup_finds_what_it_holds():
+    pick = np.random.default_rng(1)
+    marks = np.unique(np.concatenate([pick.integers(0, 2**64, 3000, np.uint64), (np.arange(500, dtype=np.uint64) << np.uint64(3)) + np.uint64(2**63)]))
+    held, other = marks[::2], marks[1::2]
+    found = mixlm.Lookup(held, np.arange(1, len(held) + 1))
+    assert (found[held] == np.arange(1, len(held) + 1)).all() and not found[other].any()
+
+
 def test_decision_probabilities_sum_to_one():
     code = mixlm.huffman([(bytes([65 + k]), 3 ** (k % 5)) for k in range(20)], 40)
     mixer = mixlm.Mixer.of(np.random.default_rng(2).integers(0, 9, (len(code.depth), 2)).astype(np.float32), np.random.default_rng(3).integers(0, 3, (2, 1 << 14, 2)).astype(np.float32))
     total = 0.0
     for k in range(21):
-        held = [(0, np.array([1, k]), np.array([0, 0, 5, 6], np.uint64), [])]
+        held = [(0, np.array([1, k]), np.array([0, 0, 5, 6], np.uint64))]
         text, _, _, nodes, answers, slots, token = mixlm.flat(held, code, 14)
         p = mixer.probability(nodes, slots, code.depth[nodes])
         total += np.prod(np.where(answers == 1, p, 1 - p)[token == 3])

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LABELS = "frame long, label long, n long, l long, r long, t long, b long"
@@ -203,6 +204,38 @@ def merge_partitions(blobs: DataFrame, near: float = 10.0, most: int = 20_000) -
     return blobs.select("grp", "id", "l", "r", "t", "b").groupBy("grp").applyInPandas(run, "grp long, partition string, parts int")
 
 
+def merge_search(blobs: DataFrame, least: float = 30.0, near: float = 10.0, most: int = 20_000) -> DataFrame:
+    """grp, partition, merges: the fewest merges after which every part of a group of blobs(grp, id, l, r, t, b) is wide and
+    high enough to be classified, ``least`` each way; no row where no partition into connected, un-nested parts is.
+
+    Of as few merges the partition that comes first as text. A group with more than ``most`` partitions is taken as one.
+    """
+    all_of = merge_partitions(blobs, near, most)
+    item = F.posexplode(F.transform(F.split("partition", ","), lambda k: k.cast("int"))).alias("pos", "part")
+    rows = blobs.select("grp", "l", "r", "t", "b", (F.row_number().over(W.partitionBy("grp").orderBy("id")) - 1).alias("pos"))
+    lone = F.when(F.instr("partition", ",") == 0, F.lit(True)).otherwise(F.lit(False))
+    listed = all_of.select("grp", "partition", lone.alias("lone"), item)
+    boxes = listed.join(rows, (listed.grp == rows.grp) & (listed.lone | (listed.pos == rows.pos))).groupBy(listed.grp, "partition", "part").agg((F.max("r") - F.min("l") + 1).alias("w"), (F.max("b") - F.min("t") + 1).alias("h"), F.count(F.lit(1)).alias("n"))
+    good = boxes.groupBy("grp", "partition").agg(F.sum(F.col("n") - 1).alias("merges"), F.min((F.col("w") >= least) & (F.col("h") >= least)).alias("fits")).filter("fits")
+    return good.groupBy("grp").agg(F.min(F.struct("merges", "partition")).alias("best")).select("grp", "best.partition", "best.merges")
+
+
+def corresponding(pairs: DataFrame) -> DataFrame:
+    """frame, a, b, score: of pairs(frame, a, b, score) the ones that a greedy choice keeps: the best pair, then the best of
+    blobs still free, and so on; ties by a, then b. A frame's pairs are one task's rows."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        used_a, used_b, out = set(), set(), []
+        for row in part.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples(index=False):
+            if row.a not in used_a and row.b not in used_b:
+                used_a.add(row.a)
+                used_b.add(row.b)
+                out.append(row)
+        return pd.DataFrame(out, columns=["frame", "a", "b", "score"])
+
+    return pairs.select("frame", "a", "b", "score").groupBy("frame").applyInPandas(run, "frame long, a long, b long, score double")
+
+
 def reduced(blobs: DataFrame, overlap: float = 0.8) -> DataFrame:
     """frame, id, l, r, t, b, absorbed: blobs(frame, id, l, r, t, b) after each took in the ones mostly inside it, until none is.
 

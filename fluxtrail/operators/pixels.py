@@ -15,7 +15,6 @@ INSIDE = " AND ".join(f"({c - a})*(y - {b}) - ({d - b})*(x - {a}) >= 0" for (a,
 HUE_BINS, LAGS = ", ".join(f"({k})" for k in range(36)), ", ".join(f"({k})" for k in range(1, 21))
 RANGE = "SELECT *, greatest(r, g, b) AS mx, least(r, g, b) AS mn FROM px"
 BODIES = {
-    "px_bg_diff": f"SELECT p.frame, p.x, p.y, CASE WHEN {DIFF} > 2500 THEN 1 ELSE 0 END AS fg FROM {LAG}",
     "px_global_bg": f"d AS (SELECT p.frame, p.x, p.y, p.r - q.r AS dr, p.g - q.g AS dg, p.b - q.b AS db, q.r, q.g, q.b FROM {LAG}), k AS (SELECT p.frame, p.x, p.y, avg(cast(q.dr AS double)) AS dr, avg(cast(q.dg AS double)) AS dg, avg(cast(q.db AS double)) AS db FROM d p CROSS JOIN {OFFSETS} JOIN d q ON q.frame = p.frame AND q.x = p.x + o.dx AND q.y = p.y + o.dy WHERE p.x % 4 = 1 AND p.y % 4 = 1 GROUP BY p.frame, p.x, p.y), m AS (SELECT frame, avg(dr) AS dr, avg(dg) AS dg, avg(db) AS db, abs(avg(dr)) + abs(avg(dg)) + abs(avg(db)) > 25 AS shift FROM k GROUP BY frame)\n--\nSELECT d.frame, max(m.shift) AS shift, round(max(m.dr), 5) AS dr, round(avg(CASE WHEN shift THEN least(255.0D, greatest(0.0D, d.r + m.dr)) ELSE d.r END), 5) AS bg_r, round(avg(CASE WHEN shift THEN least(255.0D, greatest(0.0D, d.g + m.dg)) ELSE d.g END), 5) AS bg_g, round(avg(CASE WHEN shift THEN least(255.0D, greatest(0.0D, d.b + m.db)) ELSE d.b END), 5) AS bg_b FROM d JOIN m ON m.frame = d.frame GROUP BY d.frame",
     "px_zone_mask": "v AS (SELECT frame, x, y, row_number() OVER (PARTITION BY frame ORDER BY y, x) AS nth, x - row_number() OVER (PARTITION BY frame, y ORDER BY x) AS run FROM px WHERE x BETWEEN 2 AND 13 AND NOT (x BETWEEN 6 AND 9 AND y BETWEEN 6 AND 9))\n--\nSELECT frame, y, 'run' AS kind, min(x) AS x0, max(x) AS x1 FROM v GROUP BY frame, y, run UNION ALL SELECT frame, y, 'sample', x, x FROM v WHERE nth % 4 = 0",
     "agg_density": f"{FG}, i AS (SELECT frame, on_, CASE WHEN {INSIDE} THEN 1 ELSE 0 END AS in_ FROM fg), n AS (SELECT frame, sum(on_*in_) AS tp, sum((1-on_)*(1-in_)) AS tn, sum((1-on_)*in_) AS fp, sum(on_*(1-in_)) AS fn FROM i GROUP BY frame)\n--\nSELECT frame, cast(tp AS bigint) AS tp, cast(tn AS bigint) AS tn, cast(fp AS bigint) AS fp, cast(fn AS bigint) AS fn, round(tp/nullif(cast(tp + fp AS double), 0), 6) AS inside_rate, round((tp + tn)/cast(tp + tn + fp + fn AS double), 6) AS agreement FROM n",

@@ -46,3 +46,82 @@ def reliability(boxes: DataFrame) -> DataFrame:
 #: Closed forms of the same: every earlier row of the object weighs exp(-LAMBDA * age).
 COOLING_SQL = f"SELECT a.det_id, round(sum(exp(-{LAMBDA}*(a.t_us - b.t_us)/3600000000.0::double)), 6) AS cooling FROM boxes a JOIN boxes b ON a.object_id = b.object_id AND (b.t_us < a.t_us OR b.t_us = a.t_us AND b.det_id <= a.det_id) GROUP BY a.det_id"
 RELIABILITY_SQL = f"m AS (SELECT object_id, max(t_us) AS z FROM boxes GROUP BY object_id), w AS (SELECT b.object_id, rd, cx, exp(-{LAMBDA}*(z - t_us)/3600000000.0::double) AS k FROM boxes b JOIN m ON b.object_id = m.object_id)\n--\nSELECT object_id, round(sum(k*rd*cx)/sum(k*rd), 5) AS value, round(sum(k*rd), 6) AS acc_r, round(least(1.0, sum(k*rd)/sum(k)), 6) AS rd_out FROM w GROUP BY object_id"
+
+
+def mobile_size(boxes: DataFrame, length: float = 20.0, spread: float = 40.0) -> DataFrame:
+    """det_id, w, sd_w, rc_w, h, sd_h, rc_h: size of an object on the screen after each row, blended by the reliability of
+    its area, min(1, w*h / length^2); coherence falls from 1 to 0 as the deviation grows to ``spread``."""
+
+    def step(state: dict, row: Any) -> list[tuple]:
+        weight = min(1.0, row.width * row.height / length**2)
+        cool = math.exp(-LAMBDA * (row.t_us - state.get("t", row.t_us)) / HOUR_US)
+        old = cool * state.get("acc", 0.0)
+        acc, sums = weight + old, 1 + cool * state.get("sums", 0.0)
+        rd = min(1.0, acc / sums)
+        out = [row.det_id]
+        for name, data in (("w", float(row.width)), ("h", float(row.height))):
+            value, sd = state.get(name, (data, 0.0))
+            sd = math.sqrt(old / acc * (sd**2 + weight * (data - value) ** 2 / rd))
+            value = (data * weight + old * value) / acc
+            state[name] = (value, sd)
+            out += [round(value, 5), round(sd, 5), round(1 - min(1.0, sd / spread), 6)]
+        state.update(t=row.t_us, acc=acc, sums=sums)
+        return [tuple(out)]
+
+    shape = "det_id long, w double, sd_w double, rc_w double, h double, sd_h double, rc_h double"
+    return ordered_fold(boxes.select("object_id", "t_us", "det_id", "width", "height"), ["object_id"], ["t_us", "det_id"], shape, dict, step)
+
+
+def mobile_place(boxes: DataFrame, columns: tuple[str, str] = ("cx", "cy"), expect: bool = False) -> DataFrame:
+    """det_id, x, y, vx, vy: place and speed (an hour) of an object after each row, blended with the place its speed foretells.
+
+    ``expect`` blends the result once more with the foretold place, by the reliability of the data and of the speed: the
+    recursion of objects in space, whose ``columns`` are places on the ground.
+    """
+
+    def step(state: dict, row: Any) -> list[tuple]:
+        hours = (row.t_us - state.get("t", row.t_us)) / HOUR_US
+        old = math.exp(-LAMBDA * hours) * state.get("acc", 0.0)
+        acc = row.rd + old
+        out, speeds = [row.det_id], []
+        for name in columns:
+            data = float(getattr(row, name))
+            value, speed, last = state.get(name, (data, 0.0, data))
+            guess = value + speed * hours
+            if state and hours > 0:
+                speed = (row.rd * (data - last) / hours + old * speed) / acc
+            value = (data * row.rd + old * guess) / acc
+            if expect:
+                trust = 1 / (1 + abs(speed) / 100)
+                value = (row.rd * value + (1 - row.rd) * trust * guess) / (row.rd + (1 - row.rd) * trust)
+            state[name] = (value, speed, data)
+            out.append(round(value, 4))
+            speeds.append(round(speed, 4))
+        state.update(t=row.t_us, acc=acc)
+        return [tuple(out + speeds)]
+
+    shape = "det_id long, x double, y double, vx double, vy double"
+    return ordered_fold(boxes.select("object_id", "t_us", "det_id", "rd", *columns), ["object_id"], ["t_us", "det_id"], shape, dict, step)
+
+
+_ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY t_us, det_id) AS i, (t_us - lag(t_us) OVER (PARTITION BY object_id ORDER BY t_us, det_id))/3600000000.0D AS g FROM {rows}), "
+
+
+def size_sql(length: float = 20.0, spread: float = 40.0) -> str:
+    """The same recursion, a row at a time."""
+    start = f"SELECT object_id, i, det_id, least(1.0D, width*height/{length**2}D) AS acc, 1.0D AS sums, 1.0D*width AS w, 0.0D AS sw, 1.0D*height AS h, 0.0D AS sh FROM o WHERE i = 1"
+    step = f"SELECT o.object_id, o.i, o.det_id, least(1.0D, o.width*o.height/{length**2}D) AS r, exp(-{LAMBDA}D*o.g) AS c, f.acc AS a0, f.sums AS s0, f.w AS w0, f.sw AS sw0, f.h AS h0, f.sh AS sh0, 1.0D*o.width AS dw, 1.0D*o.height AS dh FROM f JOIN o ON o.object_id = f.object_id AND o.i = f.i + 1"
+    sd = lambda n: f"sqrt(c*a0/(r + c*a0)*(s{n}0*s{n}0 + r*(d{n} - {n}0)*(d{n} - {n}0)/least(1.0D, (r + c*a0)/(1 + c*s0))))"
+    value = lambda n: f"(d{n}*r + c*a0*{n}0)/(r + c*a0)"
+    rc = lambda n: f"round(1 - least(1.0D, s{n}/{spread}D), 6)"
+    return _ORDERED.format(rows="boxes") + f"/*RECUR*/f(object_id, i, det_id, acc, sums, w, sw, h, sh) AS ({start} UNION ALL SELECT object_id, i, det_id, r + c*a0, 1 + c*s0, {value('w')}, {sd('w')}, {value('h')}, {sd('h')} FROM ({step}) k)\n--\nSELECT det_id, round(w, 5) AS w, round(sw, 5) AS sd_w, {rc('w')} AS rc_w, round(h, 5) AS h, round(sh, 5) AS sd_h, {rc('h')} AS rc_h FROM f"
+
+
+def place_sql(x: str = "cx", y: str = "cy", expect: bool = False) -> str:
+    """The same recursion, a row at a time."""
+    rows = f"(SELECT object_id, t_us, det_id, cast(rd AS double) AS rd, cast({x} AS double) AS px_, cast({y} AS double) AS py_ FROM boxes) q"
+    step = f"SELECT o.object_id, o.i, o.det_id, o.rd AS r, o.g, exp(-{LAMBDA}D*o.g)*f.acc AS a, o.px_ AS dx, o.py_ AS dy, f.x + f.vx*o.g AS ex, f.y + f.vy*o.g AS ey, " + ", ".join(f"CASE WHEN o.g > 0 THEN (o.rd*(o.p{n}_ - f.l{n})/o.g + exp(-{LAMBDA}D*o.g)*f.acc*f.v{n})/(o.rd + exp(-{LAMBDA}D*o.g)*f.acc) ELSE f.v{n} END AS w{n}" for n in "xy") + " FROM f JOIN o ON o.object_id = f.object_id AND o.i = f.i + 1"
+    plain = lambda n: f"(d{n}*r + a*e{n})/(r + a)"
+    trust = lambda n: f"((1 - r)/(1 + abs(w{n})/100))"
+    value = (lambda n: f"(r*{plain(n)} + {trust(n)}*e{n})/(r + {trust(n)})") if expect else plain
+    return _ORDERED.format(rows=rows) + f"/*RECUR*/f(object_id, i, det_id, acc, x, y, vx, vy, lx, ly) AS (SELECT object_id, i, det_id, rd, px_, py_, 0.0D, 0.0D, px_, py_ FROM o WHERE i = 1 UNION ALL SELECT object_id, i, det_id, r + a, {value('x')}, {value('y')}, wx, wy, dx, dy FROM ({step}) k)\n--\nSELECT det_id, round(x, 4) AS x, round(y, 4) AS y, round(vx, 4) AS vx, round(vy, 4) AS vy FROM f"

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxtrail.operators import classify, components, folds, learner, lives, tracker
+from fluxtrail.operators import classify, components, folds, learner, lives, objects, recursions, tracker
 from fluxtrail.plans import session
 from fluxtrail.sources import relations
 
@@ -63,6 +64,18 @@ SIGHTS = """f AS (SELECT *, row_number() OVER (PARTITION BY obj_type, frame_id O
 SELECT obj_type AS stream, frame_id AS frame, CASE WHEN rd >= 0.3 THEN cast(cx AS double) END AS x, CASE WHEN rd >= 0.3 THEN cast(cy AS double) END AS y,
  1.0D*xleft AS x1, cast(cy AS double) AS y1, 1.0D*xright AS x2, cast(cy AS double) AS y2, cast(height*rd AS double) AS half1, cast(height*(1 - rd) AS double) AS half2, CASE WHEN det_id % 7 > 0 THEN 1.0D*width END AS length
 FROM f WHERE rn = 1"""
+#: Boxes of a kind and frame and those of the frame before, with the share of the larger box that both cover.
+MATCHES = f"SELECT a.frame_id AS frame, a.det_id AS a, b.det_id AS b, cast({objects.BOTH} AS double)/greatest(a.width*a.height, b.width*b.height) AS score FROM boxes a JOIN boxes b ON b.frame_id = a.frame_id - 1 AND {objects.HIT}"
+#: An object's foot on the ground, by a plane map of the screen.
+GROUND = ("(0.02D*cx + 0.001D*ybottom + 1)/(0.0001D*cx + 0.0002D*ybottom + 1)", "(0.002D*cx + 0.03D*ybottom + 2)/(0.0001D*cx + 0.0002D*ybottom + 1)")
+
+
+def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """frame, x, y, fg of the pixels in the zone: whether a pixel is farther than 50 from the running background before it."""
+    px = of(spark, sf_dir, "SELECT 3*x + c AS x, y, frame, CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM px CROSS JOIN (VALUES (0), (1), (2)) AS k(c) WHERE x BETWEEN 2 AND 13 AND NOT (x BETWEEN 6 AND 9 AND y BETWEEN 6 AND 9)")
+    before = F.lag("bg").over(W.partitionBy("x", "y").orderBy("frame"))
+    off = px.join(folds.background(px), ["x", "y", "frame"]).withColumn("off", F.pow(F.col("v") - before, F.lit(2)))
+    return off.groupBy("frame", F.expr("x div 3").alias("x"), "y").agg(F.sum("off").alias("off")).filter("off is not null").select("frame", "x", "y", (F.col("off") > 2500).cast("int").alias("fg"))
 
 
 QUERIES = {
@@ -76,6 +89,12 @@ QUERIES = {
     "merge_groups": lambda s, d: components.groups(of(s, d, EDGES)),
     "merge_connectivity": connectivity,
     "merge_partitions": lambda s, d: components.merge_partitions(grouped(s, d)),
+    "premerge_search": lambda s, d: components.merge_search(grouped(s, d)),
+    "premerge_correspond": lambda s, d: components.corresponding(of(s, d, MATCHES)),
+    "px_bg_diff": moved,
+    "trk_mobile2d_dim": lambda s, d: recursions.mobile_size(of(s, d, "SELECT * FROM boxes")),
+    "trk_mobile2d_pos": lambda s, d: recursions.mobile_place(of(s, d, "SELECT object_id, t_us, det_id, cast(rd AS double) AS rd, cx, cy FROM boxes")),
+    "trk_mobile3d": lambda s, d: recursions.mobile_place(of(s, d, f"SELECT object_id, t_us, det_id, cast(rd AS double) AS rd, {GROUND[0]} AS gx, {GROUND[1]} AS gy FROM boxes"), ("gx", "gy"), expect=True),
     "premerge_reduce": lambda s, d: components.reduced(of(s, d, "SELECT frame_id AS frame, det_id AS id, xleft AS l, xright AS r, ytop AS t, ybottom AS b FROM boxes")),
     "trk_multi_hypothesis": lambda s, d: tracker.track(blobs(s, d)),
     "trk_2d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["planar"]),
@@ -100,6 +119,10 @@ SQL = {
     "merge_groups": NAMED + "SELECT node, grp FROM g",
     "merge_connectivity": NAMED + "SELECT frame_id*8 + length(obj_type) AS frame, min(coalesce(grp, det_id)) = max(coalesce(grp, det_id)) AS connected FROM boxes LEFT JOIN g ON g.node = det_id GROUP BY frame_id*8 + length(obj_type)",
     "geo_polygon_clip": "SELECT det_id AS id, round(greatest(0, least(ar, br) - greatest(ax, bx))*greatest(0, least(ab, bb) - greatest(ay, by_))*1.0D, 4) AS area FROM pairs",
+    "px_bg_diff": "o AS (SELECT x, y, frame, r, g, b, row_number() OVER (PARTITION BY x, y ORDER BY frame) AS i FROM px WHERE x BETWEEN 2 AND 13 AND NOT (x BETWEEN 6 AND 9 AND y BETWEEN 6 AND 9)), /*RECUR*/f(x, y, frame, i, r, g, b, off) AS (SELECT x, y, frame, i, r, g, b, cast(NULL AS bigint) FROM o WHERE i = 1 UNION ALL SELECT o.x, o.y, o.frame, o.i, " + ", ".join(f"cast(floor(0.9D*f.{c} + 0.1D*o.{c} + 1e-9) AS bigint)" for c in "rgb") + ", cast((o.r - f.r)*(o.r - f.r) + (o.g - f.g)*(o.g - f.g) + (o.b - f.b)*(o.b - f.b) AS bigint) FROM f JOIN o ON o.x = f.x AND o.y = f.y AND o.i = f.i + 1)\n--\nSELECT frame, x, y, CASE WHEN off > 2500 THEN 1 ELSE 0 END AS fg FROM f WHERE off IS NOT NULL",
+    "trk_mobile2d_dim": recursions.size_sql(),
+    "trk_mobile2d_pos": recursions.place_sql(),
+    "trk_mobile3d": recursions.place_sql(*GROUND, expect=True),
     "px_bg_update": "o AS (SELECT x, y, frame, r, row_number() OVER (PARTITION BY x, y ORDER BY frame) AS i FROM px), /*RECUR*/f(x, y, frame, i, bg) AS (SELECT x, y, frame, i, r FROM o WHERE i = 1 UNION ALL SELECT o.x, o.y, o.frame, o.i, cast(floor(0.9D*f.bg + 0.1D*o.r + 1e-9) AS bigint) FROM f JOIN o ON o.x = f.x AND o.y = f.y AND o.i = f.i + 1)\n--\nSELECT x, y, frame, bg FROM f",
     "attr_ema_probability": "SELECT a.object_id, a.det_id, round(sum(b.rd*exp(-0.1D*(a.t_us - b.t_us)/3600000000.0D))/sum(exp(-0.1D*(a.t_us - b.t_us)/3600000000.0D)), 6) AS p FROM boxes a JOIN boxes b ON a.object_id = b.object_id AND (b.t_us < a.t_us OR b.t_us = a.t_us AND b.det_id <= a.det_id) GROUP BY a.object_id, a.det_id",
     "trk_blob_autoc": f"e AS ({EVIDENCE}), o AS (SELECT object_id, det_id, CASE WHEN NOT fits THEN 3 WHEN cover > 0.1D THEN 0 ELSE 1 END AS worse, row_number() OVER (PARTITION BY object_id ORDER BY t_us, det_id) AS i FROM e), /*RECUR*/f(object_id, det_id, i, life, bad) AS (SELECT object_id, det_id, i, 1, 0 FROM o WHERE i = 1 UNION ALL SELECT o.object_id, o.det_id, o.i, CASE WHEN f.bad > 3 THEN f.life + 1 ELSE f.life END, CASE WHEN f.bad > 3 OR o.worse = 0 THEN 0 ELSE f.bad + o.worse END FROM f JOIN o ON o.object_id = f.object_id AND o.i = f.i + 1)\n--\nSELECT object_id, det_id, life, bad, bad > 3 AS deleted FROM f",

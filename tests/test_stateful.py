@@ -219,3 +219,11 @@ def test_runs_join_with_the_row_above_alone(spark):
     want = sorted((min(y * 65536 + a for y, a, _ in own), sum(b - a + 1 for _, a, b in own)) for own in want.values())
     df = spark.createDataFrame([(0, x, y) for y, x in points], "frame long, x long, y long")
     assert sorted((r.label, r.n) for r in components.run_components(df).collect()) == want
+
+
+def test_fewest_merges_and_greedy_pairs(spark):
+    blobs = spark.createDataFrame([(1, 1, 0, 19, 0, 39), (1, 2, 20, 45, 0, 39), (1, 3, 46, 80, 0, 39), (2, 4, 0, 50, 0, 50), (3, 5, 0, 5, 0, 5)], "grp long, id long, l long, r long, t long, b long")
+    found = {r.grp: (r.partition, r.merges) for r in components.merge_search(blobs).collect()}
+    assert found == {1: ("0,0,1", 1), 2: ("0", 0)}
+    pairs = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.85), (1, 2, 2, 0.1), (2, 1, 1, 0.2)], "frame long, a long, b long, score double")
+    assert sorted((r.frame, r.a, r.b) for r in components.corresponding(pairs).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]

@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 WIDTH, ROWS = 64, 1024
-FRAMES = "media_id long, frame int, start_ms long, delay_ms long, width int, height int, hist_red array<long>, hist_green array<long>, hist_blue array<long>, rgb binary"
+FRAMES = "media_id long, frame int, start_ms long, delay_ms long, width int, height int, hist_red array<long>, hist_green array<long>, hist_blue array<long>, rgb binary, problem string"
+#: What reading a malformed GIF raises.
+BROKEN = (ValueError, IndexError, struct.error)
 
 
 def code_widths(count: int, least: int) -> np.ndarray:
@@ -222,19 +224,23 @@ def histogram(rgba: np.ndarray, bins: int = 16) -> list[list[int]]:
 def frames(media: DataFrame, keep_pixels: bool = True) -> DataFrame:
     """A row per timed frame of media(media_id, media): place in time, size, a histogram column per colour, pixels.
 
-    Null or empty media have no frames; repeated rows give repeated frames; bytes that are no GIF fail.
+    Null or empty media have no frames; repeated rows give repeated frames. Bytes that are no GIF, or end within a frame,
+    give the frames before and then one row that has nothing but ``media_id`` and, as ``problem``, the reason.
     """
     small_batches(media.sparkSession, 64)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, data in zip(batch["media_id"], batch["media"], strict=True):
-                start = 0
-                for k, frame in enumerate(read_gif(bytes(data)) if data else ()):
-                    shown = frame["rgba"]
-                    row = [key, k, start, frame["delay_cs"] * 10, shown.shape[1], shown.shape[0], *histogram(shown), shown[..., :3].tobytes() if keep_pixels else None]
-                    yield pd.DataFrame([row], columns=[x.split()[0] for x in FRAMES.split(", ")])
-                    start += frame["delay_cs"] * 10
+                start, columns = 0, [x.split()[0] for x in FRAMES.split(", ")]
+                try:
+                    for k, frame in enumerate(read_gif(bytes(data)) if data else ()):
+                        shown = frame["rgba"]
+                        row = [key, k, start, frame["delay_cs"] * 10, shown.shape[1], shown.shape[0], *histogram(shown), shown[..., :3].tobytes() if keep_pixels else None, None]
+                        yield pd.DataFrame([row], columns=columns)
+                        start += frame["delay_cs"] * 10
+                except BROKEN as error:
+                    yield pd.DataFrame([[key, *[None] * (len(columns) - 2), str(error) or type(error).__name__]], columns=columns)
 
     return media.select("media_id", "media").mapInPandas(decode, FRAMES)
 
@@ -266,25 +272,30 @@ def store(texts: DataFrame) -> DataFrame:
 
 def features(media: DataFrame) -> DataFrame:
     """media_id, n_bytes and, read back from media(media_id, n_bytes, media): digests of the payload and the media, and
-    ``feature``: frames, screen size, length in ms and the 16-bin histogram of the shown grey values."""
-    columns = "media_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    ``feature``: frames, screen size, length in ms and the 16-bin histogram of the shown grey values. Null media and bytes
+    that are no whole GIF give a row with nulls and, as ``problem``, the reason."""
+    columns = "media_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, problem string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, n, data in zip(batch["media_id"], batch["n_bytes"], batch["media"], strict=True):
                 digest, size, tail, bins, count, length, screen = hashlib.sha256(), 0, b"", np.zeros(16, np.int64), 0, 0, (0, 0)
-                for frame in read_gif(bytes(data)):
-                    top, left, (h, w) = frame["top"], frame["left"], frame["indices"].shape
-                    grey = frame["rgba"][top : top + h, left : left + w, 0]
-                    payload = grey.tobytes()
-                    digest.update(payload)
-                    size += len(payload)
-                    tail = (tail + payload[-64:])[-64:]
-                    bins += np.bincount(grey.reshape(-1) >> 4, minlength=16)
-                    count, length, screen = count + 1, length + frame["delay_cs"] * 10, frame["rgba"].shape
+                try:
+                    for frame in read_gif(bytes(data or b"")):
+                        top, left, (h, w) = frame["top"], frame["left"], frame["indices"].shape
+                        grey = frame["rgba"][top : top + h, left : left + w, 0]
+                        payload = grey.tobytes()
+                        digest.update(payload)
+                        size += len(payload)
+                        tail = (tail + payload[-64:])[-64:]
+                        bins += np.bincount(grey.reshape(-1) >> 4, minlength=16)
+                        count, length, screen = count + 1, length + frame["delay_cs"] * 10, frame["rgba"].shape
+                except BROKEN as error:
+                    rows.append([key, n, *[None] * 6, str(error) or type(error).__name__])
+                    continue
                 feature = f"{count} {screen[1]}x{screen[0]} {length}ms " + ",".join(map(str, bins.tolist()))
-                rows.append([key, n, size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature])
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in columns.split(", ")]).astype({"media_id": "Int64"})
+                rows.append([key, n, size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature, None])
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in columns.split(", ")]).astype({c: "Int64" for c in ("media_id", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes")})
 
     return media.mapInPandas(read, columns)

@@ -77,7 +77,7 @@ def projection(seed: int, buckets: int = 1024) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, vocabulary: str | None, seed: int) -> DataFrame:
-    """doc_id, n, place, ids (little-endian, 16 bits) of docs(doc_id, text); the ids end with END."""
+    """doc_id, n, place, ids (little-endian, of 16 bits, or of 32 where one needs more) of docs(doc_id, text); the ids end with END."""
     small_batches(docs.sparkSession)
     matrix = projection(seed)
 
@@ -91,7 +91,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None, seed: int) -> DataFrame:
                 vector = seen / np.linalg.norm(seen)
                 points.append(vector @ matrix)
                 counts.append(len(ids))
-                raw.append(ids.astype("<u2").tobytes())
+                raw.append(ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes())
             # each coordinate is close to standard normal: the logistic curve spreads it over the cells
             cells = np.minimum((1 << BITS) - 1, (1 << BITS) / (1 + np.exp(-1.702 * np.array(points).reshape(-1, DIMENSIONS))))
             salt = pd.util.hash_array(batch["doc_id"].fillna(-1).to_numpy(np.int64)).astype(np.uint64) >> np.uint64(31)
@@ -129,7 +129,7 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str | None = None, see
             for run, doc, n, raw in zip(batch["run"], batch["doc_id"], batch["n"], batch["ids"], strict=True):
                 if run != last:
                     at, last = begins[run], run
-                ids = np.frombuffer(raw, "<u2").astype("<u4")
+                ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
                 start = 0
                 while start < n:
                     held = min(n - start, length - at % length)

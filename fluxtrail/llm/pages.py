@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -65,6 +66,8 @@ def blocks(page: str) -> list[Block]:
     stack: list[Open] = []
     out: list[Block] = []
     parts: list[str] = []
+    held: Counter = Counter()  # tags and cues of the open elements, so that a block need not look through them
+    outer: list[str] = []  # the open elements that are not inline
     linked = 0
 
     def flush() -> None:
@@ -73,16 +76,31 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                names = {o.tag for o in stack}
-                cues = {f".{c}" for o in stack for c in o.cues}
-                leaf = next((o.tag for o in reversed(stack) if o.tag not in INLINE), "")
-                out.append(Block(text, frozenset(names | cues), leaf, linked))
+                out.append(Block(text, frozenset(held), outer[-1] if outer else "", linked))
         linked = 0
 
+    def push(element: Open) -> None:
+        stack.append(element)
+        held.update([element.tag, *(f".{c}" for c in element.cues)])
+        if element.tag not in INLINE:
+            outer.append(element.tag)
+
+    def cut(k: int) -> None:
+        for element in stack[k:]:
+            for name in (element.tag, *(f".{c}" for c in element.cues)):
+                held[name] -= 1
+                if not held[name]:
+                    del held[name]
+            if element.tag not in INLINE:
+                outer.pop()
+        del stack[k:]
+
     def close(tags) -> None:
+        if not any(t in held for t in tags):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k].tag in tags:
-                del stack[k:]
+                cut(k)
                 return
             if stack[k].tag in ("table", "ul", "ol", "dl", "article", "section", "div", "body") and "p" not in tags:
                 return
@@ -93,7 +111,7 @@ def blocks(page: str) -> list[Block]:
         at = tag.end()
         if piece:
             parts.append(piece)
-            if any(o.tag == "a" for o in stack):
+            if "a" in held:
                 linked += len(piece.strip())
         name = (tag[3] or "").lower()
         if not name:
@@ -105,10 +123,8 @@ def blocks(page: str) -> list[Block]:
         elif name in ("br", "img"):
             parts.append(" ")
         if tag[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
+            if name in held:
+                cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == name))
             continue
         if name in PARAGRAPH_ENDS:
             close({"p"})
@@ -118,7 +134,7 @@ def blocks(page: str) -> list[Block]:
             attributes = tag[4] or ""
             found = " ".join(" ".join(m) for m in NAMES.findall(attributes)).lower() if attributes else ""
             cues = frozenset(w for w in WORDS.findall(found) if w in CUES)
-            stack.append(Open(name, cues | {"hidden"} if attributes and HIDDEN.search(attributes) else cues))
+            push(Open(name, cues | {"hidden"} if attributes and HIDDEN.search(attributes) else cues))
     if at < len(page):
         rest = page[at:]
         parts.append(rest.partition("<")[0] if re.match(r"[^<]*<[a-z/!][^>]*\Z", rest, re.I) else rest)

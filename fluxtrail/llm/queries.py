@@ -12,7 +12,7 @@ from .common import table
 def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as a GIF, read back, with digests and the histogram of its frames."""
     media = gif.store(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), "text"))
-    return gif.features(media).withColumnRenamed("media_id", "doc_id")
+    return gif.features(media).withColumnRenamed("media_id", "doc_id").drop("problem")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,13 +70,14 @@ def mark(pages: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
     return base, slim
 
 
-def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = 24 << 20, roll_bytes: int = 16 << 20, level: int = 6, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = 24 << 20, roll_bytes: int = 16 << 20, level: int = 6, date: str = "2000-01-01T00:00:00Z", most_shards: int = 20_000) -> DataFrame:
     """Write a record per row of pages(page_id, url, html) under the folder URI ``out``; the manifest, read back.
 
     Null html is an empty payload. Of equal payloads of at least ``min_bytes`` bytes the smallest page_id is the
     response and the others revisit it; of rows repeated with the same page_id and payload one is the response and the
     others revisit that page_id. A null page_id sorts first and revisits a page that has an id, if one is equal; without
-    such a page it is a response. An empty table gives an empty manifest. Other columns are not read.
+    such a page it is a response. An empty table gives an empty manifest. Other columns are not read. Shards are longer
+    where that made over ``most_shards`` of them (one number each on the driver); files roll at ``roll_bytes`` all the same.
     """
     from pyarrow import fs
 
@@ -87,12 +88,14 @@ def write(pages: DataFrame, out: str, min_bytes: int = 0, shard_bytes: int = 24
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     weights = slim.groupBy("page_id").agg(F.sum((F.col("size") + 512) * F.col("copies")).alias("weight"))
     placed = running_total(weights, ["page_id"], "weight", "before", n)
+    total = weights.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    shard_bytes = max(shard_bytes, -(-total // most_shards))
     cuts = placed.groupBy((F.col("before") / shard_bytes).cast("long").alias("shard")).agg(F.min("page_id").alias("cut")).collect()
     cuts = sorted(row["cut"] for row in cuts if row["cut"] is not None)[1:]  # a row per shard
     shard = interval_of(F.col("page_id"), cuts).alias("shard")
     marks = slim.filter("refers is not null").select(shard, "page_id", "sha", "refers", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     rows = marks.union(base.select(shard, "page_id", "sha", F.lit(None).cast("long"), "url", "payload"))
-    rows = rows.repartition(min(3 * len(cuts) + 3, 100_000), "shard").sortWithinPartitions("shard", "page_id", "sha", F.col("refers").isNull(), "url")
+    rows = rows.repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "sha", F.col("refers").isNull(), "url")
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(out)

@@ -475,3 +475,38 @@ def test_kernel_and_ridge_by_hand():
     wanted = np.array([[x == "en", x == "fr"] for x in langs], float)
     direct = kernel @ np.linalg.solve(kernel + 0.3 * np.eye(6), wanted)
     assert np.allclose(model.score(present), direct, atol=1e-4)
+
+
+def test_gif_frames_in_parts():
+    """Offsets, a local palette, interlaced rows, and a frame that is taken back, each by hand."""
+    common = np.pad(np.array([[0, 0, 0], [10, 20, 30]], np.uint8), ((0, 254), (0, 0)))
+    local = np.pad(np.array([[0, 0, 0], [200, 100, 50]], np.uint8), ((0, 254), (0, 0)))
+
+    def image(left, top, pixels, flags=0, palette=b"", disposal=0):
+        return b"\x21\xf9\x04" + bytes([disposal << 2, 1, 0, 0, 0]) + b"\x2c" + b"".join(int(x).to_bytes(2, "little") for x in (left, top, pixels.shape[1], pixels.shape[0])) + bytes([flags]) + palette + b"\x08" + gif.blocks(gif.compress(pixels.tobytes()))
+
+    head = b"GIF89a" + (4).to_bytes(2, "little") + (8).to_bytes(2, "little") + b"\xf7\0\0" + common.tobytes()
+    rows = np.arange(8, dtype=np.uint8)[:, None] % 2 + np.zeros((8, 4), np.uint8)
+    order = [0, 4, 2, 6, 1, 3, 5, 7]
+    data = head + image(0, 0, rows[order], flags=0x40) + image(2, 3, np.ones((2, 2), np.uint8), flags=0x87, palette=local.tobytes(), disposal=3) + image(0, 0, np.ones((1, 1), np.uint8)) + b"\x3b"
+    one, two, three = gif.read_gif(data)
+    assert (one["rgba"][..., 0] == rows * 10).all()
+    assert (two["left"], two["top"]) == (2, 3) and two["rgba"][3:5, 2:4, 0].tolist() == [[200, 200]] * 2 and two["rgba"][3, 1, 0] == 10
+    assert three["rgba"][3, 2].tolist() == [10, 20, 30, 255] and three["rgba"][0, 0, 0] == 10
+
+
+def test_malformed_gifs(spark):
+    good = gif.write_gif([np.zeros((2, 2), np.uint8)], np.zeros((256, 3), np.uint8))
+    media = spark.createDataFrame([(1, 4, bytearray(good)), (2, 4, bytearray(b"no picture")), (3, 4, bytearray(good[:-6])), (4, 0, None)], "media_id long, n_bytes long, media binary")
+    found = {r.media_id: r for r in gif.features(media).collect()}
+    assert found[1].payload_bytes == 4 and found[1].problem is None and all(found[k].problem and found[k].feature is None for k in (2, 4))
+    kinds = sorted((r.media_id, r.frame, r.problem is None) for r in gif.frames(media).collect() if r.media_id < 3)
+    assert kinds == [(1, 0, True), (2, None, False)]
+
+
+def test_long_and_deep_pages():
+    deep = "<div class=content>" * 20_000 + "<p>one</p>" + "</div>" * 10_000 + "<p>two <a href=x>link</a></p>" * 5_000
+    found = pages.blocks(deep)
+    assert len(found) == 5_001 and found[0].text == "one" and found[1].linked == 4 and found[1].leaf == "p" and ".content" in found[5_000].tags
+    wide = pages.blocks("<p>" + "word " * 400_000 + "</p><span>" * 2_000 + "end")
+    assert len(wide[0].text) == 5 * 400_000 - 1

@@ -103,10 +103,11 @@ def principal(rows: DataFrame, features: str = "features", k: int = 2) -> DataFr
     return model.transform(shaped).withColumn("pcs", vector_to_array("_p")).drop("_v", "_p")
 
 
-def clusters(rows: DataFrame, features: str = "pcs", k: int = 3, seed: int = 7, rounds: int = 100) -> DataFrame:
-    """rows with ``cluster`` by k-means."""
+def clusters(rows: DataFrame, features: str = "pcs", k: int = 3, seed: int = 7, rounds: int = 100, starts: int = 10) -> DataFrame:
+    """rows with ``cluster`` by k-means: the best of ``starts`` random starts."""
     shaped = rows.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="_v", predictionCol="cluster").fit(shaped)
+    each = [KMeans(k=k, seed=seed + i, maxIter=rounds, featuresCol="_v", predictionCol="cluster").fit(shaped) for i in range(starts)]
+    model = min(each, key=lambda m: m.summary.trainingCost)
     return model.transform(shaped).drop("_v")
 
 

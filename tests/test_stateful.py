@@ -227,3 +227,66 @@ def test_fewest_merges_and_greedy_pairs(spark):
     assert found == {1: ("0,0,1", 1), 2: ("0", 0)}
     pairs = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.85), (1, 2, 2, 0.1), (2, 1, 1, 0.2)], "frame long, a long, b long, score double")
     assert sorted((r.frame, r.a, r.b) for r in components.corresponding(pairs).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]
+
+
+def test_clip_against_a_grid(spark):
+    """Areas of the common part of slanted convex polygons, by counting the points of a fine grid in both."""
+    from fluxtrail.operators import classify
+
+    rng = random.Random(6)
+    rows, want = [], {}
+
+    def ring():
+        cx, cy, size = rng.uniform(30, 50), rng.uniform(30, 50), rng.uniform(10, 30)
+        angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(6))
+        return [(cx + size * math.cos(a), cy + size * math.sin(a)) for a in angles]
+
+    def inside(p, x, y):
+        return all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(p, p[1:] + p[:1], strict=True))
+
+    for k in range(12):
+        p, q = ring(), ring()
+        rows.append((k, [{"x": x, "y": y} for x, y in p], [{"x": x, "y": y} for x, y in q]))
+        want[k] = sum(inside(p, x / 4, y / 4) and inside(q, x / 4, y / 4) for x in range(0, 340) for y in range(0, 340)) / 16
+    shape = "id long, p array<struct<x double, y double>>, q array<struct<x double, y double>>"
+    for r in classify.clipped(spark.createDataFrame(rows, shape)).collect():
+        assert abs(r.area - want[r.id]) < 0.02 * want[r.id] + 6
+
+
+def test_hull_holds_every_point(spark):
+    from fluxtrail.operators import classify
+
+    rng = random.Random(3)
+    points = [(rng.gauss(0, 10), rng.gauss(0, 4)) for _ in range(80)]
+    hull = [(p.x, p.y) for p in classify.hulls(spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in points])], "id long, points array<struct<x double, y double>>")).first().hull]
+    turn = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    sides = list(zip(hull, hull[1:] + hull[:1], strict=True))
+    assert set(hull) <= set(points) and all(turn(a, b, p) >= -1e-9 for a, b in sides for p in points)
+
+
+def test_block_states_step_by_step(spark):
+    """A block that stays like the background, one that another thing rests on until it is background, and one that moves."""
+    ramp, other = [float(v) for v in range(16)], [float(v) for v in range(16, 0, -1)]
+    rows = [(0, 0, f, False, ramp) for f in range(3)]
+    rows += [(1, 0, 0, False, ramp)] + [(1, 0, f, False, other) for f in range(1, 25)]
+    rows += [(2, 0, 0, True, ramp), (2, 0, 1, False, ramp), (2, 0, 2, True, ramp), (2, 0, 3, True, other), (2, 0, 4, True, other)]
+    found = {}
+    for r in folds.block_states(spark.createDataFrame(rows, "bx long, by_ long, frame long, moving boolean, px array<double>")).orderBy("bx", "frame").collect():
+        found.setdefault(r.bx, []).append(r.code)
+    assert found[0] == [folds.BACKGROUND] * 3
+    assert found[1][:4] == [folds.BACKGROUND, folds.STILL_OBJ, folds.STILL_OBJ + 1, folds.STILL_OBJ + 2] and found[1][21:23] == [folds.STILL_OBJ + 20, folds.BACKGROUND]
+    assert found[2] == [folds.UNDEFINED, folds.BACKGROUND, folds.ILLUM_CHANGE, folds.MOVING_OBJ, folds.MOVING_OBJ + 1]
+
+
+def test_principal_components_and_clusters(spark):
+    import numpy as np
+
+    from fluxtrail.operators import classify
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)) * [5, 2, 1, 0.5] + np.repeat([[0.0], [30.0], [60.0]], 20, axis=0)
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "id long, features array<double>")
+    found = {r.id: r for r in classify.clusters(classify.principal(rows)).collect()}
+    _, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose([abs(found[k].pcs[0]) for k in range(60)], abs(x @ vectors[:, -1]), atol=1e-6)
+    assert len({tuple(sorted(k // 20 for k in found if found[k].cluster == c)) for c in range(3)}) == 3 and all(len({found[k].cluster for k in range(g, g + 20)}) == 1 for g in (0, 20, 40))

@@ -95,22 +95,25 @@ def test_mixing(spark, odd, none):
     assert kept.columns[:5] == docs.columns and kept.agg(F.sum("n")).first()[0] == found.taken.sum()
 
 
-@pytest.mark.parametrize("sizes", [[10], [0, 0], [5, 100, 1], [1, 1, 1000, 3, 8, 2, 500], [7] * 40])
-def test_targets(spark, sizes):
-    rows = spark.createDataFrame([(f"s{k:02}" if k else None, n) for k, n in enumerate(sizes)], "source string, source_size long")
-    found = {r.source: r.target for r in mixing.targets(rows, (5.0, 2.0, 1.0), 3).collect()}
-    order = sorted((f"s{k:02}" for k in range(1, len(sizes)))) + [None]
-    size = {(f"s{k:02}" if k else None): n for k, n in enumerate(sizes)}
-    weight, total, full = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, sum(sizes), set()
+def plain_targets(size):
+    """Targets by source: shares by weight in turn, those above three times their size held there, until none is."""
+    order = [*sorted(s for s in size if s is not None), *([None] if None in size else [])]
+    weight, total, full = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, sum(size.values()), set()
     while True:
-        rest = total - sum(3 * size[s] for s in full)
-        free = sum(w for s, w in weight.items() if s not in full)
+        rest, free = total - sum(3 * size[s] for s in full), sum(w for s, w in weight.items() if s not in full)
         want = {s: 3 * size[s] if s in full else rest * w / free for s, w in weight.items()}
         over = {s for s in order if s not in full and want[s] > 3 * size[s]}
         if not over:
-            break
+            return want
         full |= over
-    assert all(abs(found[s] - want[s]) < 1e-6 for s in order)
+
+
+@pytest.mark.parametrize("sizes", [[10], [0, 0], [5, 100, 1], [1, 1, 1000, 3, 8, 2, 500], [7] * 40])
+def test_targets(spark, sizes):
+    size = {(f"s{k:02}" if k else None): n for k, n in enumerate(sizes)}
+    found = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(size.items()), "source string, source_size long"), (5.0, 2.0, 1.0), 3).collect()}
+    want = plain_targets(size)
+    assert all(abs(found[s] - want[s]) < 1e-6 for s in size)
 
 
 def test_scores(spark, odd, none):
@@ -409,17 +412,76 @@ def test_all_queries_run(spark):
         assert n >= sizes["pages" if name in ("op4_pages", "op8_warc") else "documents"], name
 
 
+def plain_spans(text):
+    """Base spans and the candidate strings that pass a window's entropy and no allow rule, by plain loops."""
+    rules = [(re.compile(p.replace("(?i:", "(?:"), re.A | (re.I if k == "assign" else 0)), least) for k, p, least in secrets.BASE]
+    found = [m.span() for rule, least in rules for m in rule.finditer(text) if len(m[1]) >= least]
+    for m in re.finditer(secrets.CANDIDATE, text):
+        piece = m[1]
+        limit = next((bits for _, symbols, holds, bits in secrets.CLASSES if re.search(symbols, piece)), None)
+        holds = next((holds for _, symbols, holds, _ in secrets.CLASSES if re.search(symbols, piece)), "x")
+        if len(piece) < 20 or limit is None or not (re.search("[0-9]", piece) and re.search(holds, piece)) or re.search(secrets.ALLOW, piece):
+            continue
+        windows = (collections.Counter(piece[i : i + 20]).values() for i in range(len(piece) - 19))
+        if max(-sum(c / 20 * math.log2(c / 20) for c in w) for w in windows) >= limit - 1e-9:
+            found.append(m.span())
+    return sorted(found)
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against a plain form of it, on what the stage before kept."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept, shapes = docs, []
+    kept, stages = docs, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, kept, SF).write.parquet(f"{tmp_path}/{k}")
         kept = spark.read.parquet(f"{tmp_path}/{k}")
-        shapes.append((kept.count(), kept.columns))
-    assert all(c == docs.columns for _, c in shapes[:4])
-    n = docs.filter(F.regexp_count("text", F.lit(r"\p{L}")) > 0).count()
-    assert shapes[0][0] == n and shapes[1][0] == shapes[2][0] <= n
-    assert corpus_pipeline.run(spark, SF).count() == shapes[4][0]
+        stages.append(kept.collect())
+        assert k == 4 or kept.columns == docs.columns
+    named, single, masked, mix, packed = stages
+    assert {r.doc_id: r.text for r in named} == {r.doc_id: r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+    sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(r.text)) else set() for r in named}
+    group = {d: d for d in sets}
+    for x in sorted(sets):
+        for y in sets:
+            both = len(sets[x] & sets[y])
+            if x < y and both and 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                low, high = sorted((group[x], group[y]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    assert sorted(r.doc_id for r in single) == sorted(d for d, g in group.items() if d == g)
+
+    def mask(text):
+        out, at = [], 0
+        for start, end in plain_spans(text):
+            if start >= at:
+                out += [text[at:start], "[SECRET]"]
+            at = max(at, end)
+        return "".join(out) + text[at:]
+
+    assert {r.doc_id: r.text for r in masked} == {r.doc_id: mask(r.text) for r in single} and all(r.n_chars == len(r.text) for r in masked)
+
+    size, taken, own = collections.Counter(), collections.Counter(), {r.doc_id: (r.source, words(r.text)) for r in masked}
+    for source, w in own.values():
+        size[source] += len(w)
+    for r in mix:
+        taken[r.source] += len(words(r.text))
+        assert own[r.doc_id][1][: len(words(r.text))] == words(r.text)
+    assert all(taken[s] == min(math.floor(t + 0.5), 3 * size[s]) for s, t in plain_targets(size).items())
+    assert max(collections.Counter(r.doc_id for r in mix).values()) <= 3
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    ids = [(r.doc_id, np.array([*tokenizer.encode(r.text, add_special_tokens=False).ids, 1], "<u4")) for r in mix]
+    assert sum(r.length for r in packed) == sum(len(x) for _, x in ids)
+    whole = collections.Counter((r.doc_id, r.ids_crc32) for r in packed if r.length == r.doc_tokens)
+    have = collections.Counter((d, zlib.crc32(x.tobytes())) for d, x in ids)
+    assert whole and all(have[k] >= n for k, n in whole.items())
+    packed.sort(key=lambda r: (r.sequence_id, r.offset))
+    assert [r.sequence_id * 2048 + r.offset for r in packed] == [0, *np.cumsum([r.length for r in packed])[:-1]]
+    assert corpus_pipeline.run(spark, SF).count() == len(packed)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
 

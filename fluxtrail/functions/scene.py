@@ -92,13 +92,14 @@ def bodies() -> dict[str, str]:
 
     out["hyp_inclusion_prob"] = "h AS (SELECT det_id, frame_id, rd AS p, sum(rd) OVER (PARTITION BY frame_id) AS total, coalesce(sum(rd) OVER (PARTITION BY frame_id ORDER BY rd DESC, det_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM detections), f AS (SELECT *, min(CASE WHEN 5*p > total - above + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY frame_id ORDER BY p DESC, det_id ROWS UNBOUNDED PRECEDING) AS fixed FROM h), r AS (SELECT *, sum(CASE WHEN fixed = 0 THEN p END) OVER (PARTITION BY frame_id) AS rest FROM f)\n--\nSELECT det_id, round(CASE WHEN fixed = 1 THEN 1.0D ELSE 5*p/rest END, 6) AS pi FROM r"
     out["trk_init"] = f"f AS (SELECT *, row_number() OVER ({order}) AS i FROM boxes)\n--\nSELECT object_id, cx AS value, 0.0D AS sd, 1.0D AS rc, rd, 0.0D AS v, 0.0D AS a FROM f WHERE i = 1"
-    out["trk_reliability_nodata"] = "l AS (SELECT object_id, max(t_us) AS t, max(rd) AS acc FROM detections GROUP BY object_id), e AS (SELECT max(t_us) AS z FROM detections)\n--\nSELECT object_id, round(acc*exp(-0.1D*(z - t)/3600000000.0D), 6) AS acc_r, round(sqrt(9.0D/greatest(acc, 0.1D)), 6) AS sd FROM l CROSS JOIN e"
+    out["trk_reliability_nodata"] = "l AS (SELECT object_id, max(t_us) AS t FROM detections GROUP BY object_id), a AS (SELECT d.object_id, max(l.t) AS t, sum(rd*exp(-0.1D*(l.t - d.t_us)/3600000000.0D)) AS acc, sum(exp(-0.1D*(l.t - d.t_us)/3600000000.0D)) AS cool FROM detections d JOIN l ON l.object_id = d.object_id GROUP BY d.object_id), e AS (SELECT max(t_us) AS z FROM detections)\n--\nSELECT object_id, round(acc*exp(-0.1D*(z - t)/3600000000.0D), 6) AS acc_r, round(sqrt(9.0D/least(1.0D, acc/cool)), 5) AS sd FROM a CROSS JOIN e"
     out["trk_id_upsert"] = f"g AS (SELECT object_id, frame_id, det_id, frame_id - lag(frame_id) OVER ({order}) AS gap FROM detections)\n--\nSELECT det_id, object_id, CASE WHEN gap IS NULL THEN 'insert' WHEN gap > 24 THEN 'expire+insert' ELSE 'update' END AS act FROM g"
     out["lrn_attributes"] = f"l AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py, lag(width) OVER w AS pw, lag(height) OVER w AS ph, (t_us - lag(t_us) OVER w)/3600000000.0D AS dt FROM boxes WINDOW w AS ({order}))\n--\nSELECT det_id, cx AS x, cy AS y, width AS w, height AS h, round((cx-px)/dt, 4) AS vx, round((cy-py)/dt, 4) AS vy, round(sqrt(power(cx-px, 2) + power(cy-py, 2))/dt, 4) AS v2d, round((width-pw)/dt, 4) AS vw, round((height-ph)/dt, 4) AS vh FROM l WHERE dt > 0.01D"
     out["lrn_dwell_unseen"] = f"e AS (SELECT max(t_us) AS z FROM detections), l AS (SELECT object_id, obj_type, t_us, lead(t_us) OVER ({order}) AS nxt FROM detections)\n--\nSELECT object_id, obj_type, sum(coalesce(nxt, z) - t_us) AS dwell_us FROM l CROSS JOIN e GROUP BY object_id, obj_type"
     out["lrn_edge_pool"] = f"l AS (SELECT obj_type AS s, lead(obj_type) OVER ({order}) AS d, lead(t_us) OVER ({order}) - t_us AS dt FROM detections), r AS (SELECT CASE WHEN s IN ('click','view') THEN 'seen' ELSE s END AS src, CASE WHEN d IN ('click','view') THEN 'seen' ELSE d END AS dst, dt/3600000000.0D AS dt FROM l WHERE d IS NOT NULL), g AS (SELECT src, dst, count(*) AS n, avg(dt) AS m, stddev_pop(dt) AS sd, min(dt) AS lo, max(dt) AS hi FROM r WHERE src <> dst GROUP BY src, dst)\n--\nSELECT src, dst, n, round(cast(n AS double)/sum(n) OVER (PARTITION BY src), 6) AS p, round(m, 4) AS mean_t, round(sd, 4) AS sigma_t, round(lo, 4) AS min_t, round(hi, 4) AS max_t FROM g"
     grid = "(VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS i(i) CROSS JOIN (VALUES (0),(1),(2),(3)) AS j(j) CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS k(k) CROSS JOIN (VALUES (0),(1),(2)) AS l(l)"
-    out["lrn_rasterise"] = f"c AS (SELECT obj_type, avg(cx) AS mx, stddev_pop(cx) AS sx, avg(cy) AS my, stddev_pop(cy) AS sy FROM boxes GROUP BY obj_type), g AS (SELECT i*4 + j AS gx, k*3 + l AS gy FROM {grid})\n--\nSELECT gx, gy, round(max(exp(-power(gx*20 + 10 - mx, 2)/(2*sx*sx) - power(gy*20 + 10 - my, 2)/(2*sy*sy))), 6) AS v FROM g CROSS JOIN c GROUP BY gx, gy"
+    near = "power((gx*20 + 10 - mx)/sx, 2) + power((gy*20 + 10 - my)/sy, 2)"
+    out["lrn_rasterise"] = f"c AS (SELECT obj_type, avg(cx) AS mx, stddev_pop(cx) AS sx, avg(cy) AS my, stddev_pop(cy) AS sy FROM boxes GROUP BY obj_type), g AS (SELECT i*4 + j AS gx, k*3 + l AS gy FROM {grid}), d AS (SELECT gx, gy, cast({near} AS double) AS q FROM g CROSS JOIN c)\n--\nSELECT gx, gy, round(max(exp(-q/2)), 6) AS gauss, max(CASE WHEN q <= 1 THEN 1 ELSE 0 END) AS flat, max(CASE WHEN abs(sqrt(q) - 1) <= 0.15D THEN 1 ELSE 0 END) AS border FROM d GROUP BY gx, gy"
     tree = "nodes AS (SELECT object_id AS id, object_id DIV 2 AS parent, count(*) AS n FROM detections GROUP BY object_id), /*RECUR*/anc(id, a, d) AS (SELECT id, id, 0 FROM nodes UNION ALL SELECT anc.id, nodes.parent, anc.d + 1 FROM anc JOIN nodes ON nodes.id = anc.a WHERE nodes.parent > 0)"
     out["lrn_depth"] = tree + "\n--\nSELECT id, max(d) AS depth FROM anc GROUP BY id"
     out["lrn_distance_to_leaf"] = tree + "\n--\nSELECT a AS id, max(d) AS to_leaf, count(*) AS below FROM anc GROUP BY a"

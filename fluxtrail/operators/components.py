@@ -236,28 +236,35 @@ def corresponding(pairs: DataFrame) -> DataFrame:
     return pairs.select("frame", "a", "b", "score").groupBy("frame").applyInPandas(run, "frame long, a long, b long, score double")
 
 
-def reduced(blobs: DataFrame, overlap: float = 0.8) -> DataFrame:
-    """frame, id, l, r, t, b, absorbed: blobs(frame, id, l, r, t, b) after each took in the ones mostly inside it, until none is.
+def reduced(blobs: DataFrame, overlap: float = 0.8, sure: float = 0.95, least: float = 0.3) -> DataFrame:
+    """frame, id, l, r, t, b, absorbed: blobs(frame, id, l, r, t, b, kind, p) after each took in those mostly inside it.
 
+    A blob of UNKNOWN kind is taken in with more than ``overlap`` of it inside, one of a known kind with more than ``sure``
+    if its probability is below ``least``. A blob that grew looks at all others anew; in order of id, until none is taken.
     A frame's blobs are one task's rows.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        rows = [[int(v) for v in r] + [0] for r in part.sort_values("id")[["frame", "id", "l", "r", "t", "b"]].itertuples(index=False)]
-        gone = set()
+        names = ["frame", "id", "l", "r", "t", "b"]
+        part = part.sort_values("id")
+        rows = [[int(v) for v in r] + [0] for r in part[names].itertuples(index=False)]
+        limit = [overlap if k == "UNKNOWN" else sure if p < least else 1.0 for k, p in zip(part["kind"], part["p"], strict=True)]
+        gone: set[int] = set()
         for i, a in enumerate(rows):
-            j = 0
-            while i not in gone and j < len(rows):
-                b = rows[j]
-                w, h = min(a[3], b[3]) - max(a[2], b[2]) + 1, min(a[5], b[5]) - max(a[4], b[4]) + 1
-                inside = max(0, w) * max(0, h) / ((b[3] - b[2] + 1) * (b[5] - b[4] + 1))
-                j += 1
-                if i != j - 1 and j - 1 not in gone and inside > overlap:
-                    gone.add(j - 1)
+            grew = i not in gone
+            while grew:
+                grew = False
+                for j, b in enumerate(rows):
+                    if i == j or j in gone:
+                        continue
+                    w, h = min(a[3], b[3]) - max(a[2], b[2]) + 1, min(a[5], b[5]) - max(a[4], b[4]) + 1
+                    if w <= 0 or h <= 0 or w * h <= limit[j] * (b[3] - b[2] + 1) * (b[5] - b[4] + 1):
+                        continue
+                    gone.add(j)
                     a[6] += 1
-                    if inside < 0.99999:
-                        a[2:6] = min(a[2], b[2]), max(a[3], b[3]), min(a[4], b[4]), max(a[5], b[5])
-                        j = 0
-        return pd.DataFrame([r for k, r in enumerate(rows) if k not in gone], columns=["frame", "id", "l", "r", "t", "b", "absorbed"])
+                    whole = [min(a[2], b[2]), max(a[3], b[3]), min(a[4], b[4]), max(a[5], b[5])]
+                    grew |= whole != a[2:6]
+                    a[2:6] = whole
+        return pd.DataFrame([r for k, r in enumerate(rows) if k not in gone], columns=[*names, "absorbed"])
 
-    return blobs.select("frame", "id", "l", "r", "t", "b").groupBy("frame").applyInPandas(run, "frame long, id long, l long, r long, t long, b long, absorbed long")
+    return blobs.select("frame", "id", "l", "r", "t", "b", "kind", "p").groupBy("frame").applyInPandas(run, "frame long, id long, l long, r long, t long, b long, absorbed long")

@@ -59,7 +59,7 @@ def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVIDENCE = "SELECT object_id, t_us, det_id, cast(rd - 0.4D AS double) AS cover, width > 10 AND xleft <= 600 AS fits FROM boxes"
 SAMPLED = "SELECT cast(object_id AS varchar(20)) AS key, t_us, det_id, cast(cx AS double) AS x, cast(rd AS double) AS w FROM boxes"
-SIGHTS = """f AS (SELECT *, row_number() OVER (PARTITION BY obj_type, frame_id ORDER BY det_id) AS rn FROM boxes)
+SIGHTS = """f AS (SELECT *, row_number() OVER (PARTITION BY obj_type, frame_id ORDER BY width*height DESC, det_id) AS rn FROM boxes)
 --
 SELECT obj_type AS stream, frame_id AS frame, CASE WHEN rd >= 0.3 THEN cast(cx AS double) END AS x, CASE WHEN rd >= 0.3 THEN cast(cy AS double) END AS y,
  1.0D*xleft AS x1, cast(cy AS double) AS y1, 1.0D*xright AS x2, cast(cy AS double) AS y2, cast(height*rd AS double) AS half1, cast(height*(1 - rd) AS double) AS half2, CASE WHEN det_id % 7 > 0 THEN 1.0D*width END AS length
@@ -95,7 +95,7 @@ QUERIES = {
     "trk_mobile2d_dim": lambda s, d: recursions.mobile_size(of(s, d, "SELECT * FROM boxes")),
     "trk_mobile2d_pos": lambda s, d: recursions.mobile_place(of(s, d, "SELECT object_id, t_us, det_id, cast(rd AS double) AS rd, cx, cy FROM boxes")),
     "trk_mobile3d": lambda s, d: recursions.mobile_place(of(s, d, f"SELECT object_id, t_us, det_id, cast(rd AS double) AS rd, {GROUND[0]} AS gx, {GROUND[1]} AS gy FROM boxes"), ("gx", "gy"), expect=True),
-    "premerge_reduce": lambda s, d: components.reduced(of(s, d, "SELECT frame_id AS frame, det_id AS id, xleft AS l, xright AS r, ytop AS t, ybottom AS b FROM boxes")),
+    "premerge_reduce": lambda s, d: components.reduced(of(s, d, "SELECT frame_id AS frame, det_id AS id, xleft AS l, xright AS r, ytop AS t, ybottom AS b, CASE obj_type WHEN 'click' THEN 'PERSON' WHEN 'view' THEN 'VEHICLE' ELSE 'UNKNOWN' END AS kind, cast(rd AS double) AS p FROM boxes")),
     "trk_multi_hypothesis": lambda s, d: tracker.track(blobs(s, d)),
     "trk_2d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["planar"]),
     "trk_3d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["spatial"]),

@@ -290,3 +290,10 @@ def test_principal_components_and_clusters(spark):
     _, vectors = np.linalg.eigh(np.cov(x.T))
     assert np.allclose([abs(found[k].pcs[0]) for k in range(60)], abs(x @ vectors[:, -1]), atol=1e-6)
     assert len({tuple(sorted(k // 20 for k in found if found[k].cluster == c)) for c in range(3)}) == 3 and all(len({found[k].cluster for k in range(g, g + 20)}) == 1 for g in (0, 20, 40))
+
+
+def test_blobs_take_in_what_lies_inside(spark):
+    rows = [(1, 1, 0, 99, 0, 99, "PERSON", 0.9), (1, 2, 10, 20, 10, 20, "UNKNOWN", 0.9), (1, 3, 30, 40, 30, 40, "PERSON", 0.9), (1, 4, 50, 60, 50, 60, "PERSON", 0.1), (1, 5, 91, 110, 0, 9, "UNKNOWN", 0.9), (1, 6, 95, 104, 0, 9, "UNKNOWN", 0.9)]
+    df = spark.createDataFrame(rows, "frame long, id long, l long, r long, t long, b long, kind string, p double")
+    found = {r.id: (r.l, r.r, r.absorbed) for r in components.reduced(df).collect()}
+    assert found == {1: (0, 99, 2), 3: (30, 40, 0), 5: (91, 110, 1)}

@@ -95,4 +95,24 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_imatch": op10_imatch,
 }
-ORACLE: dict[str, str] = {}
+#: DuckDB statements of the queries that SQL can express.
+ORACLE = {
+    "op7_jaccard": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS shingles FROM w
+), each AS (SELECT doc_id, n, hash(s) AS shingle FROM (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS s FROM sets) u), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, max(a.n) AS n, max(b.n) AS m, count(*) AS both_
+    FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (SELECT a, b FROM pairs WHERE 100 * both_ >= 80 * (n + m - both_)), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, cast(len(shingles) AS bigint) AS n_shingles, component_id FROM sets JOIN least USING (doc_id)""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_ FROM pages)
+SELECT page_id, cast(strlen(body) AS bigint) AS payload_bytes,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS bigint) >> (15 - 5 * (i % 4))) & 31), 1) FOR i IN range(32)], '') AS payload_digest,
+    CASE WHEN first_ = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_ <> page_id THEN first_ END AS refers_to, true AS digest_ok FROM p""",
+}

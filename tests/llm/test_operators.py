@@ -572,3 +572,15 @@ def test_long_and_deep_pages():
     assert len(found) == 5_001 and found[0].text == "one" and found[1].linked == 4 and found[1].leaf == "p" and ".content" in found[5_000].tags
     wide = pages.blocks("<p>" + "word " * 400_000 + "</p><span>" * 2_000 + "end")
     assert len(wide[0].text) == 5 * 400_000 - 1
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    cursor = con.execute(queries.ORACLE[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(cursor.fetchall(), key=repr) == sorted((tuple(r) for r in queries.QUERIES[name](spark, SF).select(*names).collect()), key=repr)

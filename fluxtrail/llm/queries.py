@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, imatch, jaccard, langid, mixing, mixlm, packing, pages, secrets, warc
+from . import alignment, gif, imatch, jaccard, langid, mixing, mixlm, packing, pages, secrets, sharding, warc
 from .common import table
 
 
@@ -83,6 +83,17 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes, equal texts in one."""
+    rows = sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+    return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups of both tokenizers over every whole text, and how common their linked ids are."""
+    return alignment.align(table(spark, sf_dir, "documents")).drop("groups")
+
+
 QUERIES = {
     "op1_gif": op1_gif,
     "op2_mixing": op2_mixing,
@@ -94,6 +105,8 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_imatch": op10_imatch,
+    "op11_sharding": op11_sharding,
+    "op12_alignment": op12_alignment,
 }
 #: DuckDB statements of the queries that SQL can express.
 ORACLE = {

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, packed, text_of, unpacked
 from .packing import encoder
 
 SPAN = re.compile(rb"[\x00-\x02]*\x03")  # 0 nothing, 1 A ends, 2 B ends, 3 both end
@@ -32,16 +32,6 @@ def fields(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in map(str.split, schema.split(", "))])
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Values as little-endian integers of the least width."""
-    most = int(values.max(initial=0))
-    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
-
-
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // n if n else 1}").astype(np.int64)
-
-
 class Aligner:
     """Both tokenizers with their tokens' bytes; made once a task."""
 

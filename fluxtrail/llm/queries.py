@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, gif, imatch, jaccard, langid, mixing, mixlm, packing, pages, secrets, sharding, warc
+from . import alignment, gif, imatch, jaccard, langid, leaderboard, mixing, mixlm, packing, pages, secrets, sharding, warc
 from .common import table
 
 
@@ -94,6 +94,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents")).drop("groups")
 
 
+def op13_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of every nation's ten items of highest revenue, day of arrival by day of arrival."""
+    return leaderboard.change_feed(*(table(spark, sf_dir, t) for t in ("sale_lines", "items", "vendors")), batches=10)
+
+
 QUERIES = {
     "op1_gif": op1_gif,
     "op2_mixing": op2_mixing,
@@ -107,6 +112,7 @@ QUERIES = {
     "op10_imatch": op10_imatch,
     "op11_sharding": op11_sharding,
     "op12_alignment": op12_alignment,
+    "op13_leaderboard": op13_leaderboard,
 }
 #: DuckDB statements of the queries that SQL can express.
 ORACLE = {

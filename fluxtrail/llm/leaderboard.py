@@ -187,6 +187,7 @@ class Feed:
         self.spark = spark.newSession()
         self.parts, self.size, self.grace = parts, size, grace_days
         # one stateful operator a query: late lines are those at or before this start's watermark, not the start's before
+        self.spark.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
         for key, value in (("statefulOperator.allowMultiple", "false"), ("minBatchesToRetain", "2"), ("stateStore.maintenanceInterval", "10s")):
             self.spark.conf.set(f"spark.sql.streaming.{key}", value)
 
@@ -198,14 +199,16 @@ class Feed:
         self.spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(last).lower())
         rows.writeStream.format("parquet").option("path", f"{self.home}/{name}").option("checkpointLocation", f"{self.home}/{name}-checkpoint").trigger(availableNow=True).start().awaitTermination()
 
-    def advance(self, last: bool = False) -> None:
-        """One start of each query."""
+    def advance(self, last: bool = False, boards: bool = True) -> None:
+        """One start of each query; without ``boards`` the parts' changes wait for a later start of the second one."""
         size, parts = self.size, self.parts
         rows = self.source("lines", CUT).select("nation", "item", "day", "ship", "cents").mapInArrow(summed, "nation int, item long, day long, ship long, cents long")
         rows = rows.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int")).withColumn("at", event_time(F.col("ship")))
         rows = rows.withWatermark("at", f"{self.grace} seconds 2 milliseconds")  # late: at or before the watermark
         updates = by_timers(rows, ["nation", "part"], ["day", "item", "cents"], UPDATES, lambda held, due: part_days(held, due, size))
         self.started(updates, "updates", last)
+        if not boards:
+            return
         rows = self.source("updates", UPDATES).withColumn("at", event_time(F.col("day"))).withWatermark("at", "0 seconds")
         changes = by_timers(rows, ["nation"], ["day", "item", "cents", "held"], CHANGES, lambda held, due: board_days(held, due, size))
         self.started(changes, "changes", last)
@@ -226,13 +229,14 @@ def change_feed(sale_lines: DataFrame, items: DataFrame, vendors: DataFrame, bat
     cut.write.option("compression", "zstd").partitionBy("batch").parquet(f"{feed.home}/cut")
     end = spark.createDataFrame([(None, None, END_DAY, END_DAY, 0)], CUT.rpartition(",")[0])
     end.coalesce(1).write.parquet(f"{feed.home}/cut/batch={batches + 1}")
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{feed.home}/cut").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{feed.home}/{name}")
+    folder = at("cut").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     for name in ("lines", "updates"):
-        folder.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{feed.home}/{name}"))
+        folder.mkdirs(at(name))
     for k in range(1, batches + 2):
-        folder.rename(jvm.org.apache.hadoop.fs.Path(f"{feed.home}/cut/batch={k}"), jvm.org.apache.hadoop.fs.Path(f"{feed.home}/lines/batch={k}"))
-        feed.advance(last=k > batches)
+        if folder.exists(at(f"cut/batch={k}")):  # no line may have arrived
+            folder.rename(at(f"cut/batch={k}"), at(f"lines/batch={k}"))
+        feed.advance(last=k > batches, boards=k > batches)  # nobody reads the changes before the last
     found = spark.read.schema(CHANGES).parquet(f"{feed.home}/changes")
     batch = F.greatest(F.lit(1), F.least(F.lit(batches), 1 + F.floor((F.col("arrival_day") - first_day) * batches / days))).cast("int")
     return found.select("nation_id", "arrival_day", "item_id", batch.alias("batch"), "change", "old_rank", "new_rank", "revenue")

@@ -1,5 +1,7 @@
 """Blob, join, aggregate and window operators over boxes."""
 
+from fluxtrail.operators import grid
+
 SAME = "boxes a JOIN boxes b ON a.frame_id = b.frame_id AND a.det_id < b.det_id"
 HIT = "greatest(a.xleft, b.xleft) < least(a.xright, b.xright) AND greatest(a.ytop, b.ytop) < least(a.ybottom, b.ybottom)"
 #: Areas of both boxes' common part, 0 without one, and of each box; whether a box stands outside the area of interest.
@@ -22,11 +24,8 @@ BODIES = {
     "blob_filter": "SELECT det_id, row_number() OVER (PARTITION BY frame_id ORDER BY det_id) - 1 AS blob FROM boxes WHERE width >= 12 AND height >= 12 AND width*height >= 300 AND NOT (xright < 10 OR xleft > 629 OR ybottom < 10 OR ytop > 469)",
     "blob_merge_n": "SELECT frame_id, min(xleft) AS l, min(ytop) AS t, max(xright) AS r, max(ybottom) AS b, count(*) AS n FROM boxes GROUP BY frame_id",
     "blob_split": "SELECT det_id, 'V' AS cut, 0 AS side, xleft AS l, 319 AS r, ytop AS t, ybottom AS b FROM boxes WHERE xleft < 320 AND xright >= 320 UNION ALL SELECT det_id, 'V', 1, 320, xright, ytop, ybottom FROM boxes WHERE xleft < 320 AND xright >= 320 UNION ALL SELECT det_id, 'H', 0, xleft, xright, ytop, 239 FROM boxes WHERE ytop < 240 AND ybottom >= 240 UNION ALL SELECT det_id, 'H', 1, xleft, xright, 240, ybottom FROM boxes WHERE ytop < 240 AND ybottom >= 240",
-    "merge_candidates": f"SELECT a.det_id AS a_id, b.det_id AS b_id FROM {SAME} WHERE ({BOTH} > 0.4D*{AREA_OF.format('a')} OR {BOTH} > 0.4D*{AREA_OF.format('b')} OR {GAP} < {REACH}) AND NOT ({OUTSIDE.format('a')} AND {OUTSIDE.format('b')})",
-    "join_involved": f"m AS (SELECT object_id, det_id, frame_id, lag(xleft) OVER ({W}) AS l, lag(xright) OVER ({W}) AS r, lag(ytop) OVER ({W}) AS t, lag(ybottom) OVER ({W}) AS b, (1 - lag(rd) OVER ({W}))*lag(width) OVER ({W})/2 + 2 AS gx, (1 - lag(rd) OVER ({W}))*lag(height) OVER ({W})/2 + 2 AS gy FROM boxes), g AS (SELECT m.object_id, m.det_id, c.det_id AS blob, greatest(0.0D, least(m.r + gx, c.xright) - greatest(m.l - gx, c.xleft) + 1)*greatest(0.0D, least(m.b + gy, c.ybottom) - greatest(m.t - gy, c.ytop) + 1) AS shared, (m.r - m.l + 2*gx + 1)*(m.b - m.t + 2*gy + 1) AS own, c.width*c.height AS other FROM m JOIN boxes c ON c.frame_id = m.frame_id WHERE m.l IS NOT NULL)\n--\nSELECT object_id, det_id, blob FROM g WHERE shared >= 0.1D*own OR shared >= 0.1D*other",
     "join_zone": "SELECT det_id, zone FROM boxes JOIN zones ON cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1 UNION ALL SELECT det_id, 'ELLIPSE' FROM boxes WHERE power((cx - 320)/120.0D, 2) + power((cy - 240)/90.0D, 2) < 1 UNION ALL SELECT det_id, 'TRIANGLE' FROM boxes WHERE cy BETWEEN 100 AND 400 AND abs(cx - 320)*300 <= (cy - 100)*200",
     "join_nearest_zone": "z AS (SELECT * FROM zones UNION ALL SELECT * FROM (VALUES ('WEST', 0, 0, 320, 480), ('MID', 150, 100, 490, 380)) AS w(zone, x0, y0, x1, y1)), d AS (SELECT b.det_id, z.zone, row_number() OVER (PARTITION BY b.det_id ORDER BY power(cx - (x0 + x1)/2.0D, 2) + power(cy - (y0 + y1)/2.0D, 2), z.zone) AS rn FROM boxes b JOIN z ON b.cx BETWEEN z.x0 AND z.x1 AND b.cy BETWEEN z.y0 AND z.y1)\n--\nSELECT b.det_id, coalesce(d.zone, 'NONE') AS zone FROM boxes b LEFT JOIN d ON d.det_id = b.det_id AND d.rn = 1",
-    "join_nearest_object": f"n AS ({AGE}), s AS (SELECT *, max(CASE WHEN rd >= 0.5D THEN age END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM n), p AS (SELECT s.det_id, s.frame_id, n.cx, n.cy FROM s JOIN n ON n.object_id = s.object_id AND n.age = s.seen), d AS (SELECT p.det_id, b.det_id AS nearest, row_number() OVER (PARTITION BY p.det_id ORDER BY power(b.cx - p.cx, 2) + power(b.cy - p.cy, 2), b.det_id) AS rn FROM p JOIN boxes b ON b.frame_id = p.frame_id AND power(b.cx - p.cx, 2) + power(b.cy - p.cy, 2) <= 150*150)\n--\nSELECT det_id, nearest FROM d WHERE rn = 1",
     "agg_module_time": f"{STEP}\n--\nSELECT obj_type, round(avg(h), 6) AS mean, round(stddev_pop(h), 6) AS sigma, round(min(h), 6) AS lo, round(max(h), 6) AS hi, round(sum(h), 4) AS total, count(h) AS n FROM sp GROUP BY obj_type",
     "agg_hypothesis_p": f"f AS ({AGE})\n--\nSELECT frame_id, CASE WHEN max(age) < 2 THEN 0.0D ELSE round(sum(CASE WHEN age > 1 THEN rd*age ELSE 0.0D END)/sum(CASE WHEN age > 1 THEN age ELSE 0 END), 6) END AS p, CASE WHEN max(age) < 2 THEN 1 ELSE 0 END AS just_first_frames FROM f GROUP BY frame_id",
     "agg_object_p": f"v AS (SELECT *, cast(cx - lag(cx) OVER ({W}) AS double) AS vx, sum(CASE WHEN rd >= 0.3D THEN 1 ELSE 0 END) OVER {BUFFER} AS found, count(*) OVER {BUFFER} AS n FROM boxes), m AS (SELECT *, exp(-power(width - 28, 2)/288.0D) AS p2d, CASE WHEN found < 2 THEN 0.0D ELSE (found - 1)/(n - 1.0D) END AS rv, coalesce(exp(-power(vx - avg(vx) OVER {BUFFER}, 2)/80000.0D), 0.0D) AS pv FROM v)\n--\nSELECT det_id, round((p2d*rd + pv*rv)/(rd + rv), 6) AS p FROM m",
@@ -56,11 +55,10 @@ BODIES = {
     "blob_biggest": "SELECT frame_id, det_id, area FROM (SELECT frame_id, det_id, width*height AS area, row_number() OVER (PARTITION BY frame_id ORDER BY width*height DESC, det_id) AS rn FROM boxes) r WHERE rn = 1",
     "blob_order_focal": "SELECT frame_id, det_id, row_number() OVER (PARTITION BY frame_id ORDER BY abs(cy - 240), abs(cx - 320), det_id) AS pos FROM boxes",
     "blob_contains_pixel": "SELECT a.det_id, p.x AS px_x FROM boxes a JOIN (VALUES (100, 100), (320, 240), (500, 50)) AS p(x, y) ON p.x BETWEEN a.xleft AND a.xright AND p.y BETWEEN a.ytop AND a.ybottom",
-    "join_bbox_intersect": f"SELECT a.det_id AS a_id, b.det_id AS b_id FROM {SAME} WHERE {HIT}",
     "join_previous_seen": f"SELECT det_id, max(CASE WHEN rd >= 0.5 THEN t_us END) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS seen FROM boxes",
     "join_id_upsert": "o AS (SELECT object_id, frame_id DIV 24 AS day, count(*) AS n FROM boxes GROUP BY object_id, frame_id DIV 24)\n--\nSELECT coalesce(a.object_id, b.object_id) AS object_id, coalesce(a.day, b.day + 1) AS day, CASE WHEN b.day IS NULL THEN 'insert' WHEN a.day IS NULL THEN 'unseen' ELSE 'update' END AS act FROM o a FULL OUTER JOIN o b ON a.object_id = b.object_id AND a.day = b.day + 1",
     "join_semi_ids": "SELECT det_id FROM boxes WHERE object_id IN (SELECT object_id FROM boxes WHERE obj_type = 'signup' AND rd >= 0.9)",
-    "join_hset_product": f"n AS ({AGE}), s AS (SELECT frame_id, obj_type, min(xleft) AS xleft, max(xright) AS xright, min(ytop) AS ytop, max(ybottom) AS ybottom FROM boxes GROUP BY frame_id, obj_type), j AS (SELECT a.frame_id, a.obj_type AS one, b.obj_type AS other FROM s a JOIN s b ON a.frame_id = b.frame_id AND a.obj_type < b.obj_type AND {HIT})\n--\nSELECT x.det_id AS a_id, y.det_id AS b_id, round((x.age*x.rd + y.age*y.rd)/(x.age + y.age), 6) AS p FROM j JOIN n x ON x.frame_id = j.frame_id AND x.obj_type = j.one JOIN n y ON y.frame_id = j.frame_id AND y.obj_type = j.other",
+    "join_hset_product": f"n AS ({AGE}), k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, obj_type ORDER BY rd DESC, age DESC, det_id) AS nth FROM n), kept AS (SELECT * FROM k WHERE nth <= 10), s AS (SELECT frame_id, obj_type, min(xleft) AS xleft, max(xright) AS xright, min(ytop) AS ytop, max(ybottom) AS ybottom FROM boxes GROUP BY frame_id, obj_type), j AS (SELECT a.frame_id, a.obj_type AS one, b.obj_type AS other FROM s a JOIN s b ON a.frame_id = b.frame_id AND a.obj_type < b.obj_type AND {HIT})\n--\nSELECT x.det_id AS a_id, y.det_id AS b_id, round(x.age*x.rd + y.age*y.rd, 4) AS value, x.age + y.age AS frames FROM j JOIN kept x ON x.frame_id = j.frame_id AND x.obj_type = j.one JOIN kept y ON y.frame_id = j.frame_id AND y.obj_type = j.other",
     "join_context_types": "SELECT det_id, ctx FROM boxes JOIN (VALUES ('pointer','click'),('pointer','view'),('all','ANY2D')) AS c(ctx, kind) ON obj_type = kind OR kind = 'ANY2D'",
     "agg_weighted_merge": "SELECT object_id, round(sum(rd*cx)/sum(rd), 6) AS mean, round(sqrt(greatest(0.0D, cast(sum(rd*cx*cx)/sum(rd) - (sum(rd*cx)/sum(rd))*(sum(rd*cx)/sum(rd)) AS double))), 5) AS sigma FROM boxes GROUP BY object_id",
     "agg_symbolic_hist": "SELECT object_id, obj_type, round(sum(rd)/sum(sum(rd)) OVER (PARTITION BY object_id), 6) AS p FROM boxes GROUP BY object_id, obj_type",
@@ -87,6 +85,25 @@ BODIES = {
     "cls_size_check": "SELECT det_id, min(CASE WHEN width < lo OR height < lo THEN 1 ELSE 0 END) AS reduced, min(CASE WHEN width > hi OR height > hi THEN 1 ELSE 0 END) AS excessive FROM boxes CROSS JOIN models GROUP BY det_id",
     "src_gt_segmentation": "SELECT det_id, least(xleft, xright) - 4 AS x, least(ytop, ybottom) - 4 AS y, abs(xright - xleft) + 1 AS w, abs(ybottom - ytop) + 1 AS h, CASE obj_type WHEN 'click' THEN 'PERSON' WHEN 'view' THEN 'VEHICLE' ELSE 'UNKNOWN' END AS type FROM boxes",
 }
+#: Pairs of boxes of a frame: through the grid, widened by what may lie between them, for Spark; all of them for the other dialect.
+NEAR = lambda reach: f"{grid.joined('boxes', 'boxes', reach=reach)} AND a.det_id < b.det_id"
+
+
+def both(statement: str, near: str, plain: str) -> tuple[str, str]:
+    """A statement with its join through the grid, and with the plain one."""
+    return statement.replace("{join}", near), statement.replace("{join}", plain)
+
+
+MERGEABLE = f"({BOTH} > 0.4D*{AREA_OF.format('a')} OR {BOTH} > 0.4D*{AREA_OF.format('b')} OR {GAP} < {REACH}) AND NOT ({OUTSIDE.format('a')} AND {OUTSIDE.format('b')})"
+#: Blobs that share a tenth with where an object was, widened as its data are unreliable.
+INVOLVED = f"m AS (SELECT * FROM (SELECT object_id, det_id, frame_id, lag(xleft) OVER ({W}) AS l, lag(xright) OVER ({W}) AS r, lag(ytop) OVER ({W}) AS t, lag(ybottom) OVER ({W}) AS b, (1 - lag(rd) OVER ({W}))*lag(width) OVER ({W})/2 + 2 AS wx, (1 - lag(rd) OVER ({W}))*lag(height) OVER ({W})/2 + 2 AS wy FROM boxes) w WHERE l IS NOT NULL), g AS (SELECT a.object_id, a.det_id, b.det_id AS blob, greatest(0.0D, least(a.r + wx, b.xright) - greatest(a.l - wx, b.xleft) + 1)*greatest(0.0D, least(a.b + wy, b.ybottom) - greatest(a.t - wy, b.ytop) + 1) AS shared, (a.r - a.l + 2*wx + 1)*(a.b - a.t + 2*wy + 1) AS own, b.width*b.height AS other FROM {{join}})\n--\nSELECT object_id, det_id, blob FROM g WHERE shared >= 0.1D*own OR shared >= 0.1D*other"
+NEAREST = f"n AS ({AGE}), s AS (SELECT *, max(CASE WHEN rd >= 0.5D THEN age END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM n), p AS (SELECT s.det_id, s.frame_id, n.cx, n.cy FROM s JOIN n ON n.object_id = s.object_id AND n.age = s.seen), d AS (SELECT a.det_id, b.det_id AS nearest, row_number() OVER (PARTITION BY a.det_id ORDER BY power(b.cx - a.cx, 2) + power(b.cy - a.cy, 2), b.det_id) AS rn FROM {{join}} AND power(b.cx - a.cx, 2) + power(b.cy - a.cy, 2) <= 150*150)\n--\nSELECT det_id, nearest FROM d WHERE rn = 1"
 _SETS = "s AS (SELECT frame_id DIV 24 AS day, frame_id, obj_type, {ids} AS ids, max(rd) AS p FROM boxes GROUP BY frame_id DIV 24, frame_id, obj_type), k AS (SELECT *, row_number() OVER (PARTITION BY day, ids ORDER BY p DESC, frame_id, obj_type) AS rn FROM s)\n--\nSELECT day, frame_id, obj_type, p FROM k WHERE rn = 1"
 #: Statements whose two dialects differ: one row of each set of object ids within a day, the most probable.
-PAIRED = {"hyp_dedup_sets": (_SETS.format(ids="array_join(sort_array(collect_set(object_id)), ',')"), _SETS.format(ids="array_to_string(list_sort(list_distinct(list(object_id))), ',')"))}
+PAIRED = {
+    "hyp_dedup_sets": (_SETS.format(ids="array_join(sort_array(collect_set(object_id)), ',')"), _SETS.format(ids="array_to_string(list_sort(list_distinct(list(object_id))), ',')")),
+    "join_bbox_intersect": both(f"SELECT a.det_id AS a_id, b.det_id AS b_id FROM {{join}} AND {HIT}", NEAR(0), SAME),
+    "merge_candidates": both(f"SELECT a.det_id AS a_id, b.det_id AS b_id FROM {{join}} AND {MERGEABLE}", NEAR(36), SAME),
+    "join_involved": both(INVOLVED, grid.joined("m", "boxes", ("l - wx", "r + wx", "t - wy", "b + wy"), reach=1), "m a JOIN boxes b ON a.frame_id = b.frame_id"),
+    "join_nearest_object": both(NEAREST, grid.joined("p", "boxes", grid.POINT, grid.POINT, reach=150, size=150), "p a JOIN boxes b ON a.frame_id = b.frame_id"),
+}

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxtrail.operators import classify, components, folds, learner, lives, objects, recursions, tracker
+from fluxtrail.operators import classify, components, folds, grid, learner, lives, merging, objects, recursions, tracker
 from fluxtrail.plans import session
 from fluxtrail.sources import relations
 
 FG = "SELECT frame, x, y FROM px WHERE r > 170"
-CLOSE = "a.frame_id = b.frame_id AND a.obj_type = b.obj_type AND a.det_id < b.det_id AND a.xleft - b.xright < 10 AND b.xleft - a.xright < 10 AND a.ytop - b.ybottom < 10 AND b.ytop - a.ybottom < 10"
-EDGES = f"SELECT a.det_id AS a, b.det_id AS b FROM boxes a JOIN boxes b ON {CLOSE}"
+CLOSE = "a.obj_type = b.obj_type AND a.det_id < b.det_id AND a.xleft - b.xright < 10 AND b.xleft - a.xright < 10 AND a.ytop - b.ybottom < 10 AND b.ytop - a.ybottom < 10"
+EDGES = f"SELECT a.det_id AS a, b.det_id AS b FROM {grid.joined('boxes', 'boxes', reach=10)} AND {CLOSE}"
+PLAIN_EDGES = f"SELECT a.det_id AS a, b.det_id AS b FROM boxes a JOIN boxes b ON a.frame_id = b.frame_id AND {CLOSE}"
+#: Frames of so many detections each: partitions of a group can only be listed where a frame has a bounded number of boxes.
+SHORT_FRAMES = "s AS (SELECT det_id, det_id DIV 64 AS frame_id, obj_type, xleft, xright, ytop, ybottom FROM boxes)"
 SAMPLES = "SELECT object_id, det_id, t_us/3600000000.0D AS t, CASE WHEN det_id % 11 = 0 THEN NULL ELSE cast(cx AS double) END AS data, cast(rd AS double) AS rd FROM boxes"
 
 
@@ -25,8 +28,8 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(spark, sf_dir, "SELECT obj_type AS stream, frame_id AS frame, det_id AS id, obj_type AS kind, xleft AS l, xright AS r, ytop AS t, ybottom AS b FROM boxes")
 
 
-def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = components.groups(of(spark, sf_dir, EDGES))
+def grouped(spark: SparkSession, sf_dir: str, edges: str = EDGES) -> DataFrame:
+    found = components.groups(of(spark, sf_dir, edges))
     boxes = of(spark, sf_dir, "SELECT det_id AS node, det_id AS id, xleft AS l, xright AS r, ytop AS t, ybottom AS b FROM boxes")
     return boxes.join(found, "node").select("grp", "id", "l", "r", "t", "b")
 
@@ -88,8 +91,8 @@ QUERIES = {
     "cc_rle": lambda s, d: components.run_components(of(s, d, FG)),
     "merge_groups": lambda s, d: components.groups(of(s, d, EDGES)),
     "merge_connectivity": connectivity,
-    "merge_partitions": lambda s, d: components.merge_partitions(grouped(s, d)),
-    "premerge_search": lambda s, d: components.merge_search(grouped(s, d)),
+    "merge_partitions": lambda s, d: merging.merge_partitions(grouped(s, d, f"{SHORT_FRAMES}\n--\n" + EDGES.replace("FROM boxes", "FROM s"))),
+    "premerge_search": lambda s, d: merging.merge_search(grouped(s, d)),
     "premerge_correspond": lambda s, d: components.corresponding(of(s, d, MATCHES)),
     "px_bg_diff": moved,
     "trk_mobile2d_dim": lambda s, d: recursions.mobile_size(of(s, d, "SELECT * FROM boxes")),
@@ -112,7 +115,7 @@ QUERIES = {
 }
 
 LABELLED = f"fg AS ({FG}), /*RECUR*/reach(frame, x, y, v, w) AS (SELECT frame, x, y, x, y FROM fg UNION SELECT r.frame, r.x, r.y, f.x, f.y FROM reach r JOIN fg f ON f.frame = r.frame AND abs(f.x - r.v) <= 1 AND abs(f.y - r.w) <= 1), named AS (SELECT frame, x, y, min(w*65536 + v) AS label FROM reach GROUP BY frame, x, y)\n--\nSELECT frame, label, count(*) AS n, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM named GROUP BY frame, label"
-NAMED = f"half AS ({EDGES}), e AS (SELECT a, b FROM half UNION SELECT b, a FROM half), /*RECUR*/reach(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other), g AS (SELECT node, min(other) AS grp FROM reach GROUP BY node)\n--\n"
+NAMED = f"half AS ({PLAIN_EDGES}), e AS (SELECT a, b FROM half UNION SELECT b, a FROM half), /*RECUR*/reach(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other), g AS (SELECT node, min(other) AS grp FROM reach GROUP BY node)\n--\n"
 #: DuckDB statements; the other operators are held against brute force and planted cases in the tests.
 SQL = {
     "cc_two_step": LABELLED,

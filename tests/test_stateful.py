@@ -173,32 +173,6 @@ def test_configurations_differ(spark):
     assert "LOST" in last["planar"] and "LOST" not in last["multi_model"]
 
 
-def test_partitions_against_all_set_partitions():
-    rng = random.Random(11)
-    for _ in range(40):
-        n = rng.randrange(1, 7)
-        rects = [(x, x + rng.randrange(5, 30), y, y + rng.randrange(5, 30)) for x, y in [(rng.randrange(50), rng.randrange(50)) for _ in range(n)]]
-        links = [sum(1 << j for j in range(n) if j != i and max(rects[i][0] - rects[j][1], rects[j][0] - rects[i][1], rects[i][2] - rects[j][3], rects[j][2] - rects[i][3]) < 8) for i in range(n)]
-        hull = lambda own: (min(rects[i][0] for i in own), max(rects[i][1] for i in own), min(rects[i][2] for i in own), max(rects[i][3] for i in own))
-        inside = lambda a, b: a[0] <= b[0] and a[1] >= b[1] and a[2] <= b[2] and a[3] >= b[3]
-        items = lambda bits: [i for i in range(n) if bits >> i & 1]
-        want = set()
-        for split in components.partitions(n):
-            parts = [[i for i in range(n) if split[i] == k] for k in range(max(split) + 1)]
-            whole = True
-            for own in parts:
-                sets = components.Forest(n)
-                for i in own:
-                    for j in own:
-                        if links[i] >> j & 1:
-                            sets.join(i, j)
-                whole &= len({sets.top(i) for i in own}) == 1
-            if whole and not any(p is not q and inside(hull(p), hull(q)) for p in parts for q in parts):
-                want.add(split)
-        found = [tuple(next(k for k, p in enumerate(parts) if p >> i & 1) for i in range(n)) for parts in components.connected_partitions(links, lambda p, q: inside(hull(items(p)), hull(items(q))))]
-        assert len(found) == len(set(found)) and set(found) == want
-
-
 def test_runs_join_with_the_row_above_alone(spark):
     """Components of runs against joining every pair of runs of neighbouring rows."""
     rng = random.Random(4)
@@ -221,10 +195,7 @@ def test_runs_join_with_the_row_above_alone(spark):
     assert sorted((r.label, r.n) for r in components.run_components(df).collect()) == want
 
 
-def test_fewest_merges_and_greedy_pairs(spark):
-    blobs = spark.createDataFrame([(1, 1, 0, 19, 0, 39), (1, 2, 20, 45, 0, 39), (1, 3, 46, 80, 0, 39), (2, 4, 0, 50, 0, 50), (3, 5, 0, 5, 0, 5)], "grp long, id long, l long, r long, t long, b long")
-    found = {r.grp: (r.partition, r.merges) for r in components.merge_search(blobs).collect()}
-    assert found == {1: ("0,0,1", 1), 2: ("0", 0)}
+def test_greedy_pairs(spark):
     pairs = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.85), (1, 2, 2, 0.1), (2, 1, 1, 0.2)], "frame long, a long, b long, score double")
     assert sorted((r.frame, r.a, r.b) for r in components.corresponding(pairs).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]
 

@@ -51,15 +51,16 @@ def lines(sale_lines: DataFrame, items: DataFrame, vendors: DataFrame, batches:
     text = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")))
     h = F.crc32(text)
     ship = F.coalesce(F.unix_date(F.to_date("shipped_at")).cast("long"), 19_723 + h % 150)
-    rows = sale_lines.select(F.col("item_id").alias("item"), F.col("vendor_id").alias("vendor"), h.alias("h"), ship.alias("ship"), F.floor(100 * F.col("amount") + 0.5).alias("own"), F.col("quantity").cast("long").alias("quantity"), F.coalesce(F.col("flag") == "returned", F.lit(False)).alias("back"))
+    sign = F.when(F.col("flag") == "returned", -1).otherwise(1)
+    rows = sale_lines.select(F.col("item_id").alias("item"), F.col("vendor_id").alias("vendor"), h.alias("h"), ship.alias("ship"), (sign * F.floor(100 * F.col("amount") + 0.5)).alias("own"), F.when(F.col("amount").isNull(), sign * F.col("quantity")).alias("quantity"))
     rows = rows.withColumn("day", F.col("ship") + F.col("h") % 7 + F.when(F.col("h") % 5 == 0, 20).otherwise(0)).drop("h")
     prices = items.groupBy(F.col("item_id").alias("item")).agg(F.floor(100 * F.max("price") + 0.5).alias("each"), F.lit(True).alias("known"))
     nations = vendors.groupBy(F.col("vendor_id").alias("vendor")).agg(F.max("nation_id").cast("int").alias("nation"))
-    rows = rows.join(nations, "vendor", "left").join(prices, "item", "left")
+    rows = rows.join(nations, "vendor", "left").join(prices.hint("merge"), "item", "left")  # items grow with the lines; skewed ones are split
     good = F.col("nation").isNotNull() & F.col("known")
     cents = F.coalesce("own", F.col("quantity") * F.col("each"), F.lit(0))
     batch = F.greatest(F.lit(1), F.least(F.lit(batches), 1 + F.floor((F.col("day") - first_day) * batches / days))).cast("int")
-    return rows.select(F.when(good, F.col("nation")).alias("nation"), F.when(good, F.col("item")).alias("item"), "day", "ship", F.when(F.col("back"), -cents).otherwise(cents).alias("cents"), batch.alias("batch"))
+    return rows.select(F.when(good, F.col("nation")).alias("nation"), F.when(good, F.col("item")).alias("item"), "day", "ship", cents.alias("cents"), batch.alias("batch"))
 
 
 def summed(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,4 @@
-"""Boxes in space by a grid of angles and heights, static occlusion, and the supervised part."""
+"""Images of class models and walls, static occlusion, polygons, and the supervised part."""
 
 from __future__ import annotations
 
@@ -10,23 +10,36 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Under a locally affine camera a unit of height shows as RISE, a unit of depth as DEPTH of a unit of width.
-RISE, DEPTH, ANGLES = 0.9, 0.4, 10
-HEIGHTS = (10.0, 20.0, 30.0, 40.0)
+from fluxtrail.operators import solid
+
+_WALLS = ", ".join(f"({k}, {x1}D, {y1}D, {x2}D, {y2}D, {z}D)" for k, (x1, y1, x2, y2, z) in enumerate(solid.WALLS))
+
+
+def parallelepiped() -> str:
+    """The image of a class's mean, least and largest box, standing with its middle at the box's foot, turned by its track's direction.
+
+    The eight corners are sent through the scene's camera; ``base_width`` is the extent of the base along the screen's lower edge.
+    """
+    matrix = solid.CAMERA.tolist()
+    row = lambda r, x, y, z: f"({r[0]}D*{x} + {r[1]}D*{y} + {r[2]}D*{z} + ({r[3]}D))"
+    (a, b), (c, d) = ([f"({matrix[i][k]}D - {side}*({matrix[2][k]}D))" for k in range(2)] for i, side in ((0, "acx"), (1, "ab")))
+    e, f = (f"({side}*({matrix[2][3]}D) - ({matrix[i][3]}D))" for i, side in ((0, "acx"), (1, "ab")))
+    foot = f"({e}*{d} - {b}*{f})/({a}*{d} - {b}*{c}) AS x, ({a}*{f} - {e}*{c})/({a}*{d} - {b}*{c}) AS y"
+    corners = ", ".join(f"({i}D, {k}D, {z}D)" for i in (-0.5, 0.5) for k in (-0.5, 0.5) for z in (0, 1))
+    px, py = "(x + sx*n*co - sy*n*si)", "(y + sx*n*si + sy*n*co)"
+    u, v = (f"{row(matrix[i], px, py, 'sz*n')}/{row(matrix[2], px, py, 'sz*n')}" for i in (0, 1))
+    way = "sqrt(cast(greatest(1.0D, power(acx - bcx, 2) + power(acy - bcy, 2)) AS double))"
+    return f"""f AS (SELECT det_id, {foot}, CASE WHEN acx = bcx AND acy = bcy THEN 1.0D ELSE (acx - bcx)/{way} END AS co, CASE WHEN acx = bcx AND acy = bcy THEN 0.0D ELSE (acy - bcy)/{way} END AS si FROM pairs),
+ n AS (SELECT class, 'mean' AS which, mean AS n FROM models UNION ALL SELECT class, 'least', lo FROM models UNION ALL SELECT class, 'most', hi FROM models), k AS (SELECT * FROM (VALUES {corners}) AS k(sx, sy, sz)),
+ q AS (SELECT det_id, class, which, sz, {u} AS u, {v} AS v FROM f CROSS JOIN n CROSS JOIN k)
+--
+SELECT det_id, class, which, round(max(CASE WHEN sz = 0 THEN u END) - min(CASE WHEN sz = 0 THEN u END), 4) AS base_width, round(min(u), 4) AS l, round(max(u), 4) AS r, round(min(v), 4) AS t, round(max(v), 4) AS b FROM q GROUP BY det_id, class, which"""
+
 
-_ANGLE_ROWS = ", ".join(f"({k})" for k in range(ANGLES))
-_HEIGHT_ROWS = ", ".join(f"({h}D)" for h in HEIGHTS)
-_GRID = f"""a AS (SELECT k, cos(k*pi()/(4.5D*{ANGLES})) AS c, sin(k*pi()/(4.5D*{ANGLES})) AS s FROM (VALUES {_ANGLE_ROWS}) AS v(k)),
- cube AS (SELECT b.det_id, m.class, a.k, q.h, (b.width*c - (b.height - {RISE}D*q.h)/{DEPTH}D*s)/(c*c - s*s) AS w, ((b.height - {RISE}D*q.h)/{DEPTH}D*c - b.width*s)/(c*c - s*s) AS l, m.mean, m.sigma, m.lo, m.hi FROM boxes b CROSS JOIN a CROSS JOIN (VALUES {_HEIGHT_ROWS}) AS q(h) CROSS JOIN models m),
- ok AS (SELECT *, exp(-power(w - mean, 2)/(2*sigma*sigma))*exp(-power(l - mean, 2)/(2*sigma*sigma))*exp(-power(h - mean, 2)/(2*sigma*sigma)) AS p FROM cube WHERE w BETWEEN lo AND hi AND l BETWEEN lo AND hi AND h BETWEEN lo AND hi)"""
-_BEST = f"{_GRID}, top AS (SELECT *, row_number() OVER (PARTITION BY det_id, class ORDER BY round(p, 9) DESC, k, h) AS rn FROM ok)"
 BODIES = {
-    "cls_3d_box": f"{_GRID}\n--\nSELECT det_id, class, k, h, round(w, 4) AS w, round(l, 4) AS l FROM cube WHERE w > 0 AND l > 0",
-    "cls_search_alpha_h": f"{_BEST}\n--\nSELECT det_id, class, k, h, round(w, 4) AS w, round(l, 4) AS l, round(p, 6) AS p FROM top WHERE rn = 1",
-    "cls_tracking_coherent": f"{_BEST}, t AS (SELECT top.*, b.object_id, avg(w) OVER (PARTITION BY b.object_id, class) AS mw, avg(l) OVER (PARTITION BY b.object_id, class) AS ml FROM top JOIN boxes b ON b.det_id = top.det_id WHERE rn = 1), r AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY round(abs(w - mw) + abs(l - ml), 6), class) AS n FROM t)\n--\nSELECT det_id, class, round(abs(w - mw) + abs(l - ml), 4) AS off FROM r WHERE n = 1",
+    "geo_parallelepiped": parallelepiped(),
+    "geo_wall_limits": f"h AS (SELECT * FROM (VALUES {_WALLS}) AS h(wall, x1, y1, x2, y2, height)), w AS (SELECT det_id, wall, acy, y1, y2, x1 + (acy - y1)*(x2 - x1)/(y2 - y1) AS wall_x, (acx - x1)*(y2 - y1) - (acy - y1)*(x2 - x1) AS f, (bcx - x1)*(y2 - y1) - (bcy - y1)*(x2 - x1) AS g, (x1 - bcx)*(acy - bcy) - (y1 - bcy)*(acx - bcx) AS p, (x2 - bcx)*(acy - bcy) - (y2 - bcy)*(acx - bcx) AS q FROM pairs CROSS JOIN h)\n--\nSELECT det_id, wall, round(wall_x, 4) AS wall_x, f < 0 AS before_wall, acy BETWEEN y1 AND y2 AS beside, sign(f)*sign(g) <= 0 AND sign(p)*sign(q) <= 0 AND NOT (f = 0 AND g = 0) AS crossed FROM w",
     "cls_static_occlusion": "SELECT det_id, zone, CASE WHEN ytop > y0 THEN 1 ELSE 0 END + CASE WHEN ybottom < y1 THEN 2 ELSE 0 END + CASE WHEN xleft > x0 THEN 4 ELSE 0 END + CASE WHEN xright < x1 THEN 8 ELSE 0 END AS flags FROM boxes JOIN zones ON xleft < x1 AND xright > x0 AND ytop < y1 AND ybottom > y0",
-    "geo_parallelepiped": f"p AS (SELECT det_id, class, mean, lo, hi, xleft + width/2.0D AS x, ybottom AS y, (det_id % {ANGLES})*pi()/(2.0D*{ANGLES}) AS a FROM boxes CROSS JOIN models)\n--\nSELECT det_id, class, round(mean*cos(a) + mean*sin(a), 5) AS base_width, round(lo*cos(a) + lo*sin(a), 5) AS least_width, round(hi*cos(a) + hi*sin(a), 5) AS most_width, round({RISE}D*mean + {DEPTH}D*mean*(cos(a) + sin(a)), 5) AS box_height, round(x - mean*(cos(a) + sin(a))/2, 5) AS l, round(x + mean*(cos(a) + sin(a))/2, 5) AS r, round(y - {RISE}D*mean - {DEPTH}D*mean*(cos(a) + sin(a)), 5) AS t, y AS b FROM p",
-    "geo_wall_limits": "w AS (SELECT *, 320 + (acy - 40)*(-180.0D)/400 AS wall_x, (acx - 320)*400 + (acy - 40)*180 AS f, (bcx - 320)*400 + (bcy - 40)*180 AS g, (320 - bcx)*(acy - bcy) - (40 - bcy)*(acx - bcx) AS p, (140 - bcx)*(acy - bcy) - (440 - bcy)*(acx - bcx) AS q FROM pairs)\n--\nSELECT det_id, round(wall_x, 4) AS wall_x, f < 0 AS before_wall, acy BETWEEN 40 AND 440 AS beside, sign(f)*sign(g) <= 0 AND sign(p)*sign(q) <= 0 AND NOT (f = 0 AND g = 0) AS crossed FROM w",
 }
 
 

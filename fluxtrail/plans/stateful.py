@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxtrail.operators import classify, components, folds, grid, learner, lives, merging, objects, recursions, tracker
+from fluxtrail.operators import classify, components, folds, grid, learner, lives, merging, objects, recursions, solid, tracker
 from fluxtrail.plans import session
 from fluxtrail.sources import relations
 
@@ -49,6 +49,19 @@ def hierarchy(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return learner.learn(of(spark, sf_dir, body), {"x": 60.0, "y": 60.0}, ["shape"]).filter(F.col("kind") == kind)
 
 
+def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return solid.solids(of(spark, sf_dir, "SELECT det_id, xleft, xright, ytop, ybottom FROM boxes"), solid.WALLS)
+
+
+def coherent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = of(spark, sf_dir, "SELECT det_id, object_id, t_us FROM boxes")
+    return solid.coherent(solids(spark, sf_dir), of(spark, sf_dir, "SELECT * FROM models"), seen)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 4) for c in columns})
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: f"struct(cast({x} AS double) AS x, cast({y} AS double) AS y)"
     square = lambda a, b, c, d: f"array({corner(a, b)}, {corner(c, b)}, {corner(c, d)}, {corner(a, d)})"
@@ -110,6 +123,9 @@ QUERIES = {
     "trk_blob_autoc": lambda s, d: lives.blob_lives(of(s, d, EVIDENCE)),
     "trk_focus_object": lambda s, d: lives.focus(of(s, d, SIGHTS)),
     "agg_weighted_gauss": lambda s, d: lives.weighted_gaussians(of(s, d, SAMPLED), 5.0),
+    "cls_3d_box": lambda s, d: rounded(solids(s, d).select("det_id", "k", "h", "x", "y", "w", "l", "hidden", "blocked"), "x", "y", "w", "l"),
+    "cls_search_alpha_h": lambda s, d: rounded(solid.searched(solids(s, d), of(s, d, "SELECT * FROM models")), "w", "l", "p", "r"),
+    "cls_tracking_coherent": lambda s, d: rounded(coherent(s, d), "w", "l", "off"),
     "lrn_step": lambda s, d: hierarchy(s, d, "state"),
     "lrn_events": lambda s, d: hierarchy(s, d, "event"),
 }

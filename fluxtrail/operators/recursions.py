@@ -104,6 +104,67 @@ def mobile_place(boxes: DataFrame, columns: tuple[str, str] = ("cx", "cy"), expe
     return ordered_fold(boxes.select("object_id", "t_us", "det_id", "rd", *columns), ["object_id"], ["t_us", "det_id"], shape, dict, step)
 
 
+SHAPE = "det_id long, w double, rw double, l double, rl double, h double, rh double, cos2 double, sin2 double, turn double, ra double"
+
+
+def wrapped(angle: float) -> float:
+    """An angle modulo pi, from -pi/2 on."""
+    return angle - math.pi * math.floor(angle / math.pi + 0.5)
+
+
+def mobile_shape(samples: DataFrame, spread: float = 20.0) -> DataFrame:
+    """SHAPE rows: width, length, height and orientation of an object in space after each row, with their reliabilities.
+
+    ``samples`` has object_id, t_us, det_id, w, l, h, alpha and the reliabilities of its dimensions, rw, rl, rh. An angle is
+    the same after half a turn; after a quarter turn it is with width and length swapped, so a sample more than an eighth
+    of a turn from what the object's turning foretells is taken the other way round. Each dimension is blended by its own
+    reliability, cooled over time; a dimension's reliability is the mean of that of its data and of its coherence, which
+    falls from 1 to 0 as the deviation grows to ``spread`` (for the angle: to pi/2). cos2 and sin2 are those of twice the
+    angle, ``turn`` is its change an hour. A row without a shape (null w) cools what is known and foretells the angle; rows
+    before the first shape have null values.
+    """
+
+    def step(state: dict, row: Any) -> list[tuple]:
+        hours = (row.t_us - state.get("t", row.t_us)) / HOUR_US
+        cool = math.exp(-LAMBDA * hours)
+        state["t"], state["sums"] = row.t_us, 1 + cool * state.get("sums", 0.0)
+        seen, known = row.w is not None and row.w == row.w, "alpha" in state
+        if seen or known:
+            alpha, sd_a, acc_a, turn = state.get("alpha", (row.alpha, 0.0, 0.0, 0.0))
+            expected = alpha + turn * hours
+            data = {"w": (row.w, row.rw), "l": (row.l, row.rl), "h": (row.h, row.rh)} if seen else dict.fromkeys("wlh", (0.0, 0.0))
+            off = wrapped(row.alpha - expected) if seen else 0.0
+            if abs(off) > math.pi / 4 + 1e-9:
+                off -= math.copysign(math.pi / 2, off)
+                data["w"], data["l"] = data["l"], data["w"]
+            weight = (data["w"][1] + data["l"][1]) / 2
+            acc = weight + cool * acc_a
+            share = weight / acc if acc > 0 else 1.0
+            sd_a = math.sqrt((1 - share) * (sd_a**2 + share * off**2))
+            if seen and known and hours > 0:
+                turn = share * (expected + off - state["last"]) / hours + (1 - share) * turn
+            state["alpha"] = (expected + share * off, sd_a, acc, turn)
+            if seen:
+                state["last"] = expected + off
+            for name, (value, r) in data.items():
+                old, sd, acc_d = state.get(name, (value, 0.0, 0.0))
+                acc = r + cool * acc_d
+                part = r / acc if acc > 0 else 0.0
+                state[name] = (old + part * (value - old), math.sqrt((1 - part) * (sd**2 + part * (value - old) ** 2)), acc)
+        if "alpha" not in state:
+            return [(row.det_id, *[None] * 10)]
+        out = [row.det_id]
+        trust = lambda acc, sd, most: round((min(1.0, acc / state["sums"]) + 1 - min(1.0, sd / most)) / 2, 5)
+        for name in "wlh":
+            value, sd, acc = state[name]
+            out += [round(value, 4), trust(acc, sd, spread)]
+        alpha, sd, acc, turn = state["alpha"]
+        return [(*out, round(math.cos(2 * alpha), 4), round(math.sin(2 * alpha), 4), round(turn, 4), trust(acc, sd, math.pi / 2))]
+
+    columns = ["object_id", "t_us", "det_id", "w", "l", "h", "alpha", "rw", "rl", "rh"]
+    return ordered_fold(samples.select(*columns), ["object_id"], ["t_us", "det_id"], SHAPE, dict, step)
+
+
 _ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY t_us, det_id) AS i, (t_us - lag(t_us) OVER (PARTITION BY object_id ORDER BY t_us, det_id))/3600000000.0D AS g FROM {rows}), "
 
 
@@ -125,3 +186,20 @@ def place_sql(x: str = "cx", y: str = "cy", expect: bool = False) -> str:
     trust = lambda n: f"((1 - r)/(1 + abs(w{n})/100))"
     value = (lambda n: f"(r*{plain(n)} + {trust(n)}*e{n})/(r + {trust(n)})") if expect else plain
     return _ORDERED.format(rows=rows) + f"/*RECUR*/f(object_id, i, det_id, acc, x, y, vx, vy, lx, ly) AS (SELECT object_id, i, det_id, rd, px_, py_, 0.0D, 0.0D, px_, py_ FROM o WHERE i = 1 UNION ALL SELECT object_id, i, det_id, r + a, {value('x')}, {value('y')}, wx, wy, dx, dy FROM ({step}) k)\n--\nSELECT det_id, round(x, 4) AS x, round(y, 4) AS y, round(vx, 4) AS vx, round(vy, 4) AS vy FROM f"
+
+
+def shape_sql(samples: str, spread: float = 20.0) -> str:
+    """The same recursion, a row at a time, over samples that all have a shape."""
+    wrap = lambda a: f"({a} - pi()*floor({a}/pi() + 0.5D))"
+    joined = f"SELECT o.*, exp(-{LAMBDA}D*o.g) AS c, f.sums AS s0, f.a AS a0, f.sa, f.ca, f.turn, f.last_, f.a + f.turn*o.g AS e, " + ", ".join(f"f.v{d}, f.s{d}, f.c{d}" for d in "wlh") + " FROM f JOIN o ON o.object_id = f.object_id AND o.i = f.i + 1"
+    off = f"SELECT *, {wrap('(alpha - e)')} AS d0 FROM ({joined}) k"
+    far = "abs(d0) > pi()/4 + 1e-9"
+    turned = f"SELECT *, CASE WHEN {far} THEN d0 - sign(d0)*pi()/2 ELSE d0 END AS d, " + ", ".join(f"CASE WHEN {far} THEN {p}{y} ELSE {p}{x} END AS {p}{x}_" for p in ("", "r") for x, y in ("wl", "lw")) + f", h AS h_, rh AS rh_ FROM ({off}) k"
+    shares = "SELECT *, (rw_ + rl_)/2/((rw_ + rl_)/2 + c*ca) AS q, " + ", ".join(f"r{d}_/(r{d}_ + c*c{d}) AS q{d}" for d in "wlh") + f" FROM ({turned}) k"
+    angle = "e + q*d, sqrt((1 - q)*(sa*sa + q*d*d)), (rw_ + rl_)/2 + c*ca, CASE WHEN g > 0 THEN q*(e + d - last_)/g + (1 - q)*turn ELSE turn END, e + d"
+    dims = ", ".join(f"v{d} + q{d}*({d}_ - v{d}), sqrt((1 - q{d})*(s{d}*s{d} + q{d}*({d}_ - v{d})*({d}_ - v{d}))), r{d}_ + c*c{d}" for d in "wlh")
+    names = "object_id, i, det_id, sums, a, sa, ca, turn, last_, " + ", ".join(f"v{d}, s{d}, c{d}" for d in "wlh")
+    start = "SELECT object_id, i, det_id, 1.0D, alpha, 0.0D, (rw + rl)/2, 0.0D, alpha, w, 0.0D, rw, l, 0.0D, rl, h, 0.0D, rh FROM o WHERE i = 1"
+    trust = lambda acc, sd, most: f"round((least(1.0D, {acc}/sums) + 1 - least(1.0D, {sd}/{most}))/2, 5)"
+    found = ", ".join(f"round(v{d}, 4) AS {d}, {trust(f'c{d}', f's{d}', f'{spread}D')} AS r{d}" for d in "wlh")
+    return _ORDERED.format(rows=f"({samples}) q") + f"/*RECUR*/f({names}) AS ({start} UNION ALL SELECT object_id, i, det_id, 1 + c*s0, {angle}, {dims} FROM ({shares}) k)\n--\nSELECT det_id, {found}, round(cos(2*a), 4) AS cos2, round(sin(2*a), 4) AS sin2, round(turn, 4) AS turn, {trust('ca', 'sa', '(pi()/2)')} AS ra FROM f"

@@ -86,6 +86,19 @@ MATCHES = f"SELECT a.frame_id AS frame, a.det_id AS a, b.det_id AS b, cast({obje
 GROUND = ("(0.02D*cx + 0.001D*ybottom + 1)/(0.0001D*cx + 0.0002D*ybottom + 1)", "(0.002D*cx + 0.03D*ybottom + 2)/(0.0001D*cx + 0.0002D*ybottom + 1)")
 
 
+#: Shapes in space with the angle of an object's last movement on the ground.
+SHAPES = "SELECT object_id, t_us, det_id, 1.0D*width AS w, 0.8D*height AS l, (width + height)/2.0D AS h, CASE WHEN coalesce(cx - lag(cx) OVER v, 0) = 0 AND coalesce(cy - lag(cy) OVER v, 0) = 0 THEN 0.0D ELSE atan2(cast(cy - lag(cy) OVER v AS double), cast(cx - lag(cx) OVER v AS double)) END AS alpha, cast(rd AS double) AS rw, cast(1 - rd/2 AS double) AS rl, 0.5D AS rh FROM boxes WINDOW v AS (PARTITION BY object_id ORDER BY t_us, det_id)"
+
+
+def solid_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recursion over the shapes that the search of angles and heights finds for persons; a box without one has none."""
+    solved = solids(spark, sf_dir)
+    best = solid.searched(solved, of(spark, sf_dir, "SELECT * FROM models WHERE class = 'PERSON'"))
+    rows = of(spark, sf_dir, "SELECT det_id, object_id, t_us FROM boxes").join(best.join(solved.select("det_id", "k", "h", "rw", "rl", "rh"), ["det_id", "k", "h"]), "det_id", "left")
+    angle = F.lit(solid.ANGLES[0]) + (solid.ANGLES[1] - solid.ANGLES[0]) * F.col("k")
+    return recursions.mobile_shape(rows.withColumn("alpha", angle))
+
+
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame, x, y, fg of the pixels in the zone: whether a pixel is farther than 50 from the running background before it."""
     px = of(spark, sf_dir, "SELECT 3*x + c AS x, y, frame, CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM px CROSS JOIN (VALUES (0), (1), (2)) AS k(c) WHERE x BETWEEN 2 AND 13 AND NOT (x BETWEEN 6 AND 9 AND y BETWEEN 6 AND 9)")
@@ -111,6 +124,8 @@ QUERIES = {
     "trk_mobile2d_dim": lambda s, d: recursions.mobile_size(of(s, d, "SELECT * FROM boxes")),
     "trk_mobile2d_pos": lambda s, d: recursions.mobile_place(of(s, d, "SELECT object_id, t_us, det_id, cast(rd AS double) AS rd, cx, cy FROM boxes")),
     "trk_mobile3d": lambda s, d: recursions.mobile_place(of(s, d, f"SELECT object_id, t_us, det_id, cast(rd AS double) AS rd, {GROUND[0]} AS gx, {GROUND[1]} AS gy FROM boxes"), ("gx", "gy"), expect=True),
+    "trk_mobile3d_dim": lambda s, d: recursions.mobile_shape(of(s, d, SHAPES)),
+    "trk_mobile3d_solid": solid_tracks,
     "premerge_reduce": lambda s, d: components.reduced(of(s, d, "SELECT frame_id AS frame, det_id AS id, xleft AS l, xright AS r, ytop AS t, ybottom AS b, CASE obj_type WHEN 'click' THEN 'PERSON' WHEN 'view' THEN 'VEHICLE' ELSE 'UNKNOWN' END AS kind, cast(rd AS double) AS p FROM boxes")),
     "trk_multi_hypothesis": lambda s, d: tracker.track(blobs(s, d)),
     "trk_2d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["planar"]),
@@ -141,6 +156,7 @@ SQL = {
     "px_bg_diff": "o AS (SELECT x, y, frame, r, g, b, row_number() OVER (PARTITION BY x, y ORDER BY frame) AS i FROM px WHERE x BETWEEN 2 AND 13 AND NOT (x BETWEEN 6 AND 9 AND y BETWEEN 6 AND 9)), /*RECUR*/f(x, y, frame, i, r, g, b, off) AS (SELECT x, y, frame, i, r, g, b, cast(NULL AS bigint) FROM o WHERE i = 1 UNION ALL SELECT o.x, o.y, o.frame, o.i, " + ", ".join(f"cast(floor(0.9D*f.{c} + 0.1D*o.{c} + 1e-9) AS bigint)" for c in "rgb") + ", cast((o.r - f.r)*(o.r - f.r) + (o.g - f.g)*(o.g - f.g) + (o.b - f.b)*(o.b - f.b) AS bigint) FROM f JOIN o ON o.x = f.x AND o.y = f.y AND o.i = f.i + 1)\n--\nSELECT frame, x, y, CASE WHEN off > 2500 THEN 1 ELSE 0 END AS fg FROM f WHERE off IS NOT NULL",
     "trk_mobile2d_dim": recursions.size_sql(),
     "trk_mobile2d_pos": recursions.place_sql(),
+    "trk_mobile3d_dim": recursions.shape_sql(SHAPES),
     "trk_mobile3d": recursions.place_sql(*GROUND, expect=True),
     "px_bg_update": "o AS (SELECT x, y, frame, r, row_number() OVER (PARTITION BY x, y ORDER BY frame) AS i FROM px), /*RECUR*/f(x, y, frame, i, bg) AS (SELECT x, y, frame, i, r FROM o WHERE i = 1 UNION ALL SELECT o.x, o.y, o.frame, o.i, cast(floor(0.9D*f.bg + 0.1D*o.r + 1e-9) AS bigint) FROM f JOIN o ON o.x = f.x AND o.y = f.y AND o.i = f.i + 1)\n--\nSELECT x, y, frame, bg FROM f",
     "attr_ema_probability": "SELECT a.object_id, a.det_id, round(sum(b.rd*exp(-0.1D*(a.t_us - b.t_us)/3600000000.0D))/sum(exp(-0.1D*(a.t_us - b.t_us)/3600000000.0D)), 6) AS p FROM boxes a JOIN boxes b ON a.object_id = b.object_id AND (b.t_us < a.t_us OR b.t_us = a.t_us AND b.det_id <= a.det_id) GROUP BY a.object_id, a.det_id",

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from fluxtrail.operators import solid
+from fluxtrail.operators import recursions, solid
 
 BOXES = "det_id long, xleft double, xright double, ytop double, ybottom double"
 MODELS = [("ANY", 20.0, 12.0, 4.0, 60.0)]
@@ -106,3 +106,32 @@ def test_coherent_shapes(spark):
     seen = spark.createDataFrame([(1, 7, 10), (2, 7, 20), (3, 7, 30), (9, 7, 40)], "det_id long, object_id long, t_us long")
     found = {r.det_id: (r.k, r.off) for r in solid.coherent(spark.createDataFrame(rows, shape), models, seen).collect()}
     assert found == {1: (0, None), 2: (0, 0.0), 3: (5, 1.0)}
+
+
+SAMPLES = "object_id long, t_us long, det_id long, w double, l double, h double, alpha double, rw double, rl double, rh double"
+HOUR = 3_600_000_000
+
+
+def test_a_turning_object(spark):
+    """An object that turns a tenth an hour through more than half a turn, seen with width and length swapped in every third row."""
+    rows = []
+    for k in range(60):
+        angle, w, l = 0.1 * k, 10.0, 30.0
+        if k % 3 == 2:
+            angle, w, l = angle - math.pi / 2, l, w
+        rows.append((1, k * HOUR, k, w, l, 20.0, angle % math.pi, 0.9, 0.7, 0.5))
+    last = {r.det_id: r for r in recursions.mobile_shape(spark.createDataFrame(rows, SAMPLES)).collect()}
+    assert all(abs(r.w - 10) < 1e-3 and abs(r.l - 30) < 1e-3 and r.h == 20 for r in last.values())
+    assert abs(last[59].turn - 0.1) < 0.01 and last[59].ra > 0.9
+    assert math.isclose(last[59].cos2, math.cos(2 * 5.9), abs_tol=0.05) and math.isclose(last[59].sin2, math.sin(2 * 5.9), abs_tol=0.05)
+
+
+def test_shapes_not_seen(spark):
+    """Before a first shape all is null; without one later, values stay, reliability falls and the angle goes on turning."""
+    rows = [(1, 0, 1, None, None, None, None, None, None, None)] + [(1, k * HOUR, k + 1, 10.0, 30.0, 20.0, 0.1 * k, 0.9, 0.7, 0.5) for k in range(1, 30)] + [(1, 30 * HOUR, 31, None, None, None, None, None, None, None), (None, 5, 90, 3.0, 4.0, 5.0, 0.0, 0.0, 0.0, 0.0)]
+    found = {r.det_id: r for r in recursions.mobile_shape(spark.createDataFrame(rows, SAMPLES)).collect()}
+    assert found[1][1:] == (None,) * 10 and found[31].w == found[30].w and found[31].rw < found[30].rw and found[31].turn == found[30].turn
+    turned = lambda r: math.atan2(r.sin2, r.cos2) / 2
+    assert math.isclose((turned(found[31]) - turned(found[30])) % math.pi, found[30].turn, abs_tol=1e-3)
+    assert (found[90].w, found[90].l, found[90].h, found[90].ra) == (3.0, 4.0, 5.0, 0.5)
+    assert recursions.mobile_shape(spark.createDataFrame([], SAMPLES)).count() == 0

@@ -16,13 +16,17 @@ from pyspark.sql import DataFrame
 Step = Callable[[Any, Any], list[tuple]]
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], Any], step: Step, finish: Callable[[Any], list[tuple]] | None = None) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], Any], step: Step, finish: Callable[[Any], list[tuple]] | None = None, heavy: bool = False) -> DataFrame:
     """The output rows of ``step`` over each key's rows in order, then those of ``finish``.
 
-    ``start`` makes the mutable state of a key. Rows with a null key form one key. An empty table gives no rows.
+    ``start`` makes the mutable state of a key. Rows with a null key form one key. An empty table gives no rows. ``heavy``
+    is for few keys with long work: they are dealt to so many tasks that two seldom meet, which Spark does not put together
+    for their few rows.
     """
     names = [f.strip().split()[0].strip(":") for f in schema.split(",")]
-    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    rows = df.repartition(*([tasks] if heavy else []), *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None

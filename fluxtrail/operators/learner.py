@@ -1,4 +1,9 @@
-"""Incremental learning of a hierarchy of states and of the events between them, one context at a time."""
+"""Incremental learning of a hierarchy of states and of the events between them, one context at a time.
+
+Events join the states of the time that have none below. A state that is divided hands its events on to the one below it that
+keeps its instances, so the ends of events always are such states, and no event is lost when states are merged or divided.
+Events between the states of a level above are those of the states below, added up; that is done on the finished tree.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ import math
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fluxtrail.operators.folds import ordered_fold
 
@@ -75,14 +81,49 @@ class Concept:
         return sum(parts) / len(parts)
 
 
+class Dwell:
+    """Count, mean, sum of squared deviations and bounds of dwell times."""
+
+    def __init__(self) -> None:
+        self.n, self.mean, self.square, self.lo, self.hi = 0, 0.0, 0.0, math.inf, -math.inf
+
+    def add(self, d: float) -> None:
+        self.n += 1
+        off = d - self.mean
+        self.mean += off / self.n
+        self.square += off * (d - self.mean)
+        self.lo, self.hi = min(self.lo, d), max(self.hi, d)
+
+    def pool(self, other: Dwell) -> None:
+        total, off = self.n + other.n, other.mean - self.mean
+        self.square += other.square + off * off * self.n * other.n / total
+        self.mean += off * other.n / total
+        self.n, self.lo, self.hi = total, min(self.lo, other.lo), max(self.hi, other.hi)
+
+
 class Hierarchy:
     """The tree of one context, the current state of each object, and the edges between states."""
 
     def __init__(self, acuity: list[float]) -> None:
         self.acuity, self.root, self.last_id, self.name = acuity, None, 0, None
         self.at: dict[Any, tuple[int, float, float]] = {}
-        self.edges: dict[tuple[int, int], list[float]] = {}
-        self.leaving: dict[int, int] = {}
+        self.edges: dict[tuple[int, int], Dwell] = {}
+        self.heir: dict[int, int] = {}
+
+    def now(self, state: int) -> int:
+        """The state that has taken over what ``state`` held."""
+        while state in self.heir:
+            if self.heir[state] in self.heir:
+                self.heir[state] = self.heir[self.heir[state]]
+            state = self.heir[state]
+        return state
+
+    def events(self) -> dict[tuple[int, int], Dwell]:
+        """The events between the states that now hold their ends; those of one pair are one."""
+        out: dict[tuple[int, int], Dwell] = {}
+        for (a, b), edge in self.edges.items():
+            out.setdefault((self.now(a), self.now(b)), Dwell()).pool(edge)
+        return out
 
     def number(self) -> int:
         self.last_id += 1
@@ -101,6 +142,7 @@ class Hierarchy:
             if not node.children:
                 if not node.near(numbers, symbols):
                     node.children = [node.copy(self.number()), self.fresh(numbers, symbols)]
+                    self.heir[node.id] = node.children[0].id
                 node.add(numbers, symbols)
                 return node.children[1] if node.children else node
             if not taken:
@@ -160,16 +202,9 @@ class Hierarchy:
         """Dwell times: half a gap on arrival and on leaving, whole gaps within."""
         if key in self.at:
             old, since, dwell = self.at[key]
-            gap = t - since
+            old, gap = self.now(old), t - since
             if old != state:
-                d, edge = dwell + gap / 2, self.edges.setdefault((old, state), [0, 0.0, 0.0, math.inf, -math.inf])
-                edge[0] += 1
-                off = d - edge[1]
-                edge[1] += off / edge[0]
-                edge[2] += off * (d - edge[1])
-                edge[3], edge[4] = min(edge[3], d), max(edge[4], d)
-                self.leaving[old] = self.leaving.get(old, 0) + 1
-                dwell = 0.0
+                self.edges.setdefault((old, state), Dwell()).add(dwell + gap / 2)
                 self.at[key] = (state, t, gap / 2)
             else:
                 self.at[key] = (state, t, dwell + gap)
@@ -183,8 +218,11 @@ class Hierarchy:
             node, parent, level, p = todo.pop()
             out.append((self.name, "state", node.id, parent, level, node.n, round(p, 6), show(node.mean), show(node.sigma)))
             todo += [(c, node.id, level + 1, c.n / node.n) for c in node.children]
-        for (a, b), (n, mean, square, lo, hi) in sorted(self.edges.items()):
-            out.append((self.name, "event", a, b, 0, int(n), round(n / self.leaving[a], 6), show([mean, lo, hi]), show([math.sqrt(square / n)])))
+        events, leaving = sorted(self.events().items()), {}
+        for (a, _), e in events:
+            leaving[a] = leaving.get(a, 0) + e.n
+        for (a, b), e in events:
+            out.append((self.name, "event", a, b, 0, e.n, round(e.n / leaving[a], 6), show([e.mean, e.lo, e.hi]), show([math.sqrt(e.square / e.n)])))
         return out
 
 
@@ -204,4 +242,77 @@ def learn(instances: DataFrame, numbers: dict[str, float], symbols: list[str]) -
         return []
 
     used = instances.select("context", "object_id", "t", *numbers, *symbols).dropna(subset=list(numbers))
-    return ordered_fold(used, ["context"], ["t", "object_id"], CONCEPTS, lambda: Hierarchy(acuity), step, Hierarchy.rows)
+    return ordered_fold(used, ["context"], ["t", "object_id"], CONCEPTS, lambda: Hierarchy(acuity), step, Hierarchy.rows, heavy=True)
+
+
+def ancestors(states: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """context, id, a, d: each of states(context, id, parent) with all states a above it, d steps up; itself at 0.
+
+    By pointer doubling: in each round a state's ancestors are joined with those of its farthest one, so a tree of depth
+    n takes log n rounds of one shuffle join, each cut by a checkpoint. A parent that is no state ends the way up.
+    """
+    own = states.select("context", "id", F.col("id").alias("a"), F.lit(0).alias("d"))
+    known = states.select("context", F.col("id").alias("parent"))
+    found = own.union(states.join(known, ["context", "parent"]).select("context", "id", F.col("parent").alias("a"), F.lit(1).alias("d"))).checkpoint()
+    reach = 1
+    for _ in range(most_rounds):
+        far = found.filter(F.col("d") == reach).select("context", F.col("id").alias("low"), F.col("a").alias("mid"))
+        more = far.join(found.select("context", F.col("id").alias("mid"), "a", "d").filter("d > 0"), ["context", "mid"])
+        new = more.select("context", F.col("low").alias("id"), "a", (F.col("d") + reach).alias("d")).checkpoint()
+        if not new.take(1):
+            return found
+        found, reach = found.union(new).checkpoint(), 2 * reach
+    raise RuntimeError("the parents go round in a circle")
+
+
+def leaf_steps(above: DataFrame) -> DataFrame:
+    """context, id, to_leaf, below: the steps from each state down to the nearest one without any below, and how many are below, itself included."""
+    inner = above.filter("d = 1").select("context", F.col("a").alias("id")).distinct()
+    leaves = above.filter("d = 0").select("context", "id").join(inner, ["context", "id"], "left_anti")
+    rows = above.join(leaves.withColumn("leaf", F.lit(True)), ["context", "id"], "left")
+    return rows.groupBy("context", F.col("a").alias("id")).agg(F.min(F.when(F.col("leaf"), F.col("d"))).alias("to_leaf"), F.count(F.lit(1)).alias("below"))
+
+
+def kinship(above: DataFrame, pairs: DataFrame) -> DataFrame:
+    """context, x, y, common, up_x, up_y: the nearest state above both of pairs(context, x, y), and the steps to it from each.
+
+    A state is above itself. The ways up of both are joined on context, pair and ancestor, so work grows with pairs times
+    depth. Repeated pairs are one; a pair without a common state has no row.
+    """
+    pairs = pairs.select("context", "x", "y").distinct()
+    one = pairs.join(above.select("context", F.col("id").alias("x"), "a", F.col("d").alias("up_x")), ["context", "x"])
+    both = one.join(above.select("context", F.col("id").alias("y"), "a", F.col("d").alias("up_y")), ["context", "y", "a"])
+    return both.groupBy("context", "x", "y").agg(F.min(F.struct("up_x", "up_y", "a")).alias("n")).select("context", "x", "y", F.col("n.a").alias("common"), "n.up_x", "n.up_y")
+
+
+def likely_states(states: DataFrame, above: DataFrame, least: float = 0.4) -> DataFrame:
+    """context, id: where the way down from the root ends, if only states with a share p of ``least`` or more are gone into.
+
+    States(context, id, parent, p). A state that is gone into ends the way if none below it has that share; else those below
+    it that have less are ends too.
+    """
+    unlikely = states.filter((F.col("p") < least) & (F.col("parent") != 0)).select("context", F.col("id").alias("a")).withColumn("bad", F.lit(True))
+    closed = above.join(unlikely, ["context", "a"], "left").groupBy("context", "id").agg(F.max("bad").alias("bad"))
+    rows = states.select("context", "id", "parent").join(closed, ["context", "id"])
+    opened = rows.filter("bad IS NULL")
+    gone_into = opened.filter("parent <> 0").select("context", F.col("parent").alias("id")).distinct()
+    ends = opened.select("context", "id").join(gone_into, ["context", "id"], "left_anti")
+    beside = rows.filter("bad").select("context", "id", F.col("parent").alias("over")).join(gone_into.withColumnRenamed("id", "over"), ["context", "over"])
+    return ends.union(beside.join(opened.select("context", F.col("id").alias("over")), ["context", "over"]).select("context", "id"))
+
+
+def lifted(events: DataFrame, above: DataFrame) -> DataFrame:
+    """context, level, src, dst, n, p, mean, sigma, lo, hi: events between the states of each level, the root's being 0.
+
+    Of events(context, src, dst, n, mean, sigma, lo, hi) those whose ends lie below two different states of a level are
+    one event of these two: counts are added, means and deviations pooled by count. An end above the level has no state there.
+    """
+    depth = above.groupBy("context", "id").agg(F.max("d").alias("depth"))
+    levels = above.join(depth, ["context", "id"]).select("context", "id", "a", (F.col("depth") - F.col("d")).alias("level"))
+    ends = lambda n: levels.select("context", F.col("id").alias(n), "level", F.col("a").alias(f"{n}_at"))
+    rows = events.join(ends("src"), ["context", "src"]).join(ends("dst"), ["context", "dst", "level"]).filter("src_at <> dst_at")
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    square = F.sum(F.col("n") * (F.pow("sigma", F.lit(2)) + F.pow("mean", F.lit(2)))) / n
+    out = rows.groupBy("context", "level", F.col("src_at").alias("src"), F.col("dst_at").alias("dst")).agg(n.alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("sigma"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    leaving = out.groupBy("context", "level", "src").agg(F.sum("n").alias("left_"))
+    return out.join(leaving, ["context", "level", "src"]).select("context", "level", "src", "dst", "n", (F.col("n") / F.col("left_")).alias("p"), "mean", "sigma", "lo", "hi")

@@ -44,9 +44,33 @@ def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected(of(spark, sf_dir, EDGES), members)
 
 
-def hierarchy(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = "SELECT obj_type AS context, object_id, t_us/3600000000.0D AS t, cast(cx AS double) AS x, cast(cy AS double) AS y, CASE WHEN width > 28 THEN 'wide' ELSE 'slim' END AS shape FROM boxes"
-    return learner.learn(of(spark, sf_dir, body), {"x": 60.0, "y": 60.0}, ["shape"]).filter(F.col("kind") == kind)
+    return learner.learn(of(spark, sf_dir, body), {"x": 60.0, "y": 60.0}, ["shape"])
+
+
+def learned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The states, the states above each, and the events of the learned hierarchies, which are learned once."""
+    found = hierarchy(spark, sf_dir).checkpoint()
+    states = found.filter("kind = 'state'").select("context", "id", "parent", "p")
+    times, sigma = F.split("means", ","), F.col("sigmas").cast("double")
+    events = found.filter("kind = 'event'").select("context", F.col("id").alias("src"), F.col("parent").alias("dst"), "n", *(F.get(times, F.lit(k)).cast("double").alias(c) for k, c in enumerate(("mean", "lo", "hi"))), sigma.alias("sigma"))
+    return states, learner.ancestors(states), events
+
+
+def kinship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, above, events = learned(spark, sf_dir)
+    return learner.kinship(above, events.select("context", F.col("src").alias("x"), F.col("dst").alias("y")))
+
+
+def likely(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states, above, _ = learned(spark, sf_dir)
+    return learner.likely_states(states, above)
+
+
+def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, above, events = learned(spark, sf_dir)
+    return rounded(learner.lifted(events, above), "p", "mean", "sigma", "lo", "hi")
 
 
 def solids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +165,13 @@ QUERIES = {
     "cls_3d_box": lambda s, d: rounded(solids(s, d).select("det_id", "k", "h", "x", "y", "w", "l", "hidden", "blocked"), "x", "y", "w", "l"),
     "cls_search_alpha_h": lambda s, d: rounded(solid.searched(solids(s, d), of(s, d, "SELECT * FROM models")), "w", "l", "p", "r"),
     "cls_tracking_coherent": lambda s, d: rounded(coherent(s, d), "w", "l", "off"),
-    "lrn_step": lambda s, d: hierarchy(s, d, "state"),
-    "lrn_events": lambda s, d: hierarchy(s, d, "event"),
+    "lrn_step": lambda s, d: hierarchy(s, d).filter("kind = 'state'"),
+    "lrn_events": lambda s, d: hierarchy(s, d).filter("kind = 'event'"),
+    "lrn_event_levels": event_levels,
+    "lrn_depth": lambda s, d: learned(s, d)[1].groupBy("context", "id").agg(F.max("d").alias("depth")),
+    "lrn_distance_to_leaf": lambda s, d: learner.leaf_steps(learned(s, d)[1]),
+    "lrn_kinship": kinship,
+    "lrn_likely_states": likely,
 }
 
 LABELLED = f"fg AS ({FG}), /*RECUR*/reach(frame, x, y, v, w) AS (SELECT frame, x, y, x, y FROM fg UNION SELECT r.frame, r.x, r.y, f.x, f.y FROM reach r JOIN fg f ON f.frame = r.frame AND abs(f.x - r.v) <= 1 AND abs(f.y - r.w) <= 1), named AS (SELECT frame, x, y, min(w*65536 + v) AS label FROM reach GROUP BY frame, x, y)\n--\nSELECT frame, label, count(*) AS n, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM named GROUP BY frame, label"

@@ -191,8 +191,11 @@ class Feed:
         # one stateful operator a query: late lines are those at or before this start's watermark, not the start's before
         self.spark.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
         self.spark.conf.set("spark.sql.streaming.statefulOperator.allowMultiple", "false")
-        # a second small file for each of a state's, of which every start writes one a partition
+        # every start writes a small file for each partition of the state: no second one beside it, and in a mounted folder
+        # no shell for its permissions, as Spark's first choice of writer there needs
         self.spark.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
+        if self.home.startswith("file:"):
+            self.spark.conf.set("spark.sql.streaming.checkpointFileManagerClass", "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager")
 
     def source(self, name: str, schema: str) -> DataFrame:
         return self.spark.readStream.schema(schema).parquet(f"{self.home}/{name}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -15,11 +16,11 @@ Box = tuple[int, int, int, int]
 
 
 class Group:
-    """The boxes of a group in order of id; a part is a set of their bits."""
+    """The boxes of a group in order of id; a part is a set of their bits. ``links``, if not by distance, has the neighbours of each."""
 
-    def __init__(self, boxes: list[Box], near: float) -> None:
+    def __init__(self, boxes: list[Box], near: float, links: list[int] | None = None) -> None:
         self.boxes, self.whole = boxes, (1 << len(boxes)) - 1
-        self.links = [sum(1 << j for j, b in enumerate(boxes) if j != i and self.apart(a, b) < near) for i, a in enumerate(boxes)]
+        self.links = links if links is not None else [sum(1 << j for j, b in enumerate(boxes) if j != i and self.apart(a, b) < near) for i, a in enumerate(boxes)]
         self.box, self.around = cache(self._box), cache(self._around)
 
     @staticmethod
@@ -65,6 +66,33 @@ class Group:
             if not any(self.nested(part, p) or self.nested(p, part) for p in parts):
                 yield from self.partitions(left & ~part, (*parts, part))
 
+    def pieces(self, left: int) -> list[int]:
+        """The connected pieces of a set of boxes."""
+        out = []
+        while left:
+            piece, edge = 0, left & -left
+            while edge:
+                piece |= edge
+                edge = self.around(piece) & left
+            out.append(piece)
+            left &= ~piece
+        return out
+
+    def ranked(self) -> Iterator[tuple[int, ...]]:
+        """The partitions into connected, un-nested parts as they are asked for, those of fewest parts first."""
+        for n in range(1, len(self.boxes) + 1):
+            yield from self.of_parts(self.whole, n, ())
+
+    def of_parts(self, left: int, n: int, parts: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if n == 1:
+            if len(self.pieces(left)) == 1 and not any(self.nested(left, p) or self.nested(p, left) for p in parts):
+                yield (*parts, left)
+            return
+        for part in self.firsts(left):
+            rest = left & ~part
+            if rest.bit_count() >= n - 1 >= len(self.pieces(rest)) and not any(self.nested(part, p) or self.nested(p, part) for p in parts):
+                yield from self.of_parts(rest, n - 1, (*parts, part))
+
     def text(self, parts: tuple[int, ...]) -> str:
         """The parts' numbers, in order of their least box, box by box."""
         of = {i: k for k, part in enumerate(sorted(parts, key=lambda p: p & -p)) for i in bits(part)}
@@ -193,3 +221,28 @@ def merge_search(blobs: DataFrame, least: float = 30.0, near: float = 10.0) -> D
             yield pa.RecordBatch.from_pylist(held, schema)
 
     return gathered(blobs).mapInArrow(run, "grp long, partition string, merges long")
+
+
+def new_objects(blobs: DataFrame, retained: int = 10, near: float = 10.0) -> DataFrame:
+    """grp, nth, partition, p: how the boxes of each group of blobs(grp, id, l, r, t, b) may begin as new objects, the
+    ``retained`` likeliest ways, made as they are needed.
+
+    A part with all boxes of its group has probability 1, a lone box of several 0.9, others by their share of boxes between
+    them; a way's ``p`` is the mean of its parts', so ways of fewer objects come first, then in order of the boxes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("grp", pa.int64()), ("nth", pa.int32()), ("partition", pa.string()), ("p", pa.float64())])
+        for batch in batches:
+            held = []
+            for grp, group in zip(batch["grp"].to_pylist(), groups_of(batch, near), strict=True):
+                for k, parts in enumerate(itertools.islice(group.ranked(), retained)):
+                    held.append({"grp": grp, "nth": k, "partition": group.text(parts), "p": round(sum(likely(p.bit_count(), len(group.boxes)) for p in parts) / len(parts), 6)})
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return gathered(blobs).mapInArrow(run, "grp long, nth int, partition string, p double")
+
+
+def likely(boxes: int, of: int) -> float:
+    """The probability of a new object that takes so many boxes of its group."""
+    return 0.9 + 0.1 * (boxes - 1) / (of - 1) if of > 1 else 1.0

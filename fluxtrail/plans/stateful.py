@@ -142,6 +142,7 @@ QUERIES = {
     "merge_groups": lambda s, d: components.groups(of(s, d, EDGES)),
     "merge_connectivity": connectivity,
     "merge_partitions": lambda s, d: merging.merge_partitions(grouped(s, d, f"{SHORT_FRAMES}\n--\n" + EDGES.replace("FROM boxes", "FROM s"))),
+    "trk_new_objects": lambda s, d: merging.new_objects(grouped(s, d)),
     "premerge_search": lambda s, d: merging.merge_search(grouped(s, d)),
     "premerge_correspond": lambda s, d: components.corresponding(of(s, d, MATCHES)),
     "px_bg_diff": moved,

@@ -80,3 +80,20 @@ def test_grid_finds_each_pair_once(spark):
         want = [(a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] is not None and b[2] is not None and a[2] - b[3] <= reach and b[2] - a[3] <= reach and a[4] - b[5] <= reach and b[4] - a[5] <= reach]
         assert sorted(found) == sorted(want)
     spark.catalog.dropTempView("grid_boxes")
+
+
+def test_ranked_partitions():
+    """All partitions come, once each, those of fewest parts first; the first few of a long chain come without the others."""
+    rng = random.Random(5)
+    for n in (1, 3, 5, 7):
+        group = Group(drawn(rng, n, 40), 8)
+        found = [tuple(sorted(p, key=lambda x: x & -x)) for p in group.ranked()]
+        assert len(found) == len(set(found)) and set(found) == enumerated(group) and [len(p) for p in found] == sorted(map(len, found))
+    chain = Group([(30 * k, 30 * k + 22, 0, 22) for k in range(60)], 10)
+    assert [len(p) for p in itertools.islice(chain.ranked(), 62)] == [1] + [2] * 59 + [3] * 2
+
+
+def test_new_objects(spark):
+    rows = [(1, 1, 0, 19, 0, 39), (1, 2, 20, 45, 0, 39), (1, 3, 46, 80, 0, 39), (2, 4, 0, 50, 0, 50)]
+    found = sorted((r.grp, r.nth, r.partition, r.p) for r in merging.new_objects(spark.createDataFrame(rows, SHAPE), retained=3).collect())
+    assert found == [(1, 0, "0,0,0", 1.0), (1, 1, "0,1,1", 0.925), (1, 2, "0,0,1", 0.925), (2, 0, "0", 1.0)]

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxtrail.operators import classify, components, folds, grid, learner, lives, merging, objects, recursions, solid, tracker
+from fluxtrail.operators import classify, components, consensus, contours, folds, grid, learner, lives, merging, objects, recursions, solid, tracker
 from fluxtrail.plans import session
 from fluxtrail.sources import relations
+from fluxtrail.streaming import live
 
 FG = "SELECT frame, x, y FROM px WHERE r > 170"
 CLOSE = "a.obj_type = b.obj_type AND a.det_id < b.det_id AND a.xleft - b.xright < 10 AND b.xleft - a.xright < 10 AND a.ytop - b.ybottom < 10 AND b.ytop - a.ybottom < 10"
@@ -153,10 +154,13 @@ QUERIES = {
     "trk_mobile3d_solid": solid_tracks,
     "premerge_reduce": lambda s, d: components.reduced(of(s, d, "SELECT frame_id AS frame, det_id AS id, xleft AS l, xright AS r, ytop AS t, ybottom AS b, CASE obj_type WHEN 'click' THEN 'PERSON' WHEN 'view' THEN 'VEHICLE' ELSE 'UNKNOWN' END AS kind, cast(rd AS double) AS p FROM boxes")),
     "trk_multi_hypothesis": lambda s, d: tracker.track(blobs(s, d)),
+    "trk_live": lambda s, d: live.replayed(s, blobs(s, d)),
     "trk_2d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["planar"]),
     "trk_3d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["spatial"]),
     "geo_polygon_clip": lambda s, d: classify.clipped(polygons(s, d)).select("id", F.round("area", 4).alias("area")),
     "trk_hull": lambda s, d: classify.hulls(of(s, d, "SELECT frame AS id, array_sort(collect_list(struct(cast(x AS double) AS x, cast(y AS double) AS y))) AS points FROM px WHERE r > 170 GROUP BY frame")),
+    "trk_contour": lambda s, d: rounded(contours.segments(of(s, d, FG)), "to_x", "to_y", "length"),
+    "px_vibe_update": lambda s, d: consensus.foreground(of(s, d, "SELECT frame DIV 16 AS clip, frame, x, y, (r + g + b) DIV 3 AS v FROM px")),
     "sup_pca": lambda s, d: classify.principal(histograms(s, d)).select("id", F.round(F.abs(F.get("pcs", F.lit(0))), 4).alias("pc1")),
     "sup_kmeans": lambda s, d: classify.clusters(classify.principal(histograms(s, d))).select("id", "cluster"),
     "sup_ann": lambda s, d: classify.regressed(histograms(s, d)).select("id", F.round("guess", 3).alias("guess")),

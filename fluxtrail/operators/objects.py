@@ -50,7 +50,7 @@ BODIES = {
     "lrn_transition": f"s AS (SELECT object_id, t_us, det_id, obj_type, lag(obj_type) OVER ({W}) AS prev, lead(obj_type) OVER ({W}) AS nxt, (t_us - lag(t_us) OVER ({W}))/3600000000.0D AS h, (lead(t_us) OVER ({W}) - t_us)/3600000000.0D AS next_h FROM boxes), i AS (SELECT *, sum(CASE WHEN prev = obj_type THEN 0 ELSE 1 END) OVER ({W}) AS island FROM s), d AS (SELECT object_id, island, min(obj_type) AS src, max(CASE WHEN nxt <> obj_type THEN nxt END) AS dst, sum(CASE WHEN prev IS NULL THEN 0.0D WHEN prev <> obj_type THEN h/2 ELSE h END) + max(CASE WHEN nxt <> obj_type THEN next_h/2 END) AS dwell FROM i GROUP BY object_id, island)\n--\nSELECT src, dst, count(*) AS n, round(count(*)/cast(sum(count(*)) OVER (PARTITION BY src) AS double), 6) AS p, round(avg(dwell), 6) AS mean_t, round(stddev_pop(dwell), 5) AS sigma_t, round(min(dwell), 6) AS min_t, round(max(dwell), 6) AS max_t FROM d WHERE dst IS NOT NULL GROUP BY src, dst",
     "cls_score": "g AS (SELECT det_id, class, mean, rd AS rw, 1 - rd/2 AS rh, 0.5D AS rl, exp(-power(width-mean, 2)/(2*sigma*sigma)) AS w, exp(-power(height-mean, 2)/(2*sigma*sigma)) AS h, exp(-power((width + height)/2.0D - 1.2D*mean, 2)/(2*sigma*sigma)) AS l FROM boxes CROSS JOIN models)\n--\nSELECT det_id, class, round(w*h*l, 6) AS p, round((rw*w + rh*h + rl*l)/(rw + rh + rl), 6) AS pr, round((rw + rh + rl)/3, 6) AS r, round((w*mean + h*mean + l*1.2D*mean)/(3.2D*mean), 6) AS dp FROM g",
     "cls_assign": "s AS (SELECT det_id, class, exp(-power(width-mean, 2)/(2*sigma*sigma))*exp(-power(height-mean, 2)/(2*sigma*sigma)) AS p, CASE WHEN xleft < 10 OR xright > 629 OR ytop < 10 OR ybottom > 469 THEN exp(-power(least(width, height)-mean, 2)/(2*sigma*sigma)) ELSE 0.0D END AS q FROM boxes CROSS JOIN models), r AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY CASE WHEN p >= 0.3D THEN 0 WHEN q >= 0.3D THEN 1 ELSE 2 END, round(CASE WHEN p >= 0.3D THEN p ELSE q END, 9) DESC, class) AS rn FROM s)\n--\nSELECT det_id, CASE WHEN p >= 0.3D OR q >= 0.3D THEN class ELSE 'UNKNOWN' END AS class, p < 0.3D AND q >= 0.3D AS occluded FROM r WHERE rn = 1",
-    "lrn_contextualise": "c AS (SELECT object_id, frame_id DIV 24 AS day, round(sum(rd*cx)/sum(rd), 6) AS x, round(sum(rd*cy)/sum(rd), 6) AS y, round(avg(rd), 6) AS r FROM boxes GROUP BY object_id, frame_id DIV 24), l AS (SELECT *, day - lag(day) OVER (PARTITION BY object_id ORDER BY day) AS gap, max(day) OVER () - day AS left_, lead(day) OVER (PARTITION BY object_id ORDER BY day) - day AS next_gap FROM c)\n--\nSELECT object_id, day, x, y, r, CASE WHEN gap IS NULL OR gap > 3 THEN 'new' ELSE 'update' END AS act, coalesce(next_gap, left_) > 3 AS expires FROM l",
+    "lrn_contextualise": "c AS (SELECT object_id, frame_id DIV 24 AS day, round(sum(rd*cx)/sum(rd), 6) AS x, round(sum(rd*cy)/sum(rd), 6) AS y, round(avg(rd), 6) AS r FROM boxes GROUP BY object_id, frame_id DIV 24), z AS (SELECT max(frame_id DIV 24) AS last_ FROM boxes), l AS (SELECT c.*, day - lag(day) OVER (PARTITION BY object_id ORDER BY day) AS gap, last_ - day AS left_, lead(day) OVER (PARTITION BY object_id ORDER BY day) - day AS next_gap FROM c CROSS JOIN z)\n--\nSELECT object_id, day, x, y, r, CASE WHEN gap IS NULL OR gap > 3 THEN 'new' ELSE 'update' END AS act, coalesce(next_gap, left_) > 3 AS expires FROM l",
     "snk_hierarchy_stats": f"s AS (SELECT frame_id DIV 24 AS frame, obj_type AS dst, lag(obj_type) OVER ({W}) AS src FROM boxes), st AS (SELECT dst, min(frame) AS born FROM s GROUP BY dst), ev AS (SELECT src, dst, min(frame) AS born FROM s WHERE src <> dst GROUP BY src, dst), f AS (SELECT DISTINCT frame FROM s), b AS (SELECT born, 1 AS state, 0 AS event FROM st UNION ALL SELECT born, 0, 1 FROM ev), d AS (SELECT f.frame, coalesce(sum(state), 0) AS state, coalesce(sum(event), 0) AS event FROM f LEFT JOIN b ON b.born = f.frame GROUP BY f.frame)\n--\nSELECT frame, cast(sum(state) OVER (ORDER BY frame) AS bigint) AS states, cast(sum(event) OVER (ORDER BY frame) AS bigint) AS events FROM d",
     "blob_biggest": "SELECT frame_id, det_id, area FROM (SELECT frame_id, det_id, width*height AS area, row_number() OVER (PARTITION BY frame_id ORDER BY width*height DESC, det_id) AS rn FROM boxes) r WHERE rn = 1",
     "blob_order_focal": "SELECT frame_id, det_id, row_number() OVER (PARTITION BY frame_id ORDER BY abs(cy - 240), abs(cx - 320), det_id) AS pos FROM boxes",

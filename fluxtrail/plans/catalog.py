@@ -36,4 +36,5 @@ for query, statement in stateful.SQL.items():
     SQL[query] = relations.text(statement, "events", duck=True)
 for query, operator in surface.QUERIES.items():
     QUERIES[query] = operator
-    SQL[query] = relations.text(surface.SQL[query], "events", duck=True)
+for query, statement in surface.SQL.items():
+    SQL[query] = relations.text(statement, "events", duck=True)

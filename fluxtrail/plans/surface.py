@@ -10,24 +10,15 @@ from pyspark.sql import functions as F
 from fluxtrail.plans import pipeline, session
 from fluxtrail.sources import files, relations, sinks
 
-IMAGES = [(f"cam-10.20.{k:02}.040-{k}.jpg", k, ((10 * 60 + 20) * 60 + k) * 1000 + 40) for k in range(3, 9)] + [("img_12.ppm", 12, None)]
-SCENE = """<scene><perspective_matrix m00="1.5" m01="0" m02="0" m03="2" m10="0" m11="1" m12="0" m13="0" m20="0" m21="0" m22="0" m23="1"/>
-<homography_matrix h00="1" h01="0" h02="0" h10="0" h11="1" h12="0" h20="0" h21="0" h22="1"/>
-<ZoneList><Zone id="1" name="Room"><OutlineList><Point x="1" y="2" z="0"/><Point x="5" y="2"/><Point x="5" y="9" z="0"/></OutlineList></Zone></ZoneList>
-<Zone2DList><Zone2D name="Screen" type="Polygon"><OutlineList><Point X="3" Y="4"/><Point X="7" Y="4"/></OutlineList></Zone2D></Zone2DList>
-<ZoneHomographyList><ZoneHomography id="3" type="Ellipse"><Center X="1" Y="2"/><Radius RX="50" RY="40"/></ZoneHomography></ZoneHomographyList>
-<WallList><Wall id="4" name="North" height="250"><StartPoint x="7" y="5" z="0"/><EndPoint x="9" y="6" z="0"/></Wall></WallList>
-<ContextObjectsList><ContextObject id="5" name="desk"><OutlineList><Point x="1" y="1" z="0"/></OutlineList></ContextObject></ContextObjectsList></scene>"""
-MODELS = """<ObjectModels><ObjectModel name="PERSON" type="postural" model="Box"><width model="G"><mean value="40"/><sigma value="80"/><min value="30"/><max value="140"/></width>
-<velocity model="G"><min value="0"/><max value="10"/></velocity><PostureList><Posture name="STANDING" model="Box"><height model="G"><mean value="170"/><sigma value="60"/><min value="120"/><max value="220"/></height></Posture></PostureList></ObjectModel>
-<ObjectModel name="VEHICLE" type="rigid" model="Box"><depth model="G"><mean value="400"/><sigma value="90"/><min value="200"/><max value="900"/></depth></ObjectModel></ObjectModels>"""
-CONTEXTS = """<LEARNING_CONTEXT_LIST><Learning_Context name="Places" init_file="a.xml"><Involved_Object_List><Involved_Object name="ANY2D"/><Involved_Object name="PERSON"/></Involved_Object_List>
-<Numerical_Attribute_List><Numerical_Attribute name="X" acuity="20"/><Numerical_Attribute name="Y" acuity="-1"/></Numerical_Attribute_List></Learning_Context>
-<Learning_Context name="Corners"><Symbolic_Attribute_List><Symbolic_Attribute name="CORNER"/></Symbolic_Attribute_List></Learning_Context></LEARNING_CONTEXT_LIST>"""
 DAG = """<MULTI_MODEL><Model name="Base" model="Blob" buffer="5"><Dependences></Dependences></Model><Model name="Shape" model="Size" buffer="3"><Dependences><Dependence name="Base"/></Dependences></Model>
 <Model name="Lost" model="Size" buffer="3"><Dependences><Dependence name="Nowhere"/></Dependences></Model></MULTI_MODEL>"""
 #: States made of the boxes of a kind, under one root.
-STATES = "SELECT 'kinds' AS context, 'state' AS kind, cast(length(obj_type) AS bigint) AS id, cast(0 AS bigint) AS parent, 1 AS level, count(*) AS n, round(cast(count(*) AS double)/max(total), 6) AS p, concat(cast(min(xleft) AS varchar(9)), ',', cast(min(ytop) AS varchar(9))) AS means, concat(cast(max(width) AS varchar(9)), ',', cast(max(height) AS varchar(9))) AS sigmas FROM (SELECT *, count(*) OVER () AS total FROM boxes) b GROUP BY length(obj_type)"
+STATES = "SELECT 'kinds' AS context, 'state' AS kind, cast(length(obj_type) AS bigint) AS id, cast(0 AS bigint) AS parent, 1 AS level, count(*) AS n, round(cast(count(*) AS double)/(SELECT count(*) FROM boxes), 6) AS p, concat(cast(min(xleft) AS varchar(9)), ',', cast(min(ytop) AS varchar(9))) AS means, concat(cast(max(width) AS varchar(9)), ',', cast(max(height) AS varchar(9))) AS sigmas FROM boxes GROUP BY length(obj_type)"
+#: Frames of pixels as images with the time of day in their names, a frame a second from 10:20 on.
+FRAMES = "SELECT frame, 37200040 + frame*1000 AS time_ms, x, y, r, g, b FROM px"
+#: The region, the way and the sizes of each object and kind, from which scenes, class models and contexts are written.
+REGIONS = "SELECT object_id AS id, min(xleft) AS x0, min(ytop) AS y0, max(xright) AS x1, max(ybottom) AS y1, max(height) AS tall FROM boxes GROUP BY object_id"
+KINDS = "SELECT obj_type AS kind, count(*) AS n, round(avg(width), 4) AS mw, round(stddev_pop(width), 4) AS sw, min(width) AS lw, max(width) AS hw, round(avg(height), 4) AS mh, round(stddev_pop(height), 4) AS sh, min(height) AS lh, max(height) AS hh FROM boxes GROUP BY obj_type"
 CONFIG = {"Sequence": {"Threshold": "30", "Inner": {"Rate": "0.5", "Name": "a < b"}}, "Rate": "0.9"}
 
 
@@ -49,45 +40,72 @@ def put(spark: SparkSession, content: dict[str, bytes]) -> str:
     return path
 
 
-def images(spark: SparkSession) -> str:
-    return put(spark, {name: b"\xff\xd8" for name, _, _ in IMAGES} | {"notes_1.txt": b"x", "img_1.ppm": b"P6"})
+def images(spark: SparkSession, sf_dir: str) -> str:
+    path = folder(spark)
+    sinks.images(relations.run(spark, sf_dir, FRAMES), path)
+    return path
 
 
 def frames_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.frames(spark, images(spark), start=3).select("file", "frame_id", "time_ms")
+    """The images of the table's frames from the third on, as read from their folder."""
+    return files.frames(spark, images(spark, sf_dir), start=3).select("file", "frame_id", "time_ms", F.length("bytes").alias("length"))
 
 
 def camera(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = "live_" + uuid.uuid4().hex
-    rows = files.camera(spark, images(spark), start=3, buffer=2, newest_first=True).select("file", "frame_id")
+    rows = files.camera(spark, images(spark, sf_dir), start=3, buffer=50, newest_first=True).select("file", "frame_id")
     rows.writeStream.format("memory").queryName(name).option("checkpointLocation", folder(spark)).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
 
 
+def written(rows: DataFrame, path: str, root: str, tag: str) -> None:
+    rows.write.format("xml").option("rootTag", root).option("rowTag", tag).save(path)
+
+
 def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.scene(spark, put(spark, {"scene.xml": SCENE.encode()}))
-    size = F.coalesce(F.size("outline"), F.lit(0))
-    last = lambda c: F.coalesce(F.get("outline", F.size("outline") - 1)[c], F.lit(0.0))
+    """Each object's region as a zone, on the ground and on the screen, its diagonal as a wall and its foot as a context object, written and read."""
+    path, rows = folder(spark), relations.run(spark, sf_dir, REGIONS)
+    point = lambda x, y, up="": F.struct(F.col(x).cast("double").alias("_X" if up else "_x"), F.col(y).cast("double").alias("_Y" if up else "_y"))
+    outline = lambda *p: F.struct(F.array(*p).alias("Point")).alias("OutlineList")
+    name, corners = F.concat(F.lit("Room "), "id").alias("_name"), (("x0", "y0"), ("x1", "y0"), ("x1", "y1"))
+    written(rows.select(F.col("id").alias("_id"), name, outline(*(point(*c) for c in corners))), f"{path}/zones", "ZoneList", "Zone")
+    written(rows.select(name, F.lit("Polygon").alias("_type"), outline(*(point(*c, "up") for c in corners[:2]))), f"{path}/screen", "Zone2DList", "Zone2D")
+    written(rows.select(F.col("id").alias("_id"), F.col("tall").cast("double").alias("_height"), point("x0", "y0").alias("StartPoint"), point("x1", "y1").alias("EndPoint")), f"{path}/walls", "WallList", "Wall")
+    written(rows.select(F.col("id").alias("_id"), name, outline(point("x0", "y1"))), f"{path}/objects", "ContextObjectsList", "ContextObject")
+    found = files.scene(spark, f"{path}/*")
+    last = lambda c: F.get("outline", F.size("outline") - 1)[c]
     parts = [
-        found["matrices"].select(F.lit("matrix").alias("kind"), F.lit(0).alias("id"), "name", F.size("m").alias("n"), F.get("m", F.lit(0)).alias("a"), F.array_max("m").alias("b")),
-        found["zones"].select(F.concat_ws(" ", F.lit("zone"), "space", "shape"), "id", "name", F.greatest(size, F.lit(0)), F.coalesce("rx", last("x")), F.coalesce("ry", last("y"))),
-        found["context_objects"].select(F.lit("object"), "id", "name", size, "height", last("x")),
+        found["zones"].select(F.concat_ws(" ", F.lit("zone"), "space", "shape").alias("kind"), "id", "name", F.size("outline").alias("n"), last("x").alias("a"), last("y").alias("b")),
+        found["context_objects"].select(F.lit("object"), "id", "name", F.size("outline"), "height", last("y")),
         found["walls"].select(F.lit("wall"), "id", "name", F.lit(2), "height", F.col("end.x")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def object_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.class_models(spark, put(spark, {"models.xml": MODELS.encode()}))
+    """The kinds of the table as classes with their widths and, for a posture, heights, written and read."""
+    path, value = folder(spark), lambda c: F.struct(F.col(c).cast("double").alias("_value"))
+    moments = lambda d: F.struct(*(value(c + d).alias(n) for c, n in (("m", "mean"), ("s", "sigma"), ("l", "min"), ("h", "max"))))
+    posture = F.struct(F.array(F.struct(F.lit("UPRIGHT").alias("_name"), moments("h").alias("height"))).alias("Posture"))
+    speed = F.struct(value("lw").alias("min"), value("hw").alias("max"))
+    rows = relations.run(spark, sf_dir, KINDS).select(F.col("kind").alias("_name"), F.lit("rigid").alias("_type"), moments("w").alias("width"), speed.alias("velocity"), posture.alias("PostureList"))
+    written(rows, path, "ObjectModels", "ObjectModel")
+    return files.class_models(spark, path)
 
 
 def learning_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = files.contexts(spark, put(spark, {"contexts.xml": CONTEXTS.encode()}))
-    numeric = F.array_join(F.transform("numeric", lambda n: F.concat_ws("=", n["name"], n["acuity"].cast("int"))), ",")
-    return rows.select("context", "init_file", F.array_join("involved", ",").alias("involved"), numeric.alias("numeric"), F.array_join("symbolic", ",").alias("symbolic"))
+    """A learning context for each kind of the table, with its deviations as acuities (below nine: none), written and read."""
+    path = folder(spark)
+    named = lambda *n: F.array(*(F.struct(x.alias("_name")) for x in n))
+    numeric = F.array(*(F.struct(F.lit(n).alias("_name"), F.when(F.col(c) >= 9, F.col(c)).otherwise(-1.0).alias("_acuity")) for n, c in (("W", "sw"), ("H", "sh"))))
+    rows = relations.run(spark, sf_dir, KINDS).select(
+        F.col("kind").alias("_name"), F.concat("kind", F.lit(".xml")).alias("_init_file"), F.struct(named(F.lit("ANY2D"), F.col("kind")).alias("Involved_Object")).alias("Involved_Object_List"),
+        F.struct(numeric.alias("Numerical_Attribute")).alias("Numerical_Attribute_List"), F.struct(named(F.lit("CORNER")).alias("Symbolic_Attribute")).alias("Symbolic_Attribute_List"),
+    )
+    written(rows, path, "LEARNING_CONTEXT_LIST", "Learning_Context")
+    found = files.contexts(spark, path)
+    each = F.explode("numeric").alias("a")
+    return found.select("context", "init_file", F.array_join("involved", ",").alias("involved"), F.array_join("symbolic", ",").alias("symbolic"), each).select("context", "init_file", "involved", "symbolic", F.col("a.name").alias("attribute"), F.col("a.acuity").alias("acuity"))
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> str:
@@ -103,13 +121,15 @@ def object_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = put(spark, {"config.xml": sinks.config_xml(CONFIG).encode()})
-    tree = sinks.read_config(spark.read.text(path, wholetext=True).first()[0])
+    """Bounds of each kind of the table as a tree of parameters, written and read; a row a kind goes through the driver."""
+    tree = {r["kind"]: {"Boxes": r["n"], "Bounds": {"Width": f"{r['lw']} < {r['hw']}", "Height": f"{r['lh']} < {r['hh']}"}} for r in relations.run(spark, sf_dir, KINDS).collect()}
+    path = put(spark, {"config.xml": sinks.config_xml(tree).encode()})
+    found = sinks.read_config(spark.read.text(path, wholetext=True).first()[0])
 
     def leaves(node: dict, above: str = "") -> list[tuple[str, str]]:
         return [x for k, v in node.items() for x in (leaves(v, f"{above}{k}/") if isinstance(v, dict) else [(above + k, v)])]
 
-    return spark.createDataFrame(leaves(tree), "name string, value string")
+    return spark.createDataFrame(leaves(found), "name string, value string")
 
 
 @pipeline.stage("keep large")
@@ -180,11 +200,10 @@ def model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def time_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which modules were timed, how often, and that their figures fit each other."""
+    """The milliseconds that each stage of a plan took over the table in three runs."""
     timings = pipeline.Timings()
     timings.run(pipeline.Sequence(["keep large", "area"]), boxes(spark, sf_dir), times=3)
-    fits = (F.col("lo") <= F.col("mean") + 1e-9) & (F.col("mean") <= F.col("hi") + 1e-9) & (F.abs(F.col("total") - F.col("mean") * F.col("runs")) < 1e-6) & (F.col("sigma") >= 0)
-    return timings.table(spark).select("module", "runs", fits.alias("fits"))
+    return timings.table(spark)
 
 
 QUERIES = {
@@ -209,20 +228,20 @@ QUERIES = {
     "cfg_sequence": sequence,
     "cfg_stop": stopped,
 }
-LISTED = ", ".join(f"('{name}', {frame}, {'NULL' if ms is None else ms})" for name, frame, ms in IMAGES)
+NAMED = "concat('cam-', lpad(cast(time_ms DIV 3600000 AS varchar(9)), 2, '0'), '.', lpad(cast(time_ms DIV 60000 % 60 AS varchar(9)), 2, '0'), '.', lpad(cast(time_ms DIV 1000 % 60 AS varchar(9)), 2, '0'), '.040-', cast(frame AS varchar(9)), '.ppm')"
+SHOWN = f"f AS (SELECT frame, time_ms, max(x) + 1 AS w, max(y) + 1 AS h FROM ({FRAMES}) p WHERE frame >= 3 GROUP BY frame, time_ms)\n--\n"
 SQL = {
-    "src_frames_dir": f"SELECT file, cast(frame_id AS bigint) AS frame_id, cast(time_ms AS bigint) AS time_ms FROM (VALUES {LISTED}) AS v(file, frame_id, time_ms)",
-    "src_camera": f"SELECT file, cast(frame_id AS bigint) AS frame_id FROM (VALUES {LISTED}) AS v(file, frame_id, time_ms)",
-    "src_scene": "SELECT * FROM (VALUES ('matrix', 0, 'perspective', 12, 1.5D, 2.0D), ('matrix', 0, 'homography', 9, 1.0D, 1.0D), ('zone world Polygon', 1, 'Room', 3, 5.0D, 9.0D), ('zone image Polygon', -1, 'Screen', 2, 7.0D, 4.0D), ('zone homography Ellipse', 3, 'None', 0, 50.0D, 40.0D), ('object', 5, 'desk', 1, 10.0D, 1.0D), ('wall', 4, 'North', 2, 250.0D, 9.0D)) AS v(kind, id, name, n, a, b)",
-    "src_object_models": "SELECT * FROM (VALUES ('PERSON', 'postural', NULL, 'width', 40.0D, 80.0D, 30.0D, 140.0D), ('PERSON', 'postural', NULL, 'velocity', 5.0D, 20.0D, 0.0D, 10.0D), ('PERSON', 'postural', 'STANDING', 'height', 170.0D, 60.0D, 120.0D, 220.0D), ('VEHICLE', 'rigid', NULL, 'depth', 400.0D, 90.0D, 200.0D, 900.0D)) AS v(class, kind, posture, criterion, mean, sigma, lo, hi)",
-    "src_learning_contexts": "SELECT * FROM (VALUES ('Places', 'a.xml', 'ANY2D,PERSON', 'X=20,Y=1', ''), ('Corners', NULL, '', '', 'CORNER')) AS v(context, init_file, involved, numeric, symbolic)",
+    "src_frames_dir": f"{SHOWN}SELECT {NAMED} AS file, frame AS frame_id, time_ms, 9 + length(cast(w AS varchar(9))) + length(cast(h AS varchar(9))) + 3*w*h AS length FROM f",
+    "src_camera": f"{SHOWN}SELECT {NAMED} AS file, frame AS frame_id FROM f",
+    "src_scene": f"g AS ({REGIONS})\n--\nSELECT 'zone world Polygon' AS kind, id, concat('Room ', cast(id AS varchar(20))) AS name, 3 AS n, 1.0D*x1 AS a, 1.0D*y1 AS b FROM g UNION ALL SELECT 'zone image Polygon', -1, concat('Room ', cast(id AS varchar(20))), 2, x1, y0 FROM g UNION ALL SELECT 'object', id, concat('Room ', cast(id AS varchar(20))), 1, 10, y1 FROM g UNION ALL SELECT 'wall', id, 'None', 2, tall, x1 FROM g",
+    "src_object_models": f"g AS ({KINDS})\n--\nSELECT kind AS class, 'rigid' AS kind, NULL AS posture, 'width' AS criterion, mw AS mean, sw AS sigma, 1.0D*lw AS lo, 1.0D*hw AS hi FROM g UNION ALL SELECT kind, 'rigid', NULL, 'velocity', hw/2.0D, 2.0D*hw, lw, hw FROM g UNION ALL SELECT kind, 'rigid', 'UPRIGHT', 'height', mh, sh, lh, hh FROM g",
+    "src_learning_contexts": f"g AS ({KINDS})\n--\nSELECT kind AS context, concat(kind, '.xml') AS init_file, concat('ANY2D,', kind) AS involved, 'CORNER' AS symbolic, 'W' AS attribute, CASE WHEN sw >= 9 THEN sw ELSE 1.0D END AS acuity FROM g UNION ALL SELECT kind, concat(kind, '.xml'), concat('ANY2D,', kind), 'CORNER', 'H', CASE WHEN sh >= 9 THEN sh ELSE 1.0D END FROM g",
     "src_hierarchy_xml": STATES,
     "snk_hierarchy_xml": f"SELECT id, n FROM ({STATES}) s",
     "snk_gnuplot": f"SELECT printf('set object %d ellipse center %.3f,%.3f size %.3f,%.3f', id, cast(split_part(means, ',', 1) AS double), cast(split_part(means, ',', 2) AS double), 2*cast(split_part(sigmas, ',', 1) AS double), 2*cast(split_part(sigmas, ',', 2) AS double)) AS value FROM ({STATES}) s",
     "snk_object_log": "SELECT object_id, frame_id AS frame, det_id, xleft, cast(rd AS double) AS rd FROM boxes",
     "snk_view_images": "SELECT DISTINCT frame_id - 400000 AS frame, concat(lpad(cast(frame_id - 400000 AS varchar(9)), 6, '0'), '.jpg') AS file FROM boxes",
-    "snk_config_xml": "SELECT * FROM (VALUES ('Sequence/Threshold', '30'), ('Sequence/Inner/Rate', '0.5'), ('Sequence/Inner/Name', 'a < b'), ('Rate', '0.9')) AS v(name, value)",
-    "snk_time_stats": "SELECT module, cast(3 AS bigint) AS runs, true AS fits FROM (VALUES ('keep large'), ('area')) AS v(module)",
+    "snk_config_xml": f"g AS ({KINDS})\n--\nSELECT concat(kind, '/Boxes') AS name, cast(n AS varchar(20)) AS value FROM g UNION ALL SELECT concat(kind, '/Bounds/Width'), concat(cast(lw AS varchar(20)), ' < ', cast(hw AS varchar(20))) FROM g UNION ALL SELECT concat(kind, '/Bounds/Height'), concat(cast(lh AS varchar(20)), ' < ', cast(hh AS varchar(20))) FROM g",
     "mdl_dag": "SELECT det_id, 2*width AS base, round(2*width/cast(height AS double), 6) AS shape, false AS lost FROM boxes",
     "udf_module": "SELECT det_id, width*height AS area FROM boxes WHERE width*height >= 900",
     "udf_model": "SELECT det_id, round(2*width/cast(height AS double) + rd, 6) AS fed FROM boxes",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 import xml.etree.ElementTree as ET
 
+import numpy as np
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,6 +66,32 @@ def gnuplot(concepts: DataFrame) -> DataFrame:
     return ellipses(concepts).selectExpr(f"{line} AS value")
 
 
+def images(pixels: DataFrame, path: str) -> None:
+    """A binary pixel map for each frame of pixels(frame, time_ms, x, y, r, g, b) in the folder ``path``, a URI of a file system
+    that all tasks reach; its name has the time of day and the frame's number.
+
+    Pixels that are missing are black; of repeated ones the last in order of colour counts. A frame, which the sensor bounds,
+    is one task's rows; a file is written under another name and then moved, so that a task run again leaves whole files.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        frame, ms = int(part["frame"].iloc[0]), int(part["time_ms"].iloc[0])
+        part = part.sort_values(["r", "g", "b"])
+        shown = np.zeros((int(part["y"].max()) + 1, int(part["x"].max()) + 1, 3), np.uint8)
+        shown[part["y"], part["x"]] = part[["r", "g", "b"]].to_numpy()
+        name = f"cam-{ms // 3_600_000:02}.{ms // 60_000 % 60:02}.{ms // 1000 % 60:02}.{ms % 1000:03}-{frame}.ppm"
+        system, folder = pafs.FileSystem.from_uri(path)
+        system.create_dir(folder)
+        partial = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        with system.open_output_stream(partial) as out:
+            out.write(b"P6\n%d %d\n255\n" % (shown.shape[1], shown.shape[0]) + shown.tobytes())
+        system.move(partial, f"{folder}/{name}")
+        return pd.DataFrame({"frame": [frame]})
+
+    columns = ["frame", "time_ms", "x", "y", "r", "g", "b"]
+    pixels.select(*columns).groupBy("frame").applyInPandas(run, "frame long").write.format("noop").mode("overwrite").save()
+
+
 def view_name(frame: str = "frame") -> Column:
     """The file name of a rendered view."""
     return F.concat(F.lpad(F.col(frame).cast("string"), 6, "0"), F.lit(".jpg"))

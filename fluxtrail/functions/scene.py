@@ -48,7 +48,7 @@ def bodies() -> dict[str, str]:
     along = "greatest(0.0D, least(1.0D, ((bcx-ax)*(ar-ax) + (bcy-ay)*(ab-ay))/cast((ar-ax)*(ar-ax) + (ab-ay)*(ab-ay) AS double)))"
     out["geo_point_segment"] = f"k AS (SELECT *, {along} AS s FROM pairs)\n--\nSELECT det_id, round(sqrt(power(bcx - ax - s*(ar-ax), 2) + power(bcy - ay - s*(ab-ay), 2)), 5) AS dist FROM k"
     on = f"abs({ccw(a, b, ('bcx', 'bcy'))})/sqrt(cast((ar-ax)*(ar-ax) + (ab-ay)*(ab-ay) AS double)*(power(bcx-ax, 2) + power(bcy-ay, 2)))"
-    out["geo_point_on_segment"] = f"SELECT det_id, {on} <= 0.01D AND bcx BETWEEN ax AND ar AND bcy BETWEEN ay AND ab AS on_segment FROM pairs WHERE bcx <> ax OR bcy <> ay"
+    out["geo_point_on_segment"] = f"SELECT det_id, CASE WHEN bcx = ax AND bcy = ay THEN true ELSE {on} <= 0.01D AND bcx BETWEEN ax AND ar AND bcy BETWEEN ay AND ab END AS on_segment FROM pairs"
     sides = " AND ".join(f"{ccw((str(p[0]), str(p[1])), (str(q[0]), str(q[1])), ('cx', 'cy'))} >= 0" for p, q in zip(CONVEX, CONVEX[1:] + CONVEX[:1], strict=True))
     out["geo_point_in_convex"] = f"SELECT det_id, {sides} AS inside FROM boxes"
     points = "pts AS (SELECT object_id, cx, cy, row_number() OVER (PARTITION BY object_id ORDER BY t_us, det_id) AS i, count(*) OVER (PARTITION BY object_id) AS n FROM boxes)\n--\n"
@@ -86,7 +86,7 @@ def bodies() -> dict[str, str]:
     order = "PARTITION BY object_id ORDER BY t_us, det_id"
     out["src_gt_tracking"] = f"SELECT det_id, xleft - 4 AS x, ytop - 2 AS y, cx - lag(cx) OVER ({order}) AS vx, cy - lag(cy) OVER ({order}) AS vy, round({x}, 4) AS world_x, round({y}, 4) AS world_y FROM boxes"
     out["math_inc_stats"] = f"SELECT det_id, round(avg(cx) OVER w, 4) AS mean, round(stddev_pop(cx) OVER w, 3) AS sigma FROM boxes WINDOW w AS ({order} ROWS UNBOUNDED PRECEDING)"
-    out["math_angle_norm"] = "g AS (SELECT det_id, atan2(acy-bcy, acx-bcx) - 7 AS v FROM pairs WHERE acx <> bcx OR acy <> bcy)\n--\nSELECT det_id, round(v - floor(v/pi())*pi(), 6) AS mod_pi, round(v - floor(v/(2*pi()))*2*pi(), 6) AS mod_2pi FROM g"
+    out["math_angle_norm"] = "g AS (SELECT det_id, atan2(acy-bcy, acx-bcx) - 7 AS v FROM pairs)\n--\nSELECT det_id, round(v - floor(v/pi())*pi(), 6) AS mod_pi, round(v - floor(v/(2*pi()))*2*pi(), 6) AS mod_2pi FROM g"
     out["time_add_ms"] = "SELECT det_id, ((t_us DIV 1000) % 60000 + 70123) % 1000 AS ms, (((t_us DIV 1000) % 60000 + 70123) DIV 1000) % 60 AS sec, ((t_us DIV 1000) % 60000 + 70123) DIV 60000 AS carry FROM detections"
     out["time_frame_gap"] = f"l AS (SELECT det_id, object_id, t_us, frame_id, lag(frame_id) OVER w AS pf, lag(t_us) OVER w AS pt FROM detections WINDOW w AS ({order})), k AS (SELECT *, CASE WHEN frame_id - pf <= 24 THEN t_us - pt END AS known FROM l), c AS (SELECT *, count(known) OVER ({order} ROWS UNBOUNDED PRECEDING) AS island FROM k)\n--\nSELECT det_id, coalesce(max(known) OVER (PARTITION BY object_id, island), 80000) AS gap_us FROM c"
 
@@ -94,12 +94,12 @@ def bodies() -> dict[str, str]:
     out["trk_init"] = f"f AS (SELECT *, row_number() OVER ({order}) AS i FROM boxes)\n--\nSELECT object_id, cx AS value, 0.0D AS sd, 1.0D AS rc, rd, 0.0D AS v, 0.0D AS a FROM f WHERE i = 1"
     out["trk_reliability_nodata"] = "l AS (SELECT object_id, max(t_us) AS t FROM detections GROUP BY object_id), a AS (SELECT d.object_id, max(l.t) AS t, sum(rd*exp(-0.1D*(l.t - d.t_us)/3600000000.0D)) AS acc, sum(exp(-0.1D*(l.t - d.t_us)/3600000000.0D)) AS cool FROM detections d JOIN l ON l.object_id = d.object_id GROUP BY d.object_id), e AS (SELECT max(t_us) AS z FROM detections)\n--\nSELECT object_id, round(acc*exp(-0.1D*(z - t)/3600000000.0D), 6) AS acc_r, round(sqrt(9.0D/least(1.0D, acc/cool)), 5) AS sd FROM a CROSS JOIN e"
     out["trk_id_upsert"] = f"g AS (SELECT object_id, frame_id, det_id, frame_id - lag(frame_id) OVER ({order}) AS gap FROM detections)\n--\nSELECT det_id, object_id, CASE WHEN gap IS NULL THEN 'insert' WHEN gap > 24 THEN 'expire+insert' ELSE 'update' END AS act FROM g"
-    out["lrn_attributes"] = f"l AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py, lag(width) OVER w AS pw, lag(height) OVER w AS ph, (t_us - lag(t_us) OVER w)/3600000000.0D AS dt FROM boxes WINDOW w AS ({order}))\n--\nSELECT det_id, cx AS x, cy AS y, width AS w, height AS h, round((cx-px)/dt, 4) AS vx, round((cy-py)/dt, 4) AS vy, round(sqrt(power(cx-px, 2) + power(cy-py, 2))/dt, 4) AS v2d, round((width-pw)/dt, 4) AS vw, round((height-ph)/dt, 4) AS vh FROM l WHERE dt > 0.01D"
+    out["lrn_attributes"] = f"l AS (SELECT *, lag(cx) OVER w AS px, lag(cy) OVER w AS py, lag(width) OVER w AS pw, lag(height) OVER w AS ph, (t_us - lag(t_us) OVER w)/3600000000.0D AS gap FROM boxes WINDOW w AS ({order})), m AS (SELECT *, CASE WHEN gap > 0.01D THEN gap END AS dt FROM l)\n--\nSELECT det_id, cx AS x, cy AS y, width AS w, height AS h, round((cx-px)/dt, 4) AS vx, round((cy-py)/dt, 4) AS vy, round(sqrt(power(cx-px, 2) + power(cy-py, 2))/dt, 4) AS v2d, round((width-pw)/dt, 4) AS vw, round((height-ph)/dt, 4) AS vh FROM m"
     out["lrn_dwell_unseen"] = f"e AS (SELECT max(t_us) AS z FROM detections), l AS (SELECT object_id, obj_type, t_us, lead(t_us) OVER ({order}) AS nxt FROM detections)\n--\nSELECT object_id, obj_type, sum(coalesce(nxt, z) - t_us) AS dwell_us FROM l CROSS JOIN e GROUP BY object_id, obj_type"
     out["lrn_edge_pool"] = f"l AS (SELECT obj_type AS s, lead(obj_type) OVER ({order}) AS d, lead(t_us) OVER ({order}) - t_us AS dt FROM detections), r AS (SELECT CASE WHEN s IN ('click','view') THEN 'seen' ELSE s END AS src, CASE WHEN d IN ('click','view') THEN 'seen' ELSE d END AS dst, dt/3600000000.0D AS dt FROM l WHERE d IS NOT NULL), g AS (SELECT src, dst, count(*) AS n, avg(dt) AS m, stddev_pop(dt) AS sd, min(dt) AS lo, max(dt) AS hi FROM r WHERE src <> dst GROUP BY src, dst)\n--\nSELECT src, dst, n, round(cast(n AS double)/sum(n) OVER (PARTITION BY src), 6) AS p, round(m, 4) AS mean_t, round(sd, 4) AS sigma_t, round(lo, 4) AS min_t, round(hi, 4) AS max_t FROM g"
     grid = "(VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS i(i) CROSS JOIN (VALUES (0),(1),(2),(3)) AS j(j) CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS k(k) CROSS JOIN (VALUES (0),(1),(2)) AS l(l)"
     near = "power((gx*20 + 10 - mx)/sx, 2) + power((gy*20 + 10 - my)/sy, 2)"
-    out["lrn_rasterise"] = f"c AS (SELECT obj_type, avg(cx) AS mx, stddev_pop(cx) AS sx, avg(cy) AS my, stddev_pop(cy) AS sy FROM boxes GROUP BY obj_type), g AS (SELECT i*4 + j AS gx, k*3 + l AS gy FROM {grid}), d AS (SELECT gx, gy, cast({near} AS double) AS q FROM g CROSS JOIN c)\n--\nSELECT gx, gy, round(max(exp(-q/2)), 6) AS gauss, max(CASE WHEN q <= 1 THEN 1 ELSE 0 END) AS flat, max(CASE WHEN abs(sqrt(q) - 1) <= 0.15D THEN 1 ELSE 0 END) AS border FROM d GROUP BY gx, gy"
+    out["lrn_rasterise"] = f"c AS (SELECT obj_type, avg(cx) AS mx, stddev_pop(cx) AS sx, avg(cy) AS my, stddev_pop(cy) AS sy, avg(rd) AS rd FROM boxes GROUP BY obj_type), g AS (SELECT i*4 + j AS gx, k*3 + l AS gy FROM {grid}), d AS (SELECT gx, gy, rd, cast({near} AS double) AS q FROM g CROSS JOIN c)\n--\nSELECT gx, gy, round(max(exp(-q/2)), 6) AS gauss, max(CASE WHEN q <= 1 THEN 1 ELSE 0 END) AS flat, max(CASE WHEN abs(sqrt(q) - 1) <= 0.15D THEN 1 ELSE 0 END) AS border, round(max(CASE WHEN q <= 1 THEN rd END), 6) AS attribute FROM d GROUP BY gx, gy"
     tree = "nodes AS (SELECT object_id AS id, object_id DIV 2 AS parent, count(*) AS n FROM detections GROUP BY object_id), /*RECUR*/anc(id, a, d) AS (SELECT id, id, 0 FROM nodes UNION ALL SELECT anc.id, nodes.parent, anc.d + 1 FROM anc JOIN nodes ON nodes.id = anc.a WHERE nodes.parent > 0)"
     out["tree_depth"] = tree + "\n--\nSELECT id, max(d) AS depth FROM anc GROUP BY id"
     out["tree_distance_to_leaf"] = tree + "\n--\nSELECT a AS id, max(d) AS to_leaf, count(*) AS below FROM anc GROUP BY a"

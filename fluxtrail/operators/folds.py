@@ -68,22 +68,30 @@ def block_states(blocks: DataFrame, correlation: float = 0.5, still: int = 20, k
     correlates with the background is BACKGROUND, else STILL_OBJ and counted; a moving one that does is ILLUM_CHANGE, else
     MOVING_OBJ. BACKGROUND and ILLUM_CHANGE blend into the background, a block still for ``still`` frames replaces it, and
     a block that moves twice does where its own inner edges are smoother. Blocks of constant pixels correlate fully with
-    any constant and with nothing else.
+    any constant and with nothing else. A null pixel is one that the frame does not have: it is left out where blocks are
+    compared, and the background keeps what it knows of it.
     """
 
-    def correlated(a: list[float], b: list[float]) -> float:
+    def correlated(a: list, b: list) -> float:
+        both = [(x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None]
+        if not both:
+            return 1.0
+        a, b = zip(*both, strict=True)
         ma, mb = sum(a) / len(a), sum(b) / len(b)
         va, vb = sum((x - ma) ** 2 for x in a), sum((x - mb) ** 2 for x in b)
         if va == 0 or vb == 0:
             return float(va == vb)
         return sum((x - ma) * (y - mb) for x, y in zip(a, b, strict=True)) / math.sqrt(va * vb)
 
-    def rough(a: list[float]) -> float:
+    def rough(a: list) -> float:
         side = max(1, math.isqrt(len(a)))
-        return sum((x - y) ** 2 for x, y in zip(a, a[side:], strict=False))
+        return sum((x - y) ** 2 for x, y in zip(a, a[side:], strict=False) if x is not None and y is not None)
+
+    def filled(new: list, old: list) -> list:
+        return [y if x is None else x for x, y in zip(new, old, strict=True)]
 
     def step(state: dict, row: Any) -> list[tuple]:
-        own, before = [float(v) for v in row.px], state.get("code", UNDEFINED)
+        own, before = [None if v is None or v != v else float(v) for v in row.px], state.get("code", UNDEFINED)
         bg = state.get("bg", own)
         if before == UNDEFINED and row.moving:
             code = UNDEFINED
@@ -97,11 +105,12 @@ def block_states(blocks: DataFrame, correlation: float = 0.5, still: int = 20, k
                 code = min(STILL_OBJ + still, before + 1) if STILL_OBJ <= before <= STILL_OBJ + still else STILL_OBJ
             taken = before == UNDEFINED and code in (BACKGROUND, STILL_OBJ) or code == STILL_OBJ + still
             if taken or code == MOVING_OBJ + 1 and rough(own) < rough(bg):
-                bg = own
+                bg = filled(own, bg)
             elif code in (BACKGROUND, ILLUM_CHANGE):
-                bg = [keep * b + (1 - keep) * v for b, v in zip(bg, own, strict=True)]
+                bg = [v if b is None else b if v is None else keep * b + (1 - keep) * v for b, v in zip(bg, own, strict=True)]
         state.update(code=code, bg=bg)
-        return [(row.bx, row.by_, row.frame, code, round(sum(bg) / len(bg), 6))]
+        known = [b for b in bg if b is not None]
+        return [(row.bx, row.by_, row.frame, code, round(sum(known) / len(known), 6) if known else None)]
 
     return ordered_fold(blocks, ["bx", "by_"], ["frame"], "bx long, by_ long, frame long, code int, bg double", dict, step)
 

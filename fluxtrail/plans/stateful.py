@@ -36,7 +36,7 @@ def grouped(spark: SparkSession, sf_dir: str, edges: str = EDGES) -> DataFrame:
 
 
 def block_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = "p AS (SELECT x DIV 4 AS bx, y DIV 4 AS by_, frame, x, y, r, lag(r) OVER (PARTITION BY x, y ORDER BY frame) AS q FROM px)\n--\nSELECT bx, by_, frame, coalesce(avg(power(r - q, 2)) > 8000, false) AS moving, transform(array_sort(collect_list(struct(y, x, r))), s -> s.r) AS px FROM p GROUP BY bx, by_, frame HAVING count(*) = 16"
+    body = "p AS (SELECT x DIV 4 AS bx, y DIV 4 AS by_, frame, x, y, r, lag(r) OVER (PARTITION BY x, y ORDER BY frame) AS q FROM px)\n--\nSELECT bx, by_, frame, coalesce(avg(power(r - q, 2)) > 8000, false) AS moving, transform(sequence(0, 15), i -> element_at(map_from_entries(collect_list(struct(cast(y % 4*4 + x % 4 AS int), r))), i)) AS px FROM p GROUP BY bx, by_, frame"
     return folds.block_states(of(spark, sf_dir, body))
 
 
@@ -87,6 +87,19 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 4) for c in columns})
 
 
+def involved_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which groups of mergeable boxes each object reaches, and with how many boxes: a group stands for all its boxes."""
+    found = components.groups(of(spark, sf_dir, objects.PAIRED["merge_candidates"][0]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    rows = of(spark, sf_dir, objects.PAIRED["join_involved"][0]).join(found.withColumnRenamed("node", "blob"), "blob", "left")
+    return rows.groupBy("object_id", "det_id", F.coalesce("grp", "blob").alias("grp")).agg(F.count(F.lit(1)).alias("boxes"))
+
+
+def network_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean error of the network on rows that it has not learned from, plain and by reliability."""
+    off = F.abs(F.col("y") - F.col("guess"))
+    return classify.regressed(histograms(spark, sf_dir)).agg(F.round(F.avg(off), 3).alias("mae"), F.round(F.sum(F.col("weight") * off) / F.sum("weight"), 3).alias("weighted_mae"), F.count(off).alias("n"))
+
+
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: f"struct(cast({x} AS double) AS x, cast({y} AS double) AS y)"
     square = lambda a, b, c, d: f"array({corner(a, b)}, {corner(c, b)}, {corner(c, d)}, {corner(a, d)})"
@@ -142,6 +155,8 @@ QUERIES = {
     "cc_rle": lambda s, d: components.run_components(of(s, d, FG)),
     "merge_groups": lambda s, d: components.groups(of(s, d, EDGES)),
     "merge_connectivity": connectivity,
+    "join_involved_groups": involved_groups,
+    "sup_ann_error": network_error,
     "merge_partitions": lambda s, d: merging.merge_partitions(grouped(s, d, f"{SHORT_FRAMES}\n--\n" + EDGES.replace("FROM boxes", "FROM s"))),
     "trk_new_objects": lambda s, d: merging.new_objects(grouped(s, d)),
     "premerge_search": lambda s, d: merging.merge_search(grouped(s, d)),
@@ -181,10 +196,13 @@ QUERIES = {
 
 LABELLED = f"fg AS ({FG}), /*RECUR*/reach(frame, x, y, v, w) AS (SELECT frame, x, y, x, y FROM fg UNION SELECT r.frame, r.x, r.y, f.x, f.y FROM reach r JOIN fg f ON f.frame = r.frame AND abs(f.x - r.v) <= 1 AND abs(f.y - r.w) <= 1), named AS (SELECT frame, x, y, min(w*65536 + v) AS label FROM reach GROUP BY frame, x, y)\n--\nSELECT frame, label, count(*) AS n, min(x) AS l, max(x) AS r, min(y) AS t, max(y) AS b FROM named GROUP BY frame, label"
 NAMED = f"half AS ({PLAIN_EDGES}), e AS (SELECT a, b FROM half UNION SELECT b, a FROM half), /*RECUR*/reach(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other), g AS (SELECT node, min(other) AS grp FROM reach GROUP BY node)\n--\n"
+_INVOLVED = objects.PAIRED["join_involved"][1].split("\n--\n")
+GROUPED = f"{_INVOLVED[0]}, involved AS ({_INVOLVED[1]}), half AS ({objects.PAIRED['merge_candidates'][1]}), e AS (SELECT a_id AS a, b_id AS b FROM half UNION SELECT b_id, a_id FROM half), /*RECUR*/reach(node, other) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM reach r JOIN e ON e.a = r.other), c AS (SELECT node, min(other) AS grp FROM reach GROUP BY node)\n--\n"
 #: DuckDB statements; the other operators are held against brute force and planted cases in the tests.
 SQL = {
     "cc_two_step": LABELLED,
     "merge_groups": NAMED + "SELECT node, grp FROM g",
+    "join_involved_groups": GROUPED + "SELECT object_id, det_id, coalesce(grp, blob) AS grp, count(*) AS boxes FROM involved LEFT JOIN c ON c.node = blob GROUP BY object_id, det_id, coalesce(grp, blob)",
     "merge_connectivity": NAMED + "SELECT frame_id*8 + length(obj_type) AS frame, min(coalesce(grp, det_id)) = max(coalesce(grp, det_id)) AS connected FROM boxes LEFT JOIN g ON g.node = det_id GROUP BY frame_id*8 + length(obj_type)",
     "geo_polygon_clip": "SELECT det_id AS id, round(greatest(0, least(ar, br) - greatest(ax, bx))*greatest(0, least(ab, bb) - greatest(ay, by_))*1.0D, 4) AS area FROM pairs",
     "px_bg_diff": "o AS (SELECT x, y, frame, r, g, b, row_number() OVER (PARTITION BY x, y ORDER BY frame) AS i FROM px WHERE x BETWEEN 2 AND 13 AND NOT (x BETWEEN 6 AND 9 AND y BETWEEN 6 AND 9)), /*RECUR*/f(x, y, frame, i, r, g, b, off) AS (SELECT x, y, frame, i, r, g, b, cast(NULL AS bigint) FROM o WHERE i = 1 UNION ALL SELECT o.x, o.y, o.frame, o.i, " + ", ".join(f"cast(floor(0.9D*f.{c} + 0.1D*o.{c} + 1e-9) AS bigint)" for c in "rgb") + ", cast((o.r - f.r)*(o.r - f.r) + (o.g - f.g)*(o.g - f.g) + (o.b - f.b)*(o.b - f.b) AS bigint) FROM f JOIN o ON o.x = f.x AND o.y = f.y AND o.i = f.i + 1)\n--\nSELECT frame, x, y, CASE WHEN off > 2500 THEN 1 ELSE 0 END AS fg FROM f WHERE off IS NOT NULL",

@@ -68,3 +68,43 @@ def test_stream_keeps_state(spark, tmp_path):
             assert any(r.object_id == 1 and r.status == "EXPIRED" for r in rows)
         else:
             assert any(r.object_id == 1 and r.samples == 9 for r in rows)
+
+
+def test_images_come_back(spark, tmp_path):
+    rows = [(7, 37_203_040, x, y, 10 * x, 10 * y, 200) for x in range(4) for y in range(3)] + [(7, 37_203_040, 0, 0, 9, 9, 9)] * 2 + [(8, 37_204_040, 1, 1, 5, 6, 7)]
+    path = f"file://{tmp_path}/images"
+    for _ in range(2):  # a task run again leaves the same files
+        sinks.images(spark.createDataFrame(rows, "frame long, time_ms long, x long, y long, r long, g long, b long"), path)
+    found = {r.frame_id: r for r in files.frames(spark, path).collect()}
+    assert {k: (r.file, r.time_ms) for k, r in found.items()} == {7: ("cam-10.20.03.040-7.ppm", 37_203_040), 8: ("cam-10.20.04.040-8.ppm", 37_204_040)}
+    assert bytes(found[8].bytes) == b"P6\n2 2\n255\n" + bytes([0] * 9 + [5, 6, 7])
+    whole = bytes(found[7].bytes)
+    assert whole[:11] == b"P6\n4 3\n255\n" and whole[11:14] == bytes([9, 9, 9]) and whole[-3:] == bytes([30, 20, 200]) and len(whole) == 11 + 36
+
+
+SCENE = """<scene><perspective_matrix m00="1.5" m01="0" m02="0" m03="2" m10="0" m11="1" m12="0" m13="0" m20="0" m21="0" m22="0" m23="1"/>
+<homography_matrix h00="1" h01="0" h02="0" h10="0" h11="1" h12="0" h20="0" h21="0" h22="1"/>
+<Zone2DList><Zone2D name="Screen"><OutlineList><Point X="3" Y="4"/><Point X="7"/></OutlineList></Zone2D></Zone2DList>
+<ZoneHomographyList><ZoneHomography id="3" type="Ellipse"><Center X="1" Y="2"/><Radius RX="50" RY="40"/></ZoneHomography></ZoneHomographyList>
+<WallList><Wall ident="4" name="North" height="90"><StartPoint x="7" y="5"/><EndPoint x="9" y="6" z="0"/></Wall></WallList>
+<ContextObjectsList><ContextObject><OutlineList><Point x="1" y="1" z="2"/></OutlineList></ContextObject></ContextObjectsList></scene>"""
+MODELS = """<ObjectModels><ObjectModel name="A" type="postural"><velocity><min value="0"/><max value="8"/></velocity></ObjectModel>
+<ObjectModel name="B" type="rigid"><depth><mean value="7"/><sigma value="2"/><min value="1"/><max value="11"/></depth></ObjectModel></ObjectModels>"""
+CONTEXTS = """<L><Learning_Context name="P"><Numerical_Attribute_List><Numerical_Attribute name="X" acuity="2.5"/><Numerical_Attribute name="Y" acuity="-1"/><Numerical_Attribute name="Z"/></Numerical_Attribute_List></Learning_Context>
+<Learning_Context name="Q" init_file="q.xml"/></L>"""
+
+
+def test_what_files_leave_out(spark, tmp_path):
+    for name, text in (("scene", SCENE), ("models", MODELS), ("contexts", CONTEXTS)):
+        (tmp_path / f"{name}.xml").write_text(text)
+    scene = files.scene(spark, f"file://{tmp_path}/scene.xml")
+    assert {r.name: list(r.m) for r in scene["matrices"].collect()} == {"perspective": [1.5, 0, 0, 2, 0, 1, 0, 0, 0, 0, 0, 1], "homography": [1, 0, 0, 0, 1, 0, 0, 0, 1]}
+    zones = {r.space: r for r in scene["zones"].collect()}
+    assert (zones["image"].id, zones["image"].shape, [tuple(p) for p in zones["image"].outline]) == (-1, "Polygon", [(3, 4, 0), (7, 0, 0)])
+    assert (zones["homography"].shape, zones["homography"].name, zones["homography"].rx) == ("Ellipse", "None", 50)
+    wall, thing = scene["walls"].first(), scene["context_objects"].first()
+    assert (wall.id, wall.height, wall.end.y, thing.id, thing.name, thing.height) == (4, 90, 6, -1, "None", 10)
+    models = {(r["class"], r.criterion): (r.mean, r.sigma, r.hi) for r in files.class_models(spark, f"file://{tmp_path}/models.xml").collect()}
+    assert models == {("A", "velocity"): (4, 16, 8), ("B", "depth"): (7, 2, 11)}
+    contexts = {r.context: r for r in files.contexts(spark, f"file://{tmp_path}/contexts.xml").collect()}
+    assert [tuple(a) for a in contexts["P"].numeric] == [("X", 2.5), ("Y", 1.0), ("Z", 1.0)] and contexts["Q"].init_file == "q.xml" and not contexts["Q"].numeric

@@ -16,6 +16,12 @@ from pyspark.sql import DataFrame
 Step = Callable[[Any, Any], list[tuple]]
 
 
+def tasks(df: DataFrame, each: int = 2) -> int:
+    """Partitions for few rows with long work, which Spark's own count, made for many rows with little work, would put together."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), each * spark.sparkContext.defaultParallelism)
+
+
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], Any], step: Step, finish: Callable[[Any], list[tuple]] | None = None, heavy: bool = False) -> DataFrame:
     """The output rows of ``step`` over each key's rows in order, then those of ``finish``.
 
@@ -24,9 +30,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], schema: str,
     for their few rows.
     """
     names = [f.strip().split()[0].strip(":") for f in schema.split(",")]
-    spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
-    rows = df.repartition(*([tasks] if heavy else []), *keys).sortWithinPartitions(*keys, *order)
+    rows = df.repartition(*([tasks(df, 8)] if heavy else []), *keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, state = None, None

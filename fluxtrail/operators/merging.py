@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxtrail.operators.folds import tasks
+
 #: l, r, t, b of a box.
 Box = tuple[int, int, int, int]
 
@@ -108,7 +110,7 @@ def bits(part: int) -> Iterator[int]:
 
 def gathered(blobs: DataFrame) -> DataFrame:
     """grp, boxes: the boxes of each group in order of id. A group lies in one frame, so the sensor bounds it."""
-    return blobs.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("id", "l", "r", "t", "b"))).alias("boxes"))
+    return blobs.repartition(tasks(blobs), "grp").groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("id", "l", "r", "t", "b"))).alias("boxes"))
 
 
 def groups_of(batch: pa.RecordBatch, near: float) -> Iterator[Group]:
@@ -151,7 +153,7 @@ def merge_partitions(blobs: DataFrame, near: float = 10.0, rows: int = 10_000) -
             yield pa.RecordBatch.from_pylist(held, schema)
 
     branches = gathered(blobs).mapInArrow(dealt, "grp long, branch string, boxes array<struct<id:long,l:long,r:long,t:long,b:long>>")
-    return branches.repartition("grp", "branch").mapInArrow(listed, "grp long, partition string, parts int")
+    return branches.repartition(tasks(blobs, 4), "grp", "branch").mapInArrow(listed, "grp long, partition string, parts int")
 
 
 def fewest_merges(group: Group, fits: Callable[[Box], bool]) -> tuple[int, ...] | None:

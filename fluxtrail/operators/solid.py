@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fluxtrail.operators.folds import tasks
+
 #: Half steps from the middle along width and length, and whether at the top, of the eight corners; base corners first, in turn.
 CORNERS = np.array([(a, b, z) for z in (0, 1) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))], float) * (0.5, 0.5, 1)
 SOLVED = "det_id long, k int, h double, x double, y double, w double, l double, rw double, rl double, rh double, hidden int, blocked boolean"
@@ -158,7 +160,7 @@ def solids(boxes: DataFrame, walls: Sequence[Sequence[float]] = (), angles: Sequ
                 columns = [part["det_id"].to_numpy().repeat(len(grid))[ok], k[ok], h[ok], *(got[c][ok] for c in ("x", "y", "w", "l")), rw, rl, rh, unseen @ (1, 2, 4, 8), blocked(points, walls)]
                 yield pd.DataFrame(dict(zip(names, columns, strict=True)))
 
-    return boxes.select("det_id", "xleft", "xright", "ytop", "ybottom").mapInPandas(run, SOLVED)
+    return boxes.select("det_id", "xleft", "xright", "ytop", "ybottom").repartition(tasks(boxes), "det_id").mapInPandas(run, SOLVED)
 
 
 def searched(solved: DataFrame, models: DataFrame) -> DataFrame:
@@ -178,6 +180,26 @@ def searched(solved: DataFrame, models: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("det_id", "class", "k", "h", "w", "l", "p", "r", "hidden")
 
 
+def footprints(boxes: DataFrame, solved: DataFrame, models: DataFrame, matrix: np.ndarray = CAMERA, shift: float = 500.0) -> DataFrame:
+    """boxes(det_id, xleft, xright, ybottom, ...) with class, height_ and gl, gr, gt, gb: the bounds on the ground, moved by ``shift``, of the
+    base of each box's best shape among ``models``.
+
+    A box without a shape is UNKNOWN, has no height_, and stands with a square base, as deep as it is wide, where the middle
+    of its lower side meets the ground.
+    """
+    best = searched(solved, models).withColumn("nth", F.row_number().over(W.partitionBy("det_id").orderBy(F.desc(F.round(F.col("p") * F.col("r"), 9)), "class"))).filter("nth = 1")
+    shape = best.select("det_id", "class", "k", "h").join(solved.select("det_id", "k", "h", "x", "y", "w", "l"), ["det_id", "k", "h"])
+    c, s = (F.abs(f(F.lit(ANGLES[0]) + (ANGLES[1] - ANGLES[0]) * F.col("k"))) for f in (F.cos, F.sin))
+    rows = boxes.join(shape, "det_id", "left")
+    u, v = (F.col("xleft") + F.col("xright")) / 2, F.col("ybottom")
+    (a, b, e), (d, f, g) = ([float(matrix[i, k]) - side * float(matrix[2, k]) for k in (0, 1, 3)] for i, side in ((0, u), (1, v)))
+    det, half = a * f - b * d, (F.col("xright") - F.col("xleft") + 1) / 2
+    x, y = F.coalesce("x", (b * g - e * f) / det), F.coalesce("y", (e * d - a * g) / det)
+    wide, deep = F.coalesce((F.col("w") * c + F.col("l") * s) / 2, half), F.coalesce((F.col("w") * s + F.col("l") * c) / 2, half)
+    sides = {"gl": x - wide, "gr": x + wide, "gt": y - deep, "gb": y + deep}
+    return rows.select(*(F.col(f"`{n}`") for n in boxes.columns), F.coalesce("class", F.lit("UNKNOWN")).alias("class"), F.col("h").alias("height_"), *((side + shift).alias(n) for n, side in sides.items()))
+
+
 def coherent(solved: DataFrame, models: DataFrame, seen: DataFrame) -> DataFrame:
     """det_id, class, k, h, w, l, off: the box in space of each seen(det_id, object_id, t_us) that goes best with its track.
 

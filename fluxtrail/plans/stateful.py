@@ -128,6 +128,13 @@ GROUND = ("(0.02D*cx + 0.001D*ybottom + 1)/(0.0001D*cx + 0.0002D*ybottom + 1)",
 SHAPES = "SELECT object_id, t_us, det_id, 1.0D*width AS w, 0.8D*height AS l, (width + height)/2.0D AS h, CASE WHEN coalesce(cx - lag(cx) OVER v, 0) = 0 AND coalesce(cy - lag(cy) OVER v, 0) = 0 THEN 0.0D ELSE atan2(cast(cy - lag(cy) OVER v AS double), cast(cx - lag(cx) OVER v AS double)) END AS alpha, cast(rd AS double) AS rw, cast(1 - rd/2 AS double) AS rl, 0.5D AS rh FROM boxes WINDOW v AS (PARTITION BY object_id ORDER BY t_us, det_id)"
 
 
+def bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as their bases on the ground, of the kind of their class in space."""
+    boxes = of(spark, sf_dir, "SELECT obj_type AS stream, frame_id AS frame, det_id, xleft, xright, ybottom FROM boxes")
+    rows = solid.footprints(boxes, solids(spark, sf_dir), of(spark, sf_dir, "SELECT * FROM models"))
+    return rows.select("stream", "frame", F.col("det_id").alias("id"), F.col("class").alias("kind"), F.col("gl").alias("l"), F.col("gr").alias("r"), F.col("gt").alias("t"), F.col("gb").alias("b"))
+
+
 def solid_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recursion over the shapes that the search of angles and heights finds for persons; a box without one has none."""
     solved = solids(spark, sf_dir)
@@ -171,7 +178,8 @@ QUERIES = {
     "trk_multi_hypothesis": lambda s, d: tracker.track(blobs(s, d)),
     "trk_live": lambda s, d: live.replayed(s, blobs(s, d)),
     "trk_2d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["planar"]),
-    "trk_3d": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["spatial"]),
+    "trk_3d": lambda s, d: tracker.track(bases(s, d), tracker.CONFIGURATIONS["ground"]),
+    "trk_spatial": lambda s, d: tracker.track(blobs(s, d), tracker.CONFIGURATIONS["spatial"]),
     "geo_polygon_clip": lambda s, d: classify.clipped(polygons(s, d)).select("id", F.round("area", 4).alias("area")),
     "trk_hull": lambda s, d: classify.hulls(of(s, d, "SELECT frame AS id, array_sort(collect_list(struct(cast(x AS double) AS x, cast(y AS double) AS y))) AS points FROM px WHERE r > 170 GROUP BY frame")),
     "trk_contour": lambda s, d: rounded(contours.segments(of(s, d, FG)), "to_x", "to_y", "length"),

@@ -135,3 +135,18 @@ def test_shapes_not_seen(spark):
     assert math.isclose((turned(found[31]) - turned(found[30])) % math.pi, found[30].turn, abs_tol=1e-3)
     assert (found[90].w, found[90].l, found[90].h, found[90].ra) == (3.0, 4.0, 5.0, 0.5)
     assert recursions.mobile_shape(spark.createDataFrame([], SAMPLES)).count() == 0
+
+
+def test_footprints(spark):
+    """A box's base on the ground is that of its best shape; a box too large for any class stands where its lower side meets the ground."""
+    models = spark.createDataFrame(MODELS, "class string, mean double, sigma double, lo double, hi double")
+    sides = [float(v) for v in image(solid.CAMERA, standing(300.0, 200.0, 20.0, 20.0, 20.0, solid.ANGLES[2]))]
+    rows = spark.createDataFrame([(1, sides[0], sides[2], sides[3], sides[1]), (2, 100.0, 399.0, 20.0, 240.0)], BOXES)
+    found = {r.det_id: r for r in solid.footprints(rows, solid.solids(rows), models, shift=0.0).collect()}
+    best = solid.searched(solid.solids(rows), models).filter("det_id = 1").first()
+    shape = next(r for r in solid.solids(rows).collect() if (r.det_id, r.k, r.h) == (1, best.k, best.h))
+    base = standing(shape.x, shape.y, shape.w, shape.l, shape.h, solid.ANGLES[shape.k])
+    want = min(p[0] for p in base), max(p[0] for p in base), min(p[1] for p in base), max(p[1] for p in base)
+    assert np.allclose((found[1].gl, found[1].gr, found[1].gt, found[1].gb), want) and found[1]["class"] == "ANY" and found[1].height_ == best.h
+    x, y = (found[2].gl + found[2].gr) / 2, (found[2].gt + found[2].gb) / 2
+    assert np.allclose(image(solid.CAMERA, [(x, y, 0.0)])[:2], (249.5, 240.0)) and found[2]["class"] == "UNKNOWN" and found[2].gr - found[2].gl == 300

@@ -134,4 +134,23 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, ''))
 SELECT page_id, cast(strlen(body) AS bigint) AS payload_bytes,
     array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS bigint) >> (15 - 5 * (i % 4))) & 31), 1) FOR i IN range(32)], '') AS payload_digest,
     CASE WHEN first_ = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_ <> page_id THEN first_ END AS refers_to, true AS digest_ok FROM p""",
+    "op13_leaderboard": """
+WITH RECURSIVE bit(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bit WHERE k = 8),
+n AS (SELECT vendor_id, max(nation_id) AS nation FROM vendors GROUP BY vendor_id), p AS (SELECT item_id, floor(100.0::double*max(price) + 0.5::double) AS each FROM items GROUP BY item_id),
+o AS (SELECT *, concat(coalesce(cast(sale_id AS varchar), ''), ',', coalesce(cast(item_id AS varchar), ''), ',', coalesce(cast(vendor_id AS varchar), ''), ',', coalesce(cast(line_no AS varchar), '')) AS txt FROM sale_lines),
+h AS (SELECT o.*, xor(list_reduce([ascii(x) FOR x IN string_split(txt, '')], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM o CROSS JOIN tab),
+s AS (SELECT *, coalesce(datediff('day', DATE '1970-01-01', cast(shipped_at AS date)), 19723 + h % 150) AS s FROM h),
+a AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM s),
+b AS (SELECT *, greatest(1, least(10, 1 + cast(floor((a - 19723)*10/180.0::double) AS bigint))) AS b FROM a),
+m AS (SELECT k.b, (SELECT max(s) FROM b WHERE b.b < k.b) AS latest FROM (SELECT DISTINCT b FROM b) k),
+d AS (SELECT n.nation, b.a, b.item_id, sum(CASE WHEN b.flag = 'returned' THEN -1 ELSE 1 END*cast(coalesce(floor(100.0::double*b.amount + 0.5::double), b.quantity*p.each, 0) AS bigint)) AS cents
+ FROM b JOIN m ON m.b = b.b JOIN n ON n.vendor_id = b.vendor_id JOIN p ON p.item_id = b.item_id WHERE n.nation IS NOT NULL AND (m.latest IS NULL OR b.s + 3 >= m.latest) GROUP BY n.nation, b.a, b.item_id),
+day AS (SELECT nation, a, row_number() OVER (PARTITION BY nation ORDER BY a) AS k FROM (SELECT DISTINCT nation, a FROM d) x), item AS (SELECT nation, item_id, min(a) AS first_ FROM d GROUP BY nation, item_id),
+r AS (SELECT y.nation, y.a, y.k, i.item_id, sum(coalesce(d.cents, 0)) OVER (PARTITION BY y.nation, i.item_id ORDER BY y.k) AS revenue FROM day y JOIN item i ON i.nation = y.nation AND i.first_ <= y.a LEFT JOIN d ON d.nation = y.nation AND d.a = y.a AND d.item_id = i.item_id),
+w AS (SELECT *, row_number() OVER (PARTITION BY nation, k ORDER BY revenue DESC, item_id) AS rank FROM r WHERE revenue > 0), board AS (SELECT * FROM w WHERE rank <= 10),
+c AS (SELECT coalesce(x.nation, z.nation) AS nation, coalesce(x.k, z.k + 1) AS k, coalesce(x.item_id, z.item_id) AS item_id, z.rank AS old_, x.rank AS new_ FROM board x FULL JOIN board z ON z.nation = x.nation AND z.item_id = x.item_id AND z.k = x.k - 1)
+SELECT c.nation AS nation_id, cast(y.a AS bigint) AS arrival_day, c.item_id, cast(greatest(1, least(10, 1 + floor((y.a - 19723)*10/180.0::double))) AS integer) AS batch,
+ CASE WHEN old_ IS NULL THEN 'enter' WHEN new_ IS NULL THEN 'exit' ELSE 'move' END AS change, cast(old_ AS integer) AS old_rank, cast(new_ AS integer) AS new_rank, cast(r.revenue AS bigint) AS revenue
+FROM c JOIN day y ON y.nation = c.nation AND y.k = c.k JOIN r ON r.nation = c.nation AND r.k = c.k AND r.item_id = c.item_id WHERE old_ IS DISTINCT FROM new_""",
 }

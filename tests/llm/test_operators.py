@@ -579,7 +579,7 @@ def test_query_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "sale_lines", "items", "vendors"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     cursor = con.execute(queries.ORACLE[name])
     names = [d[0] for d in cursor.description]

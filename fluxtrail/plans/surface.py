@@ -62,6 +62,7 @@ def written(rows: DataFrame, path: str, root: str, tag: str) -> None:
     rows.write.format("xml").option("rootTag", root).option("rowTag", tag).save(path)
 
 
+# Fixed values in the next three: the element and attribute names of the layouts that the readers take.
 def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each object's region as a zone, on the ground and on the screen, its diagonal as a wall and its foot as a context object, written and read."""
     path, rows = folder(spark), relations.run(spark, sf_dir, REGIONS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed values, throughout this module: the element and attribute names of the layouts that are read.
 # The image types read, and the shifts of ground-truth boxes.
 IMAGES = "*.{jpg,jpeg,ppm,gif,bmp}"
 SEGMENTATION_SHIFT, TRACKING_SHIFT = (-4, -4), (-4, -2)

@@ -109,6 +109,11 @@ class Hierarchy:
         self.at: dict[Any, tuple[int, float, float]] = {}
         self.edges: dict[tuple[int, int], Dwell] = {}
         self.heir: dict[int, int] = {}
+        self.states, self.day = 0, None
+
+    def grown(self) -> tuple:
+        """A row with how many states and events there are at the end of the day."""
+        return self.name, "growth", self.states, len(self.events()), 0, self.day, 1.0, "", ""
 
     def now(self, state: int) -> int:
         """The state that has taken over what ``state`` held."""
@@ -135,7 +140,7 @@ class Hierarchy:
     def learn(self, numbers: list[float], symbols: list[str]) -> Concept:
         """The state that takes the instance in, with the tree changed by the best of new, merge, best and split."""
         if self.root is None:
-            self.root = self.fresh(numbers, symbols)
+            self.root, self.states = self.fresh(numbers, symbols), 1
             return self.root
         node, taken = self.root, False
         while True:
@@ -143,6 +148,7 @@ class Hierarchy:
                 if not node.near(numbers, symbols):
                     node.children = [node.copy(self.number()), self.fresh(numbers, symbols)]
                     self.heir[node.id] = node.children[0].id
+                    self.states += 2
                 node.add(numbers, symbols)
                 return node.children[1] if node.children else node
             if not taken:
@@ -151,14 +157,17 @@ class Hierarchy:
             taken = False
             if action == "new":
                 node.children.append(self.fresh(numbers, symbols))
+                self.states += 1
                 return node.children[-1]
             if action == "merge":
                 both = one.pooled(two, self.number())
                 both.children = [one, two]
+                self.states += 1
                 node.children = [c for c in node.children if c is not one and c is not two] + [both]
                 node = both
             elif action == "split":
                 node.children = [c for c in node.children if c is not one] + one.children
+                self.states -= 1
                 taken = True
             else:
                 node = one
@@ -218,6 +227,8 @@ class Hierarchy:
             node, parent, level, p = todo.pop()
             out.append((self.name, "state", node.id, parent, level, node.n, round(p, 6), show(node.mean), show(node.sigma)))
             todo += [(c, node.id, level + 1, c.n / node.n) for c in node.children]
+        if self.day is not None:
+            out.append(self.grown())
         events, leaving = sorted(self.events().items()), {}
         for (a, _), e in events:
             leaving[a] = leaving.get(a, 0) + e.n
@@ -231,15 +242,18 @@ def learn(instances: DataFrame, numbers: dict[str, float], symbols: list[str]) -
 
     ``numbers`` maps each numeric column to its acuity; at or below 0 that is 1. A state's row has its parent (0 for a root),
     level, count and share of its parent; an event's has the states it joins, its count and probability, and its dwell
-    time's mean, least and greatest in ``means``. Rows with a null number are passed over. A context's state is its tree.
+    time's mean, least and greatest in ``means``. Rows of kind ``growth`` have, for each day (24 units of t) with instances, the
+    number of states in ``id``, of events in ``parent``, and the day in ``n``. Rows with a null number are passed over. A context's state is its tree.
     """
     acuity = [a if a > 0 else 1.0 for a in numbers.values()]
 
     def step(tree: Hierarchy, row: Any) -> list[tuple]:
-        tree.name = row.context
+        day = int(row.t // 24)
+        out = [tree.grown()] if tree.day is not None and day > tree.day else []
+        tree.name, tree.day = row.context, day
         found = tree.learn([float(getattr(row, c)) for c in numbers], [str(getattr(row, c)) for c in symbols])
         tree.move(row.object_id, found.id, float(row.t))
-        return []
+        return out
 
     used = instances.select("context", "object_id", "t", *numbers, *symbols).dropna(subset=list(numbers))
     return ordered_fold(used, ["context"], ["t", "object_id"], CONCEPTS, lambda: Hierarchy(acuity), step, Hierarchy.rows, heavy=True)

@@ -196,6 +196,7 @@ QUERIES = {
     "lrn_step": lambda s, d: hierarchy(s, d).filter("kind = 'state'"),
     "lrn_events": lambda s, d: hierarchy(s, d).filter("kind = 'event'"),
     "lrn_event_levels": event_levels,
+    "lrn_growth": lambda s, d: hierarchy(s, d).filter("kind = 'growth'").selectExpr("context", "n AS day", "id AS states", "parent AS events"),
     "lrn_depth": lambda s, d: learned(s, d)[1].groupBy("context", "id").agg(F.max("d").alias("depth")),
     "lrn_distance_to_leaf": lambda s, d: learner.leaf_steps(learned(s, d)[1]),
     "lrn_kinship": kinship,

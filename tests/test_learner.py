@@ -124,3 +124,12 @@ def test_events_of_each_level(spark, tree):
         r = found[key]
         assert (r.n, r.lo, r.hi) == (len(ds), min(ds), max(ds)) and math.isclose(r.mean, sum(ds) / len(ds)) and math.isclose(r.sigma, sd(ds), abs_tol=1e-6)
         assert math.isclose(r.p, len(ds) / sum(len(v) for k, v in want.items() if k[:2] == key[:2]))
+
+
+def test_growth_ends_with_the_tree(spark):
+    rng = random.Random(2)
+    rows = [("c", k % 4, float(k), rng.choice((0.0, 50.0, 200.0)) + rng.gauss(0, 4), "u") for k in range(150)]
+    out = learner.learn(spark.createDataFrame(rows, "context string, object_id long, t double, x double, s string"), {"x": 3.0}, ["s"]).collect()
+    days = sorted((r.n, r.id, r.parent) for r in out if r.kind == "growth")
+    assert [d for d, _, _ in days] == list(range(7))
+    assert days[-1][1:] == (sum(r.kind == "state" for r in out), sum(r.kind == "event" for r in out)) and days[0][1] < days[-1][1]

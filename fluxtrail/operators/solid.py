@@ -80,19 +80,23 @@ def solve(sides: np.ndarray, h: np.ndarray, angle: np.ndarray, matrix: np.ndarra
         c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
         # of the four sides: the row of the matrix less the side times the row of the depth
         rows = np.stack([matrix[i % 2] - sides[:, i : i + 1] * matrix[2] for i in range(4)], 1)
+        inverse, unknowns, points, flat = np.zeros((n, 4, 4)), np.zeros((n, 4)), np.zeros((n, 8, 3)), np.zeros(n, bool)
+        left = np.arange(n)  # whose corners have changed
         for _ in range(most):
-            half_w, half_l, up = (CORNERS[corner, i] for i in range(3))
-            system = np.stack([rows[:, :, 0], rows[:, :, 1], half_w * (c * rows[:, :, 0] + s * rows[:, :, 1]), half_l * (c * rows[:, :, 1] - s * rows[:, :, 0])], 2)
-            right = -(rows[:, :, 2] * up * h[:, None] + rows[:, :, 3])
-            flat = np.abs(np.linalg.det(system)) < 1e-9
-            system[flat] = np.eye(4)
-            inverse = np.linalg.inv(system)
-            x, y, w, l = (inverse @ right[:, :, None])[:, :, 0].T
-            points = corner_points(x, y, w, l, h, angle)
-            found = touching(matrix, points)
-            if (found == corner).all():
+            r, own, co, si, up = rows[left], corner[left], c[left], s[left], h[left]
+            half_w, half_l, top = (CORNERS[own, i] for i in range(3))
+            system = np.stack([r[:, :, 0], r[:, :, 1], half_w * (co * r[:, :, 0] + si * r[:, :, 1]), half_l * (co * r[:, :, 1] - si * r[:, :, 0])], 2)
+            right = -(r[:, :, 2] * top * up[:, None] + r[:, :, 3])
+            flat[left] = np.abs(np.linalg.det(system)) < 1e-9
+            system[flat[left]] = np.eye(4)
+            inverse[left] = np.linalg.inv(system)
+            unknowns[left] = (inverse[left] @ right[:, :, None])[:, :, 0]
+            points[left] = corner_points(*unknowns[left].T, up, angle[left])
+            found = touching(matrix, points[left])
+            corner[left], left = found, left[(found != own).any(1) & ~flat[left]]
+            if not len(left):
                 break
-            corner = found
+        x, y, w, l = unknowns.T
         u, v, depth = projected(matrix, points)
         off = np.abs(np.stack([u.min(1), v.max(1), u.max(1), v.min(1)], 1) - sides).max(1)
         slope = np.abs(inverse[:, 2:] * np.take_along_axis(depth, corner, 1)[:, None, :])

@@ -60,5 +60,15 @@ def bodies() -> dict[str, str]:
         "geo_camera_position": poles() + "SELECT det_id, code FROM seat",
         "geo_est_3d_position": poles().replace("\n--\n", f", foot_at AS (SELECT det_id, (xleft + xright)/2.0D AS ax, {anchor} AS ay FROM seat)\n--\n") + f"SELECT det_id, round({gx}, 3) AS x, round({gy}, 3) AS y, 0.0D AS z FROM foot_at",
         "agg_pca_axis": moments + "SELECT frame, n, round(d/nullif(len, 0.0D), 5) + 0.0D AS cos2, round(c/nullif(len, 0.0D), 5) + 0.0D AS sin2, round((t + len)/2, 5) AS major, round((t - len)/2, 5) + 0.0D AS minor FROM s WHERE len > 0.000001D OR len = 0.0D",
+        # What an object's independent models say its box is now: as seen, as moving on, as resting; blended by their reliabilities.
+        "agg_multimodel_estimate": "o AS (SELECT det_id, "
+        + ", ".join(f"{c}, lag({c}) OVER w AS {c}_1, lag({c}, 2) OVER w AS {c}_2" for c in ("xleft", "xright", "ytop", "ybottom"))
+        + ", 1.0D*rd AS rd, lag(1.0D*rd) OVER w AS rd_1, lag(1.0D*rd, 2) OVER w AS rd_2 FROM boxes WINDOW w AS (PARTITION BY object_id ORDER BY t_us, det_id)), "
+        + "m AS (SELECT det_id, rd AS r, 1.0D*xleft AS l, 1.0D*xright AS e, 1.0D*ytop AS t, 1.0D*ybottom AS b FROM o"
+        + " UNION ALL SELECT det_id, least(rd_1, rd_2)/2, 2.0D*xleft_1 - xleft_2, 2.0D*xright_1 - xright_2, 2.0D*ytop_1 - ytop_2, 2.0D*ybottom_1 - ybottom_2 FROM o WHERE rd_2 IS NOT NULL"
+        + " UNION ALL SELECT det_id, rd_1/4, xleft_1, xright_1, ytop_1, ybottom_1 FROM o WHERE rd_1 IS NOT NULL)\n--\n"
+        + "SELECT det_id, "
+        + ", ".join(f"round(sum(r*{c})/sum(r), 4) AS {n}" for c, n in (("l", "l"), ("e", "r"), ("t", "t"), ("b", "b"), ("(e - l + 1)", "width"), ("(b - t + 1)", "height"), ("(l + e)/2", "x"), ("(t + b)/2", "y")))
+        + ", round(avg(r), 6) AS reliability FROM m GROUP BY det_id",
         "agg_multimodel_p": "m AS (SELECT det_id, exp(-power(width - mean, 2)/(2*sigma*sigma)) AS p, CASE WHEN width BETWEEN lo AND hi THEN 1.0D*rd ELSE 0.1D*rd END AS r FROM boxes CROSS JOIN models)\n--\nSELECT det_id, round(sum(r*p)/sum(r), 6) AS p, round(sum(r)/count(*), 6) AS r FROM m GROUP BY det_id",
     }

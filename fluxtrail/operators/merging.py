@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -248,3 +249,65 @@ def new_objects(blobs: DataFrame, retained: int = 10, near: float = 10.0) -> Dat
 def likely(boxes: int, of: int) -> float:
     """The probability of a new object that takes so many boxes of its group."""
     return 0.9 + 0.1 * (boxes - 1) / (of - 1) if of > 1 else 1.0
+
+
+def corresponding_merges(boxes: dict[int, Box], overlap: float, near: float, p: Callable[[Box], float]) -> dict[int, tuple[Box, int]]:
+    """The boxes of a frame after the best pairs were merged one after another, each by its least id, with how many it is made of.
+
+    A pair corresponds if one box covers more than ``overlap`` of the other, or if both lie closer than ``near`` and are one
+    more probably than either alone. Pairs that overlap go first, by the share covered, then those of the highest
+    probability, then the least ids. A merge drops the pairs of both boxes and enters those of the new one, until none is left.
+    """
+    area = lambda a: (a[1] - a[0] + 1) * (a[3] - a[2] + 1)
+    joint = lambda a, b: (min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]))
+    live, made, age, todo = dict(boxes), dict.fromkeys(boxes, 1), dict.fromkeys(boxes, 0), []
+
+    def enter(i: int, j: int) -> None:
+        i, j = min(i, j), max(i, j)
+        a, b = live[i], live[j]
+        w, h = min(a[1], b[1]) - max(a[0], b[0]) + 1, min(a[3], b[3]) - max(a[2], b[2]) + 1
+        share = w * h / min(area(a), area(b)) if w > 0 and h > 0 else 0.0
+        if share > overlap:
+            heapq.heappush(todo, (0, -share, i, j, age[i], age[j]))
+        elif Group.apart(a, b) < near and (one := p(joint(a, b))) > max(p(a), p(b)):
+            heapq.heappush(todo, (1, -one, i, j, age[i], age[j]))
+
+    order = sorted(live, key=lambda i: live[i][0])
+    for k, i in enumerate(order):
+        for j in order[k + 1 :]:
+            if live[j][0] - live[i][1] >= near:  # all others are farther right
+                break
+            enter(i, j)
+    while todo:
+        _, _, i, j, age_i, age_j = heapq.heappop(todo)
+        if live.get(i) is None or live.get(j) is None or (age[i], age[j]) != (age_i, age_j):
+            continue
+        live[i], made[i], age[i] = joint(live[i], live.pop(j)), made[i] + made[j], age[i] + 1
+        for k in live:
+            if k != i:
+                enter(i, k)
+    return {i: (box, made[i]) for i, box in live.items()}
+
+
+def merged_by_correspondence(blobs: DataFrame, models: list[tuple[float, float, float, float]], overlap: float = 0.4, near: float = 10.0) -> DataFrame:
+    """frame, id, l, r, t, b, made: blobs(frame, id, l, r, t, b) after the merges of ``corresponding_merges``.
+
+    A box's probability is that of the best of ``models`` (mean, sigma, lo, hi of width and height alike), 0 outside all
+    limits. Ids are unique within a frame, which the sensor bounds and which is one task's rows.
+    """
+
+    def p(box: Box) -> float:
+        w, h = box[1] - box[0] + 1, box[3] - box[2] + 1
+        fits = (math.exp(-((w - m) ** 2 + (h - m) ** 2) / (2 * s * s)) for m, s, lo, hi in models if lo <= min(w, h) and max(w, h) <= hi)
+        return max(fits, default=0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.int64()) for c in ("frame", "id", "l", "r", "t", "b", "made")])
+        for batch in batches:
+            held = []
+            for frame, boxes in zip(batch["grp"].to_pylist(), batch["boxes"].to_pylist(), strict=True):
+                found = corresponding_merges({x["id"]: (x["l"], x["r"], x["t"], x["b"]) for x in boxes}, overlap, near, p)
+                held += [dict(zip(schema.names, (frame, i, *box, n), strict=True)) for i, (box, n) in sorted(found.items())]
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return gathered(blobs.withColumnRenamed("frame", "grp")).mapInArrow(run, "frame long, id long, l long, r long, t long, b long, made long")

@@ -168,6 +168,7 @@ QUERIES = {
     "trk_new_objects": lambda s, d: merging.new_objects(grouped(s, d)),
     "premerge_search": lambda s, d: merging.merge_search(grouped(s, d)),
     "premerge_correspond": lambda s, d: components.corresponding(of(s, d, MATCHES)),
+    "premerge_merge": lambda s, d: merging.merged_by_correspondence(of(s, d, "SELECT frame_id AS frame, det_id AS id, xleft AS l, xright AS r, ytop AS t, ybottom AS b FROM boxes"), [(20.0, 12.0, 8.0, 40.0), (36.0, 10.0, 20.0, 60.0)]),
     "px_bg_diff": moved,
     "trk_mobile2d_dim": lambda s, d: recursions.mobile_size(of(s, d, "SELECT * FROM boxes")),
     "trk_mobile2d_pos": lambda s, d: recursions.mobile_place(of(s, d, "SELECT object_id, t_us, det_id, cast(rd AS double) AS rd, cx, cy FROM boxes")),

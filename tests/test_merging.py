@@ -1,6 +1,7 @@
 """Partitions of groups and fewest merges against full enumeration; joins through the grid against all pairs."""
 
 import itertools
+import math
 import random
 
 from fluxtrail.operators import components, grid, merging
@@ -97,3 +98,32 @@ def test_new_objects(spark):
     rows = [(1, 1, 0, 19, 0, 39), (1, 2, 20, 45, 0, 39), (1, 3, 46, 80, 0, 39), (2, 4, 0, 50, 0, 50)]
     found = sorted((r.grp, r.nth, r.partition, r.p) for r in merging.new_objects(spark.createDataFrame(rows, SHAPE), retained=3).collect())
     assert found == [(1, 0, "0,0,0", 1.0), (1, 1, "0,1,1", 0.925), (1, 2, "0,0,1", 0.925), (2, 0, "0", 1.0)]
+
+
+def test_merges_by_correspondence(spark):
+    """The heap with its changing table against looking through all pairs after each merge."""
+    rng = random.Random(12)
+    models = [(20.0, 12.0, 4.0, 45.0)]
+    p = lambda b: math.exp(-((b[1] - b[0] - 19) ** 2 + (b[3] - b[2] - 19) ** 2) / 288) if 4 <= min(b[1] - b[0], b[3] - b[2]) + 1 and max(b[1] - b[0], b[3] - b[2]) + 1 <= 45 else 0.0
+    area = lambda a: (a[1] - a[0] + 1) * (a[3] - a[2] + 1)
+    rows, want = [], []
+    for frame in range(25):
+        live = {10 * k: (box, 1) for k, box in enumerate(drawn(rng, rng.randrange(1, 12), 60, 20))}
+        rows += [(frame, i, *box) for i, (box, _) in live.items()]
+        while True:
+            options = []
+            for i, j in itertools.combinations(sorted(live), 2):
+                a, b = live[i][0], live[j][0]
+                both = max(0, min(a[1], b[1]) - max(a[0], b[0]) + 1) * max(0, min(a[3], b[3]) - max(a[2], b[2]) + 1)
+                one = (min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]))
+                if both / min(area(a), area(b)) > 0.4:
+                    options.append((0, -both / min(area(a), area(b)), i, j, one))
+                elif Group.apart(a, b) < 10 and p(one) > max(p(a), p(b)):
+                    options.append((1, -p(one), i, j, one))
+            if not options:
+                break
+            _, _, i, j, one = min(options)
+            live[i] = (one, live[i][1] + live.pop(j)[1])
+        want += [(frame, i, *box, n) for i, (box, n) in live.items()]
+    found = merging.merged_by_correspondence(spark.createDataFrame(rows, SHAPE.replace("grp", "frame")), models).collect()
+    assert sorted(map(tuple, found)) == sorted(want) and any(r.made > 2 for r in found)

@@ -89,6 +89,18 @@ class Sequence:
             self.taps[name] = df
         return df
 
+    def follow(self, stream: DataFrame, parameters: Callable[[], dict[str, dict]], path: str, checkpoint: str) -> None:
+        """Runs the plan over what has arrived on a stream, with the parameters as they are when each micro-batch begins.
+
+        A micro-batch's rows are written to a folder of its own under ``path``, over those of an attempt that broke off.
+        """
+
+        def one(rows: DataFrame, number: int) -> None:
+            plan = Sequence(self.names, parameters(), self.stop)
+            plan.run(rows).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+        stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
 
 @dataclass
 class Timings:

@@ -28,9 +28,9 @@ def folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
 
 
-def put(spark: SparkSession, content: dict[str, bytes]) -> str:
-    """A new folder with these small files."""
-    path = folder(spark)
+def put(spark: SparkSession, content: dict[str, bytes], path: str | None = None) -> str:
+    """A folder, new if none is named, with these small files."""
+    path = path or folder(spark)
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for name, data in content.items():
         target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
@@ -180,6 +180,22 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).filter((F.col("width") > least) & (F.col("rd") >= rate)).select("det_id", F.lit(name).alias("name"))
 
 
+def live_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan that follows a stream, fed with the boxes of even and then of odd numbers, while its file of parameters changes between."""
+    path, rows = folder(spark), boxes(spark, sf_dir)
+    plan = pipeline.Sequence(["area", "keep large"])
+
+    def now() -> dict[str, dict]:
+        tree = sinks.read_config(spark.read.text(f"{path}/settings", wholetext=True).first()[0])
+        return {stage: {name: int(v) for name, v in own.items()} for stage, own in tree.items()}
+
+    for half, least in enumerate((300, 900)):
+        put(spark, {"config.xml": sinks.config_xml({"keep large": {"least": least}}).encode()}, f"{path}/settings")
+        rows.filter(F.col("det_id") % 2 == half).write.mode("append").parquet(f"{path}/boxes")
+        plan.follow(spark.readStream.schema(rows.schema).parquet(f"{path}/boxes"), now, f"{path}/kept", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/kept").select("det_id", "area")
+
+
 def models() -> list[pipeline.Model]:
     return [
         pipeline.Model("Shape", lambda: {"shape": F.col("base") / F.greatest(F.col("height"), F.lit(1))}, ("Base",)),
@@ -226,6 +242,7 @@ QUERIES = {
     "udf_attribute": lambda s, d: pipeline.with_attributes(boxes(s, d), ["SIZE", "NONE", "RIGHT"]).selectExpr("det_id", "SIZE AS size", "round(SIZE_r, 6) AS size_r", "RIGHT AS right_", "round(RIGHT_r, 6) AS right_r"),
     "udf_view": view,
     "cfg_params": parameters,
+    "cfg_live": live_parameters,
     "cfg_sequence": sequence,
     "cfg_stop": stopped,
 }
@@ -249,6 +266,7 @@ SQL = {
     "udf_attribute": "SELECT det_id, width*height AS size, round(rd, 6) AS size_r, xright AS right_, round(rd/2, 6) AS right_r FROM boxes",
     "udf_view": "SELECT det_id, xleft < 10 OR ytop < 10 AS border FROM boxes",
     "cfg_params": "SELECT det_id, 'none' AS name FROM boxes WHERE width > 30 AND rd >= 0.9D",
+    "cfg_live": "SELECT det_id, width*height AS area FROM boxes WHERE width*height >= CASE WHEN det_id % 2 = 0 THEN 300 ELSE 900 END",
     "cfg_sequence": "SELECT det_id, xleft < 10 OR ytop < 10 AS border, width*height AS area FROM boxes WHERE width*height >= 300",
     "cfg_stop": "SELECT det_id, width*height AS area FROM boxes WHERE xleft >= 100 AND ytop >= 100",
 }

@@ -23,7 +23,7 @@ BODIES = {
     "px_close": f"{FG}, di AS (SELECT p.frame, p.x, p.y, max(q.on_) AS on_ FROM fg p {NEAR_FG.format(b='fg')})\n--\nSELECT p.frame, p.x, p.y, min(q.on_) AS fg FROM di p {NEAR_FG.format(b='di')}",
     "px_vibe": f"y AS (SELECT frame, x, y, (r+g+b) DIV 3 AS v FROM px)\n--\nSELECT p.frame, p.x, p.y, count(*) AS samples, CASE WHEN sum(CASE WHEN abs(p.v - q.v) <= 20 THEN 1 ELSE 0 END) >= 2 THEN 0 ELSE 1 END AS fg FROM y p CROSS JOIN (VALUES {LAGS}) AS k(k) JOIN y q ON q.x = p.x AND q.y = p.y AND q.frame = p.frame - k.k GROUP BY p.frame, p.x, p.y",
     "px_histogram": "SELECT frame, channel, v, count(*) AS n FROM (SELECT frame, 'R' AS channel, r AS v FROM px UNION ALL SELECT frame, 'G', g FROM px UNION ALL SELECT frame, 'B', b FROM px UNION ALL SELECT frame, 'Y', (r+g+b) DIV 3 FROM px) c GROUP BY frame, channel, v",
-    "px_peaks_moments": "c AS (SELECT frame, 'R' AS channel, r AS v FROM px UNION ALL SELECT frame, 'G', g FROM px UNION ALL SELECT frame, 'B', b FROM px UNION ALL SELECT frame, 'Y', (r+g+b) DIV 3 FROM px), h AS (SELECT frame, channel, v, count(*) AS n FROM c GROUP BY frame, channel, v), k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY frame, n DESC, v) AS rn FROM h), pk AS (SELECT channel, frame, v AS peak FROM k WHERE rn = 1), m AS (SELECT h.frame, h.channel, pk.peak, sum(cast(h.v*h.n AS double))/sum(h.n) AS m1, sum(cast(h.v*h.v*h.n AS double))/sum(h.n) AS m2 FROM h JOIN pk ON pk.channel = h.channel AND h.frame > pk.frame LEFT JOIN h p ON p.frame = h.frame AND p.channel = h.channel AND p.v = pk.peak WHERE h.n >= 0.1D*coalesce(p.n, 0) GROUP BY h.frame, h.channel, pk.peak)\n--\nSELECT frame, channel, peak, round(m1, 6) AS m1, round(sqrt(greatest(0.0D, m2 - m1*m1)), 5) AS spread, CASE WHEN channel = 'Y' THEN round(peak + 0.75D*sqrt(greatest(0.0D, m2 - m1*m1)), 5) ELSE round(sqrt(greatest(0.0D, m2 - m1*m1)), 5) END AS threshold FROM m",
+    "px_peaks_moments": "c AS (SELECT frame, 'R' AS channel, r AS v FROM px UNION ALL SELECT frame, 'G', g FROM px UNION ALL SELECT frame, 'B', b FROM px UNION ALL SELECT frame, 'Y', (r+g+b) DIV 3 FROM px), h AS (SELECT frame, channel, v, count(*) AS n FROM c GROUP BY frame, channel, v), f AS (SELECT channel, min(frame) AS first_ FROM h GROUP BY channel), k AS (SELECT h.*, row_number() OVER (PARTITION BY h.channel ORDER BY n DESC, v) AS rn FROM h JOIN f ON f.channel = h.channel AND f.first_ = h.frame), pk AS (SELECT channel, frame, v AS peak FROM k WHERE rn = 1), m AS (SELECT h.frame, h.channel, pk.peak, sum(cast(h.v*h.n AS double))/sum(h.n) AS m1, sum(cast(h.v*h.v*h.n AS double))/sum(h.n) AS m2 FROM h JOIN pk ON pk.channel = h.channel AND h.frame > pk.frame LEFT JOIN h p ON p.frame = h.frame AND p.channel = h.channel AND p.v = pk.peak WHERE h.n >= 0.1D*coalesce(p.n, 0) GROUP BY h.frame, h.channel, pk.peak)\n--\nSELECT frame, channel, peak, round(m1, 6) AS m1, round(sqrt(greatest(0.0D, m2 - m1*m1)), 5) AS spread, CASE WHEN channel = 'Y' THEN round(peak + 0.75D*sqrt(greatest(0.0D, m2 - m1*m1)), 5) ELSE round(sqrt(greatest(0.0D, m2 - m1*m1)), 5) END AS threshold FROM m",
     "px_grass": "SELECT frame, x, y, CASE WHEN g > r AND g > b AND g BETWEEN 60 AND 220 THEN 1 ELSE 0 END AS grass FROM px",
     "px_line_filter": f"SELECT p.frame, p.x, p.y, cast(sum(((q.r+q.g+q.b) DIV 3) * CASE WHEN q.x = p.x AND q.y = p.y THEN 4 WHEN q.x = p.x OR q.y = p.y THEN 1 ELSE -2 END) AS bigint) AS v FROM {NEAR} WHERE p.x BETWEEN 1 AND 14 AND p.y BETWEEN 1 AND 14 GROUP BY p.frame, p.x, p.y",
     "px_block_match": "blk AS (SELECT frame, x DIV 4 AS bx, y DIV 4 AS by_, x % 4 AS ox, y % 4 AS oy, r FROM px), sq AS (SELECT p.frame, p.bx, p.by_, q.bx AS sx, q.by_ AS sy, cast(sum((p.r-q.r)*(p.r-q.r)) AS bigint) AS d FROM blk p JOIN blk q ON q.frame = p.frame - 1 AND q.ox = p.ox AND q.oy = p.oy AND abs(q.bx - p.bx) <= 1 AND abs(q.by_ - p.by_) <= 1 GROUP BY p.frame, p.bx, p.by_, q.bx, q.by_)\n--\nSELECT frame, bx, by_, min(d) AS best, CASE WHEN min(d) < 0.9*min(CASE WHEN sx = bx AND sy = by_ THEN d END) THEN 'MOVING' ELSE 'STILL' END AS kind FROM sq GROUP BY frame, bx, by_",

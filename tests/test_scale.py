@@ -19,3 +19,13 @@ def test_nearest_looks_farther_only_where_nothing_is_near(spark):
         if near and min(near)[0] <= 150**2:
             want[k] = min(near)[1]
     assert {r["det_id"]: r["nearest"] for r in found.collect()} == want and 100 in want and 102 not in want
+
+
+def test_shapes_in_space_are_not_sent_to_the_driver(spark):
+    """Spark takes what Python makes for as small as what it reads, and would broadcast the shapes of all boxes."""
+    from fluxtrail.plans import stateful
+
+    for found in (stateful.solid_tracks, stateful.bases, stateful.coherent):
+        plan = found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert not joins, joins

@@ -30,6 +30,9 @@ class Concept:
         self.mean, self.sigma = list(numbers), list(acuity)
         self.seen = [{s: 1} for s in symbols]
         self.children: list[Concept] = []
+        self.known: float | None = None  # the quality since the last instance
+        self.asked: list[float] | None = None  # the instance tried last, and what it would make
+        self.trial: tuple = ()
 
     def copy(self, number: int) -> Concept:
         out = Concept(number, self.acuity, self.mean, [])
@@ -38,20 +41,13 @@ class Concept:
         return out
 
     def add(self, numbers: list[float], symbols: list[str]) -> None:
-        total = self.weight + 1.0
-        for k, x in enumerate(numbers):
-            off = x - self.mean[k]  # the deviation is updated with the old mean
-            variance = self.weight / total * (self.sigma[k] ** 2 + off * off / total)
-            self.sigma[k] = max(self.acuity[k], math.sqrt(variance))
-            self.mean[k] += off / total
-        for s, seen in zip(symbols, self.seen, strict=True):
+        if self.asked is not numbers:
+            self.tried(numbers, symbols)
+        (self.known, _), self.mean, self.sigma = self.trial
+        self.asked = None
+        for s, seen in zip(symbols, self.seen):  # noqa: B905  of equal length
             seen[s] = seen.get(s, 0) + 1
-        self.n, self.weight = self.n + 1, total
-
-    def with_one(self, numbers: list[float], symbols: list[str]) -> Concept:
-        out = self.copy(self.id)
-        out.add(numbers, symbols)
-        return out
+        self.n, self.weight = self.n + 1, self.weight + 1.0
 
     def pooled(self, other: Concept, number: int) -> Concept:
         out = self.copy(number)
@@ -68,8 +64,37 @@ class Concept:
 
     def quality(self) -> float:
         """How sharp the numbers are on average, and how pure the symbols."""
-        sharp = sum(a / s for a, s in zip(self.acuity, self.sigma, strict=True)) / NORM / max(1, len(self.mean))
-        return sharp + sum(sum((n / self.n) ** 2 for n in seen.values()) for seen in self.seen) / max(1, len(self.seen))
+        if self.known is None:
+            sharp = sum([a / s for a, s in zip(self.acuity, self.sigma)]) / NORM / max(1, len(self.mean))  # noqa: B905  of equal length
+            self.known = sharp + sum([sum([(n / self.n) ** 2 for n in seen.values()]) for seen in self.seen]) / max(1, len(self.seen))
+        return self.known
+
+    def tried(self, numbers: list[float], symbols: list[str]) -> tuple[float, float]:
+        """The quality with the instance in it, and its likelihood then. Both are kept for the same lists, as ``add`` and the next level ask again."""
+        if self.asked is numbers:
+            return self.trial[0]
+        n, total = self.n + 1, self.weight + 1.0
+        share, sharp, parts, means, sigmas = self.weight / total, [], [], [], []
+        for x, m, s, a in zip(numbers, self.mean, self.sigma, self.acuity):  # noqa: B905
+            off = x - m  # the deviation is updated with the old mean
+            m += off / total
+            s = math.sqrt(share * (s**2 + off * off / total))
+            if s < a:
+                s = a
+            means.append(m)
+            sigmas.append(s)
+            sharp.append(a / s)
+            parts.append(math.exp(-((x - m) ** 2) / (2 * s * s)))
+        pures = []
+        for s, seen in zip(symbols, self.seen):  # noqa: B905
+            now = seen.get(s, 0) + 1
+            counts = [((now if k == s else c) / n) ** 2 for k, c in seen.items()]
+            if now == 1:
+                counts.append((1 / n) ** 2)
+            pures.append(sum(counts))
+            parts.append(now / n)
+        self.asked, self.trial = numbers, ((sum(sharp) / NORM / max(1, len(sharp)) + sum(pures) / max(1, len(pures)), sum(parts) / len(parts)), means, sigmas)
+        return self.trial[0]
 
     def near(self, numbers: list[float], symbols: list[str]) -> bool:
         close = all(abs(x - m) <= a for x, m, a in zip(numbers, self.mean, self.acuity, strict=True))
@@ -110,6 +135,7 @@ class Hierarchy:
         self.edges: dict[tuple[int, int], Dwell] = {}
         self.heir: dict[int, int] = {}
         self.states, self.day = 0, None
+        self.single: float | None = None
 
     def grown(self) -> tuple:
         """A row with how many states and events there are at the end of the day."""
@@ -130,6 +156,12 @@ class Hierarchy:
             out.setdefault((self.now(a), self.now(b)), Dwell()).pool(edge)
         return out
 
+    def lone(self, symbols: list[str]) -> float:
+        """The quality of a state with one instance, which is the same for each."""
+        if self.single is None:
+            self.single = Concept(0, self.acuity, self.acuity, symbols).quality()
+        return self.single
+
     def number(self) -> int:
         self.last_id += 1
         return self.last_id
@@ -179,27 +211,31 @@ class Hierarchy:
         options in the order new, merge, best, split a better one is taken, and one that ties with best if the instance is
         likelier in it than in the one taken; new counts as least likely, so that it never goes before best.
         """
-        base, k, total = self.root.quality(), len(node.children), node.n
-        share = lambda c: c.n / total * c.quality()
-        worth = [share(c) for c in node.children]
-        grown = [c.with_one(numbers, symbols) for c in node.children]
-        gain = [share(g) - w for g, w in zip(grown, worth, strict=True)]
-        like = [g.likelihood(numbers, symbols) for g in grown]
-        order = sorted(range(k), key=lambda i: (-gain[i], -like[i], node.children[i].id))
+        base, children, total = self.root.quality(), node.children, node.n
+        k = len(children)
+        worth = [c.n / total * c.quality() for c in children]
+        grown = [c.tried(numbers, symbols) for c in children]
+        gain = [(c.n + 1) / total * g - w for c, (g, _), w in zip(children, grown, worth)]  # noqa: B905
+        like = [p for _, p in grown]
+        if k == 2:
+            order = (0, 1) if (-gain[0], -like[0], children[0].id) < (-gain[1], -like[1], children[1].id) else (1, 0)
+        else:
+            order = sorted(range(k), key=lambda i: (-gain[i], -like[i], children[i].id))
         first, every = order[0], sum(worth)
-        one, two = node.children[first], node.children[order[1]] if k > 1 else None
+        one, two = children[first], children[order[1]] if k > 1 else None
         stay = (every + gain[first] - base) / k
-        single = Concept(0, self.acuity, numbers, symbols)
-        options = [("new", (every + share(single) - base) / (k + 1), -1.0)]
+        options = [("new", (every + 1 / total * self.lone(symbols) - base) / (k + 1), -1.0)]
         if k > 2:
-            both = one.pooled(two, 0).with_one(numbers, symbols)
+            both = one.pooled(two, 0)
+            quality, likely = both.tried(numbers, symbols)
             rest = every - worth[first] - worth[order[1]]
-            options.append(("merge", (rest + share(both) - base) / (k - 1), both.likelihood(numbers, symbols)))
+            options.append(("merge", (rest + (both.n + 1) / total * quality - base) / (k - 1), likely))
         options.append(("best", stay, like[first]))
         if one.children:
-            inner = [(share(g) - share(c), g.likelihood(numbers, symbols)) for c in one.children for g in [c.with_one(numbers, symbols)]]
+            inside = [c.n / total * c.quality() for c in one.children]
+            inner = [((c.n + 1) / total * g - w, p) for c, w in zip(one.children, inside) for g, p in [c.tried(numbers, symbols)]]  # noqa: B905
             more, likely = max(inner)
-            below = every - worth[first] + sum(map(share, one.children)) + more
+            below = every - worth[first] + sum(inside) + more
             options.append(("split", (below - base) / (k - 1 + len(one.children)), likely))
         taken = options[0]
         for option in options[1:]:

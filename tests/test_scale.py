@@ -2,7 +2,7 @@
 
 import random
 
-from fluxtrail.operators import grid
+from fluxtrail.operators import grid, learner
 from fluxtrail.plans import session
 
 
@@ -29,3 +29,28 @@ def test_shapes_in_space_are_not_sent_to_the_driver(spark):
         plan = found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
         assert not joins, joins
+
+
+def test_learner_tries_each_state_once_an_instance(monkeypatch):
+    """A level's trials are the next one's, and the rows that an instance costs do not grow with what is asked again."""
+    made = [0]
+    first = learner.Concept.__init__
+
+    def counted(self, *args):
+        made[0] += 1
+        first(self, *args)
+
+    monkeypatch.setattr(learner.Concept, "__init__", counted)
+    rng, tree = random.Random(3), learner.Hierarchy([6.0, 6.0])
+    for _ in range(500):
+        tree.learn([rng.choice((0, 20, 90, 200)) + rng.gauss(0, 4), rng.choice((0, 70)) + rng.gauss(0, 4)], [rng.choice("ab")])
+    assert tree.states > 20 and made[0] <= 4 * tree.last_id + 500
+    todo = [tree.root]
+    while todo:  # what a trial foretells is what adding makes
+        node = todo.pop()
+        todo += node.children
+        numbers = [x + 1 for x in node.mean]
+        want = node.tried(numbers, ["a"])
+        node.add(numbers, ["a"])
+        node.known = None
+        assert node.quality() == want[0] and abs(node.likelihood(numbers, ["a"]) - want[1]) < 1e-12

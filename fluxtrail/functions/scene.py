@@ -15,6 +15,8 @@ def image(x: str, y: str, z: str) -> tuple[str, str]:
     """Image coordinates of a world point."""
     row = lambda r: f"({r[0]}D*({x}) + {r[1]}D*({y}) + {r[2]}D*({z}) + {r[3]}D)"
     return f"({row(P[0])}/{row(P[2])})", f"({row(P[1])}/{row(P[2])})"
+#: Object numbers as a tree, half of a number above it, and the ways up.
+TREE = "nodes AS (SELECT object_id AS id, object_id DIV 2 AS parent, count(*) AS n FROM detections GROUP BY object_id), /*RECUR*/anc(id, a, d) AS (SELECT id, id, 0 FROM nodes UNION ALL SELECT anc.id, nodes.parent, anc.d + 1 FROM anc JOIN nodes ON nodes.id = anc.a WHERE nodes.parent > 0)"
 
 
 def world(u: str, v: str, z: str) -> tuple[str, str, str]:
@@ -100,10 +102,9 @@ def bodies() -> dict[str, str]:
     grid = "(VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS i(i) CROSS JOIN (VALUES (0),(1),(2),(3)) AS j(j) CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7)) AS k(k) CROSS JOIN (VALUES (0),(1),(2)) AS l(l)"
     near = "power((gx*20 + 10 - mx)/sx, 2) + power((gy*20 + 10 - my)/sy, 2)"
     out["lrn_rasterise"] = f"c AS (SELECT obj_type, avg(cx) AS mx, stddev_pop(cx) AS sx, avg(cy) AS my, stddev_pop(cy) AS sy, avg(rd) AS rd FROM boxes GROUP BY obj_type), g AS (SELECT i*4 + j AS gx, k*3 + l AS gy FROM {grid}), d AS (SELECT gx, gy, rd, cast({near} AS double) AS q FROM g CROSS JOIN c)\n--\nSELECT gx, gy, round(max(exp(-q/2)), 6) AS gauss, max(CASE WHEN q <= 1 THEN 1 ELSE 0 END) AS flat, max(CASE WHEN abs(sqrt(q) - 1) <= 0.15D THEN 1 ELSE 0 END) AS border, round(max(CASE WHEN q <= 1 THEN rd END), 6) AS attribute FROM d GROUP BY gx, gy"
-    tree = "nodes AS (SELECT object_id AS id, object_id DIV 2 AS parent, count(*) AS n FROM detections GROUP BY object_id), /*RECUR*/anc(id, a, d) AS (SELECT id, id, 0 FROM nodes UNION ALL SELECT anc.id, nodes.parent, anc.d + 1 FROM anc JOIN nodes ON nodes.id = anc.a WHERE nodes.parent > 0)"
-    out["tree_depth"] = tree + "\n--\nSELECT id, max(d) AS depth FROM anc GROUP BY id"
-    out["tree_distance_to_leaf"] = tree + "\n--\nSELECT a AS id, max(d) AS to_leaf, count(*) AS below FROM anc GROUP BY a"
-    out["tree_kinship"] = tree + "\n--\nSELECT x.id AS id, min(x.d + y.d) AS steps FROM anc x JOIN anc y ON y.id = x.id + 1 AND y.a = x.a GROUP BY x.id"
-    out["tree_likely_states"] = tree + ", total AS (SELECT a AS id, sum(m.n) AS n FROM anc JOIN nodes m ON m.id = anc.id GROUP BY a), share AS (SELECT c.id, c.id DIV 2 AS parent, CASE WHEN p.n IS NULL THEN 1.0D ELSE cast(c.n AS double)/p.n END AS p FROM total c LEFT JOIN total p ON p.id = c.id DIV 2), bad AS (SELECT id FROM share WHERE p < 0.4D), kept AS (SELECT id FROM anc GROUP BY id HAVING count(CASE WHEN a IN (SELECT id FROM bad) THEN 1 END) = 0)\n--\nSELECT k.id FROM kept k LEFT JOIN (SELECT DISTINCT id DIV 2 AS id FROM kept) c ON c.id = k.id WHERE c.id IS NULL"
+    out["tree_depth"] = TREE + "\n--\nSELECT id, max(d) AS depth FROM anc GROUP BY id"
+    out["tree_distance_to_leaf"] = TREE + "\n--\nSELECT a AS id, max(d) AS to_leaf, count(*) AS below FROM anc GROUP BY a"
+    out["tree_kinship"] = TREE + "\n--\nSELECT x.id AS id, min(x.d + y.d) AS steps FROM anc x JOIN anc y ON y.id = x.id + 1 AND y.a = x.a GROUP BY x.id"
+    out["tree_likely_states"] = TREE + ", total AS (SELECT a AS id, sum(m.n) AS n FROM anc JOIN nodes m ON m.id = anc.id GROUP BY a), share AS (SELECT c.id, c.id DIV 2 AS parent, CASE WHEN p.n IS NULL THEN 1.0D ELSE cast(c.n AS double)/p.n END AS p FROM total c LEFT JOIN total p ON p.id = c.id DIV 2), bad AS (SELECT id FROM share WHERE p < 0.4D), kept AS (SELECT id FROM anc GROUP BY id HAVING count(CASE WHEN a IN (SELECT id FROM bad) THEN 1 END) = 0)\n--\nSELECT k.id FROM kept k LEFT JOIN (SELECT DISTINCT id DIV 2 AS id FROM kept) c ON c.id = k.id WHERE c.id IS NULL"
     out["sup_loocv"] = "g AS (SELECT obj_type, rd, width AS v, (sum(width) OVER (PARTITION BY obj_type) - width)/(count(*) OVER (PARTITION BY obj_type) - 1.0D) AS guess FROM detections)\n--\nSELECT obj_type, round(avg(abs(v - guess)), 6) AS mae, round(sum(rd*abs(v - guess))/sum(rd), 6) AS weighted_mae FROM g GROUP BY obj_type"
     return out

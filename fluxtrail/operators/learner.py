@@ -315,6 +315,14 @@ def ancestors(states: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the parents go round in a circle")
 
 
+def numbered_ancestors(nodes: DataFrame) -> DataFrame:
+    """id, a, d: the ways up of nodes(id, parent). A way ends at a parent that is no node, with it, or before one not above 0."""
+    above = nodes.select("id", F.when(F.col("parent") > 0, F.col("parent")).alias("parent"))
+    missing = above.select(F.col("parent").alias("id")).filter("id IS NOT NULL").distinct().join(nodes, "id", "left_anti").select("id")
+    states = above.union(missing.select("id", F.lit(None).cast("long"))).withColumn("context", F.lit(""))
+    return ancestors(states).join(missing, "id", "left_anti").select("id", "a", "d")
+
+
 def leaf_steps(above: DataFrame) -> DataFrame:
     """context, id, to_leaf, below: the steps from each state down to the nearest one without any below, and how many are below, itself included."""
     inner = above.filter("d = 1").select("context", F.col("a").alias("id")).distinct()

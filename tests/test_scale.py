@@ -54,3 +54,21 @@ def test_learner_tries_each_state_once_an_instance(monkeypatch):
         node.add(numbers, ["a"])
         node.known = None
         assert node.quality() == want[0] and abs(node.likelihood(numbers, ["a"]) - want[1]) < 1e-12
+
+
+def test_ways_up_of_numbers_have_no_row_limit(spark):
+    """As the recursive statement has them: with parents that are no nodes, without number 0 above others; and more than a million."""
+    session.prepare(spark)
+    ids = [0, 1, 2, 5, 11, 22, 40, -3]
+    found = learner.numbered_ancestors(spark.createDataFrame([(k, int(k / 2)) for k in ids] + [(None, None)], "id long, parent long"))
+    want = {(None, None, 0)}
+    for k in ids:
+        a, d = k, 0
+        want.add((k, a, d))
+        while a in ids and int(a / 2) > 0:
+            a, d = a // 2, d + 1
+            want.add((k, a, d))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    many = spark.range(1, 70_000).selectExpr("id", "id div 2 AS parent")
+    assert learner.numbered_ancestors(many).count() == sum(k.bit_length() for k in range(1, 70_000)) > 1_000_000

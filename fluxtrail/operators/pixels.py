@@ -21,7 +21,6 @@ BODIES = {
     "px_chromatic": f"SELECT frame, x, y, CASE WHEN mx - mn > 30 AND (mx + mn) DIV 2 < 180 AND (hue >= 300 OR hue <= 60) THEN 1 ELSE 0 END AS keep FROM (SELECT *, {HUE} AS hue FROM ({RANGE}) a) h",
     "px_aperture": f"{FG}, er AS (SELECT p.frame, p.x, p.y, min(q.on_) AS on_ FROM fg p {NEAR_FG.format(b='fg')})\n--\nSELECT p.frame, p.x, p.y, max(q.on_) AS fg FROM er p {NEAR_FG.format(b='er')}",
     "px_close": f"{FG}, di AS (SELECT p.frame, p.x, p.y, max(q.on_) AS on_ FROM fg p {NEAR_FG.format(b='fg')})\n--\nSELECT p.frame, p.x, p.y, min(q.on_) AS fg FROM di p {NEAR_FG.format(b='di')}",
-    "px_vibe": f"y AS (SELECT frame, x, y, (r+g+b) DIV 3 AS v FROM px)\n--\nSELECT p.frame, p.x, p.y, count(*) AS samples, CASE WHEN sum(CASE WHEN abs(p.v - q.v) <= 20 THEN 1 ELSE 0 END) >= 2 THEN 0 ELSE 1 END AS fg FROM y p CROSS JOIN (VALUES {LAGS}) AS k(k) JOIN y q ON q.x = p.x AND q.y = p.y AND q.frame = p.frame - k.k GROUP BY p.frame, p.x, p.y",
     "px_histogram": "SELECT frame, channel, v, count(*) AS n FROM (SELECT frame, 'R' AS channel, r AS v FROM px UNION ALL SELECT frame, 'G', g FROM px UNION ALL SELECT frame, 'B', b FROM px UNION ALL SELECT frame, 'Y', (r+g+b) DIV 3 FROM px) c GROUP BY frame, channel, v",
     "px_peaks_moments": "c AS (SELECT frame, 'R' AS channel, r AS v FROM px UNION ALL SELECT frame, 'G', g FROM px UNION ALL SELECT frame, 'B', b FROM px UNION ALL SELECT frame, 'Y', (r+g+b) DIV 3 FROM px), h AS (SELECT frame, channel, v, count(*) AS n FROM c GROUP BY frame, channel, v), f AS (SELECT channel, min(frame) AS first_ FROM h GROUP BY channel), k AS (SELECT h.*, row_number() OVER (PARTITION BY h.channel ORDER BY n DESC, v) AS rn FROM h JOIN f ON f.channel = h.channel AND f.first_ = h.frame), pk AS (SELECT channel, frame, v AS peak FROM k WHERE rn = 1), m AS (SELECT h.frame, h.channel, pk.peak, sum(cast(h.v*h.n AS double))/sum(h.n) AS m1, sum(cast(h.v*h.v*h.n AS double))/sum(h.n) AS m2 FROM h JOIN pk ON pk.channel = h.channel AND h.frame > pk.frame LEFT JOIN h p ON p.frame = h.frame AND p.channel = h.channel AND p.v = pk.peak WHERE h.n >= 0.1D*coalesce(p.n, 0) GROUP BY h.frame, h.channel, pk.peak)\n--\nSELECT frame, channel, peak, round(m1, 6) AS m1, round(sqrt(greatest(0.0D, m2 - m1*m1)), 5) AS spread, CASE WHEN channel = 'Y' THEN round(peak + 0.75D*sqrt(greatest(0.0D, m2 - m1*m1)), 5) ELSE round(sqrt(greatest(0.0D, m2 - m1*m1)), 5) END AS threshold FROM m",
     "px_grass": "SELECT frame, x, y, CASE WHEN g > r AND g > b AND g BETWEEN 60 AND 220 THEN 1 ELSE 0 END AS grass FROM px",
@@ -34,3 +33,7 @@ BODIES = {
     "agg_centroid": f"{FG}\n--\nSELECT frame, round(avg(cast(x AS double)), 6) AS cx, round(avg(cast(y AS double)), 6) AS cy, round(var_pop(cast(x AS double)), 6) AS vx, round(covar_pop(cast(x AS double), cast(y AS double)), 6) AS cxy FROM fg WHERE on_ = 1 GROUP BY frame",
 }
 GRAY = ("SELECT frame, x, y, r ^ (r >> 1) AS code FROM px", "SELECT frame, x, y, xor(r, r >> 1) AS code FROM px")
+#: A pixel is sent to each earlier frame and meets the one there by equal place. Spark would put the lags after the join of
+#: all frames of a place, so they are made into rows of the pixel before it.
+VIBE = f"y AS (SELECT frame, x, y, (r+g+b) DIV 3 AS v FROM px)\n--\nSELECT p.frame, p.x, p.y, count(*) AS samples, CASE WHEN sum(CASE WHEN abs(p.v - q.v) <= 20 THEN 1 ELSE 0 END) >= 2 THEN 0 ELSE 1 END AS fg FROM y p CROSS JOIN (VALUES {LAGS}) AS k(k) JOIN y q ON q.x = p.x AND q.y = p.y AND q.frame = p.frame - k.k GROUP BY p.frame, p.x, p.y"
+VIBE_PAIR = (VIBE.replace(f"FROM y p CROSS JOIN (VALUES {LAGS}) AS k(k) JOIN y q ON", f"FROM (SELECT *, explode(array({LAGS})) AS k FROM y) p JOIN y q ON").replace("p.frame - k.k", "p.frame - p.k"), VIBE)

@@ -25,6 +25,7 @@ for bodies in (geometry.bodies(), scene.bodies(), camera.bodies(), pixels.BODIES
     for query, statement in bodies.items():
         add(query, statement)
 add("px_gray_code", *pixels.GRAY)
+add("px_vibe", *pixels.VIBE_PAIR)
 for query, statements in objects.PAIRED.items():
     add(query, *statements)
 for query, fold, statement in (("win_cooling", recursions.cooling, recursions.COOLING_SQL), ("trk_reliability_attr", recursions.reliability, recursions.RELIABILITY_SQL)):

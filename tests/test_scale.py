@@ -3,7 +3,7 @@
 import random
 
 from fluxtrail.operators import grid, learner
-from fluxtrail.plans import session
+from fluxtrail.plans import catalog, session
 
 
 def test_nearest_looks_farther_only_where_nothing_is_near(spark):
@@ -72,3 +72,8 @@ def test_ways_up_of_numbers_have_no_row_limit(spark):
     assert len(got) == len(want) and set(got) == want
     many = spark.range(1, 70_000).selectExpr("id", "id div 2 AS parent")
     assert learner.numbered_ancestors(many).count() == sum(k.bit_length() for k in range(1, 70_000)) > 1_000_000
+
+
+def test_vibe_meets_earlier_frames_by_equal_keys(spark):
+    plan = catalog.QUERIES["px_vibe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan

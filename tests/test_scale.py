@@ -77,3 +77,10 @@ def test_ways_up_of_numbers_have_no_row_limit(spark):
 def test_vibe_meets_earlier_frames_by_equal_keys(spark):
     plan = catalog.QUERIES["px_vibe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_products_of_sets_are_whole(spark, tmp_path):
+    rows = [(k, f"2024-01-01 00:{k:02d}:00", k, "click" if k % 2 else "view", 10.0, '{"k": 9}') for k in range(26)]
+    frame = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    frame.withColumn("ts", frame["ts"].cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    assert catalog.QUERIES["join_hset_product"](spark, str(tmp_path)).count() == 13 * 13

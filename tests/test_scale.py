@@ -2,7 +2,7 @@
 
 import random
 
-from fluxtrail.operators import grid, learner
+from fluxtrail.operators import components, grid, learner
 from fluxtrail.plans import catalog, session
 
 
@@ -84,3 +84,30 @@ def test_products_of_sets_are_whole(spark, tmp_path):
     frame = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
     frame.withColumn("ts", frame["ts"].cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
     assert catalog.QUERIES["join_hset_product"](spark, str(tmp_path)).count() == 13 * 13
+
+
+def test_reduced_frames_equal_plain_loops(spark):
+    """A crowded frame, in which boxes that grow take in others before and after them, in far fewer steps than pairs."""
+    rng, rows = random.Random(7), []
+    for k in range(500):
+        l, t = rng.randrange(300), rng.randrange(200)
+        rows.append((k % 2, k, l, l + rng.randrange(3, 60), t, t + rng.randrange(3, 60), rng.choice(("UNKNOWN", "PERSON")), rng.choice((0.1, 0.9))))
+    want = []
+    for frame in (0, 1):
+        own = [[*r[:6], 0] for r in rows if r[0] == frame]
+        limit = {r[1]: 0.8 if r[6] == "UNKNOWN" else 0.95 if r[7] < 0.3 else 1.0 for r in rows}
+        gone = set()
+        for a in own:
+            grew = a[1] not in gone
+            while grew:
+                grew = False
+                for b in own:
+                    w, h = min(a[3], b[3]) - max(a[2], b[2]) + 1, min(a[5], b[5]) - max(a[4], b[4]) + 1
+                    if a is not b and b[1] not in gone and w > 0 and h > 0 and w * h > limit[b[1]] * (b[3] - b[2] + 1) * (b[5] - b[4] + 1):
+                        gone.add(b[1])
+                        whole = [min(a[2], b[2]), max(a[3], b[3]), min(a[4], b[4]), max(a[5], b[5])]
+                        grew |= whole != a[2:6]
+                        a[2:6], a[6] = whole, a[6] + 1
+        want += [tuple(a) for a in own if a[1] not in gone]
+    got = components.reduced(spark.createDataFrame(rows, "frame long, id long, l long, r long, t long, b long, kind string, p double"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) < 400

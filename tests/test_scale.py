@@ -1,8 +1,9 @@
 """Operators on crowded frames: the same rows as plain loops, with work that grows with the rows."""
 
+import math
 import random
 
-from fluxtrail.operators import components, grid, learner
+from fluxtrail.operators import components, grid, learner, merging
 from fluxtrail.plans import catalog, session
 
 
@@ -111,3 +112,32 @@ def test_reduced_frames_equal_plain_loops(spark):
         want += [tuple(a) for a in own if a[1] not in gone]
     got = components.reduced(spark.createDataFrame(rows, "frame long, id long, l long, r long, t long, b long, kind string, p double"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) < 400
+
+
+def test_best_merges_equal_plain_choice():
+    """Crowded boxes, some equal: at each step the best of all pairs is merged, as a plain search over all of them finds it."""
+    rng = random.Random(5)
+    p = lambda b: max(0.0, 1 - abs(b[1] - b[0] - 30) / 40) * max(0.0, 1 - abs(b[3] - b[2] - 30) / 40)
+    for n in (0, 1, 12, 60):
+        boxes = {}
+        for k in rng.sample(range(1000), n):
+            l, t = 6 * rng.randrange(30), rng.randrange(120)
+            boxes[k] = rng.choice(list(boxes.values())) if boxes and rng.random() < 0.1 else (l, l + 7 + rng.randrange(20), t, t + 7 + rng.randrange(20))
+        live = {k: (b, 1) for k, b in boxes.items()}
+        while True:
+            found = []
+            for i in live:
+                for j in live:
+                    (a, _), (b, _) = live[i], live[j]
+                    w, h = min(a[1], b[1]) - max(a[0], b[0]) + 1, min(a[3], b[3]) - max(a[2], b[2]) + 1
+                    small = min((c[1] - c[0] + 1) * (c[3] - c[2] + 1) for c in (a, b))
+                    whole = (min(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), max(a[3], b[3]))
+                    if i < j and w > 0 and h > 0 and w * h / small > 0.4:
+                        found.append((0, -w * h / small, i, j, whole))
+                    elif i < j and math.hypot(max(0, 1 - w), max(0, 1 - h)) < 10 and p(whole) > max(p(a), p(b)):
+                        found.append((1, -p(whole), i, j, whole))
+            if not found:
+                break
+            _, _, i, j, whole = min(found)
+            live[i] = (whole, live[i][1] + live.pop(j)[1])
+        assert merging.corresponding_merges(boxes, 0.4, 10.0, p) == live

@@ -94,6 +94,49 @@ def test_ranked_partitions():
     assert [len(p) for p in itertools.islice(chain.ranked(), 62)] == [1] + [2] * 59 + [3] * 2
 
 
+def test_first_ways_of_a_crowded_group():
+    """The first ways come without the many that are not ways: no part in another, and as in the order of all where these can be listed."""
+    rng = random.Random(4)
+    crowd = Group([(x, x + rng.randrange(8, 49), y, y + rng.randrange(8, 53)) for x, y in ((6 * rng.randrange(25), rng.randrange(120)) for _ in range(25)) for _ in range(48)], 10)
+    found = list(itertools.islice(crowd.ranked(), 10))
+    assert [len(p) for p in found] == [1] + [2] * 9 and len(set(found)) == 10
+    for parts in found:
+        assert sum(parts) == crowd.whole and all(crowd.pieces(p) == [p] for p in parts) and not any(crowd.nested(p, q) for p, q in itertools.permutations(parts, 2))
+    covered = Group([(0, 9 + k, 0, 9 + k) for k in range(60)], 10)
+    assert list(covered.ranked()) == [(covered.whole,)]
+    pair = Group([(0, 9 + k, 0, 9) for k in range(30)] + [(47 + k, 90, 18, 29) for k in range(25)], 10)  # two pieces by distance
+    assert list(itertools.islice(pair.ranked(), 1)) == [(sum(1 << k for k in range(30)), sum(1 << k for k in range(30, 55)))]
+    for n in (3, 5, 7):  # the order is that of growing all connected parts one by one
+        group = Group(drawn(rng, n, 40), 8)
+
+        def listed(left, n, parts, group=group):
+            if n == 1:
+                if group.pieces(left) == [left] and not any(group.nested(left, p) or group.nested(p, left) for p in parts):
+                    yield (*parts, left)
+                return
+            for part in group.firsts(left):
+                rest = left & ~part
+                if rest.bit_count() >= n - 1 and not any(group.nested(part, p) or group.nested(p, part) for p in parts):
+                    yield from listed(rest, n - 1, (*parts, part))
+
+        assert list(group.ranked()) == [p for k in range(1, n + 1) for p in listed(group.whole, k, ())]
+
+
+def test_stars_connect_what_pairs_connect(spark):
+    """At most one edge a box, where a crowded frame has hundreds of pairs; a repeated or null id, and boxes 9 apart each way."""
+    rng = random.Random(6)
+    rows = [(k % 3, "ab"[k % 2], k, *box) for k, box in enumerate(drawn(rng, 240, 150))] + [(9, "a", 500, 0, 5, 0, 5), (9, "a", 501, 14, 20, 14, 20), (9, "a", 502, 30, 35, 0, 5), (9, "a", 500, 30, 32, 0, 5), (9, "a", None, 20, 30, 0, 9)]
+    boxes = spark.createDataFrame(rows, "frame long, kind string, node long, l long, r long, t long, b long")
+    edges = components.stars(boxes, components.closer(10), ["l", "r", "t", "b"])
+    pairs = [(a[2], b[2]) for a, b in itertools.combinations(rows, 2) if a[:2] == b[:2] and None not in (a[2], b[2]) and a[2] != b[2] and max(a[3] - b[4], b[3] - a[4], a[5] - b[6], b[5] - a[6]) < 10]
+    assert len(pairs) > 400 and edges.count() <= len(rows)
+    from fluxtrail.plans import session
+
+    session.prepare(spark)
+    want = components.groups(spark.createDataFrame(pairs, "a long, b long"))
+    assert sorted(map(tuple, components.groups(edges).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_new_objects(spark):
     rows = [(1, 1, 0, 19, 0, 39), (1, 2, 20, 45, 0, 39), (1, 3, 46, 80, 0, 39), (2, 4, 0, 50, 0, 50)]
     found = sorted((r.grp, r.nth, r.partition, r.p) for r in merging.new_objects(spark.createDataFrame(rows, SHAPE), retained=3).collect())

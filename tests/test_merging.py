@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+
 from fluxtrail.operators import components, grid, merging
 from fluxtrail.operators.merging import Group, bits
 
@@ -170,3 +172,21 @@ def test_merges_by_correspondence(spark):
         want += [(frame, i, *box, n) for i, (box, n) in live.items()]
     found = merging.merged_by_correspondence(spark.createDataFrame(rows, SHAPE.replace("grp", "frame")), models).collect()
     assert sorted(map(tuple, found)) == sorted(want) and any(r.made > 2 for r in found)
+
+
+def test_boxes_that_merge_are_connected_by_an_edge_each(spark):
+    """The numpy condition links what the statement's does, and a crowded frame has an edge a box, not one a pair."""
+    from fluxtrail.operators import objects
+    from fluxtrail.plans import stateful
+
+    rng = random.Random(3)
+    rows = [(k, k % 2, l, r, t, b, r - l + 1, b - t + 1, (l + r + 1) / 2) for k, (l, r, t, b) in enumerate(drawn(rng, 120, 200))]
+    boxes = spark.createDataFrame(rows, "det_id long, frame_id long, xleft long, xright long, ytop long, ybottom long, width long, height long, cx double")
+    inside = f"NOT ({objects.OUTSIDE.format('boxes')})"
+    pairs = spark.sql(f"WITH boxes AS (SELECT * FROM {{rows}}) SELECT a.det_id, b.det_id FROM {objects.SAME} AND {objects.MERGEABLE}", rows=boxes).collect()
+    named = spark.sql(f"WITH boxes AS (SELECT * FROM {{rows}}) SELECT frame_id AS frame, 0 AS kind, det_id AS node, xleft AS l, xright AS r, ytop AS t, ybottom AS b, width AS w, height AS h, {inside} AS inside FROM boxes", rows=boxes)
+    edges = components.stars(named, stateful.mergeable, ["l", "r", "t", "b", "w", "h", "inside"]).collect()
+    part = named.toPandas()
+    of = {c: part[c].to_numpy() for c in ("l", "r", "t", "b", "w", "h", "inside")}
+    found = {(i, j) for i in range(120) for j in range(i + 1, 120) if i % 2 == j % 2 and stateful.mergeable(i, np.array([j]), of)[0]}
+    assert found == {(a, b) for a, b in pairs} and len(found) > 120 >= len(edges)

@@ -141,3 +141,18 @@ def test_best_merges_equal_plain_choice():
             _, _, i, j, whole = min(found)
             live[i] = (whole, live[i][1] + live.pop(j)[1])
         assert merging.corresponding_merges(boxes, 0.4, 10.0, p) == live
+
+
+def test_frames_are_matched_without_a_list_of_pairs(spark):
+    """The greedy choice among all overlapping pairs of a frame and the one before; repeated ids, and more rivals than a box holds at once."""
+    rng = random.Random(9)
+    rows = [(f, k % 55, x, x + rng.choice((9, 14)), y, y + rng.choice((9, 14))) for f in (1, 2, 3, 5) for k in range(60) for x, y in [(3 * rng.randrange(8), 3 * rng.randrange(8))]]
+    rows = [(*r, (r[3] - r[2] + 1) * (r[5] - r[4] + 1)) for r in rows]
+    pairs = []
+    for f, i, l, r, t, b, area in rows:
+        for f2, j, l2, r2, t2, b2, area2 in rows:
+            if f2 == f - 1 and max(l, l2) < min(r, r2) and max(t, t2) < min(b, b2):
+                pairs.append((f, i, j, (min(r, r2) - max(l, l2) + 1) * (min(b, b2) - max(t, t2) + 1) / max(area, area2)))
+    want = components.corresponding(spark.createDataFrame(pairs, "frame long, a long, b long, score double")).collect()
+    found = components.matched(spark.createDataFrame([*rows, (2, 99, None, 5, 0, 5, 30)], "frame long, id long, l long, r long, t long, b long, area long")).collect()
+    assert len(pairs) > 2000 and len(want) > 90 and sorted(map(tuple, found)) == sorted(map(tuple, want))

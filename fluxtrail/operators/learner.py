@@ -8,6 +8,7 @@ Events between the states of a level above are those of the states below, added
 from __future__ import annotations
 
 import math
+from math import sqrt
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -25,10 +26,12 @@ TIE = 1e-7
 class Concept:
     """A state: a Gaussian for each number, a histogram for each symbol, and the states below it."""
 
+    __slots__ = ("id", "acuity", "n", "mean", "sigma", "seen", "squares", "children", "known", "asked", "trial")
+
     def __init__(self, number: int, acuity: list[float], numbers: list[float], symbols: list[str]) -> None:
-        self.id, self.acuity, self.n, self.weight = number, acuity, 1, 1.0
+        self.id, self.acuity, self.n = number, acuity, 1
         self.mean, self.sigma = list(numbers), list(acuity)
-        self.seen = [{s: 1} for s in symbols]
+        self.seen, self.squares = [{s: 1} for s in symbols], [1] * len(symbols)  # the counts of each symbol, and the sum of their squares
         self.children: list[Concept] = []
         self.known: float | None = None  # the quality since the last instance
         self.asked: list[float] | None = None  # the instance tried last, and what it would make
@@ -36,73 +39,71 @@ class Concept:
 
     def copy(self, number: int) -> Concept:
         out = Concept(number, self.acuity, self.mean, [])
-        out.n, out.weight, out.sigma = self.n, self.weight, list(self.sigma)
-        out.seen = [dict(s) for s in self.seen]
+        out.n, out.sigma = self.n, list(self.sigma)
+        out.seen, out.squares = [dict(s) for s in self.seen], list(self.squares)
         return out
 
     def add(self, numbers: list[float], symbols: list[str]) -> None:
         if self.asked is not numbers:
             self.tried(numbers, symbols)
-        (self.known, _), self.mean, self.sigma = self.trial
+        self.known, self.mean, self.sigma = self.trial
         self.asked = None
-        for s, seen in zip(symbols, self.seen):  # noqa: B905  of equal length
-            seen[s] = seen.get(s, 0) + 1
-        self.n, self.weight = self.n + 1, self.weight + 1.0
+        self.n += 1
+        for k, (s, seen) in enumerate(zip(symbols, self.seen)):  # noqa: B905  of equal length
+            count = seen.get(s, 0)
+            seen[s] = count + 1
+            self.squares[k] += 2 * count + 1
 
     def pooled(self, other: Concept, number: int) -> Concept:
         out = self.copy(number)
-        total = self.weight + other.weight
+        total = self.n + other.n
         for k in range(len(self.mean)):
-            mean = (self.weight * self.mean[k] + other.weight * other.mean[k]) / total
-            square = sum(c.weight * (c.sigma[k] ** 2 + (c.mean[k] - mean) ** 2) for c in (self, other)) / total
+            mean = (self.n * self.mean[k] + other.n * other.mean[k]) / total
+            square = sum(c.n * (c.sigma[k] ** 2 + (c.mean[k] - mean) ** 2) for c in (self, other)) / total
             out.mean[k], out.sigma[k] = mean, max(self.acuity[k], math.sqrt(square))
         for own, more in zip(out.seen, other.seen, strict=True):
             for s, n in more.items():
                 own[s] = own.get(s, 0) + n
-        out.n, out.weight = self.n + other.n, total
+        out.n, out.squares = total, [sum(n * n for n in seen.values()) for seen in out.seen]
         return out
 
     def quality(self) -> float:
         """How sharp the numbers are on average, and how pure the symbols."""
         if self.known is None:
             sharp = sum([a / s for a, s in zip(self.acuity, self.sigma)]) / NORM / max(1, len(self.mean))  # noqa: B905  of equal length
-            self.known = sharp + sum([sum([(n / self.n) ** 2 for n in seen.values()]) for seen in self.seen]) / max(1, len(self.seen))
+            self.known = sharp + sum([q / (self.n * self.n) for q in self.squares]) / max(1, len(self.seen))
         return self.known
 
-    def tried(self, numbers: list[float], symbols: list[str]) -> tuple[float, float]:
-        """The quality with the instance in it, and its likelihood then. Both are kept for the same lists, as ``add`` and the next level ask again."""
+    def tried(self, numbers: list[float], symbols: list[str]) -> float:
+        """The quality with the instance in it. It is kept for the same lists, as ``add`` and the next level ask again."""
         if self.asked is numbers:
             return self.trial[0]
-        n, total = self.n + 1, self.weight + 1.0
-        share, sharp, parts, means, sigmas = self.weight / total, [], [], [], []
+        n = self.n + 1
+        share, sharp, pure, square, means, sigmas = self.n / n, 0.0, 0.0, n * n, [], []
         for x, m, s, a in zip(numbers, self.mean, self.sigma, self.acuity):  # noqa: B905
             off = x - m  # the deviation is updated with the old mean
-            m += off / total
-            s = math.sqrt(share * (s**2 + off * off / total))
+            m += off / n
+            s = sqrt(share * (s * s + off * off / n))
             if s < a:
                 s = a
             means.append(m)
             sigmas.append(s)
-            sharp.append(a / s)
-            parts.append(math.exp(-((x - m) ** 2) / (2 * s * s)))
-        pures = []
-        for s, seen in zip(symbols, self.seen):  # noqa: B905
-            now = seen.get(s, 0) + 1
-            counts = [((now if k == s else c) / n) ** 2 for k, c in seen.items()]
-            if now == 1:
-                counts.append((1 / n) ** 2)
-            pures.append(sum(counts))
-            parts.append(now / n)
-        self.asked, self.trial = numbers, ((sum(sharp) / NORM / max(1, len(sharp)) + sum(pures) / max(1, len(pures)), sum(parts) / len(parts)), means, sigmas)
-        return self.trial[0]
+            sharp += a / s
+        for s, seen, q in zip(symbols, self.seen, self.squares):  # noqa: B905
+            pure += (q + 2 * seen.get(s, 0) + 1) / square
+        quality = sharp / NORM / (len(means) or 1) + pure / (len(symbols) or 1)
+        self.asked, self.trial = numbers, (quality, means, sigmas)
+        return quality
 
     def near(self, numbers: list[float], symbols: list[str]) -> bool:
         close = all(abs(x - m) <= a for x, m, a in zip(numbers, self.mean, self.acuity, strict=True))
         return close and all(seen.get(s, 0) / self.n >= 0.99 for s, seen in zip(symbols, self.seen, strict=True))
 
     def likelihood(self, numbers: list[float], symbols: list[str]) -> float:
-        parts = [math.exp(-((x - m) ** 2) / (2 * s * s)) for x, m, s in zip(numbers, self.mean, self.sigma, strict=True)]
-        parts += [seen.get(s, 0) / self.n for s, seen in zip(symbols, self.seen, strict=True)]
+        """That of the instance, with it in the state: only ties ask for it."""
+        self.tried(numbers, symbols)
+        parts = [math.exp(-((x - m) ** 2) / (2 * s * s)) for x, m, s in zip(numbers, *self.trial[1:], strict=True)]
+        parts += [(seen.get(s, 0) + 1) / (self.n + 1) for s, seen in zip(symbols, self.seen, strict=True)]
         return sum(parts) / len(parts)
 
 
@@ -209,39 +210,48 @@ class Hierarchy:
 
         Each option is worth the children's mean quality by share beyond that of the root, with the instance in them. Of
         options in the order new, merge, best, split a better one is taken, and one that ties with best if the instance is
-        likelier in it than in the one taken; new counts as least likely, so that it never goes before best.
+        likelier in it than in the one taken; new counts as least likely, so that it never goes before best, which ties with itself.
         """
         base, children, total = self.root.quality(), node.children, node.n
         k = len(children)
-        worth = [c.n / total * c.quality() for c in children]
-        grown = [c.tried(numbers, symbols) for c in children]
-        gain = [(c.n + 1) / total * g - w for c, (g, _), w in zip(children, grown, worth)]  # noqa: B905
-        like = [p for _, p in grown]
-        if k == 2:
-            order = (0, 1) if (-gain[0], -like[0], children[0].id) < (-gain[1], -like[1], children[1].id) else (1, 0)
+        every, gain = 0.0, []
+        for c in children:
+            worth = c.n / total * (c.known or c.quality())
+            every += worth
+            gain.append((c.n + 1) / total * (c.trial[0] if c.asked is numbers else c.tried(numbers, symbols)) - worth)
+        if k == 2 and gain[0] != gain[1]:
+            first = gain[0] < gain[1]
+            one, two = children[first], children[not first]
         else:
-            order = sorted(range(k), key=lambda i: (-gain[i], -like[i], children[i].id))
-        first, every = order[0], sum(worth)
-        one, two = children[first], children[order[1]] if k > 1 else None
+            order = sorted(range(k), key=lambda i: (-gain[i], -children[i].likelihood(numbers, symbols), children[i].id))
+            first = order[0]
+            one, two = children[first], children[order[1]] if k > 1 else None
         stay = (every + gain[first] - base) / k
-        options = [("new", (every + 1 / total * self.lone(symbols) - base) / (k + 1), -1.0)]
+        action, value, taken = "best", stay, one
         if k > 2:
             both = one.pooled(two, 0)
-            quality, likely = both.tried(numbers, symbols)
-            rest = every - worth[first] - worth[order[1]]
-            options.append(("merge", (rest + (both.n + 1) / total * quality - base) / (k - 1), likely))
-        options.append(("best", stay, like[first]))
+            rest = every - one.n / total * one.quality() - two.n / total * two.quality()
+            merged = (rest + (both.n + 1) / total * both.tried(numbers, symbols) - base) / (k - 1)
+            new = (every + 1 / total * self.lone(symbols) - base) / (k + 1)
+            if (merged - new > TIE or abs(merged - stay) <= TIE) and stay - merged <= TIE and one.likelihood(numbers, symbols) <= both.likelihood(numbers, symbols):
+                action, value, taken = "merge", merged, both
         if one.children:
-            inside = [c.n / total * c.quality() for c in one.children]
-            inner = [((c.n + 1) / total * g - w, p) for c, w in zip(one.children, inside) for g, p in [c.tried(numbers, symbols)]]  # noqa: B905
-            more, likely = max(inner)
-            below = every - worth[first] + sum(inside) + more
-            options.append(("split", (below - base) / (k - 1 + len(one.children)), likely))
-        taken = options[0]
-        for option in options[1:]:
-            if option[1] - taken[1] > TIE or abs(option[1] - stay) <= TIE and option[2] > taken[2]:
-                taken = option
-        return taken[0], one, two
+            inside, more = 0.0, -math.inf
+            for c in one.children:
+                worth = c.n / total * (c.known or c.quality())
+                inside += worth
+                own = (c.n + 1) / total * (c.trial[0] if c.asked is numbers else c.tried(numbers, symbols)) - worth
+                if own > more:
+                    more = own
+            split = (every - one.n / total * one.quality() + inside + more - base) / (k - 1 + len(one.children))
+            if split - value > TIE or abs(split - stay) <= TIE and self.likeliest(one, total, numbers, symbols) > taken.likelihood(numbers, symbols):
+                action = "split"
+        return action, one, two
+
+    @staticmethod
+    def likeliest(node: Concept, total: int, numbers: list[float], symbols: list[str]) -> float:
+        """The likelihood of the instance in the child of ``node`` that gains most by it; of equals the greatest."""
+        return max(((c.n + 1) / total * c.tried(numbers, symbols) - c.n / total * c.quality(), c.likelihood(numbers, symbols)) for c in node.children)[1]
 
     def move(self, key: Any, state: int, t: float) -> None:
         """Dwell times: half a gap on arrival and on leaving, whole gaps within."""

@@ -133,3 +133,60 @@ def test_growth_ends_with_the_tree(spark):
     days = sorted((r.n, r.id, r.parent) for r in out if r.kind == "growth")
     assert [d for d, _, _ in days] == list(range(7))
     assert days[-1][1:] == (sum(r.kind == "state" for r in out), sum(r.kind == "event" for r in out)) and days[0][1] < days[-1][1]
+
+
+def option(tree, node, numbers, symbols):
+    """The choice as its text has it: every option with its worth and likelihood, in order."""
+
+    def likely(c):
+        return c.tried(numbers, symbols) and c.likelihood(numbers, symbols)
+
+    share = lambda c, quality, more=0: (c.n + more) / node.n * quality
+    own = node.children
+    k, base = len(own), tree.root.quality()
+    gains = [share(c, c.tried(numbers, symbols), 1) - share(c, c.quality()) for c in own]
+    order = sorted(range(k), key=lambda i: (-gains[i], -likely(own[i]), own[i].id))
+    worth = sum(share(c, c.quality()) for c in own)
+    one, two = own[order[0]], own[order[1]]
+    stay = (worth + gains[order[0]] - base) / k
+    both = one.pooled(two, 0)
+    options = [("new", (worth + 1 / node.n * learner.Concept(0, tree.acuity, tree.acuity, symbols).quality() - base) / (k + 1), -1.0)]
+    if k > 2:
+        options.append(("merge", (worth - share(one, one.quality()) - share(two, two.quality()) + share(both, both.tried(numbers, symbols), 1) - base) / (k - 1), likely(both)))
+    options.append(("best", stay, likely(one)))
+    if one.children:
+        more, p = max((share(c, c.tried(numbers, symbols), 1) - share(c, c.quality()), likely(c)) for c in one.children)
+        options.append(("split", (worth - share(one, one.quality()) + sum(share(c, c.quality()) for c in one.children) + more - base) / (k - 1 + len(one.children)), p))
+    taken = options[0]
+    for o in options[1:]:
+        if o[1] - taken[1] > learner.TIE or abs(o[1] - stay) <= learner.TIE and o[2] > taken[2]:
+            taken = o
+    return taken[0], one, two
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_choices_are_those_of_all_options(seed, monkeypatch):
+    """Each choice against all options written out, also with ties; likelihoods, which ties need, are seldom made."""
+    rng, tree, taken, made, inside = random.Random(seed), learner.Hierarchy([4.0, 4.0]), collections.Counter(), [], []
+    choice, exp = learner.Hierarchy.choice, math.exp
+
+    def counted(x):
+        if inside:
+            made.append(x)
+        return exp(x)
+
+    def checked(self, node, numbers, symbols):
+        inside.append(1)
+        found = choice(self, node, numbers, symbols)
+        inside.clear()
+        want = option(self, node, numbers, symbols)
+        assert found[0] == want[0] and found[1] is want[1] and (found[0] != "merge" or found[2] is want[2])
+        taken[found[0]] += 1
+        return found
+
+    monkeypatch.setattr(learner.math, "exp", counted)
+    monkeypatch.setattr(learner.Hierarchy, "choice", checked)
+    for _ in range(500):
+        spread = 3 if seed < 2 else rng.choice((0, 3))
+        tree.learn([rng.choice((0, 10, 40, 90)) + rng.gauss(0, spread), rng.choice((0, 30)) + rng.gauss(0, spread)], [rng.choice("abc"), rng.choice("xy")])
+    assert taken["best"] > 500 and (seed > 1 or len(made) < 2 * sum(taken.values()))

@@ -3,7 +3,9 @@
 import math
 import random
 
-from fluxtrail.operators import components, grid, learner, merging
+from pyspark import TaskContext
+
+from fluxtrail.operators import components, folds, grid, learner, merging
 from fluxtrail.plans import catalog, session
 
 
@@ -156,3 +158,15 @@ def test_frames_are_matched_without_a_list_of_pairs(spark):
     want = components.corresponding(spark.createDataFrame(pairs, "frame long, a long, b long, score double")).collect()
     found = components.matched(spark.createDataFrame([*rows, (2, 99, None, 5, 0, 5, 30)], "frame long, id long, l long, r long, t long, b long, area long")).collect()
     assert len(pairs) > 2000 and len(want) > 90 and sorted(map(tuple, found)) == sorted(map(tuple, want))
+
+
+def test_heavy_keys_have_a_task_each(spark):
+    """By hash, view and error meet in one task."""
+    kinds = ("view", "click", "error", "purchase", "signup")
+    rows = spark.range(2000).selectExpr(f"element_at(array{kinds}, cast(id % 5 + 1 AS int)) AS kind", "id")
+
+    def task(state, row):
+        return [(row.kind, TaskContext.get().partitionId())]
+
+    found = {tuple(r) for r in folds.ordered_fold(rows, ["kind"], ["id"], "kind string, task long", dict, task, heavy=True).collect()}
+    assert {kind for kind, _ in found} == set(kinds) and len(found) == len({task for _, task in found}) == 5

@@ -150,3 +150,32 @@ def test_footprints(spark):
     assert np.allclose((found[1].gl, found[1].gr, found[1].gt, found[1].gb), want) and found[1]["class"] == "ANY" and found[1].height_ == best.h
     x, y = (found[2].gl + found[2].gr) / 2, (found[2].gt + found[2].gb) / 2
     assert np.allclose(image(solid.CAMERA, [(x, y, 0.0)])[:2], (249.5, 240.0)) and found[2]["class"] == "UNKNOWN" and found[2].gr - found[2].gl == 300
+
+
+def test_inverses_by_minors():
+    m = np.random.default_rng(3).normal(size=(4, 4, 200))
+    det, inverse = solid.inverted(m)
+    assert np.allclose(det, np.linalg.det(np.moveaxis(m, 2, 0))) and np.allclose(np.moveaxis(inverse, 2, 0), np.linalg.inv(np.moveaxis(m, 2, 0)))
+
+
+def test_corners_that_alternate_are_solved_a_few_times(monkeypatch):
+    """Most boxes have no shape at most angles, as their corners alternate; they end as they would after all turns."""
+    rng, solved, inverted = np.random.default_rng(5), [], solid.inverted
+    left, top = rng.uniform(0, 600, 500), rng.uniform(0, 440, 500)
+    sides = np.stack([left, top + rng.uniform(8, 60, 500), left + rng.uniform(8, 48, 500), top], 1)
+    h, angle = rng.choice(solid.HEIGHTS, 500), rng.choice(solid.ANGLES, 500)
+    monkeypatch.setattr(solid, "inverted", lambda m: solved.append(m.shape[2]) or inverted(m))
+    got = solid.solve(sides, h, angle, solid.CAMERA)
+    assert 100 < got["ok"].sum() < 400 and sum(solved) < 4 * len(sides)
+    for most in (13, 14):  # where corners alternate, an odd and an even number of turns end apart
+        turns = solid.solve(sides, h, angle, solid.CAMERA, most=most)
+        same = (turns["corner"] == got["corner"]).all(1)
+        assert same.mean() < 0.9 if most == 13 else same.mean() > 0.99
+
+
+def test_shapes_are_solved_once_for_a_track(spark):
+    boxes = spark.createDataFrame([(k, 100 + 9 * k, 130 + 9 * k, 200, 240) for k in range(5)], "det_id long, xleft long, xright long, ytop long, ybottom long")
+    models = spark.createDataFrame([("a", 20.0, 12.0, 4.0, 90.0)], "class string, mean double, sigma double, lo double, hi double")
+    found = solid.coherent(solid.solids(boxes), models, boxes.selectExpr("det_id", "1 AS object_id", "det_id AS t_us"))
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("MapInPandas") == 1
+    assert sorted((r.det_id, r.off is None) for r in found.collect()) == [(k, k == 0) for k in range(5)]

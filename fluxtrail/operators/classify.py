@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxtrail.operators import solid
+from fluxtrail.plans import session
 
 _WALLS = ", ".join(f"({k}, {x1}D, {y1}D, {x2}D, {y2}D, {z}D)" for k, (x1, y1, x2, y2, z) in enumerate(solid.WALLS))
 
@@ -117,8 +118,9 @@ def principal(rows: DataFrame, features: str = "features", k: int = 2) -> DataFr
 
 
 def clusters(rows: DataFrame, features: str = "pcs", k: int = 3, seed: int = 7, rounds: int = 100, starts: int = 10) -> DataFrame:
-    """rows with ``cluster`` by k-means: the best of ``starts`` random starts."""
-    shaped = rows.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
+    """rows with ``cluster`` by k-means: the best of ``starts`` random starts. The rows are made once, for all starts, and checkpointed."""
+    session.prepare(rows.sparkSession)
+    shaped = rows.withColumn("_v", array_to_vector(F.col(features).cast("array<double>"))).checkpoint()
     each = [KMeans(k=k, seed=seed + i, maxIter=rounds, featuresCol="_v", predictionCol="cluster").fit(shaped) for i in range(starts)]
     model = min(each, key=lambda m: m.summary.trainingCost)
     return model.transform(shaped).drop("_v")

@@ -5,7 +5,7 @@ import random
 
 from pyspark import TaskContext
 
-from fluxtrail.operators import components, folds, grid, learner, merging
+from fluxtrail.operators import classify, components, folds, grid, learner, merging
 from fluxtrail.plans import catalog, session
 
 
@@ -170,3 +170,17 @@ def test_heavy_keys_have_a_task_each(spark):
 
     found = {tuple(r) for r in folds.ordered_fold(rows, ["kind"], ["id"], "kind string, task long", dict, task, heavy=True).collect()}
     assert {kind for kind, _ in found} == set(kinds) and len(found) == len({task for _, task in found}) == 5
+
+
+def test_clusters_make_their_rows_once(spark):
+    """All random starts read the same rows, which are not made anew for each."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    rows = spark.range(60).selectExpr("id", "array(id % 3 * 10.0D, id / 100.0D) AS pcs").mapInPandas(counted, "id long, pcs array<double>")
+    found = classify.clusters(rows, starts=4).collect()
+    assert len({(r.id % 3, r.cluster) for r in found}) == 3 and made.value <= 120

@@ -8,6 +8,7 @@ Events between the states of a level above are those of the states below, added
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from math import sqrt
 from typing import Any
 
@@ -26,7 +27,7 @@ TIE = 1e-7
 class Concept:
     """A state: a Gaussian for each number, a histogram for each symbol, and the states below it."""
 
-    __slots__ = ("id", "acuity", "n", "mean", "sigma", "seen", "squares", "children", "known", "asked", "trial")
+    __slots__ = ("id", "acuity", "n", "mean", "sigma", "seen", "squares", "children", "known", "asked", "sharper", "means", "sigmas")
 
     def __init__(self, number: int, acuity: list[float], numbers: list[float], symbols: list[str]) -> None:
         self.id, self.acuity, self.n = number, acuity, 1
@@ -34,8 +35,7 @@ class Concept:
         self.seen, self.squares = [{s: 1} for s in symbols], [1] * len(symbols)  # the counts of each symbol, and the sum of their squares
         self.children: list[Concept] = []
         self.known: float | None = None  # the quality since the last instance
-        self.asked: list[float] | None = None  # the instance tried last, and what it would make
-        self.trial: tuple = ()
+        self.asked: list[float] | None = None  # the instance tried last; the next three are what it would make
 
     def copy(self, number: int) -> Concept:
         out = Concept(number, self.acuity, self.mean, [])
@@ -46,13 +46,16 @@ class Concept:
     def add(self, numbers: list[float], symbols: list[str]) -> None:
         if self.asked is not numbers:
             self.tried(numbers, symbols)
-        self.known, self.mean, self.sigma = self.trial
+        self.known, self.mean, self.sigma = self.sharper, self.means, self.sigmas
         self.asked = None
         self.n += 1
-        for k, (s, seen) in enumerate(zip(symbols, self.seen)):  # noqa: B905  of equal length
+        k = 0
+        for s in symbols:
+            seen = self.seen[k]
             count = seen.get(s, 0)
             seen[s] = count + 1
             self.squares[k] += 2 * count + 1
+            k += 1
 
     def pooled(self, other: Concept, number: int) -> Concept:
         out = self.copy(number)
@@ -77,23 +80,8 @@ class Concept:
     def tried(self, numbers: list[float], symbols: list[str]) -> float:
         """The quality with the instance in it. It is kept for the same lists, as ``add`` and the next level ask again."""
         if self.asked is numbers:
-            return self.trial[0]
-        n = self.n + 1
-        share, sharp, pure, square, means, sigmas = self.n / n, 0.0, 0.0, n * n, [], []
-        for x, m, s, a in zip(numbers, self.mean, self.sigma, self.acuity):  # noqa: B905
-            off = x - m  # the deviation is updated with the old mean
-            m += off / n
-            s = sqrt(share * (s * s + off * off / n))
-            if s < a:
-                s = a
-            means.append(m)
-            sigmas.append(s)
-            sharp += a / s
-        for s, seen, q in zip(symbols, self.seen, self.squares):  # noqa: B905
-            pure += (q + 2 * seen.get(s, 0) + 1) / square
-        quality = sharp / NORM / (len(means) or 1) + pure / (len(symbols) or 1)
-        self.asked, self.trial = numbers, (quality, means, sigmas)
-        return quality
+            return self.sharper
+        return trial(len(numbers), len(symbols))(self, numbers, symbols)
 
     def near(self, numbers: list[float], symbols: list[str]) -> bool:
         close = all(abs(x - m) <= a for x, m, a in zip(numbers, self.mean, self.acuity, strict=True))
@@ -102,14 +90,43 @@ class Concept:
     def likelihood(self, numbers: list[float], symbols: list[str]) -> float:
         """That of the instance, with it in the state: only ties ask for it."""
         self.tried(numbers, symbols)
-        parts = [math.exp(-((x - m) ** 2) / (2 * s * s)) for x, m, s in zip(numbers, *self.trial[1:], strict=True)]
+        parts = [math.exp(-((x - m) ** 2) / (2 * s * s)) for x, m, s in zip(numbers, self.means, self.sigmas, strict=True)]
         parts += [(seen.get(s, 0) + 1) / (self.n + 1) for s, seen in zip(symbols, self.seen, strict=True)]
         return sum(parts) / len(parts)
 
 
+#: The functions of ``trial`` that were asked for; a plain table, as this module's functions travel to the tasks by value.
+TRIALS: dict[tuple[int, int], Callable[[Concept, list[float], list[str]], float]] = {}
+
+
+def trial(numbers: int, symbols: int) -> Callable[[Concept, list[float], list[str]], float]:
+    """The function that puts an instance of so many numbers and symbols to a state and keeps what it would make of it.
+
+    It runs some twenty times an instance, so it is written out for the numbers and symbols instead of looping over them.
+    """
+    if (numbers, symbols) in TRIALS:
+        return TRIALS[numbers, symbols]
+    each, every = range(numbers), range(symbols)
+    listed = lambda name, of: "".join(f"{name}{k}, " for k in of)
+    lines = ["n = c.n + 1", "share = c.n / n"]
+    for name, of, source in (("x", each, "numbers"), ("m", each, "c.mean"), ("s", each, "c.sigma"), ("a", each, "c.acuity"), ("y", every, "symbols"), ("seen", every, "c.seen"), ("q", every, "c.squares")):
+        lines += [f"{listed(name, of)} = {source}"] if of else []
+    for k in each:  # the deviation is updated with the old mean
+        lines += [f"off = x{k} - m{k}", f"m{k} += off / n", f"s{k} = sqrt(share * (s{k} * s{k} + off * off / n))", f"if s{k} < a{k}: s{k} = a{k}"]
+    sharp = " + ".join(f"a{k} / s{k}" for k in each) or "0.0"
+    pure = " + ".join(f"(q{k} + 2 * seen{k}.get(y{k}, 0) + 1) / (n * n)" for k in every) or "0.0"
+    lines += ["c.asked = numbers", f"c.means, c.sigmas = ({listed('m', each)}), ({listed('s', each)})"]
+    lines += [f"c.sharper = quality = ({sharp}) / NORM / {numbers or 1} + ({pure}) / {symbols or 1}", "return quality"]
+    made: dict[str, Any] = {"sqrt": sqrt, "NORM": NORM}
+    exec("def put(c, numbers, symbols):\n    " + "\n    ".join(lines), made)  # noqa: S102  of two counts alone
+    return TRIALS.setdefault((numbers, symbols), made["put"])
+
+
 class Dwell:
     """Count, mean, sum of squared deviations and bounds of dwell times."""
 
+    __slots__ = ("n", "mean", "square", "lo", "hi")
+
     def __init__(self) -> None:
         self.n, self.mean, self.square, self.lo, self.hi = 0, 0.0, 0.0, math.inf, -math.inf
 
@@ -137,10 +154,12 @@ class Hierarchy:
         self.heir: dict[int, int] = {}
         self.states, self.day = 0, None
         self.single: float | None = None
+        self.put: Callable[[Concept, list[float], list[str]], float] | None = None
 
     def grown(self) -> tuple:
         """A row with how many states and events there are at the end of the day."""
-        return self.name, "growth", self.states, len(self.events()), 0, self.day, 1.0, "", ""
+        home = {state: self.now(state) for state in {x for pair in self.edges for x in pair}}
+        return self.name, "growth", self.states, len({(home[a], home[b]) for a, b in self.edges}), 0, self.day, 1.0, "", ""
 
     def now(self, state: int) -> int:
         """The state that has taken over what ``state`` held."""
@@ -173,7 +192,7 @@ class Hierarchy:
     def learn(self, numbers: list[float], symbols: list[str]) -> Concept:
         """The state that takes the instance in, with the tree changed by the best of new, merge, best and split."""
         if self.root is None:
-            self.root, self.states = self.fresh(numbers, symbols), 1
+            self.root, self.states, self.put = self.fresh(numbers, symbols), 1, trial(len(numbers), len(symbols))
             return self.root
         node, taken = self.root, False
         while True:
@@ -212,38 +231,48 @@ class Hierarchy:
         options in the order new, merge, best, split a better one is taken, and one that ties with best if the instance is
         likelier in it than in the one taken; new counts as least likely, so that it never goes before best, which ties with itself.
         """
-        base, children, total = self.root.quality(), node.children, node.n
-        k = len(children)
-        every, gain = 0.0, []
-        for c in children:
-            worth = c.n / total * (c.known or c.quality())
-            every += worth
-            gain.append((c.n + 1) / total * (c.trial[0] if c.asked is numbers else c.tried(numbers, symbols)) - worth)
-        if k == 2 and gain[0] != gain[1]:
-            first = gain[0] < gain[1]
-            one, two = children[first], children[not first]
+        base, children, total = self.root.known or self.root.quality(), node.children, node.n
+        k, put = len(children), self.put
+        if k == 2:  # nearly always, so without lists
+            a, b = children
+            left, right = a.n / total * (a.known or a.quality()), b.n / total * (b.known or b.quality())
+            more = (a.n + 1) / total * (a.sharper if a.asked is numbers else put(a, numbers, symbols)) - left
+            most = (b.n + 1) / total * (b.sharper if b.asked is numbers else put(b, numbers, symbols)) - right
+            every = left + right
+            if more > most or more == most and (-a.likelihood(numbers, symbols), a.id) < (-b.likelihood(numbers, symbols), b.id):
+                one, two, own, most = a, b, left, more
+            else:
+                one, two, own = b, a, right
         else:
-            order = sorted(range(k), key=lambda i: (-gain[i], -children[i].likelihood(numbers, symbols), children[i].id))
+            every, gain, worths = 0.0, [], []
+            for c in children:
+                worth = c.n / total * (c.known or c.quality())
+                every += worth
+                worths.append(worth)
+                gain.append((c.n + 1) / total * (c.sharper if c.asked is numbers else put(c, numbers, symbols)) - worth)
+            tied = len(set(gain)) < k
+            order = sorted(range(k), key=lambda i: (-gain[i], -children[i].likelihood(numbers, symbols) if tied else 0.0, children[i].id))
             first = order[0]
             one, two = children[first], children[order[1]] if k > 1 else None
-        stay = (every + gain[first] - base) / k
+            own, most = worths[first], gain[first]
+        stay = (every + most - base) / k
         action, value, taken = "best", stay, one
         if k > 2:
             both = one.pooled(two, 0)
-            rest = every - one.n / total * one.quality() - two.n / total * two.quality()
+            rest = every - own - two.n / total * two.quality()
             merged = (rest + (both.n + 1) / total * both.tried(numbers, symbols) - base) / (k - 1)
             new = (every + 1 / total * self.lone(symbols) - base) / (k + 1)
             if (merged - new > TIE or abs(merged - stay) <= TIE) and stay - merged <= TIE and one.likelihood(numbers, symbols) <= both.likelihood(numbers, symbols):
                 action, value, taken = "merge", merged, both
         if one.children:
-            inside, more = 0.0, -math.inf
+            inside, most = 0.0, -math.inf
             for c in one.children:
                 worth = c.n / total * (c.known or c.quality())
                 inside += worth
-                own = (c.n + 1) / total * (c.trial[0] if c.asked is numbers else c.tried(numbers, symbols)) - worth
-                if own > more:
-                    more = own
-            split = (every - one.n / total * one.quality() + inside + more - base) / (k - 1 + len(one.children))
+                more = (c.n + 1) / total * (c.sharper if c.asked is numbers else put(c, numbers, symbols)) - worth
+                if more > most:
+                    most = more
+            split = (every - own + inside + most - base) / (k - 1 + len(one.children))
             if split - value > TIE or abs(split - stay) <= TIE and self.likeliest(one, total, numbers, symbols) > taken.likelihood(numbers, symbols):
                 action = "split"
         return action, one, two

@@ -59,6 +59,43 @@ def test_learner_tries_each_state_once_an_instance(monkeypatch):
         assert node.quality() == want[0] and abs(node.likelihood(numbers, ["a"]) - want[1]) < 1e-12
 
 
+def test_learner_counts_events_without_pooling_them(monkeypatch):
+    """A day's row has how many events there are, and makes none of them."""
+    rng, tree = random.Random(5), learner.Hierarchy([6.0, 6.0])
+    for k in range(600):
+        found = tree.learn([rng.choice((0, 20, 90, 200)) + rng.gauss(0, 4), rng.choice((0, 70)) + rng.gauss(0, 4)], [rng.choice("ab")])
+        tree.move(rng.randrange(9), found.id, float(k))
+    want = len(tree.events())
+    assert 50 < want < len(tree.edges)
+    monkeypatch.setattr(learner.Dwell, "pool", None)
+    assert tree.grown()[2:4] == (tree.states, want)
+
+
+def test_learner_tries_an_instance_as_a_plain_loop_does():
+    """A trial is written out for the counts of numbers and symbols; it gives the same to the last digit."""
+    rng = random.Random(7)
+    for count, symbols in ((0, 1), (1, 0), (2, 1), (3, 2)):
+        assert learner.trial(count, symbols) is learner.trial(count, symbols)
+        acuity = [rng.uniform(1, 5) for _ in range(count)]
+        state = learner.Concept(1, acuity, [rng.uniform(0, 9) for _ in acuity], ["a"] * symbols)
+        for _ in range(30):
+            numbers, names = [rng.uniform(0, 9) for _ in acuity], [rng.choice("ab") for _ in range(symbols)]
+            n, means, sigmas, sharp, pure = state.n + 1, [], [], 0.0, 0.0
+            for x, m, s, a in zip(numbers, state.mean, state.sigma, acuity, strict=True):
+                off = x - m
+                means.append(m + off / n)
+                sigmas.append(max(a, math.sqrt(state.n / n * (s * s + off * off / n))))
+                sharp += a / sigmas[-1]
+            for name, seen in zip(names, state.seen, strict=True):
+                counts = dict(seen) | {name: seen.get(name, 0) + 1}
+                pure += sum(v * v for v in counts.values()) / (n * n)
+            want = sharp / learner.NORM / max(1, count) + pure / max(1, symbols)
+            assert math.isclose(state.tried(numbers, names), want, rel_tol=1e-15)
+            state.add(numbers, names)
+            assert (list(state.mean), list(state.sigma), state.known) == (means, sigmas, state.sharper)
+            assert [sum(v * v for v in seen.values()) for seen in state.seen] == state.squares
+
+
 def test_ways_up_of_numbers_have_no_row_limit(spark):
     """As the recursive statement has them: with parents that are no nodes, without number 0 above others; and more than a million."""
     session.prepare(spark)

@@ -584,3 +584,32 @@ def test_query_against_sql(spark, name):
     cursor = con.execute(queries.ORACLE[name])
     names = [d[0] for d in cursor.description]
     assert sorted(cursor.fetchall(), key=repr) == sorted((tuple(r) for r in queries.QUERIES[name](spark, SF).select(*names).collect()), key=repr)
+
+
+def test_mixer_steps_as_plain_loops_do():
+    """Slots and gates index tables as they are, without a copy; a step moves weights and map as decision by decision sums do."""
+    rng = np.random.default_rng(4)
+    code = mixlm.huffman([(bytes([65 + k]), 3 ** (k % 5)) for k in range(20)], 40)
+    mixer = mixlm.Mixer.of(rng.integers(0, 9, (len(code.depth), 2)).astype(np.float32), rng.integers(0, 3, (mixlm.ORDERS, 1 << 14, 2)).astype(np.float32))
+    data = mixlm.hashed([bytes([65 + k]) for k in rng.integers(0, 25, 200)]).tobytes()
+    _, _, _, nodes, answers, slots, _ = mixlm.flat(list(mixlm.streams([data], code.lookup())), code, 14)
+    rows, gate = mixer.inputs(nodes, slots)
+    assert {x.dtype for x in (*slots, gate)} == {np.dtype(np.intp)}
+    weights, refine = mixer.weights.copy(), mixer.refine.copy()
+    moves, steps, times = np.zeros(weights.shape), np.zeros(refine.shape), np.bincount(gate, minlength=len(weights))
+    for d, (node, answer) in enumerate(zip(nodes, answers, strict=True)):
+        values, level = [mixer.plain[node]], 0
+        for logits, evidence, slot in zip(mixer.logits, mixer.evidence, slots, strict=True):
+            level = level * mixlm.GATE + int(evidence[slot[d]])
+            values.append(logits[slot[d]] - mixer.plain[node] if evidence[slot[d]] else 0.0)
+        values.append(0.1)
+        assert level == gate[d] and np.allclose(rows[:, d], values)
+        mixed = float(weights[level] @ values)
+        moves[level] += 0.02 * (answer - 1 / (1 + math.exp(-mixed))) * np.array(values)
+        place, depth = min(7.999, max(-7.999, mixed)) * 2 + 16, min(23, int(code.depth[node]))
+        low, part = int(place), place - int(place)
+        miss = 0.02 * (answer - 1 / (1 + math.exp(-(refine[depth, low] * (1 - part) + refine[depth, low + 1] * part))))
+        steps[depth, low] += miss * (1 - part)
+        steps[depth, low + 1] += miss * part
+    assert len(nodes) <= 2048 and np.allclose(mixer.learn(nodes, answers, slots, code.depth[nodes])[0], times)
+    assert np.allclose(mixer.weights, weights + moves / np.sqrt(np.maximum(1, times))[:, None], atol=1e-5) and np.allclose(mixer.refine, refine + steps, atol=1e-5)

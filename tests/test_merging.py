@@ -52,6 +52,17 @@ def test_partitions_of_a_long_chain(spark):
     assert not merging.merge_partitions(spark.createDataFrame([], SHAPE)).collect()
 
 
+def test_partitions_are_of_the_frames_of_all_queries(spark, tmp_path):
+    """Boxes of an hour are one frame however many detections lie between them, and those of two hours never meet."""
+    from fluxtrail.plans import catalog
+
+    rows = [(0, "2024-01-01 00:05:00", 9), (1, "2024-01-01 00:06:00", 60), (2, "2024-01-01 01:05:00", 9), (700, "2024-01-01 00:50:00", 11), (1400, "2024-01-01 01:50:00", 11)]
+    frame = spark.createDataFrame([(k, at, k, "view", 10.0, f'{{"k": {x}}}') for k, at, x in rows], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    frame.withColumn("ts", frame["ts"].cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    found = sorted(map(tuple, catalog.QUERIES["merge_partitions"](spark, str(tmp_path)).collect()))
+    assert {r[0] for r in found} == {0, 2} and {r[1:] for r in found if r[0] == 0} == {("0,0", 1), ("0,1", 2)}
+
+
 def test_fewest_merges_against_enumeration():
     rng = random.Random(2)
     for k in range(60):

@@ -63,6 +63,29 @@ def test_partitions_are_of_the_frames_of_all_queries(spark, tmp_path):
     assert {r[0] for r in found} == {0, 2} and {r[1:] for r in found if r[0] == 0} == {("0,0", 1), ("0,1", 2)}
 
 
+def test_links_are_those_that_make_the_groups(spark, tmp_path):
+    """Boxes that are near each way are one group, so they may be one part, with a corner between them too."""
+    from fluxtrail.plans import catalog
+
+    rows = [(0, 0, "2024-01-01 00:05:00", 10.0, 9), (41, 1, "2024-01-01 00:06:00", 26.0, 11)]  # eight to the right of, and eight below
+    frame = spark.createDataFrame([(k, u, at, "view", v, f'{{"k": {x}}}') for k, u, at, v, x in rows], "event_id long, user_id long, ts string, event_type string, value double, props string")
+    frame.withColumn("ts", frame["ts"].cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(map(tuple, catalog.QUERIES["merge_partitions"](spark, str(tmp_path)).collect())) == [(0, "0,0", 1), (0, "0,1", 2)]
+    assert [(r.nth, r.partition) for r in catalog.QUERIES["trk_new_objects"](spark, str(tmp_path)).orderBy("nth").collect()] == [(0, "0,0"), (1, "0,1")]
+
+
+def test_ways_to_keep_two_parts_apart_leave_out_no_way():
+    """A part of its own that each of two others must not hold: the ways are those of all pairs, and come without growing many parts."""
+    rng = random.Random(6)
+    for _ in range(40):
+        group = Group(drawn(rng, 7, 45), 8)
+        found = [tuple(sorted(p, key=lambda x: x & -x)) for p in group.ranked()]
+        assert len(found) == len(set(found)) and set(found) == enumerated(group)
+    hole = Group([(25 * x, 25 * x + 20, 25 * y, 25 * y + 20) for x in range(10) for y in range(10) if not 4 <= x <= 5 or not 4 <= y <= 5] + [(122, 124, 122, 124)], 10)
+    found = list(itertools.islice(hole.ranked(), 4))
+    assert [sorted(p.bit_count() for p in parts) for parts in found] == [[1, 48, 48]] * 2 + [[1, 5, 43, 48], [1, 6, 43, 47]]
+
+
 def test_fewest_merges_against_enumeration():
     rng = random.Random(2)
     for k in range(60):
